@@ -86,10 +86,13 @@ def later_copies(blocks: DataFrame) -> DataFrame:
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """`df` with later copies of repeated line runs cut from `text`, and n_removed (lines)."""
+    """`df` with later copies of repeated line runs cut from `text`, and n_removed (lines).
+
+    The last join sorts both sides at any size: the runs grow with the corpus and are never broadcast.
+    """
     runs = stored(later_copies(stored(repeated_blocks(line_ids(df, key, text), min_words), "line-blocks")), "line-runs")
     docs = df.withColumn("_th", F.unhex(F.md5(F.col(text).cast("binary"))))
-    cut = docs.join(runs, docs[key].eqNullSafe(runs.doc) & (docs["_th"] == runs.th), "left")
+    cut = docs.join(runs.hint("merge"), docs[key].eqNullSafe(runs.doc) & (docs["_th"] == runs.th), "left")
     lines = F.split(F.col(text), "\n")
     left = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (i >= r["line"]) & (i <= r["last_line"])))
     removed = F.coalesce(F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["last_line"] - r["line"] + 1), F.lit(0).cast("long"))
