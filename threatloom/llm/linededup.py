@@ -26,12 +26,12 @@ from pyspark.sql.window import Window
 
 from .common import stored
 
-MIN_WORDS = 50
+MIN_WORDS, BLANKS = 50, " \t\r\f\v\u00a0"
 
 
 def line_ids(df: DataFrame, key: str, text: str) -> DataFrame:
     """doc, th (hash of the text), seq (place among non-blank lines), line (place among all), id, words."""
-    lines = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.alias("line"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("x")))
+    lines = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.alias("line"), F.btrim(x, F.lit(BLANKS)).alias("x")))
     kept = F.filter(lines, lambda s: s["x"] != "")
     rows = df.select(F.col(key).alias("doc"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("th"), F.posexplode(kept).alias("seq", "s"))
     return rows.select("doc", "th", "seq", F.col("s.line").alias("line"), F.unhex(F.md5(F.col("s.x").cast("binary"))).alias("id"), F.size(F.split("s.x", r"\s+")).cast("long").alias("words"))
@@ -90,7 +90,8 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
 
     The last join sorts both sides at any size: the runs grow with the corpus and are never broadcast.
     """
-    runs = stored(later_copies(stored(repeated_blocks(line_ids(df, key, text), min_words), "line-blocks")), "line-runs")
+    lines = stored(line_ids(df, key, text), "line-ids")  # read twice
+    runs = stored(later_copies(stored(repeated_blocks(lines, min_words), "line-blocks")), "line-runs")
     docs = df.withColumn("_th", F.unhex(F.md5(F.col(text).cast("binary"))))
     cut = docs.join(runs.hint("merge"), docs[key].eqNullSafe(runs.doc) & (docs["_th"] == runs.th), "left")
     lines = F.split(F.col(text), "\n")
