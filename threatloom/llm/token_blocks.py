@@ -34,7 +34,7 @@ MAGIC, HEAD = b"TLB1", struct.Struct("<4sIIIIIII")
 PRECISION = 24
 SCALE, LEAST0, TOTAL0 = 1 << PRECISION, 1 << 20, 1 << 20
 BLOCK_IDS, MAX_LANES, LANE_IDS = 1 << 19, 4096, 64
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 U32 = np.uint64(32)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 LOW32 = np.uint64(0xFFFFFFFF)
@@ -189,14 +189,38 @@ class _Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.alphabet = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def learn(self, words: list[str]) -> None:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
+        """Look up new words in bulk. Latin-1 letters give one piece each, whatever stands around them
+        and in whatever case, so stems are joined by blanks and cut at the ids that end a word."""
+        stems, other = {}, set()
+        for w in words:
+            stem = w.rstrip(".,!?;:")
+            if stem.isalpha() and max(stem) < "\u0100":
+                stems[w] = stem.lower(), w[len(stem) :]
+            else:
+                other.add(w)
+        other |= {tail for _, tail in stems.values() if tail and tail not in self}
+        new = list({s for s, _ in stems.values() if s not in self})
+        for at in range(0, len(new), 2000):
+            part = new[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
+            cuts, flat = (np.flatnonzero(self.ends[ids]) + 1).tolist(), ids.tolist()
+            if len(cuts) != len(part):
+                other.update(part)
+                continue
+            self.update(zip(part, (tuple(flat[i:j]) for i, j in zip([0, *cuts], cuts))))
+        rest = list(other)
+        for at in range(0, len(rest), 10_000):
+            part = rest[at : at + 10_000]
             for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
                 self[word] = tuple(e.ids)
+        for w, (stem, tail) in stems.items():
+            if tail or w != stem:
+                self[w] = self[stem] + self[tail] if tail else self[stem]
 
 
 @lru_cache(maxsize=2)
