@@ -34,8 +34,8 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-with v as (select vec_id, list_transform(embedding, x -> floor(1024 * x::double)) v from embeddings
-           where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id query_id, c.vec_id vec_id, list_inner_product(q.v, c.v)::bigint score
       from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
 r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer "rank", vec_id, score from s)
