@@ -68,7 +68,7 @@ def chunks(items: DataFrame, key: str, budget: int = BUDGET, least: int = LEAST_
     placed = sections(items, key, "pos", "label", "text", "level" if "level" in items.columns else None)
     body = placed.filter(F.col("label").isin("text", "list_item", "caption") & (stripped(F.coalesce("text", F.lit(""))) != ""))
     rows = body.groupBy(key, "section_no").agg(F.array_sort(F.collect_list(F.struct("pos", tokens(F.col("text")).cast("int").alias("tokens"), stripped(F.col("text")).alias("text"), "page", "section_path"))).alias("items"))
-    grouped = rows.withColumn("groups", packed(F.transform("items", lambda s: F.struct(s["pos"].cast("int").alias("pos"), s["tokens"].alias("tokens")))))
+    grouped = rows.withColumn("groups", packed(F.transform("items", lambda s: F.struct(s["pos"].cast("int").alias("pos"), s["tokens"].alias("tokens"))), budget))
     each = grouped.select(key, "section_no", F.explode(F.arrays_zip("items", "groups")).alias("z"))
     made = each.groupBy(key, "section_no", F.col("z.groups.group").alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("z.items.pos", "z.items.text"))).alias("texts"), F.first("z.items.section_path").alias("section_path"),
