@@ -22,7 +22,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -179,7 +178,7 @@ def decode_block(block: bytes) -> tuple[np.ndarray, bytes]:
 
 
 class _Words(dict):
-    """word -> ids by the tokenizers library; bounded. Its normaliser and splitter never look across
+    """word -> ids (packed integers) by the tokenizers library; bounded. Its normaliser and splitter never look across
     white space, so the ids of a text are those of its blank- and newline-separated parts."""
 
     def __init__(self, path: str):
@@ -189,6 +188,7 @@ class _Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.alphabet = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.wide = np.dtype("<u2" if self.alphabet <= 1 << 16 else "<u4")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -208,16 +208,16 @@ class _Words(dict):
         for at in range(0, len(new), 2000):
             part = new[at : at + 2000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
-            cuts, flat = (np.flatnonzero(self.ends[ids]) + 1).tolist(), ids.tolist()
+            cuts, flat = ((np.flatnonzero(self.ends[ids]) + 1) * self.wide.itemsize).tolist(), ids.astype(self.wide).tobytes()
             if len(cuts) != len(part):
                 other.update(part)
                 continue
-            self.update(zip(part, (tuple(flat[i:j]) for i, j in zip([0, *cuts], cuts))))
+            self.update(zip(part, (flat[i:j] for i, j in zip([0, *cuts], cuts))))
         rest = list(other)
         for at in range(0, len(rest), 10_000):
             part = rest[at : at + 10_000]
             for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self[word] = tuple(e.ids)
+                self[word] = np.array(e.ids, self.wide).tobytes()
         for w, (stem, tail) in stems.items():
             if tail or w != stem:
                 self[w] = self[stem] + self[tail] if tail else self[stem]
@@ -228,8 +228,10 @@ def _words(path: str) -> _Words:
     return _Words(path)
 
 
-def encode_texts(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
+def encode_texts(texts: list[str], path: str, end_id: int) -> list[bytes]:
+    """The packed ids of each text, closed by `end_id`."""
     known, out = _words(path), []
+    end = np.array([end_id], known.wide).tobytes()
     for at in range(0, len(texts), 256):
         split = [t.replace("\n", " ").split(" ") for t in texts[at : at + 256]]
         need = set().union(*split)
@@ -237,9 +239,7 @@ def encode_texts(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
             known.clear()
         known.learn([w for w in need if w not in known])
         for words in split:
-            ids = list(chain.from_iterable(map(known.__getitem__, words)))
-            ids.append(end_id)
-            out.append(np.array(ids, np.uint32))
+            out.append(b"".join(map(known.__getitem__, words)) + end)
     return out
 
 
@@ -262,13 +262,11 @@ def write_blocks(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, key:
                 batch = whole.slice(at, 1024)
                 keys = batch.column(0).to_numpy(zero_copy_only=False)
                 ids = encode_texts([t or "" for t in batch.column(1).to_pylist()], tokenizer, end_id)
-                wide = "<u2" if _words(tokenizer).alphabet <= 1 << 16 else "<u4"
                 shard = pa.array(np.searchsorted(edges, keys, side="left").astype(np.int32))
-                yield pa.RecordBatch.from_arrays([shard, batch.column(0), pa.array([x.astype(wide).tobytes() for x in ids], pa.binary())], ["shard", "k", "ids"])
+                yield pa.RecordBatch.from_arrays([shard, batch.column(0), pa.array(ids, pa.binary())], ["shard", "k", "ids"])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alphabet = _words(tokenizer).alphabet
-        wide = "<u2" if alphabet <= 1 << 16 else "<u4"
+        alphabet, wide = _words(tokenizer).alphabet, _words(tokenizer).wide
         now, number, start, keys, parts, size = None, 0, 0, [], [], 0
 
         def flush():
