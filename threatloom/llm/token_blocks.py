@@ -48,17 +48,29 @@ class _Model:
         self.mask = np.int64((1 << bits) - 1)
         self.t2, self.t1 = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
         self.seen = np.tile(np.array([1, 1, 6], np.int64), (32, 1))
-        self.counts, self.cum, self.total0 = np.zeros(alphabet, np.int64), None, 0
+        self.counts, self.recent, self.cum, self.total0 = np.zeros(alphabet, np.int64), [], None, 0
         self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.step, self.alphabet = 0, alphabet
         self._frequencies()
 
     def _frequencies(self) -> None:
+        if self.recent:
+            self.counts += np.bincount(np.concatenate(self.recent), minlength=self.alphabet)
+            self.recent = []
+        self.places = None
         have = int(self.counts.sum())
         f = np.ones(self.alphabet, np.int64) if not have else 1 + self.counts * (TOTAL0 - self.alphabet) // have
         self.cum = np.concatenate(([0], np.cumsum(f)))
         self.total0 = np.int64(self.cum[-1])
 
+    def order0(self, at: np.ndarray) -> np.ndarray:
+        """The ids whose frequency ranges hold the places `at`."""
+        if len(self.p1) < 512:
+            return np.searchsorted(self.cum, at, side="right") - 1
+        if self.places is None:
+            self.places = np.repeat(np.arange(self.alphabet, dtype=np.int32), np.diff(self.cum))
+        return self.places[at]
+
     def predict(self):
         """guess2, guess1, w2, w1 for every lane."""
         self.h2 = ((self.p1 * 0x9E3779B1 + self.p2 * 0x85EBCA77) >> 11) & self.mask
@@ -79,7 +91,7 @@ class _Model:
         self.seen += np.bincount(self.context * 3 + event, minlength=96).reshape(32, 3)
         if self.seen.max() > 1 << 16:
             self.seen = (self.seen + 1) >> 1
-        self.counts += np.bincount(ids, minlength=self.alphabet)
+        self.recent.append(ids)
         self.p2, self.p1 = self.p1, ids
         self.step += 1
         if self.step & (self.step - 1) == 0 or self.step % 16 == 0:
@@ -156,7 +168,7 @@ def decode_block(block: bytes) -> tuple[np.ndarray, bytes]:
         i = np.flatnonzero(event == 2)
         if len(i):
             v = w0[i]
-            found = np.searchsorted(model.cum, ((d[i] - both[i] + 1) * model.total0 - 1) // v, side="right") - 1
+            found = model.order0(((d[i] - both[i] + 1) * model.total0 - 1) // v)
             x[i] = found
             a = model.cum[found] * v // model.total0
             start[i], width[i] = both[i] + a, model.cum[found + 1] * v // model.total0 - a
