@@ -189,12 +189,46 @@ def decode_block(block: bytes) -> tuple[np.ndarray, bytes]:
     return ids, head
 
 
-class _Words(dict):
-    """word -> ids (packed integers) by the tokenizers library; bounded. Its normaliser and splitter never look across
-    white space, so the ids of a text are those of its blank- and newline-separated parts."""
+_TAIL, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_TAIL[list(b'!"#$%&()*+,-./:;=?@[\\]^_`{}~')] = True  # no apostrophe (contractions), nothing that ends a special token
+_LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+SHORT, SLOTS = 15, 1 << 22  # bytes of a word in the table; places in the table
+
+
+def _keys(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of words of SHORT bytes at most, and their size, as two integers: equal exactly if the words are."""
+    u = np.frombuffer(data + bytes(24 - len(data) % 8), "<u8")
+    q, r = starts >> 3, ((starts & 7) << 3).astype(np.uint64)
+    back, one = np.uint64(63) - r, np.uint64(1)
+    w0, w1, w2 = u[q], u[q + 1], u[np.minimum(q + 2, len(u) - 1)]
+    first = (w0 >> r | w1 << back << one) & _MASK[np.minimum(sizes, 8)]
+    return first, (w1 >> r | w2 << back << one) & _MASK[np.maximum(sizes - 8, 0)] | sizes.astype(np.uint64) << np.uint64(56)
+
+
+def _tails(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the signs (8 at most) begin that end a word behind an ASCII letter or digit or a Latin-1 letter."""
+    out = [ends[:0]]
+    for k in range(1, 9):
+        more = (ends - k > starts) & _TAIL[b[ends - k]]
+        starts, ends = starts[more], ends[more]
+        last = b[ends - k - 1]
+        letter = _LETTER[last] | (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (b[ends - k - 2] == 0xC3) & (ends - k - 1 > starts)
+        out.append(ends[letter] - k)
+    return np.concatenate(out)
+
+
+def _slot(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    h = first * np.uint64(0x9E3779B97F4A7C15) ^ second * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ h >> U32) * np.uint64(0x94D049BB133111EB) >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64)
+
+
+class _Words:
+    """Words and their ids by the tokenizers library: a bounded open-addressing table. The library's
+    normaliser and splitter never look across white space, nor across a letter and the
+    signs behind it, so the ids of a text are those of these parts."""
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -204,35 +238,69 @@ class _Words(dict):
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def learn(self, words: list[str]) -> None:
-        """Look up new words in bulk. Latin-1 letters give one piece each, whatever stands around them
-        and in whatever case, so stems are joined by blanks and cut at the ids that end a word."""
-        stems, other = {}, set()
-        for w in words:
-            stem = w.rstrip(".,!?;:")
-            if stem.isalpha() and max(stem) < "\u0100":
-                stems[w] = stem.lower(), w[len(stem) :]
-            else:
-                other.add(w)
-        other |= {tail for _, tail in stems.values() if tail and tail not in self}
-        new = list({s for s, _ in stems.values() if s not in self})
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
-            cuts, flat = ((np.flatnonzero(self.ends[ids]) + 1) * self.wide.itemsize).tolist(), ids.astype(self.wide).tobytes()
+        self.clear()
+
+    def clear(self) -> None:
+        self.first, self.second = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        self.at, self.n = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.pool, self.used, self.words = np.zeros(1 << 20, self.wide), 0, 0
+        self.long: dict[bytes, tuple[int, int]] = {}
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Put the ids of words into the pool: (places, counts). Latin-1 letters give one piece each,
+        whatever stands around them, so such words are joined by blanks and cut at the ids that end a word."""
+        text = [w.decode() for w in words]
+        plain = [i for i, w in enumerate(text) if w.isalpha() and (w.isascii() or max(w) < "\u0100")]
+        rest = sorted(set(range(len(text))) - set(plain))
+        at, n, flat, used = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64), [], self.used
+        groups = [plain[i : i + 2000] for i in range(0, len(plain), 2000)]
+        for part, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join([text[i] for i in g]) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.wide)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):
-                other.update(part)
+                rest += part
                 continue
-            self.update(zip(part, (flat[i:j] for i, j in zip([0, *cuts], cuts))))
-        rest = list(other)
-        for at in range(0, len(rest), 10_000):
-            part = rest[at : at + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self[word] = np.array(e.ids, self.wide).tobytes()
-        for w, (stem, tail) in stems.items():
-            if tail or w != stem:
-                self[w] = self[stem] + self[tail] if tail else self[stem]
+            n[part] = np.diff(cuts, prepend=0)
+            at[part] = used + cuts - n[part]
+            flat.append(ids)
+            used += len(ids)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([text[i] for i in rest], add_special_tokens=False)):
+            at[i], n[i] = used, len(e.ids)
+            flat.append(np.array(e.ids, self.wide))
+            used += len(e.ids)
+        while used > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        if flat:
+            self.pool[self.used : used] = np.concatenate(flat)
+        self.used = used
+        return at, n
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The table's places of words, -1 for words that it lacks."""
+        out = _slot(first, second)
+        left, at = np.arange(len(out)), out.copy()
+        while len(left):
+            there = self.second[at]
+            hit = (there == second[left]) & (self.first[at] == first[left])
+            out[left[hit]] = at[hit]
+            none = there == 0
+            out[left[none]] = -1
+            on = ~(hit | none)
+            left, at = left[on], (at[on] + 1) & (SLOTS - 1)
+        return out
+
+    def add(self, first: np.ndarray, second: np.ndarray, words: list[bytes]) -> None:
+        """Add distinct words that the table lacks."""
+        pool_at, n = self.encode(words)
+        left, at = np.arange(len(words)), _slot(first, second)
+        while len(left):
+            free = self.second[at] == 0
+            where, which = np.unique(at[free], return_index=True)
+            put = left[free][which]
+            self.first[where], self.second[where], self.at[where], self.n[where] = first[put], second[put], pool_at[put], n[put]
+            on = ~((self.second[at] == second[left]) & (self.first[at] == first[left]))
+            left, at = left[on], (at[on] + 1) & (SLOTS - 1)
+        self.words += len(words)
 
 
 @lru_cache(maxsize=2)
@@ -240,19 +308,63 @@ def _words(path: str) -> _Words:
     return _Words(path)
 
 
-def encode_texts(texts: list[str], path: str, end_id: int) -> list[bytes]:
-    """The packed ids of each text, closed by `end_id`."""
-    known, out = _words(path), []
+def encode_column(texts: pa.Array, path: str, end_id: int) -> list[bytes]:
+    """The packed ids of each text (null: empty), closed by `end_id`."""
+    known = _words(path)
+    if not len(texts):
+        return []
+    column = texts.cast(pa.large_string()).fill_null("")
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2].slice(int(edges[0]), int(edges[-1] - edges[0])).to_pybytes() if edges[-1] > edges[0] else b""
+    edges = edges - edges[0]
+    b = np.frombuffer(data, np.uint8)
+    white = (b == 32) | (b == 10)
+    begin, stop = np.zeros(len(b) + 1, bool), np.zeros(len(b) + 1, bool)
+    begin[1:], stop[:-1] = white, white
+    begin[edges], stop[edges] = True, True
+    begin[:-1] &= ~white
+    begin[-1] = False
+    stop[1:] &= ~white
+    stop[0] = False
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(stop)
+    point = _tails(b, starts, ends)
+    begin[point], stop[point] = True, True
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(stop)
+    sizes = ends - starts
+    short = sizes <= SHORT
+    if known.words > SLOTS // 2 - len(starts) or len(known.long) > CACHE_WORDS:
+        known.clear()
+    if len(starts) > SLOTS // 4:  # one text with more words than the table takes at once
+        if len(texts) > 1:
+            half = len(texts) // 2
+            return encode_column(texts[:half], path, end_id) + encode_column(texts[half:], path, end_id)
+    first, second = _keys(data, starts, np.minimum(sizes, SHORT))
+    places = known.find(first, second)
+    places[~short] = 0
+    lacking = np.flatnonzero(places < 0)
+    if len(lacking):
+        new: dict[bytes, int] = {}
+        for i, s, e in zip(lacking.tolist(), starts[lacking].tolist(), ends[lacking].tolist()):
+            new.setdefault(data[s:e], i)
+        one = np.fromiter(new.values(), np.int64, len(new))
+        known.add(first[one], second[one], list(new))
+        places[lacking] = known.find(first[lacking], second[lacking])
+    at, n = known.at[places].astype(np.int64), known.n[places].astype(np.int64)
+    far = np.flatnonzero(~short)
+    if len(far):
+        own = [data[s:e] for s, e in zip(starts[far].tolist(), ends[far].tolist())]
+        lack = list({w for w in own if w not in known.long})
+        known.long.update(zip(lack, zip(*(x.tolist() for x in known.encode(lack)))))
+        at[far], n[far] = np.array([known.long[w] for w in own], np.int64).T
+    upto = np.concatenate(([0], np.cumsum(n)))
+    ids = known.pool[np.repeat(at - upto[:-1], n) + np.arange(upto[-1])]
+    cuts = upto[np.searchsorted(starts, edges)].tolist()
     end = np.array([end_id], known.wide).tobytes()
-    for at in range(0, len(texts), 256):
-        split = [t.replace("\n", " ").split(" ") for t in texts[at : at + 256]]
-        need = set().union(*split)
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        known.learn([w for w in need if w not in known])
-        for words in split:
-            out.append(b"".join(map(known.__getitem__, words)) + end)
-    return out
+    return [ids[i:j].tobytes() + end for i, j in zip(cuts[:-1], cuts[1:])]
+
+
+def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
+    return encode_column(pa.array(texts, pa.string()), path, end_id)
 
 
 def write_blocks(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, key: str = "doc_id", text: str = "text", shards: int | None = None) -> None:
@@ -273,7 +385,7 @@ def write_blocks(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, key:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 keys = batch.column(0).to_numpy(zero_copy_only=False)
-                ids = encode_texts([t or "" for t in batch.column(1).to_pylist()], tokenizer, end_id)
+                ids = encode_column(batch.column(1), tokenizer, end_id)
                 shard = pa.array(np.searchsorted(edges, keys, side="left").astype(np.int32))
                 yield pa.RecordBatch.from_arrays([shard, batch.column(0), pa.array(ids, pa.binary())], ["shard", "k", "ids"])
 
