@@ -45,11 +45,11 @@ class _Model:
 
     def __init__(self, alphabet: int, n: int, lanes: int):
         bits = max(10, min(18, int(n).bit_length()))
-        self.mask = np.int64((1 << bits) - 1)
+        self.mask = np.uint32((1 << bits) - 1)
         self.t2, self.t1 = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
         self.seen = np.tile(np.array([1, 1, 6], np.int64), (32, 1))
         self.counts, self.recent, self.cum, self.total0 = np.zeros(alphabet, np.int64), [], None, 0
-        self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.p1, self.p2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.step, self.alphabet = 0, alphabet
         self._frequencies()
 
@@ -68,31 +68,33 @@ class _Model:
         if len(self.p1) < 512:
             return np.searchsorted(self.cum, at, side="right") - 1
         if self.places is None:
-            self.places = np.repeat(np.arange(self.alphabet, dtype=np.int32), np.diff(self.cum))
-        return self.places[at]
+            self.places = np.zeros(self.total0, np.int32)
+            self.places[self.cum[1:-1]] = 1  # every frequency is 1 at least
+            np.cumsum(self.places, out=self.places)
+        return self.places.take(at)
 
     def predict(self):
         """guess2, guess1, w2, w1 for every lane."""
-        self.h2 = ((self.p1 * 0x9E3779B1 + self.p2 * 0x85EBCA77) >> 11) & self.mask
-        self.h1 = (self.p1 * 0x9E3779B1 >> 7) & self.mask
-        self.e2, self.e1 = self.t2[self.h2], self.t1[self.h1]
+        h = self.p1 * np.uint32(0x9E3779B1)
+        self.h1 = (h >> np.uint32(7) & self.mask).astype(np.intp)
+        self.h2 = (h + self.p2 * np.uint32(0x85EBCA77) >> np.uint32(11) & self.mask).astype(np.intp)
+        self.e2, self.e1 = self.t2.take(self.h2), self.t1.take(self.h1)
         g2, g1 = self.e2 >> 2, self.e1 >> 2
-        self.context = (self.e2 & 3) << 3 | (self.e1 & 3) << 1 | (g2 == g1)
-        w = 1 + self.seen[:, :2] * (SCALE - LEAST0 - 2) // self.seen.sum(axis=1, keepdims=True)
-        return g2, g1, w[self.context, 0], w[self.context, 1]
+        self.context = ((self.e2 & 3) << 3 | (self.e1 & 3) << 1 | (g2 == g1)).astype(np.intp)
+        w2, w1 = 1 + self.seen[:, :2].T * (SCALE - LEAST0 - 2) // self.seen.sum(axis=1)
+        return g2, g1, w2.take(self.context), w1.take(self.context)
 
     def learn(self, ids: np.ndarray, event: np.ndarray) -> None:
         small = ids.astype(np.int32)
         for table, at, entry in ((self.t2, self.h2, self.e2), (self.t1, self.h1, self.e1)):
-            guess, trust = entry >> 2, entry & 3
-            hit = guess == small
-            trust = np.where(hit, np.minimum(trust + 1, 3), np.maximum(trust - 1, 0))
-            table[at] = np.where(hit | ((entry & 3) > 0), guess, small) << 2 | trust
+            trust = entry & 3
+            hit = entry >> 2 == small
+            table[at] = np.where(hit, entry + (trust < 3), np.where(trust > 0, entry - 1, small << 2))
         self.seen += np.bincount(self.context * 3 + event, minlength=96).reshape(32, 3)
         if self.seen.max() > 1 << 16:
             self.seen = (self.seen + 1) >> 1
         self.recent.append(ids)
-        self.p2, self.p1 = self.p1, ids
+        self.p2, self.p1 = self.p1, ids.astype(np.uint32)
         self.step += 1
         if self.step & (self.step - 1) == 0 or self.step % 16 == 0:
             self._frequencies()
@@ -118,7 +120,7 @@ def encode_block(ids: np.ndarray, alphabet: int, head: bytes = b"") -> bytes:
         g2, g1, w2, w1 = model.predict()
         event = np.where(x == g2, 0, np.where(x == g1, 1, 2))
         w0 = SCALE - w2 - w1
-        a, b = model.cum[x] * w0 // model.total0, model.cum[x + 1] * w0 // model.total0
+        a, b = model.cum.take(x) * w0 // model.total0, model.cum.take(x + 1) * w0 // model.total0
         start = np.where(event == 0, 0, np.where(event == 1, w2, w2 + w1 + a)).astype(np.uint64)
         size = np.where(event == 0, w2, np.where(event == 1, w1, b - a)).astype(np.uint64)
         unit = wide >> np.uint64(PRECISION)
