@@ -51,6 +51,25 @@ def test_near_duplicate_cases(spark):
     assert neardup.classes(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("original", [0, 30, 60])
+def test_copies_hang_together_through_their_original(spark, original):
+    """Copies with edits of their own are similar to the original only, wherever its doc_id stands."""
+    r = random.Random(original)
+    base = ["w%d" % r.randrange(10**6) for _ in range(300)]
+    docs = []
+    for k in range(61):
+        new = base.copy()
+        if k != original:
+            for i in range(6):
+                new[i * 48 + r.randrange(40)] = f"edit{k}x{i}"
+        docs.append((k, " ".join(new)))
+    docs += [(100 + k, " ".join(base[:100] + [f"other{k}x{i}" for i in range(200)])) for k in range(20)]
+    expected = brute_classes(docs)
+    assert {expected[k] for k in range(61)} == {0} and len(set(expected.values())) == 21
+    out = neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.class_id for x in out} == expected
+
+
 def brute_runs(docs, least):
     """Every block of lines with enough words and an earlier, non-overlapping first copy is cut."""
     lines, first, cut = {}, {}, defaultdict(set)
