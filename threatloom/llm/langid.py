@@ -29,6 +29,13 @@ LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few texts are held as Python strings or sent at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def buckets(text: str) -> Iterator[np.ndarray]:
     """Buckets of all n-grams of a text, a bounded piece at a time."""
     points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
@@ -89,7 +96,7 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, texts = np.zeros(BUCKETS, np.int64), 0
         has = np.zeros(BUCKETS, bool)
-        for batch in batches:
+        for batch in _slices(batches):
             for t in batch.column(0).to_pylist():
                 has[:] = False
                 for b in buckets(t):
@@ -120,7 +127,7 @@ def _sampled(df: DataFrame, sample: int, key: str, text: str, lang: str) -> list
     few = df.withColumn("_u", u / share).filter("_u < 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             for t, language, u in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 at, value = features(t)
                 yield pa.RecordBatch.from_pydict({
@@ -195,15 +202,16 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in df.schema.fields if f.name not in ("lang_pred", "score")]
     names = [f.name for f in kept]
+    read = text if text in names else "_text"  # the texts are sent once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shared.value.predict(t) for t in batch.column("_text").to_pylist()]
+        for batch in _slices(batches):
+            found = [shared.value.predict(t) for t in batch.column(read).to_pylist()]
             own = [batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*own, pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], [*names, "lang_pred", "score"])
 
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(*names, *([] if read == text else [F.col(text).alias(read)])).mapInArrow(run, schema)
 
 
 def accepted(df: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
