@@ -60,6 +60,18 @@ def test_blocks_round_trip():
     assert len(token_blocks.encode_block(np.tile(np.arange(100), 1000), 49_408)) < 50_000  # adapts: 200,000 bytes raw
 
 
+def test_texts_with_more_words_than_the_table(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_blocks, "SLOTS", 1 << 8)
+    token_blocks._words.cache_clear()
+    library = Tokenizer.from_file(queries.WORD_BPE)
+    texts = [" ".join(f"w{k}x, É{k}!!" for k in range(700)), None, "", "\n  a.", "q" * 40]
+    got = [np.frombuffer(x, "<u2").tolist() for x in token_blocks.encode_texts(texts, queries.WORD_BPE, 1)]
+    token_blocks._words.cache_clear()
+    assert got == [library.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+
+
 def test_token_blocks(spark, tmp_path):
     from tokenizers import Tokenizer
 

@@ -334,12 +334,15 @@ def encode_column(texts: pa.Array, path: str, end_id: int) -> list[bytes]:
     starts, ends = np.flatnonzero(begin), np.flatnonzero(stop)
     sizes = ends - starts
     short = sizes <= SHORT
-    if known.words > SLOTS // 2 - len(starts) or len(known.long) > CACHE_WORDS:
-        known.clear()
-    if len(starts) > SLOTS // 4:  # one text with more words than the table takes at once
+    if len(starts) > SLOTS // 4:  # more words than the table may meet at once
         if len(texts) > 1:
             half = len(texts) // 2
             return encode_column(texts[:half], path, end_id) + encode_column(texts[half:], path, end_id)
+        cut = int(starts[len(starts) // 2])
+        before, behind = encode_column(pa.array([data[:cut].decode(), data[cut:].decode()], pa.large_string()), path, end_id)
+        return [before[: -known.wide.itemsize] + behind]
+    if known.words > SLOTS // 2 - len(starts) or len(known.long) > CACHE_WORDS:
+        known.clear()
     first, second = _keys(data, starts, np.minimum(sizes, SHORT))
     places = known.find(first, second)
     places[~short] = 0
