@@ -8,6 +8,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import public_tokenizers as P
 from threatloom.llm import bpe, decontam, langid, queries, token_blocks
@@ -39,6 +40,8 @@ def test_bpe_frames(spark, library):
     for r in out:
         assert r.ids == library.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode() and sum(r.slice_ids) == len(r.ids)
     assert bpe.encode(df.limit(0), BYTE).count() == 0
+    checked = bpe.encode(df.withColumn("same", F.lit(1)), BYTE, round_trip="same").collect()
+    assert [(r.doc_id, r.ids) for r in checked] == [(r.doc_id, r.ids) for r in out] and all(r["same"] is True for r in checked)
 
 
 def test_long_merge_equals_library(library):

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches, slices
+
 LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, SPACE, BLANK, END = range(8)
 #: States: START (a new slice must begin), in a run of letters / numbers / others, after one blank,
 #: one / two code points of a contraction still to come.
@@ -248,26 +250,30 @@ def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListA
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offsets: str = "slice_ids") -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offsets: str = "slice_ids", round_trip: str | None = None) -> DataFrame:
     """`df` with `ids` (array<int>) and `offsets` (array<int>: how many ids each pre-token slice has).
 
-    No shuffle. `path` is a rank file; columns of `df` that clash with the two new names are replaced.
+    No shuffle. `path` is a rank file; columns of `df` that clash with the new names are replaced.
+    `round_trip` names a boolean column to add: whether the decoded ids are the text's bytes. It is
+    worked out beside the encoding, so that texts and ids need not pass a second Python worker.
     """
-    kept = [f for f in df.schema.fields if f.name not in (ids, offsets)]
+    new = [ids, offsets, *([round_trip] if round_trip else [])]
+    kept = [f for f in df.schema.fields if f.name not in new]
     numbers = T.ArrayType(T.IntegerType(), False)
-    schema = T.StructType([*kept, T.StructField(ids, numbers), T.StructField(offsets, numbers)])
+    schema = T.StructType([*kept, T.StructField(ids, numbers), T.StructField(offsets, numbers), *([T.StructField(round_trip, T.BooleanType())] if round_trip else [])])
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                texts = [t or "" for t in batch.column(text).to_pylist()]
-                flat, per_text, per_slice, slices = encode_texts(texts, path)
-                own = [batch.column(n) for n in names]
-                yield pa.RecordBatch.from_arrays([*own, _lists(flat, per_text, pa.int32()), _lists(per_slice, slices, pa.int32())], [*names, ids, offsets])
-
-    return df.select(*names).mapInArrow(run, schema)
+        for batch in slices(batches):
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            flat, per_text, per_slice, n_slices = encode_texts(texts, path)
+            added = [_lists(flat, per_text, pa.int32()), _lists(per_slice, n_slices, pa.int32())]
+            if round_trip:
+                parts = np.split(flat, np.cumsum(per_text)[:-1])
+                added.append(pa.array([decode_ids(x, path).tobytes() == t.encode() for x, t in zip(parts, texts)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *added], [*names, *new])
+
+    return bounded_batches(df.select(*names)).mapInArrow(run, schema)
 
 
 @lru_cache(maxsize=2)

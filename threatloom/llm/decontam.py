@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 WINDOW, PART_WORDS, SHARD_WORDS = 10, 2_000_000, 2_000_000
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -181,7 +183,7 @@ def _annotate(df: DataFrame, tests: Tests, text: str, first: bool) -> DataFrame:
                         items[k] += i
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in own), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.int64()))], [*own, *names])
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def _either(a: bytes, b: bytes) -> bytes:

@@ -23,19 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches, slices
+
 BUCKETS, SAMPLE, EPOCHS, CHUNK = 1 << 16, 800, 4, 1 << 20
 ALPHA, BETA, L1, L2, GAIN = 0.5, 1.0, 1e-4, 1e-3, 10.0
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that few texts are held as Python strings or sent at once."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def buckets(text: str) -> Iterator[np.ndarray]:
     """Buckets of all n-grams of a text, a bounded piece at a time."""
     points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
@@ -96,7 +91,7 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, texts = np.zeros(BUCKETS, np.int64), 0
         has = np.zeros(BUCKETS, bool)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             for t in batch.column(0).to_pylist():
                 has[:] = False
                 for b in buckets(t):
@@ -106,7 +101,7 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array([*at.tolist(), -1], pa.int32()), "n": pa.array([*n[at].tolist(), texts], pa.int64())})
 
-    rows = df.select(F.col(text)).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = bounded_batches(df.select(F.col(text))).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(BUCKETS, np.int64)
     texts = 0
     for r in rows:
@@ -127,7 +122,7 @@ def _sampled(df: DataFrame, sample: int, key: str, text: str, lang: str) -> list
     few = df.withColumn("_u", u / share).filter("_u < 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             for t, language, u in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 at, value = features(t)
                 yield pa.RecordBatch.from_pydict({
@@ -135,7 +130,7 @@ def _sampled(df: DataFrame, sample: int, key: str, text: str, lang: str) -> list
                     "at": pa.array([at.astype("<u2").tobytes()], pa.binary()), "value": pa.array([value.astype("<f4").tobytes()], pa.binary()),
                 })
 
-    return few.select(text, lang, "_u").mapInArrow(run, "lang string, calibrate boolean, order double, at binary, value binary").collect()
+    return bounded_batches(few.select(text, lang, "_u")).mapInArrow(run, "lang string, calibrate boolean, order double, at binary, value binary").collect()
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
@@ -205,13 +200,13 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     read = text if text in names else "_text"  # the texts are sent once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             found = [shared.value.predict(t) for t in batch.column(read).to_pylist()]
             own = [batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*own, pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], [*names, "lang_pred", "score"])
 
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.select(*names, *([] if read == text else [F.col(text).alias(read)])).mapInArrow(run, schema)
+    return bounded_batches(df.select(*names, *([] if read == text else [F.col(text).alias(read)]))).mapInArrow(run, schema)
 
 
 def accepted(df: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
