@@ -117,7 +117,6 @@ def test_language_id_cases(spark):
 def _contamination(spark, docs, items):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumnRenamed("doc_id", "n_hit").selectExpr("n_hit as doc_id", "text", "n_hit as items")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    from pyspark.sql import functions as F
 
     out = decontam.contamination(df, bench, part_words=12).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("h"), "contaminated")
     return [tuple(r)[1:] for r in out.orderBy("doc_id").collect()]
