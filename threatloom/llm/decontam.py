@@ -146,7 +146,7 @@ def sort_suffixes(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return at[np.argsort(rank[at], kind="stable")]
 
 
-ADDED = (("n_words", T.LongType()), ("hit_words", T.BinaryType()), ("items", T.ArrayType(T.LongType())))
+ADDED = (("n_words", T.LongType()), ("n_hit", T.LongType()), ("hit_words", T.BinaryType()), ("items", T.ArrayType(T.LongType())))
 
 
 def _annotate(df: DataFrame, tests: Tests, text: str, first: bool) -> DataFrame:
@@ -181,7 +181,8 @@ def _annotate(df: DataFrame, tests: Tests, text: str, first: bool) -> DataFrame:
                     for k, (b, i) in enumerate(zip(part.column("hit_words").to_pylist(), part.column("items").to_pylist())):
                         bits[k] = _either(bits[k], b)
                         items[k] += i
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in own), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.int64()))], [*own, *names])
+                n_hit = [int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) for b in bits]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in own), pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.int64()))], [*own, *names])
 
     return bounded_batches(df).mapInArrow(run, schema)
 
@@ -204,12 +205,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", windo
         size += n
     out = _annotate(out, Tests(part, window), text, first)
 
-    @F.pandas_udf(T.LongType())
-    def ones(column):
-        return column.map(lambda b: int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()))
-
     ids = F.array_sort(F.transform(F.array_distinct("items"), lambda x: x.cast("string")))
-    return out.select(*[c for c in df.columns if c not in ("n_words", "n_hit", "n_items", "items", "contaminated")], "n_words", ones("hit_words").alias("n_hit"), ids.alias("items")).withColumns(
+    return out.select(*[c for c in df.columns if c not in ("n_words", "n_hit", "n_items", "items", "contaminated")], "n_words", "n_hit", ids.alias("items")).withColumns(
         {"n_items": F.size("items").cast("long"), "contaminated": F.col("n_hit") > 0}
     )
 
