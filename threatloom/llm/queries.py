@@ -55,6 +55,21 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+OP5_SQL = r"""
+with d as (select doc_id, row_number() over () r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+n as (select item_id, w, least(10, len(w)) n from b where len(w) > 0),
+i as (select distinct item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k : k + n - 1], ' '))) win from n),
+s as (select r, n, unnest(range(1, len(w) - n + 2)) k, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k : k + n - 1], ' '))) win
+      from d, (select distinct n from n) where len(w) >= n),
+h as (select r, k, s.n, item_id from s join i on s.n = i.n and s.win = i.win),
+p as (select r, count(distinct spot) n_hit from (select r, unnest(range(k, k + n)) spot from h) group by r),
+q as (select r, count(*) n_items, sha256(string_agg(item_id::varchar, ',' order by item_id::varchar)) items_sha256 from (select distinct r, item_id from h) group by r)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, coalesce(items_sha256, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join p using (r) left join q using (r)
+"""
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -77,10 +92,23 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
-    events = rows.select(F.col("conv_id").alias("conv"), F.col("turn").alias("seq"), F.lit("delta").alias("kind"), "turn", "role", "text")
+    events = rows.select(F.col("conv_id").alias("conv"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "turn", "role", "text")
     return chat.read_back(stored(chat.render(events, settled=True), "chat-pieces"))
 
 
+OP10_SQL = r"""
+with c as (select conv_id, turn, coalesce(nullif(role, ''), 'user') as speaker, coalesce(text, '') as said, role, text
+           from (select conv_id, turn, role, text from conversations where conv_id is not null
+                 union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'))
+select conv_id, count(*)::bigint n_turns,
+       sha256(string_agg(speaker || chr(10) || said || chr(10), '' order by turn nulls first, role nulls first, text nulls first)) turns_sha256,
+       coalesce(sum(length(said)) filter (where speaker = 'assistant'), 0)::bigint loss_chars,
+       sha256(coalesce(string_agg(said, '' order by turn nulls first, role nulls first, text nulls first) filter (where speaker = 'assistant'), '')) loss_sha256,
+       sum(length('### ' || regexp_replace(speaker, '[\\#<:]', '__', 'g') || ': ' || regexp_replace(said, '[\\#<]', '__', 'g') || ' </turn>' || chr(10)))::bigint formatted_chars
+from c group by conv_id
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,4 +121,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": OP3_SQL}
+    return {"op3_top_k": OP3_SQL, "op5_decontamination": OP5_SQL, "op10_chat_format": OP10_SQL}
