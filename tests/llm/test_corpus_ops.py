@@ -258,6 +258,17 @@ def test_chat_events(spark):
     assert chat.read_back(chat.render(events.limit(0))).count() == 0
 
 
+def test_chat_messages_repeat(spark):
+    """Rows that share a turn stay turns of their own, however the log is folded."""
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "c"), (1, 1, "assistant", "c"), (1, 2, "user", None)]
+    df = spark.createDataFrame([(c, t, "message", t, r, x) for c, t, r, x in rows], "conv long, seq long, kind string, turn long, role string, text string").repartition(2)
+    for settled in (False, True):
+        pieces = chat.render(df, settled)
+        whole = "".join(r.piece for r in pieces.orderBy("turn_no").collect())
+        assert chat.parse(whole) == [("user", "a"), ("user", "b"), ("assistant", "c"), ("assistant", "c"), ("user", "")]
+        assert chat.read_back(pieces).first().loss_sha256 == hashlib.sha256(b"cc").hexdigest()
+
+
 def test_chat_escapes():
     r = random.Random(6)
     for _ in range(3000):

@@ -5,7 +5,8 @@ A log is a table of events: conv (conversation), seq (order), kind, turn, role,
 - delta: appends `text` to the turn (and opens it, with its role);
 - edit: replaces the turn's text;
 - regenerate: empties the turn; later deltas build it anew;
-- delete: removes the turn.
+- delete: removes the turn;
+- message: a whole turn; one more with the same number is a turn of its own, after the first.
 
 Logs are partitioned by conversation, sorted by sequence inside partitions, and folded as they
 stream by: a task holds the turns of one conversation only while deltas can still change them
@@ -16,7 +17,7 @@ Template, per turn: `### Role: ` + escaped text + ` </turn>` + newline. In texts
 output row a turn: `piece` (formatted), and `loss` spans (offsets in the piece) of assistant texts.
 
 Defined results: null text is empty; null kind is delta; null role is `user`; events of an unknown
-turn other than delta open it; repeated events apply twice; rows with a null conversation are left
+turn other than delta open it; repeated events apply twice (a repeated message is two turns); rows with a null conversation are left
 out; ties in seq are ordered by turn, role and text.
 """
 
@@ -91,13 +92,26 @@ class Fold:
     """The messages of one conversation."""
 
     def __init__(self):
-        self.turns: dict[int, list] = {}
+        self.turns: dict[tuple[int, int], list] = {}
+        self.messages: dict[int, int] = {}
+
+    def has(self, turn: int) -> bool:
+        return (turn, 0) in self.turns
+
+    def clear(self) -> None:
+        self.turns.clear()
+        self.messages.clear()
 
     def apply(self, kind: str | None, turn: int, role: str | None, text: str | None) -> None:
         if kind == "delete":
-            self.turns.pop(turn, None)
+            for key in range(max(1, self.messages.pop(turn, 1))):
+                self.turns.pop((turn, key), None)
             return
-        message = self.turns.setdefault(turn, [role or "user", []])
+        key = 0
+        if kind == "message":
+            key = self.messages.get(turn, int(self.has(turn)))
+            self.messages[turn] = key + 1
+        message = self.turns.setdefault((turn, key), [role or "user", []])
         if kind in ("edit", "regenerate"):
             message[1] = []
             message[0] = role or message[0]
@@ -124,7 +138,7 @@ def render(events: DataFrame, settled: bool = False) -> DataFrame:
                 rows.append((now, number, role, piece, a if learned else None, b if learned else None))
                 number += 1
                 size += len(piece)
-            fold.turns.clear()
+            fold.clear()
 
         def flush():
             nonlocal size
@@ -138,7 +152,7 @@ def render(events: DataFrame, settled: bool = False) -> DataFrame:
                 if conv != now:
                     close()
                     now, number = conv, 0
-                elif settled and fold.turns and turn not in fold.turns:
+                elif settled and fold.turns and (kind == "message" or not fold.has(turn)):
                     close()
                 fold.apply(kind, turn, role, text)
                 if size > 1 << 22:
