@@ -70,6 +70,23 @@ def test_copies_hang_together_through_their_original(spark, original):
     assert {x.doc_id: x.class_id for x in out} == expected
 
 
+def test_pairs_in_a_template_family(spark):
+    """Copies that share their buckets with a large family, of which no hub is similar to them."""
+    r = random.Random(7)
+    say = lambda n: ["w%d" % r.randrange(10**6) for _ in range(n)]
+    template = say(343)
+    docs = [(k, " ".join(template[:150] + say(57) + template[150:])) for k in range(300)]
+    for k in range(300, 340, 2):
+        both = say(22)
+        docs += [(k + i, " ".join(template[:150] + both + say(35) + template[150:])) for i in range(2)]
+    r.shuffle(docs)
+    docs = [(k, t) for k, (_, t) in enumerate(docs)]
+    expected = brute_classes(docs)
+    assert len(set(expected.values())) == 320
+    out = neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.class_id for x in out} == expected
+
+
 def brute_runs(docs, least):
     """Every block of lines with enough words and an earlier, non-overlapping first copy is cut."""
     lines, first, cut = {}, {}, defaultdict(set)

@@ -8,7 +8,8 @@ diagonal band, longest increasing chain c, similarity c / (n + m - c) >= SIMILAR
 
 At similarity s a pair misses one sketch with 1 - s**MINIMA at most, all of them with
 (1 - 0.512)**24 = 3e-8 at 0.8. Members of a bucket are compared with its first, its last
-and its hub document (never all pairs); classes are the connected components of the links.
+and its hub document; then every two members that these links left in different components. Classes
+are the connected components of the links, the same as those of all pairs that share a sketch.
 
 Defined results: exact copies (128-bit hash of the text) form one class without alignment; null
 texts and null doc_ids are classes of their own (class_id = doc_id); empty texts are copies of each
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, slices, stored
 
 WORDS, SIMILARITY, SKETCHES, MINIMA = 5, 0.8, 24, 3
+#: Members of a large bucket meet in blocks of about so many, a pair of blocks at a time.
+BLOCK = 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.random.default_rng(20).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -102,33 +105,38 @@ def _increasing(values: list[int]) -> int:
 
 
 def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, copy (hash of the text), sketches. Null keys and texts are left out."""
+    """doc, copy (hash of the text), size (k-mers), sketches. Null keys and texts are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = []
+            found, size = [], []
             for t in batch.column(2).to_pylist():
                 x = kmers(t)
+                size.append(len(x))
                 found.append(signature(x).view(np.int64) if len(x) else np.zeros(0, np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
             flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc", "copy", "sketches"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc", "copy", "size", "sketches"])
 
     rows = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(key).cast("long").alias("doc"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("copy"), F.col(text))
-    return bounded_batches(rows).mapInArrow(run, "doc long, copy binary, sketches array<long>")
+    return bounded_batches(rows).mapInArrow(run, "doc long, copy binary, size long, sketches array<long>")
 
 
-def candidates(sketches: DataFrame) -> DataFrame:
+def shared_buckets(sketches: DataFrame) -> DataFrame:
+    """(bucket, doc, size, n) of the buckets with n > 1 members."""
+    rows = sketches.select("doc", "size", F.explode("sketches").alias("bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    return stored(rows.join(sizes, "bucket"), "neardup-buckets")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b: every member of a bucket with the bucket's first, last and hub document.
 
     The hub is the member that meets most documents in all its buckets (ties: the smallest). Of a
     text and its edited copies that is the text, whatever the ids: copies may be too far from each
     other, and each edit puts its copy into buckets that nothing else is in.
     """
-    rows = sketches.select("doc", F.explode("sketches").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = stored(rows.join(sizes, "bucket"), "neardup-buckets")
     meets = rows.groupBy("doc").agg(F.sum("n").alias("meets"))
     ranked = rows.join(meets, "doc").select("bucket", "doc", F.struct("meets", (-F.col("doc")).alias("back")).alias("rank"))
     ends = ranked.groupBy("bucket").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), (-F.max("rank")["back"]).alias("hub"))
@@ -137,6 +145,24 @@ def candidates(sketches: DataFrame) -> DataFrame:
     return met.select(F.explode(F.array(pair("first"), pair("last"), pair("hub"))).alias("p")).select("p.*").filter("a < b").distinct()
 
 
+def unlinked(rows: DataFrame, found: DataFrame, done: DataFrame, least: float) -> DataFrame:
+    """The other pairs (a, b), a < b, of a bucket that may matter: members of different components (`found`:
+    node, root), not compared yet (`done`), of sizes that allow the similarity.
+
+    The members of a bucket are dealt to blocks and every two blocks meet, so no task holds a whole large bucket.
+    """
+    rooted = rows.join(found, rows.doc == found.node, "left").select("bucket", "doc", "size", F.coalesce("root", "doc").alias("root"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rooted = stored(rooted.join(mixed.filter("low < high").select("bucket", "blocks"), "bucket"), "neardup-mixed")
+    dealt = rooted.withColumn("block", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("blocks")))
+    side = lambda x, own, other, a, b: dealt.select("bucket", F.col("block").alias(own), F.explode(F.sequence(a, b)).alias(other), *[F.col(c).alias(c + x) for c in ("doc", "size", "root")])
+    one, two = side("1", "i", "j", F.col("block"), F.col("blocks") - 1), side("2", "j", "i", F.lit(0).cast("long"), F.col("block"))
+    near = F.least("size1", "size2") >= F.lit(least / (1 + least)) * (F.col("size1") + F.col("size2")) - 1e-9
+    met = one.join(two.hint("merge"), ["bucket", "i", "j"]).filter((F.col("root1") != F.col("root2")) & ((F.col("i") < F.col("j")) | (F.col("doc1") < F.col("doc2"))) & near)
+    pairs = met.select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b")).distinct()
+    return pairs.join(done.hint("merge"), ["a", "b"], "left_anti")
+
+
 def linked(pairs: DataFrame, df: DataFrame, key: str, text: str, least: float) -> DataFrame:
     """The pairs whose texts align. Texts of documents without candidates are not joined; what has
     candidates grows with the corpus and is never broadcast."""
@@ -180,13 +206,16 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float
     marked = stored(signatures(df, key, text), "neardup-signatures")
     copies = marked.groupBy("copy").agg(F.min("doc").alias("rep"))
     sketches = marked.join(copies, (marked.doc == copies.rep) & (marked.copy == copies.copy), "left_semi")
-    pairs = stored(candidates(sketches), "neardup-pairs")
+    rows = shared_buckets(sketches)
+    pairs = stored(candidates(rows), "neardup-pairs")
     links = linked(pairs, df, key, text, least)
     mapped = stored(marked.join(copies, "copy").select("doc", "rep").distinct(), "neardup-copies")
     chosen = mapped.groupBy("doc").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
     # a doc_id whose rows hold different texts ties their copies together
     twins = mapped.join(chosen.filter("rep < other").select("doc", F.col("rep").alias("a")), "doc").filter("a <> rep").select("a", F.col("rep").alias("b"))
     found = components(links.union(twins))
+    rest = stored(unlinked(rows, found, pairs, least), "neardup-pairs")
+    found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(linked(rest, df, key, text, least)))
     keys = df.select(F.col(key).cast("long").alias(key)).join(chosen, F.col(key) == chosen.doc, "left")
     return keys.join(found, keys.rep == found.node, "left").select(key, F.coalesce("root", "rep", key).alias("class_id"))
 
