@@ -87,6 +87,48 @@ def test_pairs_in_a_template_family(spark):
     assert {x.doc_id: x.class_id for x in out} == expected
 
 
+def brute_similarity(s, t):
+    """Of two texts, with strings as k-mers and the plain table of the longest common subsequence."""
+    x, y = ([tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] for w in (s.lower().split(), t.lower().split()))
+    row = [0] * (len(y) + 1)
+    for a in x:
+        last = row
+        row = [0]
+        for j, b in enumerate(y):
+            row.append(last[j] + 1 if a == b else max(last[j + 1], row[j]))
+    return row[-1] / (len(x) + len(y) - row[-1])
+
+
+def test_similarity_equals_brute_force():
+    r = random.Random(9)
+    seen = set()
+    for k in range(300):
+        pool = ["w%d" % i for i in range(r.choice([1, 2, 3, 40]))]
+        header = [r.choice(pool) for _ in range(8)]
+        s = [w for _ in range(r.randrange(1, 9)) for w in header + ["o%d" % r.randrange(10**6) for _ in range(r.randrange(4))]]
+        t = s.copy()
+        for _ in range(r.randrange(4)):
+            at, n = r.randrange(len(t)), r.randrange(9)
+            t[at : at + n] = r.choice([[], header, ["new"]])
+            t = t or ["x"]
+        s, t = " ".join(s), " ".join(t)
+        exact, own = brute_similarity(s, t), neardup.similarity(neardup.kmers(s), neardup.kmers(t))
+        assert own == (pytest.approx(exact) if exact >= 0.8 - 1e-12 else 0.0), (s, t)
+        seen.add(exact >= 0.8)
+    assert seen == {True, False}
+
+
+def test_recurring_passage_with_an_early_one_left_out(spark):
+    r = random.Random(3)
+    say = lambda n: ["w%d" % r.randrange(10**6) for _ in range(n)]
+    header = say(10)
+    parts = [w for _ in range(100) for w in (header, say(20))]
+    docs = [(k, " ".join(w for i, p in enumerate(parts) if i != 4 * k for w in p)) for k in range(1, 4)] + [(4, " ".join(w for p in parts for w in p))]
+    assert brute_similarity(docs[0][1], docs[3][1]) > 0.98
+    out = neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.class_id for x in out} == {1} and len(out) == 4
+
+
 def brute_runs(docs, least):
     """Every block of lines with enough words and an earlier, non-overlapping first copy is cut."""
     lines, first, cut = {}, {}, defaultdict(set)
