@@ -294,6 +294,18 @@ def test_disclosing_terms(spark):
     assert pii.find(spark.createDataFrame(rows[:0], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("whole", [True, False])
+@pytest.mark.parametrize("copies", [1, 3])
+def test_terms_are_found_with_and_without_copies(spark, copies, whole):
+    """Three lines with a term that stands with its entity only; copies of the documents or of the lines."""
+    lines = [f"mail boss@x.org the zorblax number{'abc'[i]}" for i in range(3)]
+    texts = [line if whole else f"{line}\nanother text {i} {k}" for i, line in enumerate(lines) for k in range(copies)]
+    texts += [f"the common office mail {i}" for i in range(600)]
+    out = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    terms = {r.doc_id: [texts[r.doc_id][s["start"] : s["end"]] for s in r.spans if s["kind"] == 4] for r in out}
+    assert len(out) == len(texts) and all(t == (["zorblax"] if d < 3 * copies else []) for d, t in terms.items())
+
+
 def test_pii_on_tables(spark):
     out = {r.doc_id: r for r in queries.op9_pii(spark, "/root/testdata/sf0.01").collect()}
     for d in table(spark, "/root/testdata/sf0.01", "documents").collect():

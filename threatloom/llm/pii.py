@@ -5,7 +5,7 @@ entity c. Terms t of the lines that hold it are candidates; over all documents,
 
     disclosure(t, c) = PMI(t; c) / IC(c) = log(N n_tc / (n_t n_c)) / log(N / n_c)
 
-where n counts documents (for n_tc: distinct lines, so copies of one line are one observation).
+where N and every n count distinct texts, so copies of a document are one observation of each.
 A term with disclosure >= THRESHOLD, seen with c in SUPPORT distinct lines at least, reveals c; its
 occurrences in lines with c become spans of kind `term`, to be generalised like the base spans.
 
@@ -119,7 +119,7 @@ def _near(text: str, spans: list[tuple[int, int, int]]) -> Iterator[dict]:
 
 
 def document_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n): in how many documents each term stands. Counted per task first, in bounded tables."""
+    """(term, n): in how many distinct texts each term stands. Counted per task first, in bounded tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, int] = {}
@@ -138,13 +138,14 @@ def document_counts(df: DataFrame, text: str = "text") -> DataFrame:
         if counts:
             yield flush()
 
-    return df.filter(F.col(text).isNotNull()).select(F.col(text)).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    once = df.filter(F.col(text).isNotNull()).select(F.md5(F.col(text).cast("binary")).alias("_copy"), F.col(text).alias("_text")).dropDuplicates(["_copy"])
+    return once.select("_text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def disclosures(near: DataFrame, counts: DataFrame, documents: int, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosure) above the threshold. `near`: (doc, entity, term, line)."""
-    entities = near.groupBy("entity").agg(F.countDistinct("doc").alias("n_c"))
-    pairs = near.select("entity", "term", "line").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_tc")).filter(F.col("n_tc") >= support)
+    """(entity, term, disclosure) above the threshold. `near`: (copy, entity, term, line), copy is a text's hash; `documents`: distinct texts."""
+    entities = near.groupBy("entity").agg(F.countDistinct("copy").alias("n_c"))
+    pairs = near.groupBy("entity", "term").agg(F.countDistinct("copy").alias("n_tc"), F.countDistinct("line").alias("lines")).filter(F.col("lines") >= support)
     known = pairs.join(counts, "term").join(entities, "entity")
     n = F.lit(float(max(2, documents)))
     both = F.least("n_tc", "n", "n_c")
@@ -154,11 +155,12 @@ def disclosures(near: DataFrame, counts: DataFrame, documents: int, threshold: f
 
 def find(df: DataFrame, text: str = "text") -> DataFrame:
     """The columns of `df` but text, with base and spans (arrays of start, kind, end; kind indexes KINDS)."""
-    kept = [c for c in df.columns if c not in (text, "base", "spans", "_row")]
+    kept = [c for c in df.columns if c not in (text, "base", "spans", "_row", "_copy")]
     row = F.xxhash64(*[F.col(c).cast("string") for c in kept], F.md5(F.col(text).cast("binary")))
-    found = stored(with_base(df.select(*kept, text, row.alias("_row")), text), "pii-base")
-    documents = found.count()
-    near = found.select(F.col("_row").alias("doc"), F.explode("near").alias("x")).select("doc", "x.*")
+    copy = F.unhex(F.md5(F.col(text).cast("binary")))
+    found = stored(with_base(df.select(*kept, text, row.alias("_row"), copy.alias("_copy")), text), "pii-base")
+    documents = found.filter("_copy is not null").select("_copy").distinct().count()
+    near = found.select(F.col("_row").alias("doc"), F.col("_copy").alias("copy"), F.explode("near").alias("x")).select("doc", "copy", "x.*")
     counts = document_counts(df, text)
     reveal = stored(disclosures(near, counts, documents), "pii-terms")
     hits = near.join(reveal, ["entity", "term"]).select("doc", F.struct("start", F.lit(4).alias("kind"), "end").alias("s"))
