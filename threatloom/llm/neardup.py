@@ -33,6 +33,8 @@ from .common import bounded_batches, slices, stored
 WORDS, SIMILARITY, SKETCHES, MINIMA = 5, 0.8, 24, 3
 #: Members of a large bucket meet in blocks of about so many, a pair of blocks at a time.
 BLOCK = 256
+#: Buckets of more members, and k-mers of more documents among theirs, are large and frequent.
+FEW, RARE = 8, 16
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.random.default_rng(20).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -189,24 +191,54 @@ def candidates(rows: DataFrame) -> DataFrame:
     return met.select(F.explode(F.array(pair("first"), pair("last"), pair("hub"))).alias("p")).select("p.*").filter("a < b").distinct()
 
 
-def unlinked(rows: DataFrame, found: DataFrame, done: DataFrame, least: float) -> DataFrame:
-    """The other pairs (a, b), a < b, of a bucket that may matter: members of different components (`found`:
-    node, root), not compared yet (`done`), of sizes that allow the similarity.
+def unlinked(rows: DataFrame, found: DataFrame, done: DataFrame, df: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """The other pairs (a, b), a < b, of a bucket that may be similar: members of different components (`found`:
+    node, root), not compared yet (`done`), without those that bounds rule out.
 
-    The members of a bucket are dealt to blocks and every two blocks meet, so no task holds a whole large bucket.
+    Similar documents of n and m k-mers share least / (1 + least) * (n + m) of their labelled k-mers. In buckets of up
+    to FEW members only the sizes decide. In larger ones k-mers are rare, in RARE documents at most, or frequent: what
+    two documents share is the rare ones that both hold, met by an equi-join, and not more than the frequent ones of
+    either. Pairs that may reach it with frequent ones alone meet in pairs of blocks of their bucket.
     """
     rooted = rows.join(found, rows.doc == found.node, "left").select("bucket", "doc", "size", F.coalesce("root", "doc").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    rooted = stored(rooted.join(mixed.filter("low < high").select("bucket", "blocks"), "bucket"), "neardup-mixed")
-    dealt = rooted.withColumn("block", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("blocks")))
-    side = lambda x, own, other, a, b: dealt.select("bucket", F.col("block").alias(own), F.explode(F.sequence(a, b)).alias(other), *[F.col(c).alias(c + x) for c in ("doc", "size", "root")])
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
+    rooted = stored(rooted.join(mixed.filter("low < high").select("bucket", "members"), "bucket"), "neardup-mixed")
+    large = rooted.filter(F.col("members") > FEW)
+    docs = large.select("doc", "size", "root").distinct()
+    each = stored(_exploded(df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")).filter("t is not null").join(docs.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"])), "neardup-kmers")
+    held = stored(each.join(each.groupBy("kmer").agg(F.count("*").alias("held")).filter("held > 1").hint("merge"), "kmer"), "neardup-held")
+    often = stored(docs.join(held.filter(F.col("held") > RARE).groupBy("doc").agg(F.count("*").alias("often")), "doc", "left").select("doc", "size", "root", F.coalesce("often", F.lit(0)).alias("often")), "neardup-often")
+
+    needed = F.lit(least / (1 + least)) * (F.col("size1") + F.col("size2")) - 1e-9
+    named = lambda d, x: d.select(*[F.col(c).alias(c + x) if c in ("doc", "size", "root", "often") else F.col(c) for c in d.columns])
+    rare = held.filter(F.col("held") <= RARE).select("kmer", "doc")
+    both = named(rare, "1").join(named(rare, "2").hint("merge"), "kmer").filter("doc1 < doc2").groupBy("doc1", "doc2").agg(F.count("*").alias("both"))
+    both = both.join(named(often, "1").hint("merge"), "doc1").join(named(often, "2").hint("merge"), "doc2").filter((F.col("root1") != F.col("root2")) & (F.least("often1", "often2") + F.col("both") >= needed))
+
+    few = rooted.filter(F.col("members") <= FEW).withColumn("often", F.col("size"))
+    alone = large.select("bucket", "doc", "members").join(often.filter(F.col("often") >= least * F.col("size") - 1e-9).hint("merge"), "doc")
+    dealt = few.select("bucket", "doc", "size", "root", "often", "members").unionByName(alone.select("bucket", "doc", "size", "root", "often", "members"))
+    dealt = dealt.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("blocks"))).drop("members")
+    side = lambda x, own, other, a, b: named(dealt.withColumn(other, F.explode(F.sequence(a, b))).withColumnRenamed("block", own).drop("blocks"), x)
     one, two = side("1", "i", "j", F.col("block"), F.col("blocks") - 1), side("2", "j", "i", F.lit(0).cast("long"), F.col("block"))
-    near = F.least("size1", "size2") >= F.lit(least / (1 + least)) * (F.col("size1") + F.col("size2")) - 1e-9
+    near = F.least("often1", "often2") >= needed
     met = one.join(two.hint("merge"), ["bucket", "i", "j"]).filter((F.col("root1") != F.col("root2")) & ((F.col("i") < F.col("j")) | (F.col("doc1") < F.col("doc2"))) & near)
-    pairs = met.select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b")).distinct()
+    pairs = met.select("doc1", "doc2").unionByName(both.select("doc1", "doc2")).select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b")).distinct()
     return pairs.join(done.hint("merge"), ["a", "b"], "left_anti")
 
 
+def _exploded(docs: DataFrame) -> DataFrame:
+    """(doc, kmer): the labelled k-mers of every (doc, t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 32):
+            found = [labelled(kmers(t)).view(np.int64) for t in batch.column(1).to_pylist()]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found))], ["doc", "kmer"])
+
+    return bounded_batches(docs.select("doc", "t")).mapInArrow(run, "doc long, kmer long")
+
+
 def linked(pairs: DataFrame, df: DataFrame, key: str, text: str, least: float) -> DataFrame:
     """The pairs whose texts align. Texts of documents without candidates are not joined; what has
     candidates grows with the corpus and is never broadcast."""
@@ -258,7 +290,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float
     # a doc_id whose rows hold different texts ties their copies together
     twins = mapped.join(chosen.filter("rep < other").select("doc", F.col("rep").alias("a")), "doc").filter("a <> rep").select("a", F.col("rep").alias("b"))
     found = components(links.union(twins))
-    rest = stored(unlinked(rows, found, pairs, least), "neardup-pairs")
+    rest = stored(unlinked(rows, found, pairs, df, key, text, least), "neardup-pairs")
     found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(linked(rest, df, key, text, least)))
     keys = df.select(F.col(key).cast("long").alias(key)).join(chosen, F.col(key) == chosen.doc, "left")
     return keys.join(found, keys.rep == found.node, "left").select(key, F.coalesce("root", "rep", key).alias("class_id"))
