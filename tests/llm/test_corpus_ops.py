@@ -130,35 +130,36 @@ def test_recurring_passage_with_an_early_one_left_out(spark):
 
 
 def brute_runs(docs, least):
-    """Every block of lines with enough words and an earlier, non-overlapping first copy is cut."""
-    lines, first, cut = {}, {}, defaultdict(set)
-    for d, t in docs:
-        lines[d] = [(i, x.strip()) for i, x in enumerate((t or "").split("\n")) if x.strip()]
-    blocks = []
-    for d, _ in sorted(docs, key=lambda x: x[0]):
-        own = lines[d]
-        for a in range(len(own)):
-            words = 0
-            for b in range(a, len(own)):
-                words += len(own[b][1].split())
-                minimal = words >= least and (words - len(own[a][1].split()) < least or words - len(own[b][1].split()) < least)
-                if minimal:
-                    key = tuple(x for _, x in own[a : b + 1])
-                    first.setdefault(key, (d, a))
-                    blocks.append((key, d, a, b))
-                if words - len(own[a][1].split()) >= least:
-                    break
-    for key, d, a, b in blocks:
-        fd, fa = first[key]
-        if d != fd or a >= fa + len(key):
-            cut[d].update(range(lines[d][a][0], lines[d][b][0] + 1))
-    return {d: t if t is None or not cut[d] else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in cut[d]) for d, t in docs}
-
-
-@pytest.mark.parametrize("least", [4, 50])
+    """From each line, the longest run that stands earlier without overlap is cut if it has enough words."""
+    seen, places, out = [], defaultdict(list), {}
+    for d, t in sorted(docs, key=lambda x: x[0]):
+        own = [x.strip() for x in (t or "").split("\n") if x.strip()]
+        gone = set()
+        for a, x in enumerate(own):
+            longest = 0
+            for k, b in places[x]:
+                other, n = seen[k] if k < len(seen) else own, 0
+                while a + n < len(own) and b + n < len(other) and own[a + n] == other[b + n] and (k < len(seen) or b + n < a):
+                    n += 1
+                longest = max(longest, n)
+            if sum(len(y.split()) for y in own[a : a + longest]) >= least:
+                gone.update(range(a, a + longest))
+            places[x].append((len(seen), a))
+        seen.append(own)
+        kept, n = [], 0  # blank lines between two lines that go, go
+        for x in (t or "").split("\n"):
+            if x.strip():
+                n += 1
+            if not (n - 1 in gone if x.strip() else n - 1 in gone and n in gone):
+                kept.append(x)
+        out[d] = "\n".join(kept) if gone else t
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 4, 20, 50])
 def test_line_runs_equal_brute_force(spark, least):
     r = random.Random(least)
-    pool = [" ".join(r.choice("abc") + str(k) for _ in range(r.randrange(1, 4 if least == 4 else 30))) for k in range(12)]
+    pool = [" ".join(r.choice("abc") + str(k) for _ in range(r.randrange(1, 4 if least < 5 else 30))) for k in range(12)]
     docs = []
     for d in range(60):
         text = [r.choice(pool) for _ in range(r.randrange(0, 12))]
@@ -166,10 +167,10 @@ def test_line_runs_equal_brute_force(spark, least):
             text += ["", *pool[2:8]]
         docs.append((d, "\n".join(text)))
     docs += [(100, None), (101, ""), (102, "\n \n"), (103, "\n".join([pool[0]] * 40)), (104, docs[3][1])]
-    df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, id string")
+    df = spark.createDataFrame([(d, t, "x", 3, 4) for d, t in docs], "doc_id long, text string, runs string, _th int, n_removed int")
     out = linededup.dedup_lines(df, min_words=least).collect()
     assert {x.doc_id: x.text for x in out} == brute_runs(docs, least) and len(out) == len(docs)
-    assert out[0].asDict().keys() == {"doc_id", "text", "id", "n_removed"}
+    assert out[0].asDict().keys() == {"doc_id", "text", "runs", "_th", "n_removed"} and all(x.runs == "x" and x["_th"] == 3 for x in out)
 
 
 def test_line_runs_repeated_rows_and_empty(spark):
@@ -183,7 +184,7 @@ def test_line_runs_repeated_rows_and_empty(spark):
 def test_line_runs_on_tables(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
     out = {r.doc_id: r.text for r in queries.op7_line_dedup(spark, "/root/testdata/sf0.01").collect()}
-    assert out == brute_runs(docs, 50)
+    assert out == brute_runs(docs, linededup.MIN_WORDS)
 
 
 def test_top_k_cases(spark):
@@ -371,7 +372,7 @@ def test_pipeline(spark):
     rows = {r.doc_id: r for r in docs.collect()}
     model = langid.train(docs.filter(~langid.held_out()))
     texts = {d: r.text for d, r in rows.items() if model.predict(r.text)[0] != "und"}
-    cut = brute_runs(list(texts.items()), 50)
+    cut = brute_runs(list(texts.items()), linededup.MIN_WORDS)
     texts = {d: t for d, t in cut.items() if t == texts[d] or t.strip()}
     found = brute_classes(list(texts.items()))
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]

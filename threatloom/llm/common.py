@@ -34,6 +34,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until `df` has no such column (in any case of letters)."""
+    name, taken = f"_{name}", {c.lower() for c in df.columns}
+    while any(c.startswith(name) for c in taken):
+        name = f"_{name}"
+    return name
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """`df`, after lowering the session's Arrow batches to BATCH_BYTES: a batch of whole texts is held
     by the JVM and the Python worker at once, for every task of an executor."""

@@ -1,32 +1,44 @@
-"""Removal of repeated line runs by suffix-array naming over line ids. DataFrame functions only.
+"""Removal of repeated line runs by a suffix array over line ids. DataFrame functions only.
 
-The corpus is one sequence of line ids (128-bit, blank lines left out). Lines that occur once end
-every repeat, so only islands of repeated lines go on. Prefix doubling names the blocks of 1, 2,
-4, ... lines from each suffix: the name of 2n lines is made of the names of its halves, so two
-suffixes share a name exactly if they share that prefix; names sorted level by level are the suffix
-array's order, and a longest-common-prefix interval of at least MIN_WORDS words is the group of
-suffixes whose shortest such prefix has one name (two overlapping power-of-two names).
+The corpus is one sequence of line ids (128-bit, blank lines left out), ordered by doc_id, text hash
+and line. Lines that occur once end every repeat, so only islands of repeated lines go on; each of
+their lines has a place in the corpus, and a rank.
 
-A maximal repeated run of at least MIN_WORDS words is the union of its minimal blocks: from each
-line the shortest block forward, and to each line the shortest block backward. Of each interval the
-first occurrence (by doc_id, then line) stays and the blocks of all later, non-overlapping ones go.
+Prefix doubling: round k holds, for every suffix whose first 2**k lines occur twice at least, the
+rank of those lines among all such prefixes. The rank of twice as many lines is the place of the
+pair (own rank, rank 2**k lines on) in a range-partitioned sort of the distinct pairs. Rounds go on
+until no prefix repeats, however long the longest run is; the ranks of all rounds, compared in
+turn, order the suffix array.
+
+Suffixes with one rank of d lines are an interval of the suffix array whose longest common prefix is
+d lines at least. Intervals of the doubled lengths come with every round; between two of them, the
+only lengths looked at are those where a block comes to MIN_WORDS words (counted from either of its
+ends, two a line on average), named by the ranks of their first and last 2**k lines. The first
+occurrence of an interval stays; all others that don't overlap it are later copies, and what they
+cover together are the maximal repeated runs of MIN_WORDS words at least, which are cut.
+
+Ranks are met by a join on distinct prefixes. A prefix with more than 1/SHARE of the rows is hot: of
+those there are at most SHARE, which are broadcast, and their rows are dealt to SALTS tasks each.
 
 Defined results: null text stays null; texts without repeats stay byte for byte; blank lines go
-only inside a removed run; rows that repeat a document (same doc_id and text) are treated alike, as
-one document; columns pass through, `text` is replaced; removing every line leaves the empty text.
+only between two lines that go; rows that repeat a document (same doc_id and text) are treated alike, as
+one document; of texts under one doc_id the order is that of their hashes; columns pass through,
+`text` is replaced and so is a column n_removed; removing every line leaves the empty text.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import fresh, stored
 
-MIN_WORDS, BLANKS = 50, " \t\r\f\v\u00a0"
+#: A repeated run of fewer words stays: a licence or heading line is no copied passage.
+MIN_WORDS, BLANKS = 20, " \t\r\f\v\u00a0"
+SHARE, SALTS = 1000, 64
 
 
 def line_ids(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,52 +49,72 @@ def line_ids(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("doc", "th", "seq", F.col("s.line").alias("line"), F.unhex(F.md5(F.col("s.x").cast("binary"))).alias("id"), F.size(F.split("s.x", r"\s+")).cast("long").alias("words"))
 
 
-def _name(*parts: Column) -> Column:
-    return F.unhex(F.md5(F.concat(*parts)))
-
-
-def repeated_blocks(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Minimal blocks of repeated lines: doc, th, seq, n_lines, line, last_line, name."""
-    often = lines.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
-    lines = lines.join(often, "id", "left_semi")
+def ranked(rows: DataFrame, by: list[str], place: str | None, total: int) -> DataFrame:
+    """`rows` whose `by` occurs twice at least, with its rank in sort order (`rank`) and, of a `place`, the first."""
+    first = [F.min(place).alias("first")] if place else []
+    groups = rows.groupBy(*by).agg(F.count("*").alias("n"), *first).filter("n > 1")
+    hot = F.col("n") > max(2.0, total / SHARE)
+    salts = F.broadcast(groups.filter(hot).select(*by, F.lit(SALTS).alias("salts")))  # SHARE rows at most
+    order = groups.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id())
+    order = order.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("n")
+    spread = F.xxhash64(*[c for c in rows.columns if c not in by])
+    dealt = rows.join(salts, by, "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(spread, F.lit(SALTS))).cast("int")).drop("salts")
+    return dealt.join(order.hint("merge"), [*by, "salt"]).drop("salt")
+
+
+def islands(lines: DataFrame, min_words: int) -> DataFrame:
+    """The repeated lines: pos (place in the corpus, consecutive inside an island), isl (pos of the island's first line), r
+    (rank of the line), w (words), m (lines from here that come to min_words; null if too few follow) and hi (lines from here of which
+    all but the first don't, m at least), doc, th, line."""
+    rows = ranked(lines, ["id"], None, lines.count()).select("doc", "th", "seq", "line", "words", F.col("rank").alias("r"))
+    rows = rows.repartitionByRange("doc", "th")  # documents in order; the windows need no other shuffle
     doc = Window.partitionBy("doc", "th").orderBy("seq")
-    lines = lines.withColumn("before", F.lag("seq").over(doc)).filter(F.col("before").isNull() | (F.col("before") < F.col("seq"))).drop("before")
-    lines = lines.withColumn("island", F.col("seq") - F.row_number().over(doc))
-    w = Window.partitionBy("doc", "th", "island").orderBy("seq")
-    lines = lines.withColumn("cum", F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n0", F.col("id"))
-    top = max(0, min_words.bit_length() - 1)  # a block has min_words lines at most
-    for j in range(top):
-        lines = lines.withColumn(f"n{j + 1}", _name(F.col(f"n{j}"), F.lead(f"n{j}", 1 << j).over(w)))
-    longest = range(1, min_words + 1)
-    level = lambda n: n.bit_length() - 1
-    ahead = {n: F.lead("cum", n - 1).over(w) - F.col("cum") + F.col("words") for n in longest}
-    back = {n: F.col("cum") - F.coalesce(F.lag("cum", n).over(w), F.lit(0)) for n in longest}
-    count = lambda sums: reduce(lambda a, b: a + b, [F.when(s < min_words, 1).otherwise(0) for s in sums], F.lit(1))
-    lines = lines.withColumns({"m": count([ahead[n] for n in longest[:-1]]), "enough": F.lead("cum", 0).over(w) >= min_words, "mb": count([back[n] for n in longest[:-1]])})
-    # the forward block exists if the block of m lines is inside the island and has enough words
-    pick = lambda column, table: F.coalesce(*[F.when(F.col(column) == n, value) for n, value in table.items()])
-    lines = lines.withColumns({
-        "f_words": pick("m", ahead), "f_last": pick("m", {n: F.lead("line", n - 1).over(w) for n in longest}),
-        "f_name": pick("m", {n: F.concat(F.col(f"n{level(n)}"), F.lead(f"n{level(n)}", n - (1 << level(n))).over(w)) for n in longest}),
-        "b_line": pick("mb", {n: F.lag("line", n - 1).over(w) for n in longest}),
-        "b_name": pick("mb", {n: F.concat(F.lag(f"n{level(n)}", n - 1).over(w), F.lag(f"n{level(n)}", (1 << level(n)) - 1).over(w)) for n in longest}),
-    })
-    forward = F.when(F.col("f_words") >= min_words, F.struct("seq", F.col("m").alias("n_lines"), "line", F.col("f_last").alias("last_line"), F.col("f_name").alias("name")))
-    backward = F.when(F.col("enough"), F.struct((F.col("seq") - F.col("mb") + 1).alias("seq"), F.col("mb").alias("n_lines"), F.col("b_line").alias("line"), F.col("line").alias("last_line"), F.col("b_name").alias("name")))
-    return lines.select("doc", "th", F.explode(F.array_compact(F.array(forward, backward))).alias("b")).select("doc", "th", "b.*").withColumn("name", _name(F.col("name"), F.col("n_lines").cast("string").cast("binary")))
-
-
-def later_copies(blocks: DataFrame) -> DataFrame:
-    """Runs to delete: doc, th, runs (array of line, last_line), merged."""
-    place = F.struct("doc", "th", "seq")
-    firsts = blocks.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("final")).filter(F.col("first") < F.col("final")).select("name", "first")
-    copies = blocks.join(firsts, "name").filter((place > F.col("first")) & ~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("th") == F.col("first.th")) & (F.col("seq") < F.col("first.seq") + F.col("n_lines"))))
-    spans = copies.select("doc", "th", "line", "last_line").distinct()
-    w = Window.partitionBy("doc", "th").orderBy("line", "last_line")
-    reach = F.max("last_line").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("new", F.when(F.col("line") <= reach + 1, 0).otherwise(1))
-    runs = marked.withColumn("run", F.sum("new").over(w)).groupBy("doc", "th", "run").agg(F.min("line").alias("line"), F.max("last_line").alias("last_line"))
-    return runs.groupBy("doc", "th").agg(F.collect_list(F.struct("line", "last_line")).alias("runs"))
+    rows = rows.withColumn("before", F.lag("seq").over(doc)).filter(F.col("before").isNull() | (F.col("before") < F.col("seq")))
+    rows = rows.withColumn("pos", F.monotonically_increasing_id())
+    head = F.col("before").isNull() | (F.col("before") < F.col("seq") - 1)
+    rows = rows.withColumn("isl", F.max(F.when(head, F.col("pos"))).over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+    w = Window.partitionBy("doc", "th", "isl").orderBy("pos")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"cum": F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("words").over(whole), "end": F.max("pos").over(whole)})
+    before = F.col("cum") - F.col("words")
+    short = [F.when(F.lead("cum", n).over(w) - before < min_words, 1).otherwise(0) for n in range(min_words - 1)]
+    rows = rows.withColumn("m", F.when(F.col("all") - before >= min_words, reduce(lambda a, b: a + b, short, F.lit(1))))
+    rows = rows.withColumn("hi", F.greatest("m", F.coalesce(F.lead("m").over(w), F.col("end") - F.col("pos") + 1)))
+    return rows.select("pos", "isl", "r", F.col("words").alias("w"), "m", "hi", "doc", "th", "line")
+
+
+def doubled(suffixes: DataFrame, k: int, min_words: int, total: int) -> DataFrame:
+    """Round k: pos, isl, d (lines), r (rank of the d lines from pos), first (the first place of those lines), w, m, hi,
+    of all intervals of 2**(k + 1) lines and of those between that come to min_words."""
+    size = 1 << k
+    w = Window.partitionBy("isl").orderBy("pos")
+    on = lambda c, n: F.max(c).over(w.rangeBetween(n, n))
+    test = lambda d, q, words: F.struct(F.lit(d).alias("d"), q.alias("q"), words.cast("long").alias("w"))
+    between = range(1, min(size, min_words + 1 - size))
+    rows = suffixes.withColumns({"q": on("r", size), "wq": on("w", size), **{f"q{n}": on("r", n) for n in between}})
+    tests = [F.when(F.col("q").isNotNull(), test(2 * size, F.col("q"), F.col("w") + F.col("wq")))]
+    tests += [F.when(F.col(f"q{n}").isNotNull() & F.lit(size + n).between(F.col("m"), F.col("hi")), test(size + n, F.col(f"q{n}"), F.lit(min_words))) for n in between]
+    if k == 0:
+        tests.append(F.when(F.col("m") == 1, test(1, F.col("r"), F.col("w"))))
+    each = rows.select("pos", "isl", "r", "m", "hi", F.explode(F.array_compact(F.array(*tests))).alias("t")).select("pos", "isl", "m", "hi", "r", "t.*")
+    return ranked(each, ["d", "r", "q"], "pos", total).select("pos", "isl", "d", F.col("rank").alias("r"), "first", "w", "m", "hi")
+
+
+def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The maximal runs to delete: doc, th, runs (sorted array of line, last_line)."""
+    base = stored(islands(lines, min_words), "line-islands")
+    total, suffixes, rounds = base.count(), base, []
+    while not rounds or not suffixes.isEmpty():
+        rounds.append(stored(doubled(suffixes, len(rounds), min_words, total), "line-ranks"))
+        suffixes = rounds[-1].filter(F.col("d") == 1 << len(rounds))
+    copies = [x.filter((F.col("pos") >= F.col("first") + F.col("d")) & (F.col("w") >= min_words)).select("isl", "pos", "d") for x in rounds]
+    copies = reduce(DataFrame.union, copies)
+    both = base.select("isl", "pos", F.lit(0).alias("d"), "doc", "th", "line").unionByName(copies, allowMissingColumns=True)
+    w = Window.partitionBy("isl").orderBy("pos")
+    reach = F.max(F.col("pos") + F.col("d")).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    covered = both.withColumn("reach", reach).filter("line is not null and reach > pos")
+    runs = covered.withColumn("run", F.col("pos") - F.row_number().over(w)).groupBy("doc", "th", "isl", "run").agg(F.min("line").alias("line"), F.max("line").alias("last_line"))
+    return runs.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("line", "last_line"))).alias("runs"))
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -90,12 +122,18 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
 
     The last join sorts both sides at any size: the runs grow with the corpus and are never broadcast.
     """
-    lines = stored(line_ids(df, key, text), "line-ids")  # read twice
-    runs = stored(later_copies(stored(repeated_blocks(lines, min_words), "line-blocks")), "line-runs")
-    docs = df.withColumn("_th", F.unhex(F.md5(F.col(text).cast("binary"))))
-    cut = docs.join(runs.hint("merge"), docs[key].eqNullSafe(runs.doc) & (docs["_th"] == runs.th), "left")
-    lines = F.split(F.col(text), "\n")
-    left = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (i >= r["line"]) & (i <= r["last_line"])))
-    removed = F.coalesce(F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["last_line"] - r["line"] + 1), F.lit(0).cast("long"))
-    new = F.when(F.col("runs").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
-    return cut.select(*[new.alias(c) if c == text else docs[c] for c in df.columns if c != "n_removed"], removed.alias("n_removed"))
+    runs = stored(later_copies(stored(line_ids(df, key, text), "line-ids"), min_words), "line-runs")
+    th, cuts, doc, lines, n = (fresh(df, x) for x in ("th", "runs", "doc", "lines", "removed"))
+    runs = runs.select(F.col("doc").alias(doc), F.col("th").alias(f"{th}_"), F.col("runs").alias(cuts))
+    docs = df.withColumn(th, F.unhex(F.md5(F.col(text).cast("binary"))))
+    cut = docs.join(runs.hint("merge"), F.col(key).eqNullSafe(F.col(doc)) & (F.col(th) == F.col(f"{th}_")), "left")
+    cut = cut.withColumn(lines, F.when(F.col(cuts).isNotNull(), F.split(F.col(text), "\n")))
+    # what stays stands between two runs: from behind one to before the next
+    gaps = F.zip_with(
+        F.concat(F.array(F.lit(0)), F.transform(cuts, lambda r: r["last_line"] + 1)), F.concat(F.transform(cuts, lambda r: r["line"]), F.array(F.size(lines))),
+        lambda a, b: F.slice(lines, a + 1, b - a),
+    )
+    new = F.when(F.col(cuts).isNull(), F.col(text)).otherwise(F.array_join(F.flatten(gaps), "\n"))
+    removed = F.coalesce(F.aggregate(cuts, F.lit(0).cast("long"), lambda a, r: a + r["last_line"] - r["line"] + 1), F.lit(0).cast("long"))
+    cut = cut.withColumn(n, removed)
+    return cut.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns if c != "n_removed"], F.col(n).alias("n_removed"))
