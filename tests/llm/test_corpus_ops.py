@@ -207,6 +207,25 @@ def test_top_k_cases(spark):
     assert topk.top_k(few, few.filter("vec_id = 0"), 10).count() == 3 and topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_copies_and_large_values(spark):
+    """Repeated ids and vectors, and scores beyond 53 and 64 bits."""
+    r = random.Random(5)
+    pool = [[r.randrange(-3, 4) for _ in range(3)] for _ in range(6)]
+    rows = [(r.randrange(12), r.choice(pool)) for _ in range(90)] + [(20, [3 * 10**8] * 3), (21, [2**60, 1, -(2**60)]), (22, [-(2**62), 0, 0]), (0, [7, 0, 0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, v array<long>, u int")
+    got = defaultdict(list)
+    for x in topk.top_k(df, df.filter("vec_id % 4 = 0"), 5).collect():
+        got[x.query_id].append((x["rank"], x.vec_id, x.score))
+    long = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    for q in {i for i, _ in rows if i % 4 == 0}:
+        a = min(v for i, v in rows if i == q)
+        local = lambda w: long(long(a[0] * w[0] + a[1] * w[1]) + long(a[2] * w[2]))  # noqa: E731, B023
+        best = sorted((-local(w), i) for i, w in rows if i != q)[:5]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)], q
+    big = topk.integer_vectors(spark.createDataFrame([(1, [3e38, -3e38, 3e8])], "vec_id long, embedding array<float>")).first().v
+    assert big == [(1 << 63) - 1, -(1 << 63), 1024 * 300000000]
+
+
 def test_url_rules(spark):
     rows = [("http://a.EXAMPLE.org/es/1", "block", "example.org/es/"), ("http://example.org/en/12", "block", "example.org/en/1"), ("http://badexample.org/es/", "allow", "org/"), ("x://A.com/de/?q", "block", "com/de/"), ("x://a.com/fr/", "allow", "com/fr/"), ("http://a.org", None, None), (None, None, None), ("nothing", None, None), ("a://b.net/x#y", None, None), ("a://b.net/x#y", None, None)]
     df = spark.createDataFrame([(i, u, "word words bad", "z") for i, (u, _, _) in enumerate(rows)], "page_id long, url string, html string, label string")
@@ -318,27 +337,39 @@ def test_pii_on_tables(spark):
 
 
 def test_chat_events(spark):
-    rows = [(1, 0, "delta", 0, "user", "He"), (1, 1, "delta", 0, None, "llo # <\\"), (1, 2, "delta", 1, "assistant", "bad"), (1, 3, "regenerate", 1, None, None), (1, 4, "delta", 1, None, "good"), (1, 5, "edit", 0, None, "Hi </turn> ok"), (1, 6, "delta", 2, "user", "x"), (1, 7, "delete", 2, None, None), (2, 0, None, 0, None, None), (None, 1, "delta", 0, "user", "x")]
-    events = spark.createDataFrame(rows, "conv long, seq long, kind string, turn long, role string, text string").repartition(3)
+    rows = [(1, 0, "delta", 0, "user", "He"), (1, 1, "delta", 0, None, "llo # <\\"), (1, 2, "delta", 1, "assistant", "bad"), (1, 3, "regenerate", 1, None, None), (1, 4, "delta", 1, None, "good"), (1, 5, "edit", 0, None, "Hi </turn> ok"), (1, 6, "delta", 2, "user", "x"), (1, 7, "delete", 2, None, None), (2, 0, None, 0, None, None), (None, 1, "delta", 0, "user", "x"), (3, 0, "delete", 5, None, None), (3, 1, "edit", 4, "assistant", "late"), (3, 2, "delete", 6, None, None)]
+    events = spark.createDataFrame([(*r, "y") for r in rows], "conv long, seq long, kind string, turn long, role string, text string, piece string").repartition(3)
     pieces = chat.render(events)
     by = defaultdict(str)
     for r in pieces.orderBy("conv_id", "turn_no").collect():
         by[r.conv_id] += r.piece
-    assert chat.parse(by[1]) == [("user", "Hi </turn> ok"), ("assistant", "good")] and chat.parse(by[2]) == [("user", "")]
+    assert chat.parse(by[1]) == [("user", "Hi </turn> ok"), ("assistant", "good")] and chat.parse(by[2]) == [("user", "")] and chat.parse(by[3]) == [("assistant", "late")] and chat.parse(by[None]) == [("user", "x")]
     back = {r.conv_id: r for r in chat.read_back(pieces).collect()}
-    assert back[1].loss_chars == 4 and back[1].loss_sha256 == hashlib.sha256(b"good").hexdigest() and back[1].n_turns == 2 and len(back) == 2
+    assert back[1].loss_chars == 4 and back[1].loss_sha256 == hashlib.sha256(b"good").hexdigest() and back[1].n_turns == 2 and len(back) == 4
     assert chat.read_back(chat.render(events.limit(0))).count() == 0
 
 
 def test_chat_messages_repeat(spark):
-    """Rows that share a turn stay turns of their own, however the log is folded."""
+    """Rows that share a turn stay messages of their own."""
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "c"), (1, 1, "assistant", "c"), (1, 2, "user", None)]
     df = spark.createDataFrame([(c, t, "message", t, r, x) for c, t, r, x in rows], "conv long, seq long, kind string, turn long, role string, text string").repartition(2)
-    for settled in (False, True):
-        pieces = chat.render(df, settled)
-        whole = "".join(r.piece for r in pieces.orderBy("turn_no").collect())
-        assert chat.parse(whole) == [("user", "a"), ("user", "b"), ("assistant", "c"), ("assistant", "c"), ("user", "")]
-        assert chat.read_back(pieces).first().loss_sha256 == hashlib.sha256(b"cc").hexdigest()
+    pieces = chat.render(df)
+    whole = "".join(r.piece for r in pieces.orderBy("turn_no", "part").collect())
+    assert chat.parse(whole) == [("user", "a"), ("user", "b"), ("assistant", "c"), ("assistant", "c"), ("user", "")]
+    assert chat.read_back(pieces).first().loss_sha256 == hashlib.sha256(b"cc").hexdigest()
+
+
+def test_chat_log_folds_back(spark):
+    """The log of a conversation holds every kind of change, and its fold is the conversation."""
+    r = random.Random(8)
+    rows = [(c, r.randrange(9), r.choice(["user", "assistant", None, ""]), r.choice([None, "", "a", "# <\\ é" * r.randrange(9)])) for c in (1, 2, None) for _ in range(25)]
+    log = queries.conversation_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {x.kind for x in log.collect()} == {"delta", "edit", "regenerate", "delete"}
+    got = defaultdict(list)
+    for x in chat.render(log).orderBy("turn_no", "part").collect():
+        got[x.conv_id] += chat.parse(x.piece)
+    key = lambda x: (x[1], x[2] is not None, x[2] or "", x[3] is not None, x[3] or "")
+    assert got == {c: [(role or "user", text or "") for _, _, role, text in sorted((x for x in rows if x[0] == c), key=key)] for c in (1, 2, None)}
 
 
 def test_chat_escapes():

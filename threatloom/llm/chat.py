@@ -6,19 +6,20 @@ A log is a table of events: conv (conversation), seq (order), kind, turn, role,
 - edit: replaces the turn's text;
 - regenerate: empties the turn; later deltas build it anew;
 - delete: removes the turn;
-- message: a whole turn; one more with the same number is a turn of its own, after the first.
+- message: a whole message; one more with the same turn number is a message of its own, after the first.
 
-Logs are partitioned by conversation, sorted by sequence inside partitions, and folded as they
-stream by: a task holds the turns of one conversation only while deltas can still change them
-(with `settled=True`, a turn is final when the next begins, and memory holds one turn).
+Events change their own turn only, so logs are partitioned by conversation and turn, sorted by
+sequence, and folded as they stream by: a task holds one turn at a time, however long a conversation
+is and in whatever order its turns are changed.
 
-Template, per turn: `### Role: ` + escaped text + ` </turn>` + newline. In texts and roles, `\\`,
+Template, per message: `### Role: ` + escaped text + ` </turn>` + newline. In texts and roles, `\\`,
 `#` and `<` are escaped with `\\`, so no text can hold a control string, and unescaping is exact. One
-output row a turn: `piece` (formatted), and `loss` spans (offsets in the piece) of assistant texts.
+output row a message: `piece` (formatted), and `loss` span (offsets in the piece) of assistant texts.
 
-Defined results: null text is empty; null kind is delta; null role is `user`; events of an unknown
-turn other than delta open it; repeated events apply twice (a repeated message is two turns); rows with a null conversation are left
-out; ties in seq are ordered by turn, role and text.
+Defined results: null text is empty; null kind is delta; null or empty role is `user`; a null turn is turn 0; edits and
+regenerations of an unknown turn open it, deletions don't; repeated events apply twice (a repeated message
+is two); rows with a null conversation are one conversation, null; ties in seq are ordered by role
+and text; other columns of a log are left out.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, slices
+
 HEAD, MIDDLE, TAIL = "### ", ": ", " </turn>\n"
 ESCAPED = re.compile(r"[\\#<]")
 UNESCAPED = re.compile(r"\\(.)", re.S)
 LEARNED = "assistant"
-PIECES = "conv_id long, turn_no long, role string, piece string, loss_start long, loss_end long"
+PIECES = "conv_id long, turn_no long, part int, role string, piece string, loss_start long, loss_end long"
 
 
 def escape(text: str) -> str:
@@ -88,81 +91,68 @@ def _slashes(piece: str, k: int) -> int:
     return n
 
 
-class Fold:
-    """The messages of one conversation."""
+class Turn:
+    """The messages of one turn: nearly always one."""
 
     def __init__(self):
-        self.turns: dict[tuple[int, int], list] = {}
-        self.messages: dict[int, int] = {}
-
-    def has(self, turn: int) -> bool:
-        return (turn, 0) in self.turns
+        self.messages: list[tuple[str, list[str]]] = []
 
-    def clear(self) -> None:
-        self.turns.clear()
-        self.messages.clear()
-
-    def apply(self, kind: str | None, turn: int, role: str | None, text: str | None) -> None:
+    def apply(self, kind: str | None, role: str | None, text: str | None) -> None:
         if kind == "delete":
-            for key in range(max(1, self.messages.pop(turn, 1))):
-                self.turns.pop((turn, key), None)
+            self.messages.clear()
             return
-        key = 0
-        if kind == "message":
-            key = self.messages.get(turn, int(self.has(turn)))
-            self.messages[turn] = key + 1
-        message = self.turns.setdefault((turn, key), [role or "user", []])
+        if kind == "message" or not self.messages:
+            self.messages.append((role or "user", []))
+        held, parts = self.messages[-1]
         if kind in ("edit", "regenerate"):
-            message[1] = []
-            message[0] = role or message[0]
+            parts = []
+            self.messages[-1] = role or held, parts
         if kind != "regenerate":
-            message[1].append(text or "")
+            parts.append(text or "")
 
     def done(self) -> Iterator[tuple[str, str]]:
-        for turn in sorted(self.turns):
-            role, parts = self.turns[turn]
-            yield role, "".join(parts)
+        return ((role, "".join(parts)) for role, parts in self.messages)
 
 
-def render(events: DataFrame, settled: bool = False) -> DataFrame:
-    """One row a turn: conv_id, turn_no (from 0), role, piece, loss_start, loss_end (null if not learned from)."""
+def render(events: DataFrame) -> DataFrame:
+    """Fold a log and format it, one row a message: conv_id, turn_no (the log's number), part (0 but for repeated messages),
+    role, piece, loss_start, loss_end (null if not learned from)."""
+    names = ["conv_id", "turn_no", "part", "role", "piece", "loss_start", "loss_end"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, fold, number, rows, size = None, Fold(), 0, [], 0
+        now, turn, rows, size = None, Turn(), [], 0
 
         def close():
-            nonlocal number, size
-            for role, text in fold.done():
+            nonlocal size, turn
+            for part, (role, text) in enumerate(turn.done()):
                 piece, a, b = render_turn(role, text)
                 learned = role == LEARNED
-                rows.append((now, number, role, piece, a if learned else None, b if learned else None))
-                number += 1
+                rows.append((*now, part, role, piece, a if learned else None, b if learned else None))
                 size += len(piece)
-            fold.clear()
+            turn = Turn()
 
         def flush():
             nonlocal size
             columns = list(zip(*rows))
             rows.clear()
             size = 0
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["conv_id", "turn_no", "role", "piece", "loss_start", "loss_end"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-        for batch in batches:
-            for conv, kind, turn, role, text in zip(*(batch.column(n).to_pylist() for n in ("conv", "kind", "turn", "role", "text"))):
-                if conv != now:
-                    close()
-                    now, number = conv, 0
-                elif settled and fold.turns and (kind == "message" or not fold.has(turn)):
+        for batch in slices(batches):
+            for conv, number, kind, role, text in zip(*(batch.column(n).to_pylist() for n in ("conv", "turn", "kind", "role", "text"))):
+                if (conv, number) != now:
                     close()
-                fold.apply(kind, turn, role, text)
+                    now = conv, number
+                turn.apply(kind, role, text)
                 if size > 1 << 22:
                     yield flush()
         close()
         if rows:
             yield flush()
 
-    ordered = events.filter("conv is not null").select(F.col("conv").cast("long").alias("conv"), F.col("seq").cast("long").alias("seq"), "kind", F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), "role", "text")
-    return ordered.repartition("conv").sortWithinPartitions("conv", "seq", "turn", "role", "text").mapInArrow(run, PIECES)
+    ordered = events.select(F.col("conv").cast("long").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), F.col("seq").cast("long").alias("seq"), "kind", "role", "text")
+    return bounded_batches(ordered.repartition("conv", "turn").sortWithinPartitions("conv", "turn", "seq", "role", "text")).mapInArrow(run, PIECES)
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
@@ -172,7 +162,7 @@ def read_back(pieces: DataFrame) -> DataFrame:
         now, state, rows = None, None, []
 
         def close():
-            if state:
+            if state is not None:
                 rows.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         def flush():
@@ -180,7 +170,7 @@ def read_back(pieces: DataFrame) -> DataFrame:
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for conv, piece, a, b in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "piece", "loss_start", "loss_end"))):
                 if conv != now or state is None:
                     close()
@@ -199,5 +189,5 @@ def read_back(pieces: DataFrame) -> DataFrame:
         if rows:
             yield flush()
 
-    dealt = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
-    return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    dealt = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no", "part")
+    return bounded_batches(dealt).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -1,22 +1,26 @@
 """Personal data: pattern spans, and terms that give a protected entity away.
 
 Base spans (email, ip, card, phone) come from linear scans. Every distinct base value is a protected
-entity c. Terms t of the lines that hold it are candidates; over all documents,
+entity c. The terms t within CONTEXT characters of it, on its line, are what may give it away; over
+the whole corpus,
 
     disclosure(t, c) = PMI(t; c) / IC(c) = log(N n_tc / (n_t n_c)) / log(N / n_c)
 
-where N and every n count distinct texts, so copies of a document are one observation of each.
-A term with disclosure >= THRESHOLD, seen with c in SUPPORT distinct lines at least, reveals c; its
-occurrences in lines with c become spans of kind `term`, to be generalised like the base spans.
+where N and every n count distinct texts, so copies of a document are one observation of each: n_c
+of those that hold c, n_t of those that hold t, n_tc of those where t stands by c. 1 means that the term
+says as much as the entity itself. A term with disclosure >= THRESHOLD, seen by c in SUPPORT texts at
+least (in one text alone every rare word would do), reveals c; where it stands by c, it becomes a
+span of kind `term`, to be generalised like the base spans.
 
 Defined results: null and empty texts have no spans; offsets are code points, end exclusive; spans of
 one kind never overlap, spans of different kinds may (sanitised text merges them); repeated rows are
-judged alike and each returned; columns pass through, clashing names are replaced.
+judged alike and each returned; columns pass through, those named base or spans are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import bounded_batches, fresh, slices, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
-THRESHOLD, SUPPORT = 0.9, 3
+THRESHOLD, SUPPORT, CONTEXT = 0.9, 2, 100
 #: The base patterns, with possessive runs where these can't change a match.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -75,50 +79,46 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType())])
+NEAR = T.StructType([T.StructField("entity", T.StringType()), T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
-def with_base(df: DataFrame, text: str = "text") -> DataFrame:
-    """The key columns of `df` other than text, with base (spans) and near (entity, term, start, end,
-    line hash of every term that shares a line with a base value)."""
-    kept = [f for f in df.schema.fields if f.name not in (text, "base", "near")]
-    near = T.StructType([T.StructField("entity", T.StringType()), T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("line", T.LongType())])
-    schema = T.StructType([*kept, T.StructField("base", T.ArrayType(SPAN)), T.StructField("near", T.ArrayType(near))])
-    names = [f.name for f in kept]
+def near_terms(text: str, spans: list[tuple[int, int, int]], context: int = CONTEXT) -> Iterator[tuple[str, str, int, int]]:
+    """(entity, term, start, end) of the terms by each base span that no base span overlaps. `spans` are sorted."""
+    ends = np.maximum.accumulate([e for _, _, e in spans]).tolist()
+    starts = [s for s, _, _ in spans]
+    for start, kind, end in spans:
+        entity = f"{KINDS[kind]}:{text[start:end].lower()}"
+        low, high = text.rfind("\n", max(0, start - context), start) + 1, text.find("\n", end, end + context)
+        low, high = low or max(0, start - context), min(len(text), end + context) if high < 0 else high
+        for m in (*TERM.finditer(text, low, start), *TERM.finditer(text, end, high)):
+            a, b = m.span()
+            if (a == low and a and text[a - 1].isalpha()) or (b == high and b < len(text) and text[b].isalpha()):
+                continue  # only a part of a word
+            before = bisect_left(starts, b)  # spans that begin before the term's end
+            if not before or ends[before - 1] <= a:
+                yield entity, m[0].lower(), a, b
+
+
+def with_base(df: DataFrame, text: str, base: str, near: str) -> DataFrame:
+    """`df` with base spans and near_terms."""
+    names = df.columns
+    schema = T.StructType([*df.schema.fields, T.StructField(base, T.ArrayType(SPAN)), T.StructField(near, T.ArrayType(NEAR))])
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("line", pa.int64())]))
+    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                spans, terms = [], []
-                for t in batch.column("_text").to_pylist():
-                    found = base_spans(t)
-                    spans.append([{"start": a, "kind": k, "end": b} for a, k, b in found])
-                    terms.append(list(_near(t, found)) if found else [])
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(spans, span_type), pa.array(terms, near_type)], [*names, "base", "near"])
-
-    return df.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema)
+        for batch in slices(batches):
+            spans, terms = [], []
+            for t in batch.column(text).to_pylist():
+                found = base_spans(t)
+                spans.append([{"start": a, "kind": k, "end": b} for a, k, b in found])
+                terms.append([dict(zip(("entity", "term", "start", "end"), x)) for x in near_terms(t, found)] if found else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, span_type), pa.array(terms, near_type)], [*names, base, near])
 
+    return bounded_batches(df).mapInArrow(run, schema)
 
-def _near(text: str, spans: list[tuple[int, int, int]]) -> Iterator[dict]:
-    from zlib import crc32
 
-    lines: dict[tuple[int, int], set[str]] = {}
-    for start, kind, end in spans:
-        a, b = text.rfind("\n", 0, start) + 1, text.find("\n", end)
-        lines.setdefault((a, len(text) if b < 0 else b), set()).add(f"{KINDS[kind]}:{text[start:end].lower()}")
-    for (a, b), entities in lines.items():
-        line = text[a:b].encode()
-        digest = crc32(line) << 31 ^ crc32(line[::-1])
-        blocked = [(s, e) for s, _, e in spans if s < b and e > a]
-        for m in TERM.finditer(text, a, b):
-            if not any(s < m.end() and m.start() < e for s, e in blocked):
-                for entity in entities:
-                    yield {"entity": entity, "term": m[0].lower(), "start": m.start(), "end": m.end(), "line": digest}
-
-
-def document_counts(df: DataFrame, text: str = "text") -> DataFrame:
+def text_counts(df: DataFrame, text: str, copy: str) -> DataFrame:
     """(term, n): in how many distinct texts each term stands. Counted per task first, in bounded tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,7 @@ def document_counts(df: DataFrame, text: str = "text") -> DataFrame:
             counts.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for t in batch.column(0).to_pylist():
                 for w in set(TERM.findall(t.lower())):
                     counts[w] = counts.get(w, 0) + 1
@@ -138,35 +138,37 @@ def document_counts(df: DataFrame, text: str = "text") -> DataFrame:
         if counts:
             yield flush()
 
-    once = df.filter(F.col(text).isNotNull()).select(F.md5(F.col(text).cast("binary")).alias("_copy"), F.col(text).alias("_text")).dropDuplicates(["_copy"])
-    return once.select("_text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-
-def disclosures(near: DataFrame, counts: DataFrame, documents: int, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosure) above the threshold. `near`: (copy, entity, term, line), copy is a text's hash; `documents`: distinct texts."""
-    entities = near.groupBy("entity").agg(F.countDistinct("copy").alias("n_c"))
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("copy").alias("n_tc"), F.countDistinct("line").alias("lines")).filter(F.col("lines") >= support)
-    known = pairs.join(counts, "term").join(entities, "entity")
-    n = F.lit(float(max(2, documents)))
-    both = F.least("n_tc", "n", "n_c")
-    value = F.log(n * both / (F.col("n") * F.col("n_c"))) / F.log(n / F.least("n_c", n - 1))
-    return known.select("entity", "term", value.alias("disclosure")).filter(F.col("disclosure") >= threshold)
-
-
-def find(df: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of `df` but text, with base and spans (arrays of start, kind, end; kind indexes KINDS)."""
-    kept = [c for c in df.columns if c not in (text, "base", "spans", "_row", "_copy")]
-    row = F.xxhash64(*[F.col(c).cast("string") for c in kept], F.md5(F.col(text).cast("binary")))
-    copy = F.unhex(F.md5(F.col(text).cast("binary")))
-    found = stored(with_base(df.select(*kept, text, row.alias("_row"), copy.alias("_copy")), text), "pii-base")
-    documents = found.filter("_copy is not null").select("_copy").distinct().count()
-    near = found.select(F.col("_row").alias("doc"), F.col("_copy").alias("copy"), F.explode("near").alias("x")).select("doc", "copy", "x.*")
-    counts = document_counts(df, text)
-    reveal = stored(disclosures(near, counts, documents), "pii-terms")
-    hits = near.join(reveal, ["entity", "term"]).select("doc", F.struct("start", F.lit(4).alias("kind"), "end").alias("s"))
-    extra = hits.groupBy("doc").agg(F.collect_set("s").alias("extra"))
-    joined = found.join(extra, found["_row"] == extra.doc, "left")
-    return joined.select(*kept, "base", F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans"))
+    once = df.filter(F.col(text).isNotNull()).select(copy, text).dropDuplicates([copy])
+    return bounded_batches(once.select(text)).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def disclosures(near: DataFrame, counts: DataFrame, texts: int, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+    """(entity, term, disclosure) above the threshold. `near`: (copy, entity, term), copy is a text's hash; `counts`:
+    (term, n); `texts`: distinct texts."""
+    entities = near.select("copy", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_c")).filter(F.col("n_c") >= support)
+    pairs = near.join(entities, "entity").select("copy", "entity", "term", "n_c").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_tc"), F.first("n_c").alias("n_c"))
+    known = pairs.filter(F.col("n_tc") >= support).join(counts, "term")
+    n = F.lit(float(max(2, texts)))
+    value = F.log(n * F.least("n_tc", "n") / (F.col("n") * F.col("n_c"))) / F.log(n / F.least("n_c", n - 1))
+    return known.select("entity", "term", value.alias("disclosure")).filter(F.col("disclosure") >= threshold - 1e-9)
+
+
+def find(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+    """`df` with base and spans (arrays of start, kind, end; kind indexes KINDS)."""
+    kept = [c for c in df.columns if c not in ("base", "spans")]
+    row, copy, base, near, extra = (fresh(df, x) for x in ("row", "copy", "base", "near", "extra"))
+    own = df.select(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias(row), F.unhex(F.md5(F.col(text).cast("binary"))).alias(copy))
+    found = stored(with_base(own, text, base, near), "pii-base")  # row ids hold from here on
+    texts = found.filter(F.col(copy).isNotNull()).select(copy).distinct().count()
+    some = F.size(near) > 0
+    by = found.filter(some).select(F.col(row).alias("row"), F.col(copy).alias("copy"), F.explode(near).alias("x")).select("row", "copy", "x.*")
+    reveal = stored(disclosures(by, text_counts(found, text, copy), texts, threshold, support), "pii-terms")
+    hits = by.join(reveal, ["entity", "term"]).select(F.col("row").alias(row), F.struct("start", F.lit(4).alias("kind"), "end").alias("s"))
+    hits = hits.groupBy(row).agg(F.collect_set("s").alias(extra))
+    # texts without anything near are not shuffled
+    both = found.filter(some).join(hits, row, "left").unionByName(found.filter(~some), allowMissingColumns=True)
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return both.select(*[F.col(f"`{c}`") for c in kept], F.col(base).alias("base"), F.array_sort(F.concat(base, F.coalesce(extra, none))).alias("spans"))
 
 
 def listed(spans: str):
@@ -188,10 +190,13 @@ def sanitise(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
 
 
 def sanitised(df: DataFrame, text: str = "text", spans: str = "spans", into: str = "sanitised") -> DataFrame:
+    """`df` with its texts sanitised; only texts with spans leave the JVM."""
+
     @F.pandas_udf(T.StringType())
     def run(texts, found):
         import pandas as pd
 
         return pd.Series([sanitise(t, [(s["start"], s["kind"], s["end"]) for s in ([] if x is None else np.asarray(x, object).tolist())]) for t, x in zip(texts, found)], dtype=object)
 
-    return df.withColumn(into, run(F.col(text), F.col(spans)))
+    some = F.size(spans) > 0
+    return df.withColumn(into, F.coalesce(run(F.when(some, F.col(text)), F.when(some, F.col(spans))), F.col(text)))

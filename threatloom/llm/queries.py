@@ -7,12 +7,14 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import bpe, chat, decontam, langid, linededup, neardup, pii, token_blocks, topk, urlfilter
 from .common import shared_dir, stored, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+EVENT = "struct<seq:bigint,kind:string,turn:bigint,role:string,text:string>"
 
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,22 +85,45 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.sanitised(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
-    return found.select("doc_id", *[n(k) for k in range(4)], F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select("doc_id", *[n(k) for k in range(4)], digest(pii.listed("base")).alias("base_sha256"), pii.listed("spans").alias("spans"), digest(F.col("sanitised")).alias("sanitised_sha256"))
+
+
+def conversation_log(rows: DataFrame) -> DataFrame:
+    """A log whose fold gives the rows (conv_id, turn, role, text) back, the n-th of a conversation as turn 2 n.
+
+    Every text is streamed in two deltas. One in three is a regeneration of an abandoned draft; one in
+    three is a draft that an edit mends while the next turns are already under way; and one in four is
+    followed by a turn that is deleted later.
+    """
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, second = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    event = lambda step, kind, role, text, turn=0: F.struct((100 * F.col("n") + step).alias("seq"), F.lit(kind).alias("kind"), (2 * F.col("n") + turn).alias("turn"), role.cast("string").alias("role"), text.cast("string").alias("text"))
+    some = lambda rest, of, *events: F.when(F.col("n") % of == rest, F.array(*events)).otherwise(F.array().cast(f"array<{EVENT}>"))
+    none, role = F.lit(None), F.col("role")
+    events = F.concat(
+        some(1, 3, event(0, "delta", role, F.lit("an abandoned draft")), event(1, "regenerate", none, none)),
+        F.array(event(10, "delta", role, F.when(F.col("n") % 3 == 2, F.lit("a draft")).otherwise(first)), event(11, "delta", none, second)),
+        some(2, 3, event(250, "edit", none, F.col("text"))),
+        some(0, 4, event(20, "delta", F.lit("user"), F.lit("withdrawn"), 1), event(120, "delete", none, none, 1)),
+    )
+    each = rows.withColumn("n", n.cast("long")).select("conv_id", F.explode(events).alias("e"))
+    return each.select(F.col("conv_id").alias("conv"), "e.*")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
-    events = rows.select(F.col("conv_id").alias("conv"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "turn", "role", "text")
-    return chat.read_back(stored(chat.render(events, settled=True), "chat-pieces"))
+    return chat.read_back(stored(chat.render(conversation_log(rows)), "chat-pieces"))
 
 
 OP10_SQL = r"""
 with c as (select conv_id, turn, coalesce(nullif(role, ''), 'user') as speaker, coalesce(text, '') as said, role, text
-           from (select conv_id, turn, role, text from conversations where conv_id is not null
+           from (select conv_id, turn, role, text from conversations
                  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'))
 select conv_id, count(*)::bigint n_turns,
        sha256(string_agg(speaker || chr(10) || said || chr(10), '' order by turn nulls first, role nulls first, text nulls first)) turns_sha256,
