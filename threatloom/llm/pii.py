@@ -1,16 +1,16 @@
 """Personal data: pattern spans, and terms that give a protected entity away.
 
-Base spans (email, ip, card, phone) come from linear scans. Every distinct base value is a protected
-entity c. The terms t within CONTEXT characters of it, on its line, are what may give it away; over
-the whole corpus,
+Base spans (email, ip, card, phone) come from linear scans. Protected entities c are every distinct
+base value, and every kind as a whole. The terms t within CONTEXT characters of a value, on its line,
+are what may give it or its kind away; over the whole corpus,
 
     disclosure(t, c) = PMI(t; c) / IC(c) = log(N n_tc / (n_t n_c)) / log(N / n_c)
 
-where N and every n count distinct texts, so copies of a document are one observation of each: n_c
-of those that hold c, n_t of those that hold t, n_tc of those where t stands by c. 1 means that the term
-says as much as the entity itself. A term with disclosure >= THRESHOLD, seen by c in SUPPORT texts at
-least (in one text alone every rare word would do), reveals c; where it stands by c, it becomes a
-span of kind `term`, to be generalised like the base spans.
+where N and every n count distinct texts, so copies of a document are one observation of each: n_t
+of those that hold t, n_tc of those where t stands by c, n_c of those where any term does. 1 means that
+the term says as much as the entity itself. A term with disclosure >= THRESHOLD (half of the entity's
+information), seen by c in SUPPORT texts at least (in one text alone every rare word would do), reveals
+c; where it stands by c, it becomes a span of kind `term`, to be generalised like the base spans.
 
 Defined results: null and empty texts have no spans; offsets are code points, end exclusive; spans of
 one kind never overlap, spans of different kinds may (sanitised text merges them); repeated rows are
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import bounded_batches, fresh, slices, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
-THRESHOLD, SUPPORT, CONTEXT = 0.9, 2, 100
+THRESHOLD, SUPPORT, CONTEXT = 0.5, 2, 100
 #: The base patterns, with possessive runs where these can't change a match.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -162,6 +162,8 @@ def find(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, suppor
     texts = found.filter(F.col(copy).isNotNull()).select(copy).distinct().count()
     some = F.size(near) > 0
     by = found.filter(some).select(F.col(row).alias("row"), F.col(copy).alias("copy"), F.explode(near).alias("x")).select("row", "copy", "x.*")
+    kind = F.concat(F.substring_index("entity", ":", 1), F.lit(":"))
+    by = by.withColumn("entity", F.explode(F.array("entity", kind)))
     reveal = stored(disclosures(by, text_counts(found, text, copy), texts, threshold, support), "pii-terms")
     hits = by.join(reveal, ["entity", "term"]).select(F.col("row").alias(row), F.struct("start", F.lit(4).alias("kind"), "end").alias("s"))
     hits = hits.groupBy(row).agg(F.collect_set("s").alias(extra))
