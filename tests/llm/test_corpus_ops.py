@@ -88,6 +88,31 @@ def test_pairs_in_a_template_family(spark):
     assert {x.doc_id: x.class_id for x in out} == expected
 
 
+@pytest.mark.parametrize("shared", [255, 258, 260])
+def test_links_inside_a_family_that_shares_a_long_passage(spark, shared):
+    """Pairs at 0.81 to 0.85 among hundreds that share a passage of `shared` words at less than 0.8."""
+    r = random.Random(shared)
+    say = lambda n: ["w%d" % r.randrange(10**7) for _ in range(n)]
+    passage, own = say(shared), 300 - shared
+    docs = [passage[:128] + say(own) + passage[128:] for _ in range(300)]
+    docs = [d if brute_ratio(d, docs[0]) < 0.8 else d + say(60) for d in docs]
+    both = int(own * 0.45)
+    for _ in range(40):
+        common = say(both)
+        docs += [passage[:128] + common + say(own - both) + passage[128:] for _ in range(2)]
+    r.shuffle(docs)
+    rows = [(k, " ".join(d)) for k, d in enumerate(docs)]
+    expected = brute_classes(rows)
+    linked = {d for d, c in expected.items() if sum(x == c for x in expected.values()) > 1}
+    assert len(linked) >= 80
+    assert {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == expected
+
+
+def brute_ratio(x, y):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x, y))
+    return len(a & b) / len(a | b)
+
+
 def brute_similarity(s, t):
     """Of two texts, with strings as k-mers and the plain table of the longest common subsequence."""
     x, y = ([tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] for w in (s.lower().split(), t.lower().split()))
@@ -244,6 +269,14 @@ def test_split_label():
     assert urlfilter.split_label("zq", counts, 86) == ["zq"]
 
 
+def test_url_long_labels_and_clashing_columns(spark):
+    """A label of 100,000 letters is split in linear time; the table has the operator's own names."""
+    rows = [(1, "http://" + "goodword" * 12_500 + ".net/", "good word good word", "x", 1), (2, "http://org/", None, "y", 2), (3, None, "word", None, None)]
+    out = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string, u string, _u int")).collect()}
+    assert (out[1].u, out[1]["_u"], out[2].u, out[3].u) == ("x", 1, "y", None) and out[2].verdict == "allow" and len(out[1].host) == 100_004
+    assert urlfilter.split_label("goodword" * 12_500, {"good": 2, "word": 3}, 5) == ["good", "word"] * 12_500
+
+
 def brute_bayes(pages):
     import math
     from collections import Counter

@@ -142,3 +142,99 @@ def test_decontamination_on_tables(spark):
     for d in table(spark, sf, "documents").filter("length(text) < 3000").collect():
         r = out[d.doc_id]
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == decontam.brute_force(d.text, items)
+
+
+def test_decontamination_null_ids_and_clashing_columns(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, text, b"x", 5, ["a"], 7), (2, "clean", None, None, None, 8), (None, text.upper(), b"y", 6, [], 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hit_words binary, n_words int, items array<string>, _n_hit int")
+    bench = spark.createDataFrame([(None, text, 1), (None, "two", 2), (3, text, 3), (3, text, 4)], "item_id long, text string, hit_words int")
+    for words in (2_000_000, 11):
+        out = {r.doc_id: r for r in decontam.contamination(df, bench, part_words=words).collect()}
+        assert (out[1].n_hit, out[1].n_items, out[1]["items"], bytes(out[1].hit_words), out[1]["_n_hit"]) == (11, 2, ["3", None], b"x", 7) and out[None].n_hit == 11 and not out[2].contaminated
+    left = decontam.clean(df, bench)
+    assert left.columns == df.columns and [tuple(r) for r in left.collect()] == [rows[1]]
+
+
+def test_blocks_keep_null_ids(spark, tmp_path):
+    df = spark.createDataFrame([(3, "a b"), (None, "c"), (None, None), (-5, "")], "doc_id long, text string")
+    token_blocks.write_blocks(df, str(tmp_path / "n"), WORD, 1, shards=3)
+    out = token_blocks.read_blocks(spark, str(tmp_path / "n")).orderBy("start").collect()
+    assert [r.doc_id for r in out] == [None, None, -5, 3] and out[-1].start + out[-1].n_tokens == sum(r.n_tokens for r in out)
+
+
+def test_token_blocks_query_equals_library(spark):
+    from tokenizers import Tokenizer
+
+    from threatloom.llm.common import table
+
+    sf, tokenizer, start = "/root/testdata/sf0.001", Tokenizer.from_file(WORD), 0
+    out = {r.doc_id: r for r in queries.op1_token_blocks(spark, sf).collect()}
+    docs = sorted(table(spark, sf, "documents").collect(), key=lambda r: r.doc_id)
+    assert len(out) == len(docs)
+    for d in docs:
+        ids = np.array(tokenizer.encode(d.text or "", add_special_tokens=False).ids + [1], "<u4")
+        assert tuple(out[d.doc_id]) == (d.doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_byte_bpe_query_equals_library(spark, library):
+    import hashlib
+
+    from threatloom.llm.common import table
+
+    sf = "/root/testdata/sf0.001"
+    out = {r.doc_id: r for r in queries.op4_byte_bpe(spark, sf).collect()}
+    for d in table(spark, sf, "documents").collect():
+        ids = library.encode_ordinary(d.text or "")
+        digest = lambda b: hashlib.sha256(b).hexdigest()
+        assert tuple(out.pop(d.doc_id)) == (d.doc_id, len(ids), digest(",".join(map(str, ids)).encode()), digest((d.text or "").encode()))
+    assert not out
+
+
+def brute_language(model, text):
+    """A prediction from the definition: every n-gram hashed and weighed one by one."""
+    points, ngrams = [ord(c) for c in text.lower()], []
+    m = 1 << 32
+    for i, c in enumerate(points):
+        ngrams.append((c * 2654435761 + 12345) * 2246822519 % m >> 16)
+        if i + 1 < len(points):
+            two = (c * 3266489917 + points[i + 1]) * 668265263 % m
+            ngrams.append((two ^ two >> 15) >> 16)
+            if i + 2 < len(points):
+                three = (two + points[i + 2] * 374761393) * 2654435761 % m
+                ngrams.append((three ^ three >> 13) >> 16)
+    logits = np.mean([model.table[b, :-1].astype(np.float64) for b in ngrams], axis=0) + model.bias
+    p = np.exp(logits / model.temperature)
+    return model.languages[int(p.argmax())], p.max() / p.sum()
+
+
+def test_language_query_equals_brute_force(spark):
+    import unicodedata
+
+    from threatloom.llm.common import table
+
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    model = langid.train(docs.filter(~langid.held_out()))
+    out = {r.doc_id: r for r in queries.op2_language_id(spark, sf).collect()}
+    for d in docs.filter("length(text) < 20000 or text is null").collect():
+        lettered = d.text and any(unicodedata.category(c)[0] == "L" for c in d.text)
+        lang, score = brute_language(model, d.text) if lettered else ("und", 0.0)
+        r = out[d.doc_id]
+        assert (r.lang_pred, r.held_out) == (lang, zlib.crc32(str(d.doc_id).encode()) % 4 == 2) and r.score == pytest.approx(score, abs=1e-5)
+
+
+def test_language_letters_and_rejects(spark):
+    """Digits and numerals are no letters; texts in no learned language are unfamiliar, mixed ones aren't."""
+    r = random.Random(1)
+    words = {"en": "the and of to with that this cat dog house river".split(), "de": "der die und das nicht mit ein haus katze hund fluss".split()}
+    say = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    rows = [(i, say("en" if i % 2 else "de", 30), "en" if i % 2 else "de", 7) for i in range(200)]
+    more = [(900, "½ ²", None, 1), (901, "①", "en", 2), (902, say("en", 20) + " " + say("de", 20), None, 3), (903, "щука быстро плывет вниз", None, 4), (904, "qxzj vvkq zzxq jqqx wxyq", None, 5), (905, None, None, 6), (906, "", None, None)]
+    df = spark.createDataFrame(rows + more, "doc_id long, text string, lang string, score int")
+    model = langid.train(df)
+    out = {x.doc_id: x for x in langid.predict(df, model).collect()}
+    assert all((out[i].lang_pred, out[i].score) == ("und", 0.0) for i in (900, 901, 905, 906))
+    kept = langid.accepted(df, model)
+    assert kept.columns == df.columns and {(x.doc_id, x.score) for x in kept.collect()} == {(i, 7) for i in range(200)} | {(902, 3)}

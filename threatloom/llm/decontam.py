@@ -7,11 +7,12 @@ match). Every benchmark suffix is then searched by narrowing its interval of the
 word, which gives its longest verbatim match and all places of it.
 
 The benchmark's words go to the executors in parts of at most PART_WORDS words; each part is one
-more pass over the documents, so what is sent at once never grows. No shuffle.
+more pass over the documents, written before the next, so what is sent at once never grows. No shuffle.
 
-Defined results: null and empty texts have no words and no hits; repeated items all count; items
-without words never occur; repeated documents are judged alike; columns pass through (those that
-clash with the added names are replaced).
+Defined results: null and empty texts have no words and no hits; items that share an id are one in
+n_items, and those whose id is null count as one that `items` lists as null; items without words
+never occur; repeated documents are judged alike; columns pass through (`contamination` replaces
+those that clash with the names it adds, `clean` returns all as they were).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, fresh, stored
 
 WINDOW, PART_WORDS, SHARD_WORDS = 10, 2_000_000, 2_000_000
 _WORD = np.zeros(256, bool)
@@ -42,12 +43,14 @@ class Tests:
 
     def __init__(self, items: list[tuple[int, str]], window: int):
         self.vocabulary: dict[bytes, int] = {}
+        self.ids = list(dict.fromkeys(item_id for item_id, _ in items))
+        number = {item_id: k for k, item_id in enumerate(self.ids)}
         words, item, need, left = [], [], [], []
         for item_id, text in items:
             own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             if own:
                 words += [*own, 0]
-                item += [item_id] * (len(own) + 1)
+                item += [number[item_id]] * (len(own) + 1)
                 need += [min(window, len(own))] * (len(own) + 1)
                 left += [*range(len(own), 0, -1), 0]
         self.words, self.item, self.need, self.left = (np.array(x, np.int64) for x in (words, item, need, left))
@@ -55,7 +58,7 @@ class Tests:
 
 
 def find(words: np.ndarray, doc: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """(hit words, (document, item) pairs, longest matches) of a shard; `words`: benchmark word numbers, 0 for others, 0 between documents."""
+    """(hit words, (document, place in tests.ids) pairs, longest matches) of a shard; `words`: benchmark word numbers, 0 for others, 0 between documents."""
     hit = np.zeros(len(words), bool)
     none = {k: np.zeros(0, np.int64) for k in ("suffix", "length", "position")}
     stop = np.flatnonzero(words == 0)
@@ -146,15 +149,16 @@ def sort_suffixes(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return at[np.argsort(rank[at], kind="stable")]
 
 
-ADDED = (("n_words", T.LongType()), ("n_hit", T.LongType()), ("hit_words", T.BinaryType()), ("items", T.ArrayType(T.LongType())))
+ADDED = {"n_words": T.LongType(), "n_hit": T.LongType(), "hit_words": T.BinaryType(), "items": T.ArrayType(T.LongType())}
 
 
-def _annotate(df: DataFrame, tests: Tests, text: str, first: bool) -> DataFrame:
+def _annotate(df: DataFrame, tests: Tests, text: str, named: dict[str, str], first: bool) -> DataFrame:
+    """`df` with the ADDED columns under the names `named`, or with more of them (unless `first`)."""
     shared = df.sparkSession.sparkContext.broadcast(tests)
-    names = [n for n, _ in ADDED]
+    names = [named[n] for n in ADDED]
     kept = [f for f in df.schema.fields if f.name not in names]
     own = [f.name for f in kept]
-    schema = T.StructType([*kept, *(T.StructField(n, k) for n, k in ADDED)])
+    schema = T.StructType([*kept, *(T.StructField(named[n], k) for n, k in ADDED.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = shared.value
@@ -174,11 +178,11 @@ def _annotate(df: DataFrame, tests: Tests, text: str, first: bool) -> DataFrame:
                 edges = np.concatenate(([0], np.cumsum(np.array(sizes) + 1)))
                 items: list[list[int]] = [[] for _ in sizes]
                 for d, item in pairs.tolist():
-                    items[d].append(item)
+                    items[d].append(tests.ids[item])
                 bits = [np.packbits(hit[a : b - 1]).tobytes() if len(items[k]) else b"" for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist()))]
                 part = batch.slice(begin, at - begin)
                 if not first:
-                    for k, (b, i) in enumerate(zip(part.column("hit_words").to_pylist(), part.column("items").to_pylist())):
+                    for k, (b, i) in enumerate(zip(part.column(named["hit_words"]).to_pylist(), part.column(named["items"]).to_pylist())):
                         bits[k] = _either(bits[k], b)
                         items[k] += i
                 n_hit = [int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) for b in bits]
@@ -191,29 +195,36 @@ def _either(a: bytes, b: bytes) -> bytes:
     return (np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)).tobytes() if a and b else a or b
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
-    """`df` with n_words, n_hit (words inside an occurrence of a benchmark window), n_items, items
-    (their ids as sorted strings) and contaminated."""
+def _marked(df: DataFrame, benchmark: DataFrame, text: str, window: int, part_words: int) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with the ADDED columns under names that it doesn't have, and these names."""
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    named = {n: fresh(df, n) for n in ADDED}
     part, size, out, first = [], 0, df, True
     for item_id, item in rows.toLocalIterator():  # a partition at a time
         n = len(words_of(item))
         if part and size + n > part_words:
-            out, first = _annotate(out, Tests(part, window), text, first), False
+            out, first = stored(_annotate(out, Tests(part, window), text, named, first), "decontam-pass"), False
             part, size = [], 0
         part.append((item_id, item))
         size += n
-    out = _annotate(out, Tests(part, window), text, first)
+    return _annotate(out, Tests(part, window), text, named, first), named
+
 
-    ids = F.array_sort(F.transform(F.array_distinct("items"), lambda x: x.cast("string")))
-    return out.select(*[c for c in df.columns if c not in ("n_words", "n_hit", "n_items", "items", "contaminated")], "n_words", "n_hit", ids.alias("items")).withColumns(
+def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
+    """`df` with n_words, n_hit (words inside an occurrence of a benchmark window), n_items, items
+    (their ids as sorted strings) and contaminated."""
+    out, named = _marked(df, benchmark, text, window, part_words)
+    ids = F.array_sort(F.transform(F.array_distinct(named["items"]), lambda x: x.cast("string")))
+    own = [F.col(f"`{c}`") for c in df.columns if c not in ("n_words", "n_hit", "n_items", "items", "contaminated")]
+    return out.select(*own, F.col(named["n_words"]).alias("n_words"), F.col(named["n_hit"]).alias("n_hit"), ids.alias("items")).withColumns(
         {"n_items": F.size("items").cast("long"), "contaminated": F.col("n_hit") > 0}
     )
 
 
 def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents of `df` that hold no benchmark window, with its columns."""
-    return contamination(df, benchmark, text, window).filter(~F.col("contaminated")).select(*df.columns)
+    out, named = _marked(df, benchmark, text, window, PART_WORDS)
+    return out.filter(F.col(named["n_hit"]) == 0).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def brute_force(text: str | None, items: list[tuple[int, str]], window: int = WINDOW) -> tuple[int, int, int, str, bool]:

@@ -6,28 +6,33 @@ be learned from. Weights come from follow-the-regularised-leader with elastic-ne
 bounded sample (about SAMPLE labelled rows a language, chosen by a hash of doc_id, whole texts);
 the softmax temperature is then fitted on a fifth of that sample that training did not see.
 
-Defined results: a text that is null or holds no letter is `und` with score 0; with no labelled
+Probabilities say which of the learned languages a text is, not whether it is one of them. That is
+told by its familiarity, the mean share of learned texts that hold an n-gram of it: a text with less than
+UNFAMILIAR times the lowest familiarity of the calibration sample is in no learned language.
+
+Defined results: a text that is null or holds no letter (Unicode L*) is `und` with score 0; with no labelled
 row at all every text is `und`; ties go to the alphabetically first language; repeated rows are
 judged alike; columns pass through (clashing names are replaced).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, slices
+from .common import bounded_batches, fresh, slices
 
 BUCKETS, SAMPLE, EPOCHS, CHUNK = 1 << 16, 800, 4, 1 << 20
 ALPHA, BETA, L1, L2, GAIN = 0.5, 1.0, 1e-4, 1e-3, 10.0
-LETTER = re.compile(r"[^\W\d_]")
+UNFAMILIAR = 0.5
+LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
 
 
@@ -56,24 +61,29 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # BUCKETS x languages: weight x idf x gain
+    table: np.ndarray  # BUCKETS x (languages + 1): weight x idf x gain; the share of texts that hold the bucket
     bias: np.ndarray
     temperature: float = 1.0
+    least: float = 0.0  # familiarity
 
-    def logits(self, text: str) -> np.ndarray:
-        total, n = np.zeros(len(self.languages)), 0
+    def evidence(self, text: str) -> tuple[np.ndarray, float]:
+        """(logits, familiarity)"""
+        total, n = np.zeros(len(self.languages) + 1), 0
         for b in buckets(text):
             if len(b):
                 total += np.bincount(b, minlength=BUCKETS) @ self.table if len(b) > BUCKETS else self.table[b].sum(axis=0, dtype=np.float64)
                 n += len(b)
-        return total / max(1, n) + self.bias
+        total /= max(1, n)
+        return total[:-1] + self.bias, float(total[-1])
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """(language, calibrated probability, familiarity)"""
         if not text or not self.languages or not LETTER.search(text):
-            return UNDETERMINED, 0.0
-        p = _softmax(self.logits(text) / self.temperature)
+            return UNDETERMINED, 0.0, 0.0
+        logits, familiarity = self.evidence(text)
+        p = _softmax(logits / self.temperature)
         k = int(p.argmax())
-        return self.languages[k], float(p[k])
+        return self.languages[k], float(p[k]), familiarity
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -141,12 +151,15 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     examples = sorted(_sampled(rows, sample, key, text, lang), key=lambda r: (r.order, r.lang))
     languages = sorted({r.lang for r in examples})
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+        return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(0))
     index = {x: i for i, x in enumerate(languages)}
     data = [(np.frombuffer(r.at, "<u2").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(np.float64), index[r.lang], r.calibrate) for r in examples]
     weights, bias = ftrl([(at, v * idf[at] * GAIN, y) for at, v, y, c in data if not c], len(languages))
-    model = Model(languages, (weights * idf[:, None] * GAIN).astype(np.float32), bias)
-    model.temperature = temperature([(v @ model.table[at] + bias, y) for at, v, y, c in data if c])
+    share = (n / max(1, texts))[:, None]
+    model = Model(languages, np.hstack((weights * idf[:, None] * GAIN, share)).astype(np.float32), bias)
+    held = [(v @ model.table[at], y) for at, v, y, c in data if c]
+    model.temperature = temperature([(x[:-1] + bias, y) for x, y in held])
+    model.least = UNFAMILIAR * min((x[-1] for x, _ in held), default=0.0)
     return model
 
 
@@ -193,23 +206,30 @@ def temperature(scored: list[tuple[np.ndarray, int]]) -> float:
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`df` with lang_pred and score."""
+    """`df` with lang_pred, score and familiarity."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in df.schema.fields if f.name not in ("lang_pred", "score")]
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("familiarity", T.DoubleType())]
+    kept = [f for f in df.schema.fields if f.name not in {a.name for a in added}]
     names = [f.name for f in kept]
-    read = text if text in names else "_text"  # the texts are sent once
+    read = text if text in names else fresh(df, "text")  # the texts are sent once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [shared.value.predict(t) for t in batch.column(read).to_pylist()]
+            found = list(zip(*[shared.value.predict(t) for t in batch.column(read).to_pylist()])) or [(), (), ()]
             own = [batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*own, pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(found[0], pa.string()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.float64())], [*names, *(a.name for a in added)])
 
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*kept, *added])
     return bounded_batches(df.select(*names, *([] if read == text else [F.col(text).alias(read)]))).mapInArrow(run, schema)
 
 
-def accepted(df: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
-    """Documents whose language is determined with a calibrated probability of `least` at least."""
-    found = predict(df, model, text)
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*df.columns)
+def accepted(df: DataFrame, model: Model, least: float = 0.0, text: str = "text") -> DataFrame:
+    """Documents in a learned language: determined, familiar, and with a calibrated probability of `least` at least.
+
+    A text that mixes learned languages has a low probability for each, but is familiar.
+    """
+    names = {n: fresh(df, n) for n in ("lang_pred", "score", "familiarity")}
+    own = [c for c in df.columns if c in names]
+    found = predict(df.select("*", *[F.col(c).alias(fresh(df, "own") + c) for c in own]), model, text)
+    kept = found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least) & (F.col("familiarity") >= model.least))
+    return kept.select(*[F.col(fresh(df, "own") + c).alias(c) if c in own else F.col(f"`{c}`") for c in df.columns])

@@ -14,17 +14,18 @@ are the connected components of the links, the same as those of all pairs that s
 
 Defined results: exact copies (128-bit hash of the text) form one class without alignment; null
 texts and null doc_ids are classes of their own (class_id = doc_id); empty texts are copies of each
-other; rows that share a doc_id are one document. Texts of fewer than five words have one k-mer.
+other; rows that share a doc_id are one document (in one class with the copies of each of its texts,
+aligned by the smallest of them). Texts of fewer than five words have one k-mer.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,8 @@ def kmers(text: str | None) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    w = _mix(np.fromiter((crc32(x.encode()) for x in words), np.uint64, len(words)))
+    digest = xxhash.xxh3_64_intdigest
+    w = np.fromiter((digest(x.encode()) for x in words), np.uint64, len(words))
     k = min(WORDS, len(w))
     x = np.zeros(len(w) - k + 1, np.uint64)
     for i in range(k):
@@ -205,7 +207,7 @@ def unlinked(rows: DataFrame, found: DataFrame, done: DataFrame, df: DataFrame,
     rooted = stored(rooted.join(mixed.filter("low < high").select("bucket", "members"), "bucket"), "neardup-mixed")
     large = rooted.filter(F.col("members") > FEW)
     docs = large.select("doc", "size", "root").distinct()
-    each = stored(_exploded(df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")).filter("t is not null").join(docs.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"])), "neardup-kmers")
+    each = stored(_exploded(df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")).filter("t is not null").join(docs.hint("merge"), "doc", "left_semi").groupBy("doc").agg(F.min("t").alias("t"))), "neardup-kmers")
     held = stored(each.join(each.groupBy("kmer").agg(F.count("*").alias("held")).filter("held > 1").hint("merge"), "kmer"), "neardup-held")
     often = stored(docs.join(held.filter(F.col("held") > RARE).groupBy("doc").agg(F.count("*").alias("often")), "doc", "left").select("doc", "size", "root", F.coalesce("often", F.lit(0)).alias("often")), "neardup-often")
 
@@ -244,7 +246,7 @@ def linked(pairs: DataFrame, df: DataFrame, key: str, text: str, least: float) -
     candidates grows with the corpus and is never broadcast."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")).filter("t is not null")
-    docs = stored(docs.join(ends.hint("merge"), "doc", "left_semi"), "neardup-texts").dropDuplicates(["doc"])
+    docs = stored(docs.join(ends.hint("merge"), "doc", "left_semi").groupBy("doc").agg(F.min("t").alias("t")), "neardup-texts")
     a, b = (docs.select(F.col("doc").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

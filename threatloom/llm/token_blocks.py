@@ -12,7 +12,8 @@ P(id) = w2 [id = guess2] + w1 [id = guess1] + w0 freq(id) / total, in 24-bit int
 64-bit range coder per lane turns it into 32-bit words.
 
 Defined results: null text counts as empty; each document ends with `end_id`; repeated doc_ids stay
-separate documents, in the order of their ids; an empty table gives no blocks.
+separate documents, in the order of their ids; documents with a null doc_id come first and keep it;
+an empty table gives no blocks.
 """
 
 from __future__ import annotations
@@ -376,7 +377,7 @@ def write_blocks(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, key:
     """Tokenise `text` and write blocks in ascending `key` order as a table (shard, block, start, n_ids, payload).
 
     Shards are ranges of `key`; ids (not texts) are shuffled, once. `start`: ids before the block in
-    its shard. Keys must not be null.
+    its shard. Null keys come first.
     """
     spark = df.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -389,7 +390,7 @@ def write_blocks(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, key:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                keys = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
                 ids = encode_column(batch.column(1), tokenizer, end_id)
                 shard = pa.array(np.searchsorted(edges, keys, side="left").astype(np.int32))
                 yield pa.RecordBatch.from_arrays([shard, batch.column(0), pa.array(ids, pa.binary())], ["shard", "k", "ids"])
@@ -399,7 +400,7 @@ def write_blocks(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, key:
         now, number, start, keys, parts, size = None, 0, 0, [], [], 0
 
         def flush():
-            head = np.array(keys, "<i8").tobytes() + np.array([len(p) for p in parts], "<u4").tobytes()
+            head = np.array([k or 0 for k in keys], "<i8").tobytes() + np.array([len(p) for p in parts], "<u4").tobytes() + bytes(k is None for k in keys)
             payload = encode_block(np.concatenate(parts), alphabet, struct.pack("<I", len(keys)) + head)
             return pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int32()), "block": pa.array([number], pa.int32()), "start": pa.array([start], pa.int64()), "n_ids": pa.array([size], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
@@ -435,10 +436,11 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
                 (n,) = struct.unpack_from("<I", head)
                 keys = np.frombuffer(head, "<i8", n, 4)
                 sizes = np.frombuffer(head, "<u4", n, 4 + 8 * n).astype(np.int64)
+                lacks = np.frombuffer(head, bool, n, 4 + 12 * n)
                 ends = np.cumsum(sizes)
                 raw = ids.astype("<u4")
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(keys, pa.int64()), "start": pa.array(start + ends - sizes, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()),
+                    "doc_id": pa.array(keys, pa.int64(), mask=lacks), "start": pa.array(start + ends - sizes, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()),
                     "ids": pa.array([raw[b - s : b].tobytes() for b, s in zip(ends.tolist(), sizes.tolist())], pa.binary()),
                 })
 

@@ -1,7 +1,7 @@
 """URL filter: fixed rules first, then naive Bayes over segmented host and path tokens.
 
 Word frequencies come from the letters runs of all page texts. A host label is split into words by
-a unigram Viterbi search; only frequencies of substrings of labels are joined to them. Multinomial
+a unigram Viterbi search in time linear in its length; only frequencies of substrings of labels are joined to them. Multinomial
 naive Bayes learns from all pages that a rule decides and judges the others by the words of their
 host and the tokens of their path (digits count as `#`).
 
@@ -15,18 +15,20 @@ skipped; repeated rows are judged alike and each returned; columns pass through.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, slices, stored
 
 #: Fixed values: (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LONGEST_WORD = 20
+PIECE, LETTERS = 4096, re.compile("[a-z]+")
 
 
 def host_of(url: Column) -> Column:
@@ -68,19 +70,35 @@ def split_label(label: str, counts: dict[str, int], total: int) -> list[str]:
     return words[::-1]
 
 
+def parts_of(label: str) -> Iterator[set[str]]:
+    """The substrings of a label that can be words, a bounded piece of the label at a time."""
+    for at in range(0, len(label), PIECE):
+        runs = LETTERS.findall(label[at : at + PIECE + LONGEST_WORD - 1])
+        yield {m[i:j] for m in runs for i in range(len(m)) for j in range(i + 1, min(len(m), i + LONGEST_WORD) + 1)}
+
+
 def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """(label, words) for the distinct host labels in `labels`."""
     total = counts.agg(F.sum("n")).first()[0] or 0
-    labels = labels.select("label").distinct()
-    n = F.length("label")
-    starts = F.sequence(F.lit(1), n)
-    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), n - i + 1)), lambda k: F.substring(F.col("label"), i, k))))
-    parts = labels.select("label", F.explode(F.array_distinct(pieces)).alias("word"))
-    known = parts.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    rows = labels.join(known, "label", "left").select("label", F.col("known.word").alias("words"), F.col("known.n").alias("ns"))
+    labels = stored(labels.select("label").distinct().withColumn("id", F.monotonically_increasing_id()), "url-labels")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids, words = [], []
+            for label, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for part in parts_of(label):
+                    words += part
+                    ids += [number] * len(part)
+                    if len(ids) > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], ["id", "word"])
+                        ids, words = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], ["id", "word"])
+
+    known = labels.mapInArrow(cut, "id long, word string").join(counts, "word").groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    rows = labels.join(known, "id", "left").select("label", F.col("known.word").alias("words"), F.col("known.n").alias("ns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for label, words, ns in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 out.append(split_label(label, dict(zip(words or [], ns or [])), total))
@@ -96,7 +114,7 @@ def judge(pages: DataFrame, url: str = "url", text: str = "html", rules=RULES) -
     rule, by_rule = matching_rule(F.col("host"), F.col("path"), rules)
     urls = stored(urls.withColumns({"rule": rule, "by_rule": by_rule}), "url-hosts")
     label = F.explode(F.filter(F.split("host", r"[^\p{L}\p{N}]+"), lambda x: x != "")).alias("label")
-    words = segmented(urls.select(label), word_counts(pages, text))
+    words = segmented(urls.select(label), stored(word_counts(pages, text), "url-words"))
     of_host = urls.select("u", "pages", "by_rule", label).join(words, "label").select("u", "pages", "by_rule", F.explode("words").alias("token"))
     path = F.filter(F.split(F.regexp_replace(F.translate("path", UPPER, LOWER), "[0-9]", "#"), r"[^\p{L}\p{N}#]+"), lambda x: x != "")
     of_path = urls.select("u", "pages", "by_rule", F.explode(F.transform(path, lambda x: F.concat(F.lit("/"), x))).alias("token"))
@@ -115,5 +133,7 @@ def judge(pages: DataFrame, url: str = "url", text: str = "html", rules=RULES) -
     block_odds = F.when(F.col("by_rule").isNull(), F.coalesce("evidence", F.lit(0.0)) + odds0)
     judged = judged.select("u", "host", "path", "rule", F.coalesce("by_rule", F.when(F.round(block_odds, 9) > 0, "block").otherwise("allow")).alias("verdict"), block_odds.alias("block_odds"))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "block_odds")]
-    left = pages.select(*kept)
-    return left.join(judged, left[url].eqNullSafe(judged.u), "left").select(*kept, "host", "path", "rule", "verdict", "block_odds")
+    u = fresh(pages, "u")
+    left = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(url).alias(u))
+    judged = judged.withColumnRenamed("u", f"{u}_")
+    return left.join(judged, F.col(u).eqNullSafe(F.col(f"{u}_")), "left").select(*[F.col(f"`{c}`") for c in kept], "host", "path", "rule", "verdict", "block_odds")
