@@ -154,22 +154,28 @@ def disclosures(near: DataFrame, counts: DataFrame, texts: int, threshold: float
 
 
 def find(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """`df` with base and spans (arrays of start, kind, end; kind indexes KINDS)."""
+    """`df` with base and spans (arrays of start, kind, end; kind indexes KINDS).
+
+    Spans are a function of the text, so terms are met by its 128-bit hash. Texts without `@` and digits hold no
+    base value: they neither leave the JVM nor are shuffled with the others.
+    """
     kept = [c for c in df.columns if c not in ("base", "spans")]
-    row, copy, base, near, extra = (fresh(df, x) for x in ("row", "copy", "base", "near", "extra"))
-    own = df.select(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias(row), F.unhex(F.md5(F.col(text).cast("binary"))).alias(copy))
-    found = stored(with_base(own, text, base, near), "pii-base")  # row ids hold from here on
-    texts = found.filter(F.col(copy).isNotNull()).select(copy).distinct().count()
-    some = F.size(near) > 0
-    by = found.filter(some).select(F.col(row).alias("row"), F.col(copy).alias("copy"), F.explode(near).alias("x")).select("row", "copy", "x.*")
-    kind = F.concat(F.substring_index("entity", ":", 1), F.lit(":"))
-    by = by.withColumn("entity", F.explode(F.array("entity", kind)))
-    reveal = stored(disclosures(by, text_counts(found, text, copy), texts, threshold, support), "pii-terms")
-    hits = by.join(reveal, ["entity", "term"]).select(F.col("row").alias(row), F.struct("start", F.lit(4).alias("kind"), "end").alias("s"))
-    hits = hits.groupBy(row).agg(F.collect_set("s").alias(extra))
-    # texts without anything near are not shuffled
-    both = found.filter(some).join(hits, row, "left").unionByName(found.filter(~some), allowMissingColumns=True)
+    copy, base, near, extra = (fresh(df, x) for x in ("copy", "base", "near", "extra"))
+    own = df.select(*[F.col(f"`{c}`") for c in kept])
+    some = F.coalesce(F.col(text).rlike("[@0-9]"), F.lit(False))
+    digest = F.unhex(F.md5(F.col(text).cast("binary")))
+    held = with_base(own.filter(some).select(digest.alias(copy), text), text, base, near).filter(F.size(near) > 0)
+    held = stored(held.select(F.col(copy).alias("copy"), F.col(near).alias("near")).dropDuplicates(["copy"]), "pii-near")
+    by = held.select("copy", F.explode("near").alias("x")).select("copy", "x.*")
+    by = by.withColumn("entity", F.explode(F.array("entity", F.concat(F.substring_index("entity", ":", 1), F.lit(":")))))
+    once = own.filter(F.col(text).isNotNull()).select(digest.alias("copy"), F.col(text).alias("text"))
+    texts = once.select("copy").distinct().count()
+    reveal = stored(disclosures(by, text_counts(once, "text", "copy"), texts, threshold, support), "pii-terms")
+    hits = by.join(reveal, ["entity", "term"]).select(F.col("copy").alias(copy), F.struct("start", F.lit(4).alias("kind"), "end").alias("s"))
+    hits = hits.groupBy(copy).agg(F.collect_set("s").alias(extra))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    met = with_base(own.filter(some).withColumn(copy, digest), text, base, near).drop(near).join(hits.hint("merge"), copy, "left")
+    both = met.unionByName(own.filter(~some).withColumn(base, none), allowMissingColumns=True)
     return both.select(*[F.col(f"`{c}`") for c in kept], F.col(base).alias("base"), F.array_sort(F.concat(base, F.coalesce(extra, none))).alias("spans"))
 
 
