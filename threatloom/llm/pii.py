@@ -40,6 +40,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+#: What every base value holds a match of.
+HINT = r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.|[0-9]\.[0-9]++\.[0-9]++\.[0-9]|\+[0-9]|[0-9](?:[ -]?[0-9]){11}"
 TERM = re.compile(r"[^\W\d_]{3,}")
 
 
@@ -87,7 +89,7 @@ def near_terms(text: str, spans: list[tuple[int, int, int]], context: int = CONT
     ends = np.maximum.accumulate([e for _, _, e in spans]).tolist()
     starts = [s for s, _, _ in spans]
     for start, kind, end in spans:
-        entity = f"{KINDS[kind]}:{text[start:end].lower()}"
+        entity = f"{KINDS[kind]}={text[start:end].lower()}"
         low, high = text.rfind("\n", max(0, start - context), start) + 1, text.find("\n", end, end + context)
         low, high = low or max(0, start - context), min(len(text), end + context) if high < 0 else high
         for m in (*TERM.finditer(text, low, start), *TERM.finditer(text, end, high)):
@@ -145,9 +147,12 @@ def text_counts(df: DataFrame, text: str, copy: str) -> DataFrame:
 def disclosures(near: DataFrame, counts: DataFrame, texts: int, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """(entity, term, disclosure) above the threshold. `near`: (copy, entity, term), copy is a text's hash; `counts`:
     (term, n); `texts`: distinct texts."""
-    entities = near.select("copy", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_c")).filter(F.col("n_c") >= support)
-    pairs = near.join(entities, "entity").select("copy", "entity", "term", "n_c").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_tc"), F.first("n_c").alias("n_c"))
-    known = pairs.filter(F.col("n_tc") >= support).join(counts, "term")
+    pairs = near.select("copy", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_tc")).filter(F.col("n_tc") >= support)
+    entities = near.select("copy", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
+    kind = F.col("entity").endswith(":")  # the kinds are few but meet most terms; values are many
+    kinds, values = F.broadcast(entities.filter(kind)), entities.filter(~kind).hint("merge")
+    met = pairs.filter(kind).join(kinds, "entity").unionByName(pairs.filter(~kind).join(values, "entity"))
+    known = met.join(counts.hint("merge"), "term")
     n = F.lit(float(max(2, texts)))
     value = F.log(n * F.least("n_tc", "n") / (F.col("n") * F.col("n_c"))) / F.log(n / F.least("n_c", n - 1))
     return known.select("entity", "term", value.alias("disclosure")).filter(F.col("disclosure") >= threshold - 1e-9)
@@ -156,18 +161,18 @@ def disclosures(near: DataFrame, counts: DataFrame, texts: int, threshold: float
 def find(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """`df` with base and spans (arrays of start, kind, end; kind indexes KINDS).
 
-    Spans are a function of the text, so terms are met by its 128-bit hash. Texts without `@` and digits hold no
-    base value: they neither leave the JVM nor are shuffled with the others.
+    Spans are a function of the text, so terms are met by its 128-bit hash. Texts without a HINT hold no base value:
+    they neither leave the JVM nor are shuffled with the others.
     """
     kept = [c for c in df.columns if c not in ("base", "spans")]
     copy, base, near, extra = (fresh(df, x) for x in ("copy", "base", "near", "extra"))
     own = df.select(*[F.col(f"`{c}`") for c in kept])
-    some = F.coalesce(F.col(text).rlike("[@0-9]"), F.lit(False))
+    some = F.coalesce(F.col(text).rlike("[@0-9]") & F.col(text).rlike(HINT), F.lit(False))
     digest = F.unhex(F.md5(F.col(text).cast("binary")))
     held = with_base(own.filter(some).select(digest.alias(copy), text), text, base, near).filter(F.size(near) > 0)
     held = stored(held.select(F.col(copy).alias("copy"), F.col(near).alias("near")).dropDuplicates(["copy"]), "pii-near")
     by = held.select("copy", F.explode("near").alias("x")).select("copy", "x.*")
-    by = by.withColumn("entity", F.explode(F.array("entity", F.concat(F.substring_index("entity", ":", 1), F.lit(":")))))
+    by = by.withColumn("entity", F.explode(F.array("entity", F.concat(F.substring_index("entity", "=", 1), F.lit(":")))))
     once = own.filter(F.col(text).isNotNull()).select(digest.alias("copy"), F.col(text).alias("text"))
     texts = once.select("copy").distinct().count()
     reveal = stored(disclosures(by, text_counts(once, "text", "copy"), texts, threshold, support), "pii-terms")
