@@ -44,7 +44,7 @@ def test_normalise(spark, landing):
     assert (b.description, b.cvss_score, b.severity, b.cwe_ids, b.published_date) == ("From adp", 0.0, "NONE", ["CWE-79"], "2024-01-02")
     assert (c.description, c.severity, c.source_file) == ("Oui", "CRITICAL", "b/CVE-2024-4.json")
     n = records.counters(raw, records.normalised(raw)).first()
-    assert (n.total, n.written, n.skipped, n.no_cvss, n.no_cwe) == (5, 3, 2, 0, 1)
+    assert (n.total, n.written, n.skipped, n.errors, n.no_cvss, n.no_cwe) == (5, 3, 1, 1, 0, 1)
     assert records.normalised(raw, include_rejected=True).count() == 4 and records.scan(spark, str(landing), 2).count() == 2
     assert {r.cve_id: r.id for r in records.point_ids(records.normalised(raw)).collect()}["CVE-2024-1"] == str(uuid.uuid5(uuid.NAMESPACE_URL, "CVE-2024-1"))
 
@@ -138,7 +138,8 @@ def test_search(spark):
     links = spark.createDataFrame([("c5", "T1", "n"), ("c5", "T2", "m"), ("c9", "T1", "n")], "cve_id string, attack_id string, name string")
     chunks = spark.createDataFrame([("p1", [1.0, 0.0], "text")], "id string, vector array<float>, text string")
     out = search.similar(vectors, links, [1.0, 0.0], 3)
-    assert [r.cve_id for r in out.collect()] == ["c5", "c0", "c1"] if False else out.count() == 3
+    # of the first three by cosine none has links: 0.7 times the cosine, and 0.15
+    assert [(r.cve_id, r.final_score) for r in out.collect()] == [("c0", 0.85), ("c1", 0.846526), ("c2", 0.836407)]
     assert [r.cve_id for r in search.similar(vectors, links, [1.0, 0.0], 6, alpha=1.0).collect()] == [f"c{i}" for i in range(6)]
     assert search.similar(vectors, links, [1.0, 0.0], 6, alpha=0.0).first().cve_id == "c5"
     late = search.hybrid(vectors, links, chunks, [1.0, 0.0], "cve", 2, after_date="2024-03")
@@ -149,7 +150,9 @@ def test_search(spark):
         search.hybrid(vectors, links, chunks, [1.0], top_k=0)
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "vec_id long, embedding array<float>")
     assert vector.nearest_batch(v, v.filter("vec_id < 2"), 3, "vec_id", "embedding").count() == 6
-    assert search.record_line({"cve_id": "C", "cvss_score": 0.0}) == "C (CVSS N/A, UNKNOWN): "
+    reports_ = spark.createDataFrame([("p1", [1.0, 0.0], "a", "pdf"), ("p2", [1.0, 0.1], "b", "pdf"), ("p3", [1.0, 0.0], "a", "web")], "id string, vector array<float>, source string, source_type string")
+    assert [r.id for r in search.hybrid(vectors, links, reports_, [1.0, 0.0], "pdf").collect()] == ["p1", "p2"]
+    assert [r.id for r in search.hybrid(vectors, links, reports_, [1.0, 0.0], "pdf", report="b").collect()] == ["p2"]
     told = search.narrative(spark.createDataFrame([("q",)], "prompt string"), lambda p: "Body\nmore\nConfidence: high (sure)").first()
     assert (told.narrative, told.confidence) == ("Body\nmore", "HIGH")
 
@@ -170,19 +173,28 @@ def test_sync_three_calls(spark, tmp_path):
     schema, args = "id int, v string, at int", dict(key="id", order=["at"])
     (tmp_path / "in").mkdir()
 
+    table = sync.VersionedTable(spark, str(tmp_path / "t"), "id")
+    assert table.read() is None
+
     def put(name, *rows):
         (tmp_path / "in" / name).write_text("\n".join(json.dumps(dict(zip(("id", "v", "at"), r))) for r in rows))
 
     def run():
         sync.sync(spark, str(tmp_path / "in"), schema, str(tmp_path / "t"), str(tmp_path / "c"), **args)
-        return sorted((r.id, r.v) for r in sync.VersionedTable(spark, str(tmp_path / "t")).read().collect())
+        return sorted((r.id, r.v) for r in table.read().collect())
 
     put("a.json", (1, "x", 1), (1, "y", 2), (2, "z", 1))
     assert run() == [(1, "y"), (2, "z")]
-    version = sync.VersionedTable(spark, str(tmp_path / "t")).version()
-    assert run() == [(1, "y"), (2, "z")] and sync.VersionedTable(spark, str(tmp_path / "t")).version() == version
+    assert run() == [(1, "y"), (2, "z")] and table.versions() == [1]
     put("b.json", (2, "new", 3), (3, "q", 1))
     assert run() == [(1, "y"), (2, "new"), (3, "q")]
+    kept = [p for p in (tmp_path / "t" / "v=2").glob("b=*")]
+    assert len(kept) == 2 and table.versions() == [1, 2]  # only the buckets of 2 and 3 were written again
+    gone = spark.createDataFrame([(1,)], "id int")
+    table.upsert(table.read().limit(0), gone)
+    assert sorted(r.id for r in table.read().collect()) == [2, 3]
+    (tmp_path / "t" / "m=4").mkdir()  # a version that was not finished
+    assert table.versions() == [1, 2, 3]
     assert (sync.health({"a": 1, "b": 2}), sync.health({"a": 0, "b": 2}), sync.health({"a": None})) == ("ok", "degraded", "not_ready")
 
 
@@ -198,3 +210,190 @@ def test_triples(spark):
     raw = spark.createDataFrame([("c1", [("Foo", "e", "rce"), ("foo", "", ""), (" ", "x", "y")])], "cve_id string, triples array<struct<software:string,evidence:string,attack_class:string>>")
     nodes, edges = records.triples(raw)
     assert [r.name for r in nodes.collect()] == ["Foo"] and sorted(r.description for r in edges.collect()) == ["", "e [rce"]
+
+
+def test_entity_mentions_add_all_aliases(spark, tmp_path):
+    e = spark.createDataFrame([("Emotet", "S1", "software", ["Geodo", "Emo Net", "Emo"]), ("APT29", "G1", "group", ["CozyBear", "Cozy Bear"])], match.ENTITY)
+    aliases = match.alias_dictionary(e, spark.createDataFrame([], "key string"))
+    chunks = spark.createDataFrame([(1, "s1", "A > B", "Emotet and Geodo and emotet, emo net"), (2, "s2", "", "x" * 150 + " cozy bear or APT29 or apt29 or CozyBear"), (3, "s3", "", "geodot apt29"), (4, "s1", "C", "GEODO\nCVE-2024-1234 CVE-2024-1234 T1059.001 T12345")], "id int, source string, section string, text string")
+    found = match.entity_mentions(chunks, aliases, ["id", "source", "section"])
+    rows = {(r.id, r.attack_id): (r.n, r.strategy) for r in found.collect()}
+    assert rows == {(1, "S1"): (4, "case-insensitive"), (2, "G1"): (3, "case-sensitive"), (4, "S1"): (1, "case-insensitive")}
+    assert {r.id: r.context for r in found.collect()}[2].startswith("..." + "x" * 86 + " cozy bear or APT29")
+    totals = match.entity_totals(found, ["id"], "source", "section")
+    t = {r.canonical: r for r in totals.collect()}
+    assert (t["Emotet"]["count"], t["Emotet"].chunks, t["Emotet"].source, t["Emotet"].section, t["APT29"]["count"]) == (5, 2, "s1", "A > B", 3)
+    corpus = match.corpus_totals(chunks, totals, "text", X.RECORD_ID, X.TECHNIQUE_ID)
+    assert tuple(corpus.first()) == (4, 2, 1, 1)
+    report = match.match_report(totals, match.id_counts(chunks, "text", X.RECORD_ID), match.id_counts(chunks, "text", X.TECHNIQUE_ID), corpus, "v1")
+    assert "| 1 | Emotet | S1 | software | case-insensitive | 5 | 2 |" in report and "| 1 | CVE-2024-1234 | 2 |" in report and "T1059.001" in report
+    nodes = spark.createDataFrame([("Group", "G", "G1", [" Bear ", "bear", "BEAR2", "abc", "Word"]), ("Software", "S", "S1", None), ("Tactic", "T", "x", ["long name"])], "label string, name string, attack_id string, aliases array<string>")
+    entities = match.entities_of(nodes, spark.createDataFrame([("WORD",)], "key string"))
+    assert {r.attack_id: (r.type, r.aliases) for r in entities.collect()} == {"G1": ("group", ["Bear", "BEAR2"]), "S1": ("software", [])}
+    match.write_aliases(entities, str(tmp_path / "d"))
+    assert {r.canonical: r.aliases for r in match.read_aliases(spark, str(tmp_path / "d")).collect()} == {"G": ["Bear", "BEAR2"], "S": []}
+    assert tuple(match.alias_stats(entities).first()) == (1, 1, 2)
+    audit = match.alias_audit(nodes, spark.createDataFrame([("bear",), ("word",)], "word string")).collect()
+    assert [(r.problem, r.alias) for r in audit] == [("short", "Bear"), ("short", "bear"), ("short", "Word"), ("short", "BEAR2"), ("common", "Bear"), ("common", "bear"), ("common", "Word")]
+    (tmp_path / "k.json").write_text(json.dumps({"categories": {"x": ["A b"]}, "exclude": ["C"]}))
+    assert match.keyword_map(str(tmp_path / "k.json")) == ({"x": ["a b"]}, ["c"])
+
+
+def test_expand_with_similar_records(spark):
+    records_ = spark.createDataFrame([("c1", "alpha beta"), ("c2", "alpha beta"), ("c3", "gamma"), ("c4", None)], "cve_id string, description string")
+    embed = search.hashing_embedder()
+    vectors = search.embedded(records_.withColumn("t", F.coalesce("description", "cve_id")), "t", embed)
+    none = spark.createDataFrame([], "cve_id string, attack_id string, cwe_id string, tactic string, kind string, actor string")
+    args = [none.select("cve_id", "attack_id", "cwe_id"), none.select("attack_id", "tactic"), none.select("attack_id", "kind", "actor"), vectors, embed]
+    out = {r.cve_id: [x.cve_id for x in r.similar] for r in search.expand(records_.filter("cve_id in ('c1', 'c4')"), records_, *args, k=2).collect()}
+    assert out["c1"][0] == "c2" and len(out["c1"]) == 2 and "c4" not in out["c4"] and set(out) == {"c1", "c4"}
+
+
+def test_nearest_batch_keeps_ties_by_key(spark):
+    v = spark.createDataFrame([(99 - i, [1.0, 0.0]) for i in range(60)] + [(200, [0.0, 1.0]), (201, None)], "id long, v array<float>").repartition(5)
+    out = vector.nearest_batch(v, v.filter("id in (99, 200)"), 5, "id", "v").collect()
+    assert sorted((r["query"], r["rank"], r.neighbour) for r in out) == [(99, k + 1, 40 + k) for k in range(5)] + [(200, k + 1, 40 + k) for k in range(5)]
+
+
+def test_prompts(spark):
+    t = "array<struct<attack_id:string,name:string>>"
+    rows = [("q1", k + 1, f"c{k}", None if k else "HIGH", 9.81 if k == 0 else 0.0, "d" * 300 if k == 0 else None, [("T2", f"n{k}"), (None, "x"), (f"T9{k}", "m")] if k % 2 == 0 else None) for k in range(7)]
+    results = spark.createDataFrame(rows, f"query_id string, rank int, cve_id string, severity string, cvss_score double, description string, techniques {t}")
+    details = spark.createDataFrame([("q2", [("T1", "One")], [f"g{i}" for i in range(12)], [])], f"query_id string, techniques {t}, groups array<string>, software array<string>")
+    out = {r.query_id: r for r in search.prompts(spark.createDataFrame([("q1", "what {n}?"), ("q2", "x"), ("q3", None)], "query_id string, query string"), results, details).collect()}
+    lines = out["q1"].records.split("\n")
+    assert lines[0] == f"- c0 [HIGH, CVSS 9.8]: {'d' * 200}..." and lines[1] == "  ATT&CK: T2, T90" and lines[2] == "- c1 [UNKNOWN, CVSS N/A]: ..." and lines[3] == "  ATT&CK: none mapped" and len(lines) == 10
+    assert out["q1"].graph == "Techniques across results: T2 (n4), T90 (m), T92 (m), T94 (m)" and out["q1"].n == 7
+    assert out["q2"].graph == "Techniques: T1 (One)\nThreat groups: " + ", ".join(f"g{i}" for i in range(10)) and out["q2"].records == search.NO_RECORDS
+    assert out["q3"].graph == search.NO_GRAPH and "what {n}?" in out["q1"].prompt and out["q1"].prompt.count("CONFIDENCE") == 1
+    model = lambda texts: [[{"text": x[:3], "label": "L", "score": 0.36}, {"text": "no", "label": "L", "score": 0.3}] for x in texts]
+    found = search.model_entities(spark.createDataFrame([("abc" * 200,), ("short",), (None,)], "text string"), model).collect()
+    assert [[(e.text, e.confidence) for e in r.entities] for r in found] == [[("abc", 0.36)], [], []]
+
+
+def test_eval_runner(spark, tmp_path):
+    rows = [(1, "cve-1", "cve", ["T1"], ["Bear"], [], "a"), (2, "free", "search", ["T1", "T2"], [], ["C9"], "a"), (3, "bad", "investigate", [], [], [], "b")]
+    queries = spark.createDataFrame(rows, "id long, query string, hit_endpoint string, expected_techniques array<string>, expected_groups array<string>, expected_cves array<string>, category string")
+
+    def answer(endpoint, query):
+        if endpoint == "investigate":
+            raise ValueError("down")
+        return {"id": query, "groups": ["BEAR"], "t": "t1"} if endpoint == "cve" else [{"result_type": "pdf_chunk", "text": "T1"}, {}]
+
+    out = evalkit.scored(queries, evalkit.answered(queries, answer))
+    r = {x.id: x for x in out.collect()}
+    assert "cve-1" in r[1].blob and (r[1].technique_recall, r[1].actor_hit, r[1].cve_hit, r[1].n_results) == (1.0, True, True, 0)
+    assert (r[2].technique_recall, r[2].technique_hit, r[2].cve_hit, r[2].pdf_hit, r[2].n_results) == (0.5, True, False, True, 2)
+    assert (r[3].error, r[3].technique_recall, r[3].actor_hit) == ("down", 0.0, False)
+    low = F.transform("expected_techniques", F.lower)
+    total = evalkit.summary(out.select("category", low.alias("expected"), "blob", "latency", "error"), "category", "latency", 3)
+    t = {x.category: x for x in total.collect()}
+    assert (t[None].n, t[None].n_ok, t[None].n_errors, t[None].recall, t["a"].hit_rate, t["b"].n_ok, t["b"].p95) == (3, 2, 1, 0.75, 100.0, 0, None)
+    evalkit.outputs(out, total, "category", str(tmp_path / "e"))
+    assert spark.read.json(str(tmp_path / "e/per_query")).count() == 3 and "overall" in "".join(x.value for x in spark.read.text(str(tmp_path / "e/text")).collect())
+    assert spark.createDataFrame([(1, "A")], "x int, y string").select(evalkit.blob().alias("b")).first().b == '{"x":1,"y":"a"}'
+
+
+def test_ranked_value(spark):
+    from threatloom.operators.ranks import ranked_value
+
+    rows = [("a", float(n)) for n in range(1, 101)] + [("b", 7.0), (None, 1.0), (None, 2.0), ("c", None)]
+    out = {r.k: r.p95 for r in ranked_value(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert out == {"a": 95.0, "b": 7.0, None: 1.0}
+
+
+def test_last_edge_wins_and_document_edges(spark):
+    nodes = spark.createDataFrame([(1,), (2,)], "id int")
+    edges = spark.createDataFrame([(1, 2, w, 5 - w) for w in range(6)], "src int, dst int, w int, at int").repartition(6)
+    assert [tuple(r) for r in graph.merge_edges(edges.limit(0), edges, ["src", "dst"], nodes, nodes, ["at"]).collect()] == [(1, 2, 0, 5)]
+    assert [r.w for r in graph.merge_edges(edges.limit(0), edges, ["src", "dst"], nodes, nodes).collect()] == [5]
+    new = spark.createDataFrame([(1, 2, None, None, "d1"), (1, 2, "x", 0.5, "d2"), (1, 3, "y", 0.5, "d1")], "src int, dst int, description string, confidence double, source_doc string")
+    old = new.withColumn("type", F.lit("USES")).limit(0)
+    out = graph.merge_document_edges(old, new, "USES", nodes, nodes)
+    assert sorted((r.source_doc, r.description, r.confidence) for r in out.collect()) == [("d1", "", 0.0), ("d2", "x", 0.5)]
+    with pytest.raises(ValueError):
+        graph.merge_document_edges(old, new, "OWNS", nodes, nodes)
+
+
+def test_object_projections(spark):
+    space = uuid.UUID(graph.OBJECT_NAMESPACE)
+    r = spark.createDataFrame([("CVE-2024-1", None, 5.0, "LOW", ["CWE-79"], "2024-01-02"), ("CVE-2024-2", "d", None, None, None, "soon")], "cve_id string, description string, cvss_score double, severity string, cwe_ids array<string>, published_date string")
+    v = {x.name: x for x in graph.vulnerabilities(r).collect()}
+    one = v["CVE-2024-1"]
+    assert one.id == f"vulnerability--{uuid.uuid5(space, 'CVE-2024-1')}" and one.description == "" and [x.url for x in one.external_references] == ["https://nvd.nist.gov/vuln/detail/CVE-2024-1", "https://cwe.mitre.org/data/definitions/79.html"]
+    assert v["CVE-2024-2"].created is None and v["CVE-2024-2"].x_cwe_ids == []
+    rel = graph.relationships(spark.createDataFrame([("CVE-2024-1", "T1", "CWE-79"), ("CVE-2024-1", "T2", "CWE-79")], "cve_id string, technique string, cwe_id string"), spark.createDataFrame([("T1", "attack-pattern--x")], "attack_id string, stix_id string")).collect()
+    key = f"{one.id}:pattern-of:attack-pattern--x"
+    assert [x.id for x in rel] == [f"relationship--{uuid.uuid5(space, key)}"] and rel[0].description == "CVE-2024-1 (CWE-79) maps to ATT&CK T1"
+
+
+def test_vectors_resume_and_count(spark, tmp_path):
+    r = spark.createDataFrame([("a", "x"), ("b", "y"), ("a", "x")], "cve_id string, t string")
+    calls = []
+
+    def into(df):
+        calls.append(sorted(x.cve_id for x in df.collect()))
+        return search.embedded(df, "t", search.hashing_embedder(4)).drop("t")
+
+    assert vector.append_vectors(r, str(tmp_path / "v"), "cve_id", into).count() == 2
+    whole = vector.append_vectors(r.union(spark.createDataFrame([("c", "z")], r.schema)), str(tmp_path / "v"), "cve_id", into)
+    assert calls == [["a", "b"], ["c"]] and vector.aligned(whole, whole) == 3
+    with pytest.raises(ValueError):
+        vector.aligned(whole, whole.limit(1))
+
+
+def test_files_changes_and_reports(spark, tmp_path):
+    paths = ["in/a.json", "in/b/a.md", "in/_x.json", "in/parse_summary.json", "in/c.md", "in/d.pdf", "in/e.v2.json"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert {r.stem: (r.json_path, r.md_path) for r in bundles.document_files(files).collect()} == {"a": ("in/a.json", "in/b/a.md"), "c": (None, "in/c.md"), "e.v2": ("in/e.v2.json", None)}
+    h = lambda *rows: spark.createDataFrame(list(rows), "path string, hash string")
+    assert {r.path: r.change for r in sync.changes(h(("a", "1"), ("b", "2"), ("n", "1")), h(("a", "1"), ("b", "1"), ("g", "1"))).collect()} == {"b": "changed", "n": "new", "g": "deleted"}
+    chunks = spark.createDataFrame([("d1", "s", 2024, 1, "x", 3), ("d1", "s", 2023, 0, " ", 1), ("d2", "t", 2020, 0, "", None)], "doc_id string, source string, year int, chunk_index int, text string, token_count int")
+    mentions = spark.createDataFrame([("s", "A"), ("s", "A"), ("s", "B")], "source string, attack_id string")
+    assert {r.source: (r.chunk_count, r.year, r.n_entities) for r in reports.report_nodes(chunks, mentions).collect()} == {"s": (2, 2023, 2), "t": (1, 2020, 0)}
+    summary = {r.doc_id: (r.chunks, r.tokens, r.status) for r in reports.write_by_document(chunks, str(tmp_path / "out")).collect()}
+    assert summary == {"d1": (2, 4, "ok"), "d2": (1, 0, "empty")} and (tmp_path / "out" / "doc_id=d1").is_dir()
+    (tmp_path / "b.json").write_text(json.dumps({"objects": [{"type": "tool", "id": "t", "name": "n"}]}))
+    assert bundles.first_available(spark, [str(tmp_path / "no.json"), str(tmp_path / "b.json")]).count() == 1
+    with pytest.raises(FileNotFoundError):
+        bundles.first_available(spark, [str(tmp_path / "no.json")])
+    rows = records.cached(files, str(tmp_path / "cache"), "path", lambda df: df.withColumn("n", F.length("path")))
+    assert rows.count() == 7 and records.cached(files, str(tmp_path / "cache"), "path", lambda df: df.withColumn("n", F.length("path"))).count() == 7
+    records.write_jsonl(files, str(tmp_path / "j"))
+    assert records.jsonl(spark, str(tmp_path / "j"), "path string").count() == 7
+
+
+def test_ids_and_technique_texts(spark):
+    df = spark.createDataFrame([(" cve-2024-12345 ", ["a", "b"], "N", "d" * 600), ("xCVE-2024-1234", None, None, None)], "i string, t array<string>, n string, d string")
+    r = df.select(X.is_record_id(F.col("i")), X.path_id(F.col("i")), X.technique_text(F.col("t"), F.col("n"), F.col("d"))).collect()
+    assert tuple(r[0]) == (True, "CVE-2024-12345", "a | b | N: " + "d" * 500) and tuple(r[1]) == (False, "XCVE-2024-1234", ": ")
+    with pytest.raises(Exception, match="no year"):
+        df.select(X.year_of(F.col("n"), strict=True)).collect()
+
+
+def test_deep_groups_and_cycles(spark):
+    schema = "doc_id string, body struct<children:array<struct<`$ref`:string>>>, texts array<struct<label:string,level:int,text:string,prov:array<struct<page_no:int>>>>, groups array<struct<label:string,children:array<struct<`$ref`:string>>>>"
+    tree = lambda n, last: [("d", ([("#/groups/0",)],), [("text", None, "deep", None)], [("g", [(f"#/groups/{i + 1}" if i + 1 < n else last,)]) for i in range(n)])]
+    assert [r.text for r in bundles.tree_items(spark.createDataFrame(tree(9, "#/texts/0"), schema)).collect()] == ["deep"]
+    with pytest.raises(Exception, match="inside itself"):
+        bundles.tree_items(spark.createDataFrame(tree(3, "#/groups/0"), schema)).collect()
+
+
+def test_short_phrases_meet_by_characters(spark):
+    docs = spark.createDataFrame([(1, "a, b\nxyz"), (2, "é−é"), (3, None)], "d int, t string")
+    p = spark.createDataFrame([(1, ", "), (2, "\nx"), (3, "é−"), (4, "zz"), (5, "b\nxyz")], "i int, p string")
+    assert sorted((r.d, r.i, r["at"]) for r in match.phrase_mentions(docs, p, "d", "t", "i", "p").collect()) == [(1, 1, 2), (1, 2, 5), (1, 5, 4), (2, 3, 1)]
+
+
+def test_packing_long_documents(spark):
+    sizes = [1 + (i * 7) % 9 for i in range(3000)]
+    df = spark.createDataFrame([(1, "\n".join("w " * n for n in sizes)), (2, ""), (3, None)], "d int, t string")
+    groups, used = [[]], 0
+    for n in sizes:
+        if used and used + n > 50:
+            groups.append([])
+            used = 0
+        groups[-1].append(n)
+        used += n
+    out = reports.pack_paragraphs(df, "d", "t", budget=50).orderBy("group").collect()
+    assert [(r["group"], r.paragraphs, r.tokens) for r in out] == [(i, len(g), sum(g)) for i, g in enumerate(groups)]

@@ -60,6 +60,33 @@ def embed_text(level: Column, ids: Column, description: Column) -> Column:
     return F.when(desc == "", prefix).when(prefix == "", desc).otherwise(F.concat(prefix, F.lit(": "), desc))
 
 
+def technique_text(tactics: Column, name: Column, description: Column, cut: int = 500) -> Column:
+    """"tactic | tactic | name: description", the description cut; no tactics, no bar."""
+    where = F.array_join(F.coalesce(tactics, F.array().cast("array<string>")), " | ")
+    text = F.concat(F.coalesce(name, F.lit("")), F.lit(": "), F.substring(F.coalesce(description, F.lit("")), 1, cut))
+    return F.when(where == "", text).otherwise(F.concat(where, F.lit(" | "), text))
+
+
+def is_record_id(c: Column) -> Column:
+    """A whole record id, in any case, with white space around it or not."""
+    return stripped(c).rlike(r"(?i)^CVE-\d{4}-\d{4,}$")
+
+
+def path_id(c: Column) -> Column:
+    """An id as it stands in a path, in the case that tables hold."""
+    return F.upper(stripped(c))
+
+
+def record_line(record: dict[str, Column]) -> Column:
+    """Two lines of a prompt's context: id, severity, score and cut description; attack ids. Score 0 counts as none."""
+    score = F.when(F.coalesce(record["cvss_score"], F.lit(0.0)) == 0, "CVSS N/A").otherwise(F.format_string("CVSS %.1f", record["cvss_score"]))
+    level = F.coalesce(F.nullif(record["severity"], F.lit("")), F.lit("UNKNOWN"))
+    ids = F.nullif(F.array_join(record["techniques"], ", "), F.lit(""))
+    return F.concat(
+        F.lit("- "), record["cve_id"], F.lit(" ["), level, F.lit(", "), score, F.lit("]: "), F.substring(F.coalesce(record["description"], F.lit("")), 1, 200), F.lit("...\n  ATT&CK: "), F.coalesce(ids, F.lit("none mapped"))
+    )
+
+
 def is_codename(alias: Column) -> Column:
     """One token, all capitals or with a capital after the first character."""
     return ~F.contains(alias, F.lit(" ")) & (alias.rlike(r"^[A-Z][A-Z0-9\-_.]+$") | alias.rlike(r"^.+[A-Z]"))
@@ -113,8 +140,9 @@ def source_label(stem: Column, labels: dict[str, str]) -> Column:
     return out
 
 
-def year_of(label: Column, overrides: dict[str, int] | None = None) -> Column:
+def year_of(label: Column, overrides: dict[str, int] | None = None, strict: bool = False) -> Column:
+    """The label's override, else its first four digits; none is null, or an error if `strict`."""
     out = F.nullif(F.regexp_extract(label, r"\d{4}", 0), F.lit("")).cast("int")
     for key, year in (overrides or {}).items():
         out = F.when(label == key, year).otherwise(out)
-    return out
+    return F.coalesce(out, F.raise_error(F.concat(F.lit("no year in "), F.coalesce(label, F.lit("null")))).cast("int")) if strict else out

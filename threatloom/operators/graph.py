@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threatloom.functions.text import uuid5
+
 
 def hop(edges: DataFrame, nodes: DataFrame, on: str, key: str) -> DataFrame:
     """Edges with the columns of the node they end in; edges without that node go."""
@@ -53,13 +55,79 @@ def merge_nodes(old: DataFrame, new: DataFrame, key: str, overwrite: bool = Fals
     return both.select(*out)
 
 
-def merge_edges(old: DataFrame, new: DataFrame, key: list[str], sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """Upsert edges (src, dst, ...) whose ends exist; the last of a key in `new` wins over `old`."""
+def merge_edges(old: DataFrame, new: DataFrame, key: list[str], sources: DataFrame, targets: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Upsert edges (src, dst, ...) whose ends exist; of several rows of a key in `new` the last by `order` wins over `old`.
+
+    Without an order, the largest row (by all its columns) is the last. Columns of `old` decide what is kept.
+    """
     ends = new.join(sources.select(F.col(sources.columns[0]).alias("src")).distinct(), "src", "left_semi").join(targets.select(F.col(targets.columns[0]).alias("dst")).distinct(), "dst", "left_semi")
-    fresh = ends.dropDuplicates(key)
+    rest = F.struct(*ends.columns)
+    ranked = F.struct(F.struct(*order).alias("by"), rest.alias("row")) if order else F.struct(rest.alias("row"))
+    fresh = ends.groupBy(*key).agg(F.max(ranked).alias("_last")).select("_last.row.*")
     return old.join(fresh, key, "left_anti").unionByName(fresh.select(*old.columns))
 
 
+#: Edge types that extracted relationships may have.
+EXTRACTED = ("EXPLOITS", "AFFECTS", "TARGETS", "USES", "RELATED_TO")
+
+
+def merge_document_edges(old: DataFrame, new: DataFrame, kind: str, sources: DataFrame, targets: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Upsert extracted edges of one allowed type, one a (src, dst, source_doc): null texts become empty, null confidences 0."""
+    if kind not in EXTRACTED:
+        raise ValueError(f"not an allowed edge type: {kind}")
+    filled = new.withColumns({"description": F.coalesce("description", F.lit("")), "confidence": F.coalesce("confidence", F.lit(0.0)), "source_doc": F.coalesce("source_doc", F.lit(""))})
+    return merge_edges(old, filled.withColumn("type", F.lit(kind)), ["type", "src", "dst", "source_doc"], sources, targets, order)
+
+
+def named(nodes: DataFrame, part: str, name: str = "name") -> DataFrame:
+    """Nodes whose name holds `part` (case counts)."""
+    return nodes.filter(F.contains(name, F.lit(part)))
+
+
+def collected(edges: DataFrame, by: str, value: str, into: str) -> DataFrame:
+    """`by`, and the sorted array of `value`s with repeats."""
+    return edges.filter(F.col(value).isNotNull()).groupBy(by).agg(F.array_sort(F.collect_list(value)).alias(into))
+
+
+def top_names(edges: DataFrame, by: str, name: str, n: int = 20) -> DataFrame:
+    """(by, name): the first n distinct names of each key in order; Spark limits per partition before it shuffles."""
+    order = Window.partitionBy(by).orderBy(name)
+    return edges.select(by, name).distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
+
+
+def counted(edges: DataFrame, by: str, value: str, into: str) -> DataFrame:
+    """`by`, and how many distinct `value`s it meets."""
+    return edges.select(by, value).distinct().groupBy(by).agg(F.count(value).alias(into))
+
+
+#: Fixed value: namespace of the ids of vulnerability and relationship objects.
+OBJECT_NAMESPACE = "4f6e8b2a1c3d5e7f9a0b2c4d6e8f1a3b"
+
+
+def vulnerabilities(records: DataFrame) -> DataFrame:
+    """Vulnerability objects of records (cve_id, description, cvss_score, severity, cwe_ids, published_date): id, name, description,
+    created (start of the day of publication, null if that is no date), external_references and the x_ properties."""
+    ids = F.coalesce("cwe_ids", F.array().cast("array<string>"))
+    reference = lambda source, key, url: F.struct(F.lit(source).alias("source_name"), key.alias("external_id"), url.alias("url"))
+    own = F.array(reference("cve", F.col("cve_id"), F.concat(F.lit("https://nvd.nist.gov/vuln/detail/"), "cve_id")))
+    others = F.transform(ids, lambda c: reference("cwe", c, F.concat(F.lit("https://cwe.mitre.org/data/definitions/"), F.replace(c, F.lit("CWE-"), F.lit("")), F.lit(".html"))))
+    return records.select(
+        F.concat(F.lit("vulnerability--"), uuid5(OBJECT_NAMESPACE, F.col("cve_id"))).alias("id"), F.lit("vulnerability").alias("type"), F.col("cve_id").alias("name"), F.coalesce("description", F.lit("")).alias("description"),
+        F.col("published_date").try_cast("date").alias("created"), F.concat(own, others).alias("external_references"),
+        F.col("cvss_score").alias("x_cvss_score"), F.col("severity").alias("x_severity"), ids.alias("x_cwe_ids"), F.col("published_date").alias("x_published_date"),
+    )
+
+
+def relationships(derived: DataFrame, techniques: DataFrame) -> DataFrame:
+    """Relationship objects of derived edges (cve_id, technique, cwe_id) to techniques (attack_id, stix_id)."""
+    met = derived.join(techniques.select(F.col("attack_id").alias("technique"), F.col("stix_id").alias("target_ref")), "technique")
+    source = F.concat(F.lit("vulnerability--"), uuid5(OBJECT_NAMESPACE, F.col("cve_id")))
+    met = met.withColumn("source_ref", source)
+    key = F.concat_ws(":", "source_ref", F.lit("pattern-of"), "target_ref")
+    text = F.concat("cve_id", F.lit(" ("), "cwe_id", F.lit(") maps to ATT&CK "), "technique")
+    return met.select(F.concat(F.lit("relationship--"), uuid5(OBJECT_NAMESPACE, key)).alias("id"), F.lit("pattern-of").alias("relationship_type"), "source_ref", "target_ref", text.alias("description"), F.col("cwe_id").alias("x_cwe_id"), F.col("technique").alias("x_attack_technique_id"))
+
+
 def drop_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Remove nodes and their edges."""
     ids = gone.select(F.col(key).alias("_gone")).distinct()

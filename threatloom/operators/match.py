@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threatloom.functions.text import is_codename, snippet
+from threatloom.functions.text import is_codename, snippet, stripped
+
+#: Short phrases meet texts by so many characters at most.
+GRAM = 4
 
 
 def categories(text: Column, keywords: dict[str, list[str]]) -> Column:
@@ -27,24 +30,31 @@ def classified(df: DataFrame, text: str, keywords: dict[str, list[str]], exclude
     return out.withColumn("excluded", (F.size("categories") == 0) & F.coalesce(barred | (F.trim(low) == ""), F.lit(True)))
 
 
+def words(c: Column) -> Column:
+    """Distinct words (runs of letters and digits)."""
+    return F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+
+
 def phrase_mentions(docs: DataFrame, phrases: DataFrame, key: str, text: str, item: str, phrase: str) -> DataFrame:
-    """(key, item, at): first place of every phrase in every text that holds it.
+    """(key, item, at): first place of every phrase in every text that holds it. Keys are unique in `docs`.
 
-    Candidate and verify: a phrase's longest word of letters meets the texts' words in an equi-join, so
-    no text is compared with every phrase; `instr` then decides. Phrases without a word don't match.
+    Candidate and verify: keys and words, not texts, meet the longest inner word of the phrases in an equi-join; texts join
+    what is left, and `instr` decides. The outer words of a phrase may be part of longer words in a text, so phrases of
+    fewer than three words meet by their first characters (as many as the shortest has, GRAM at most) instead.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    inner = F.expr(f"filter(split({phrase}, '[^\\\\p{{L}}\\\\p{{N}}]+'), w -> w <> '')")
-    # the outer words of a phrase may be part of longer words in a text, inner ones can't
+    inner = F.filter(F.split(F.col(phrase), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     inner = F.when(F.size(inner) > 2, F.slice(inner, 2, F.size(inner) - 2)).otherwise(F.array().cast("array<string>"))
     longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), F.lit(-1))["w"]
-    asked = phrases.select(item, phrase, F.when(F.size(inner) > 0, longest).alias("_word"))
-    with_word = asked.filter("_word is not null")
-    texts = docs.select(key, text, F.explode(words(F.col(text))).alias("_word"))
-    found = texts.join(with_word, "_word").select(key, item, F.instr(F.col(text), F.col(phrase)).alias("at"))
-    short = asked.filter("_word is null").filter(F.length(phrase) > 0).select(item, phrase)
-    rest = docs.select(key, text).join(short, F.instr(F.col(text), F.col(phrase)) > 0).select(key, item, F.instr(F.col(text), F.col(phrase)).alias("at"))
-    return found.filter("at > 0").unionByName(rest).distinct()
+    asked = phrases.filter(F.length(phrase) > 0).select(item, phrase, F.when(F.size(inner) > 0, longest).alias("_word"))
+    found = docs.select(key, F.explode(words(F.col(text))).alias("_word")).join(asked.filter("_word is not null").select(item, "_word"), "_word").select(key, item)
+    short = asked.filter("_word is null").select(item, phrase)
+    least = short.agg(F.min(F.length(phrase))).first()[0]
+    if least:
+        n = min(GRAM, least)
+        grams = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        found = found.unionByName(docs.select(key, F.explode(grams).alias("_word")).join(short.withColumn("_word", F.substring(phrase, 1, n)), "_word").select(key, item))
+    met = docs.select(key, text).join(found.distinct(), key).join(phrases.select(item, phrase), item)
+    return met.select(key, item, F.instr(F.col(text), F.col(phrase)).alias("at")).filter("at > 0").distinct()
 
 
 def first_contexts(mentions: DataFrame, by: list[str], order: list[str], context: str, n: int = 10) -> DataFrame:
@@ -74,16 +84,119 @@ def alias_dictionary(entities: DataFrame, stoplist: DataFrame, least: int = 4) -
     return each.select("canonical", "attack_id", "type", "alias", exact.alias("exact"), F.when(exact, word).otherwise(F.concat(F.lit("(?iu)"), word)).alias("pattern")).orderBy("attack_id", F.desc(F.length("alias")), "alias")
 
 
+def entity_patterns(aliases: DataFrame) -> DataFrame:
+    """(attack_id, type, canonical, exact, any_case): one alternation, longest alias first, of each entity's code names and of
+    its other aliases; null where there are none."""
+    each = aliases.select("attack_id", "type", "canonical", "exact", F.struct((-F.length(F.trim("alias"))).alias("n"), F.trim("alias").alias("a")).alias("x"))
+    joined = lambda exact, flags: F.transform(
+        F.array(F.array_sort(F.collect_set(F.when(F.col("exact") == exact, F.col("x"))))),
+        lambda xs: F.when(F.size(xs) > 0, F.concat(F.lit(flags + r"(?<![\p{L}\p{N}_])(?:"), F.array_join(F.transform(xs, lambda x: F.concat(F.lit(r"\Q"), x["a"], F.lit(r"\E"))), "|"), F.lit(r")(?![\p{L}\p{N}_])"))),
+    )[0]
+    return each.groupBy("attack_id", "type", "canonical").agg(joined(True, "").alias("exact"), joined(False, "(?iu)").alias("any_case"))
+
+
 def entity_mentions(chunks: DataFrame, aliases: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """key columns, attack_id, type, canonical, n (matches of the alias that matches most), context (first).
+    """key columns, attack_id, type, canonical, n, strategy and context of every entity in every text. Keys are unique in `chunks`.
+
+    n adds the non-overlapping matches of code names (exact) and of other aliases (any case); strategy and context are
+    those of the first exact match if there is one. Like phrases, aliases meet keys by their first word, without texts.
+    """
+    head = F.lower(F.regexp_extract("alias", r"[\p{L}\p{N}]+", 0))
+    asked = aliases.select(head.alias("_word"), "attack_id", "type", "canonical").distinct()
+    met = chunks.select(*key, F.explode(words(F.lower(F.col(text)))).alias("_word")).join(asked, "_word").drop("_word").distinct()
+    met = chunks.select(*key, text).join(met, key).join(entity_patterns(aliases), ["attack_id", "type", "canonical"])
+    count = lambda pattern: F.when(F.col(pattern).isNull(), 0).otherwise(F.regexp_count(F.col(text), F.col(pattern)))
+    hits = met.withColumns({"_a": count("exact"), "_b": count("any_case")}).withColumn("n", F.col("_a") + F.col("_b")).filter("n > 0")
+    first = F.when(F.col("_a") > 0, F.col("exact")).otherwise(F.col("any_case"))
+    context = snippet(F.col(text), F.regexp_instr(F.col(text), first), F.length(F.regexp_substr(F.col(text), first)))
+    return hits.select(*key, "attack_id", "type", "canonical", "n", F.when(F.col("_a") > 0, "case-sensitive").otherwise("case-insensitive").alias("strategy"), context.alias("context"))
+
+
+def entity_totals(mentions: DataFrame, order: list[str], source: str, section: str) -> DataFrame:
+    """Per entity (canonical): count, chunks, and attack_id, type, strategy, sample, source, section of its first mention by `order`."""
+    first = F.min_by(F.struct("attack_id", "type", "strategy", F.col("context").alias("sample"), F.col(source).alias("source"), F.col(section).alias("section")), F.struct(*order))
+    return mentions.groupBy("canonical").agg(F.sum("n").alias("count"), F.count("*").alias("chunks"), first.alias("_f")).select("canonical", "count", "chunks", "_f.*")
+
+
+def corpus_totals(chunks: DataFrame, totals: DataFrame, text: str, record: str, technique: str) -> DataFrame:
+    """One row: chunks, entities (matched), records and techniques (distinct ids in the texts)."""
+    ids = lambda pattern, name: chunks.select(F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("id")).agg(F.countDistinct("id").alias(name))
+    parts = [chunks.agg(F.count("*").alias("chunks")), totals.agg(F.count("*").alias("entities")), ids(record, "records"), ids(technique, "techniques")]
+    return parts[0].join(parts[1]).join(parts[2]).join(parts[3])  # one row each
+
+
+def match_report(totals: DataFrame, records: DataFrame, techniques: DataFrame, corpus: DataFrame, version: str = "unknown", top: int = 50) -> str:
+    """The match report as Markdown: the `top` entities with sample contexts, and the id counts. Only these rows reach the driver."""
+    ranked = totals.orderBy(F.desc("count"), "canonical").limit(top).collect()
+    c = corpus.first()
+    rule = lambda names: [f"| {' | '.join(names)} |", "|-" * len(names) + "|"]
+    lines = ["# Entity match report", "", f"Dictionary version: {version}", f"{c.chunks} chunks, {c.entities} entities, {c.records} record ids, {c.techniques} technique ids", "", f"## Top {top} entities", ""]
+    lines += rule(["rank", "entity", "id", "type", "strategy", "occurrences", "chunks"])
+    lines += [f"| {k} | {r.canonical} | {r.attack_id} | {r.type} | {r.strategy} | {r['count']} | {r.chunks} |" for k, r in enumerate(ranked, 1)]
+    lines += ["", "## Samples", ""]
+    for k, r in enumerate(ranked, 1):
+        lines += [f"{k}. **{r.canonical}** in {r.source} ({r.section or '-'}): {(r['sample'] or '').replace('`', chr(39))}"]
+    for title, counts in (("Record ids", records), ("Technique ids", techniques)):
+        lines += ["", f"## {title}", "", *rule(["rank", "id", "occurrences"]), *[f"| {k} | {r.id} | {r.n} |" for k, r in enumerate(counts.collect(), 1)]]
+    return "\n".join(lines) + "\n"
+
+
+def keyword_map(path: str) -> tuple[dict[str, list[str]], list[str]]:
+    """(categories, exclude), lower-cased, of a YAML or JSON file with `categories: {name: [pattern]}` and `exclude: [pattern]`."""
+    with open(path, encoding="utf-8") as f:
+        if path.endswith(".json"):
+            import json
+
+            held = json.load(f)
+        else:
+            import yaml
+
+            held = yaml.safe_load(f)
+    low = lambda patterns: [str(p).lower() for p in patterns or []]
+    return {name: low(patterns) for name, patterns in (held.get("categories") or {}).items()}, low(held.get("exclude"))
+
+
+ENTITY = "canonical string, attack_id string, type string, aliases array<string>"
+
+
+def read_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """The entities (canonical, attack_id, type, aliases) of alias dictionary files."""
+    each = ",".join(f.replace(" ", ":", 1) for f in ENTITY.split(", "))
+    return spark.read.schema(f"version string, entities array<struct<{each}>>").option("multiLine", True).json(path).select(F.explode("entities").alias("e")).select("e.*")
+
+
+def entities_of(nodes: DataFrame, stoplist: DataFrame, least: int = 4) -> DataFrame:
+    """Entities of the group and software nodes (label, name, attack_id, aliases). Aliases are stripped, `least` characters
+    long at least, no stop words (key), and distinct in any case: the first spelling stays, in its place."""
+    own = nodes.filter(F.col("label").isin("Group", "Software")).select(F.col("name").alias("canonical"), "attack_id", F.lower("label").alias("type"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+    each = own.select("attack_id", "canonical", "type", F.posexplode("aliases").alias("pos", "alias")).withColumn("alias", stripped(F.col("alias"))).filter(F.length("alias") >= least)
+    each = each.withColumn("key", F.lower("alias")).join(stoplist.select(F.lower("key").alias("key")).distinct(), "key", "left_anti")
+    first = each.groupBy("attack_id", "canonical", "type", "key").agg(F.min(F.struct("pos", "alias")).alias("x"))
+    kept = first.groupBy("attack_id", "canonical", "type").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["alias"]).alias("kept"))
+    named = own.join(kept, ["attack_id", "canonical", "type"], "left")
+    return named.select("canonical", "attack_id", "type", F.coalesce("kept", F.array().cast("array<string>")).alias("aliases"))
+
+
+def alias_audit(nodes: DataFrame, common_words: DataFrame, least: int = 4, short: int = 5) -> DataFrame:
+    """(problem, alias, length, entity, type): aliases of up to `short` characters (`short`), and those that are one word of letters in
+    `common_words` (word) (`common`); in order of problem, length of the short ones, and spelling."""
+    raw = nodes.filter(F.col("label").isin("Group", "Software")).select(F.explode("aliases").alias("alias"), F.col("name").alias("entity"), F.lower("label").alias("type"))
+    raw = raw.withColumn("alias", stripped(F.col("alias"))).withColumn("length", F.length("alias")).filter(F.col("length") >= least)
+    known = raw.filter(F.col("alias").rlike("^[A-Za-z]+$")).join(common_words.select(F.lower("word").alias("_w")).distinct(), F.lower("alias") == F.col("_w"), "left_semi")
+    both = raw.filter(F.col("length") <= short).withColumn("problem", F.lit("short")).unionByName(known.withColumn("problem", F.lit("common")))
+    return both.select("problem", "alias", "length", "entity", "type").orderBy(F.desc("problem"), F.when(F.col("problem") == "short", F.col("length")), F.lower("alias"), "entity")
+
+
+def alias_stats(entities: DataFrame) -> DataFrame:
+    """n_groups, n_software, n_aliases_total: one row."""
+    return entities.agg(F.count_if(F.col("type") == "group").alias("n_groups"), F.count_if(F.col("type") == "software").alias("n_software"), F.coalesce(F.sum(F.size("aliases")), F.lit(0)).alias("n_aliases_total"))
+
+
+def write_aliases(entities: DataFrame, path: str, version: str = "unknown") -> None:
+    """The dictionary as one JSON file under `path`: version, entities in order (groups first, by id) and _stats.
 
-    Like phrases, aliases meet texts by their first word; the pattern then decides.
+    A dictionary is one document by format; its entities are the named groups and programs, a few thousand.
     """
-    head = lambda c: F.lower(F.regexp_extract(c, r"[\p{L}\p{N}]+", 0))
-    texts = chunks.select(*key, text, F.explode(F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("_word"))
-    met = texts.join(aliases.withColumn("_word", head(F.col("alias"))), "_word")
-    n = F.regexp_count(F.col(text), F.col("pattern"))
-    at = F.instr(F.lower(F.col(text)), F.lower(F.trim("alias")))
-    hits = met.withColumn("n", n).filter("n > 0").withColumn("at", at)
-    context = snippet(F.col(text), F.col("at"), F.length(F.trim("alias")))
-    return hits.groupBy(*key, "attack_id", "type", "canonical").agg(F.max("n").alias("n"), F.min_by(context, F.struct("at", "alias")).alias("context"))
+    rows = entities.agg(F.transform(F.array_sort(F.collect_list(F.struct("type", "attack_id", "canonical", "aliases"))), lambda e: F.struct(e["canonical"].alias("canonical"), e["attack_id"].alias("attack_id"), e["type"].alias("type"), e["aliases"].alias("aliases"))).alias("entities"))
+    whole = rows.join(alias_stats(entities).select(F.struct("*").alias("_stats")))  # one row by one row
+    whole.select(F.lit(version).alias("version"), "entities", "_stats").coalesce(1).write.mode("overwrite").json(path)

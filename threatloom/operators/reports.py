@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threatloom.functions.text import is_noise, stripped, word_count
+from threatloom.operators.evalkit import levels
+from threatloom.operators.ranks import value_at
 
-LEAST_CHARS, BUDGET = 80, 500
+LEAST_CHARS, BUDGET, LEVELS = 80, 500, 12
 
 
 def paragraphs(df: DataFrame, key: str, text: str, separator: str = "\n\n", least: int = LEAST_CHARS) -> DataFrame:
@@ -21,43 +23,47 @@ def paragraphs(df: DataFrame, key: str, text: str, separator: str = "\n\n", leas
 def sections(items: DataFrame, key: str, pos: str, label: str, text: str, level: str | None = None) -> DataFrame:
     """`items` with section_no (headings so far, empty ones too) and section_path.
 
-    An empty heading starts a section but keeps the path; a heading of level n closes those of level n and deeper.
+    An empty heading starts a section but keeps the path; a heading of level n closes those of level n and deeper. Levels
+    from 1 to LEVELS (deeper ones count as LEVELS): the path holds the last heading of each level that nothing closed since.
     """
     w = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    heading = F.col(label) == "section_header"
-    named = heading & (stripped(F.coalesce(F.col(text), F.lit(""))) != "")
-    out = items.withColumn("section_no", F.sum(F.when(heading, 1).otherwise(0)).over(w))
-    depth = F.coalesce(F.col(level), F.lit(1)) if level else F.lit(1)
-    stack = F.collect_list(F.when(named, F.struct(depth.cast("int").alias("level"), stripped(F.col(text)).alias("name")))).over(w)
-    path = F.aggregate(
-        stack, F.array().cast("array<struct<level:int,name:string>>"),
-        lambda held, h: F.concat(F.filter(held, lambda s: s["level"] < h["level"]), F.array(h)),
-        lambda held: F.transform(held, lambda s: s["name"]),
-    )
-    return out.withColumn("section_path", path)
-
-
-def packed(items: Column, budget: int = BUDGET) -> Column:
-    """Greedy groups over an ordered array of (pos, tokens): array of (pos, tokens, group).
-
-    A group is closed when the next item would exceed the budget; an item over the budget stays whole.
+    heading = F.coalesce(F.col(label) == "section_header", F.lit(False))
+    name = stripped(F.coalesce(F.col(text), F.lit("")))
+    depth = F.least(F.greatest(F.coalesce(F.col(level), F.lit(1)), F.lit(1)), F.lit(LEVELS)) if level else F.lit(1)
+    numbered = items.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(pos)))
+    out = numbered.withColumn("section_no", F.sum(F.when(heading, 1).otherwise(0)).over(w))
+    last = [F.last(F.when(heading & (name != "") & (depth == k), F.struct(F.col("_n").alias("n"), name.alias("name"))), ignorenulls=True).over(w) for k in range(1, LEVELS + 1 if level else 2)]
+    out = out.withColumn("_last", F.array(*last))
+    behind = lambda x, i: F.coalesce(F.array_max(F.transform(F.slice("_last", 1, i), lambda y: y["n"])), F.lit(0)) < x["n"]
+    return out.withColumn("section_path", F.transform(F.filter("_last", lambda x, i: x.isNotNull() & behind(x, i)), lambda x: x["name"])).drop("_n", "_last")
+
+
+def packed(items: Column, tokens=lambda x: x["tokens"], budget: int = BUDGET) -> Column:
+    """Greedy groups over an ordered array: an array of arrays of items.
+
+    A group is closed when the next item would exceed the budget; an item over the budget stays whole. The fold keeps
+    the starts of groups only; the groups are slices between them.
     """
-    start = F.struct(F.array().cast("array<struct<pos:int,tokens:int,group:int>>").alias("out"), F.lit(0).alias("group"), F.lit(0).alias("used"))
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("at"))
 
     def add(state: Column, x: Column) -> Column:
-        full = (state["used"] > 0) & (state["used"] + x["tokens"] > budget)
-        group = F.when(full, state["group"] + 1).otherwise(state["group"])
-        used = F.when(full, x["tokens"]).otherwise(state["used"] + x["tokens"])
-        return F.struct(F.concat(state["out"], F.array(F.struct(x["pos"].alias("pos"), x["tokens"].alias("tokens"), group.alias("group")))).alias("out"), group.alias("group"), used.alias("used"))
+        n = F.coalesce(tokens(x), F.lit(0)).cast("long")
+        full = (state["used"] > 0) & (state["used"] + n > budget)
+        starts = F.when(full | (state["at"] == 0), F.concat(state["starts"], F.array(state["at"]))).otherwise(state["starts"])
+        return F.struct(starts.alias("starts"), F.when(full, n).otherwise(state["used"] + n).alias("used"), (state["at"] + 1).alias("at"))
+
+    def cut(state: Column) -> Column:
+        ends = F.concat(F.slice(state["starts"], 2, F.greatest(F.size(state["starts"]), F.lit(1))), F.array(state["at"]))
+        return F.zip_with(state["starts"], F.slice(ends, 1, F.size(state["starts"])), lambda a, b: F.slice(items, a + 1, b - a))
 
-    return F.aggregate(items, start, add, lambda s: s["out"])
+    return F.aggregate(items, start, add, cut)
 
 
 def pack_paragraphs(df: DataFrame, key: str, text: str, separator: str = "\n", budget: int = BUDGET, tokens=word_count) -> DataFrame:
     """key, group, paragraphs, tokens: paragraphs packed in order."""
-    parts = F.filter(F.transform(F.split(text, separator), lambda x, i: F.struct(i.alias("pos"), tokens(x).cast("int").alias("tokens"))), lambda s: s["tokens"] > 0)
-    each = df.select(key, F.explode(packed(parts, budget)).alias("p"))
-    return each.groupBy(key, F.col("p.group").alias("group")).agg(F.count("*").alias("paragraphs"), F.sum("p.tokens").alias("tokens"))
+    parts = F.filter(F.transform(F.split(text, separator), lambda x: tokens(x).cast("int")), lambda n: n > 0)
+    each = df.select(key, parts.alias("parts")).select(key, F.posexplode(packed(F.col("parts"), lambda n: n, budget)).alias("group", "p"))
+    return each.select(key, "group", F.size("p").cast("long").alias("paragraphs"), F.aggregate("p", F.lit(0).cast("long"), lambda a, n: a + n).alias("tokens"))
 
 
 def chunks(items: DataFrame, key: str, budget: int = BUDGET, least: int = LEAST_CHARS, tokens=word_count) -> DataFrame:
@@ -68,29 +74,53 @@ def chunks(items: DataFrame, key: str, budget: int = BUDGET, least: int = LEAST_
     placed = sections(items, key, "pos", "label", "text", "level" if "level" in items.columns else None)
     body = placed.filter(F.col("label").isin("text", "list_item", "caption") & (stripped(F.coalesce("text", F.lit(""))) != ""))
     rows = body.groupBy(key, "section_no").agg(F.array_sort(F.collect_list(F.struct("pos", tokens(F.col("text")).cast("int").alias("tokens"), stripped(F.col("text")).alias("text"), "page", "section_path"))).alias("items"))
-    grouped = rows.withColumn("groups", packed(F.transform("items", lambda s: F.struct(s["pos"].cast("int").alias("pos"), s["tokens"].alias("tokens"))), budget))
-    each = grouped.select(key, "section_no", F.explode(F.arrays_zip("items", "groups")).alias("z"))
-    made = each.groupBy(key, "section_no", F.col("z.groups.group").alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("z.items.pos", "z.items.text"))).alias("texts"), F.first("z.items.section_path").alias("section_path"),
-        F.min_by("z.items.page", F.when(F.col("z.items.page").isNotNull(), F.col("z.items.pos"))).alias("page"), F.sum("z.items.tokens").alias("token_count"),
+    made = rows.select(key, "section_no", F.posexplode(packed(F.col("items"), budget=budget)).alias("part", "g"))
+    pages = F.filter(F.transform("g", lambda x: x["page"]), lambda p: p.isNotNull())
+    made = made.select(
+        key, "section_no", "part", F.transform("g", lambda x: x["text"]).alias("texts"), F.get("g", F.lit(0))["section_path"].alias("section_path"), F.get(pages, F.lit(0)).alias("page"),
+        F.aggregate("g", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("token_count"),
     )
-    made = made.withColumn("text", F.array_join(F.transform("texts", lambda s: s["text"]), "\n\n")).filter((F.length("text") >= least) & ~is_noise(F.col("text")))
+    made = made.withColumn("text", F.array_join("texts", "\n\n")).filter((F.length("text") >= least) & ~is_noise(F.col("text")))
     index = F.row_number().over(Window.partitionBy(key).orderBy("section_no", "part")) - 1
     return made.withColumn("chunk_index", index).select(key, "chunk_index", "text", "section_path", "page", "token_count")
 
 
 def chunk_stats(df: DataFrame, by: str, size: Column, page: Column | None = None, empty_path: Column | None = None) -> DataFrame:
-    """Per key and overall (null key): n, least, median, p95, most, pct_empty, and a six-bucket histogram of sizes."""
+    """Per key and overall (null key): n, least, median, p95, most, pct_empty, pages (distinct in a key; with `page` only), and a
+    six-bucket histogram of sizes. All but pages come from the counts of each size."""
     rows = df.select(by, size.alias("size"), (empty_path if empty_path is not None else F.lit(False)).alias("empty"))
-    n = F.count("*")
-    bucket = lambda a, b: F.count_if((F.col("size") >= a) & (F.col("size") < b))
+    counts = rows.groupBy(by, "size").agg(F.count("*").alias("_n"), F.count_if("empty").alias("_empty"))
+    n = F.sum("_n")
     edges = (0, 50, 100, 200, 350, 500)
-    p95 = F.element_at(F.array_sort(F.collect_list("size")), F.greatest(F.lit(1), F.floor(n * F.lit(0.95)).cast("int")))
-    grouped = rows.groupingSets([[F.col(by)], []], F.col(by))
-    return grouped.agg(
-        n.alias("n"), F.min("size").alias("least"), F.floor(F.expr("percentile(size, 0.5)")).cast("int").alias("median"), p95.alias("p95"), F.max("size").alias("most"),
-        F.round(100.0 * F.count_if("empty") / n, 1).alias("pct_empty"), *[bucket(a, b).alias(f"from_{a}") for a, b in zip(edges, (*edges[1:], 1 << 30))],
+    bucket = lambda a, b: F.coalesce(F.sum(F.when((F.col("size") >= a) & (F.col("size") < b), F.col("_n"))), F.lit(0))
+    out = levels(
+        counts, by, [], n.alias("n"), F.min("size").alias("least"), F.floor(F.expr("percentile(size, 0.5, _n)")).cast("int").alias("median"), F.max("size").alias("most"),
+        F.round(100.0 * F.sum("_empty") / n, 1).alias("pct_empty"), *[bucket(a, b).alias(f"from_{a}") for a, b in zip(edges, (*edges[1:], 1 << 30))],
     )
+    both = levels(counts.filter("size is not null"), by, [F.col("size")], F.sum("_n").alias("_n"))
+    parts = [value_at(both, [by, "overall"], "size", "_n", 0.95, "p95")]
+    if page is not None:
+        pages = df.select(by, page.alias("_page")).filter("_page is not null").distinct()
+        parts.append(levels(pages, by, [], F.count("*").alias("pages")))
+    for part in parts:
+        part = part.withColumnsRenamed({by: "_by", "overall": "_overall"})
+        out = out.join(part, F.col(by).eqNullSafe(F.col("_by")) & (F.col("overall") == F.col("_overall")), "left").drop("_by", "_overall")
+    first = [by, "n", "least", "median", "p95", "most", "pct_empty", *(["pages"] if page is not None else [])]
+    return out.select(*first, *[f"from_{a}" for a in edges])
+
+
+def report_nodes(chunks: DataFrame, mentions: DataFrame, source: str = "source") -> DataFrame:
+    """A node per report: source, chunk_count, year of its first chunk, n_entities (distinct attack_id among its mentions)."""
+    own = chunks.groupBy(source).agg(F.count("*").alias("chunk_count"), F.min_by("year", "chunk_index").alias("year"))
+    n = mentions.select(source, "attack_id").distinct().groupBy(source).agg(F.count("attack_id").alias("n_entities"))
+    return own.join(n, source, "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0)))
+
+
+def write_by_document(chunks: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+    """Write chunks in a folder a document, and return the run's summary: key, chunks, tokens, status (`empty` if all are blank)."""
+    chunks.write.mode("overwrite").partitionBy(key).json(path)
+    some = F.count_if(stripped(F.coalesce("text", F.lit(""))) != "")
+    return chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"), F.when(some > 0, "ok").otherwise("empty").alias("status"))
 
 
 def markdown_paragraphs(pages: DataFrame, key: str, text: str) -> DataFrame:

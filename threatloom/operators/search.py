@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from threatloom.functions.text import confidence, hybrid_score
-from threatloom.operators.vector import filtered_nearest, nearest
+from threatloom.functions.text import confidence, hybrid_score, record_line
+from threatloom.operators.vector import filtered_nearest, nearest, nearest_batch
 
 Embedder = Callable[[str], list[float]]
 
@@ -81,17 +82,27 @@ def pivot(technique: str, techniques: DataFrame, tactics: DataFrame, actors: Dat
     return out.crossJoin(near.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "cve_id"))), lambda s: s["cve_id"]).alias("similar")))  # one row by one row
 
 
-def expand(ids: DataFrame, records: DataFrame, pattern_of: DataFrame, tactics: DataFrame, actors: DataFrame) -> DataFrame:
-    """Per record id of `ids`: its columns, techniques (technique, cwe, tactic) and actors two hops away.
+def expand(ids: DataFrame, records: DataFrame, pattern_of: DataFrame, tactics: DataFrame, actors: DataFrame, vectors: DataFrame | None = None, embed: Embedder | None = None, k: int = 10) -> DataFrame:
+    """Per record id of `ids`: its columns, techniques (technique, cwe, tactic), actors two hops away and, with `vectors`
+    (cve_id, vector), similar: the k nearest other records (cve_id, score) of its description (its id, without one).
 
-    Each side is aggregated before it joins, so groups never multiply software.
+    Each side is aggregated before it joins, so groups never multiply software. Unknown ids give no row.
     """
-    mine = pattern_of.join(ids.select("cve_id").distinct(), "cve_id", "left_semi")
+    ids = ids.select("cve_id").distinct()
+    asked = records.join(ids, "cve_id", "left_semi")
+    mine = pattern_of.join(ids, "cve_id", "left_semi")
     nested = mine.join(tactics, "attack_id", "left").groupBy("cve_id").agg(F.array_sort(F.collect_set(F.struct("attack_id", "cwe_id", "tactic"))).alias("techniques"))
     far = mine.select("cve_id", "attack_id").distinct().join(actors, "attack_id").groupBy("cve_id").agg(
         F.array_sort(F.collect_set(F.when(F.col("kind") == "group", F.col("actor")))).alias("groups"), F.array_sort(F.collect_set(F.when(F.col("kind") == "software", F.col("actor")))).alias("software")
     )
-    return records.join(ids.select("cve_id").distinct(), "cve_id", "left_semi").join(nested, "cve_id", "left").join(far, "cve_id", "left")
+    out = asked.join(nested, "cve_id", "left").join(far, "cve_id", "left")
+    if vectors is None:
+        return out
+    said = asked.select("cve_id", F.coalesce(F.nullif("description", F.lit("")), F.col("cve_id").cast("string")).alias("_said"))
+    near = nearest_batch(vectors, embedded(said, "_said", embed or hashing_embedder()), k, "cve_id", "vector")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", F.col("neighbour").alias("cve_id"), "score")))
+    near = near.groupBy(F.col("query").alias("cve_id")).agg(F.transform(ordered, lambda x: F.struct(x["cve_id"].alias("cve_id"), x["score"].alias("score"))).alias("similar"))
+    return out.join(near, "cve_id", "left")
 
 
 def merged(streams: list[DataFrame], top_k: int, score: str = "score") -> DataFrame:
@@ -103,8 +114,11 @@ def merged(streams: list[DataFrame], top_k: int, score: str = "score") -> DataFr
     return every.withColumn(score, F.round(score, 4)).orderBy(F.desc(score), "_stream", "rank").limit(top_k).drop("_stream")
 
 
-def hybrid(vectors: DataFrame, links: DataFrame, chunks: DataFrame, query: list[float], source: str = "all", top_k: int = 10, **options) -> DataFrame:
-    """Records (source `cve`), report chunks (`pdf`), or both merged (`all`); another source gives no rows. Chunk scores are plain cosines."""
+def hybrid(vectors: DataFrame, links: DataFrame, chunks: DataFrame, query: list[float], source: str = "all", top_k: int = 10, report: str | None = None, **options) -> DataFrame:
+    """Records (source `cve`), report chunks (`pdf`), or both merged (`all`); another source gives no rows. Chunk scores are plain cosines.
+
+    Only chunks of source_type `pdf` (where there is one) and, if named, of one `report` take part: both filters reach the scan.
+    """
     validated(top_k, options.get("min_cvss"), options.get("severity"), options.get("alpha", 0.7))
     early = F.lit(True)
     if options.get("min_cvss") is not None:
@@ -114,6 +128,10 @@ def hybrid(vectors: DataFrame, links: DataFrame, chunks: DataFrame, query: list[
     late = F.coalesce(F.col("published"), F.lit("0")) >= options["after_date"] if options.get("after_date") else None
     found = similar(vectors, links, query, top_k, early, late, options.get("alpha", 0.7))
     records = ranked(found.withColumn("score", F.col("final_score")).drop("vector", "final_score").withColumn("result_type", F.lit("cve")), "score", "cve_id")
+    if "source_type" in chunks.columns:
+        chunks = chunks.filter("source_type = 'pdf'")
+    if report is not None:
+        chunks = chunks.filter(F.col("source") == report)
     texts = ranked(nearest(chunks, query, top_k, "id", "vector").drop("vector").withColumn("result_type", F.lit("pdf")), "score", "id")
     if source == "cve":
         return records
@@ -125,23 +143,76 @@ def hybrid(vectors: DataFrame, links: DataFrame, chunks: DataFrame, query: list[
 
 def ranked(df: DataFrame, score: str, key: str) -> DataFrame:
     """`df`, at most top-k rows, with their rank."""
-    from pyspark.sql.window import Window
-
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)))
 
 
-def record_line(record: dict) -> str:
-    """One line of a prompt's context."""
-    score = f"CVSS {record['cvss_score']}" if record.get("cvss_score") else "CVSS N/A"
-    return f"{record['cve_id']} ({score}, {record.get('severity') or 'UNKNOWN'}): {(record.get('description') or '')[:200]}"
+def context_lines(df: DataFrame, by: list[str], order: list, line: Column, n: int = 5) -> DataFrame:
+    """Per `by`: the first n rows' lines in order, as one string."""
+    numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= n)
+    lines = F.array_sort(F.collect_list(F.struct("_n", line.alias("_t"))))
+    return numbered.groupBy(*by).agg(F.array_join(F.transform(lines, lambda s: s["_t"]), "\n").alias("context"))
+
+
+def technique_union(results: DataFrame, by: str, rank: str = "rank", n: int = 8, first: int = 5) -> DataFrame:
+    """(by, techniques): of the `first` results of each query, the distinct techniques (attack_id, name) in order of their first place,
+    each with its last name; the first n of them."""
+    each = results.filter(F.col(rank) <= first).select(by, rank, F.posexplode("techniques").alias("_pos", "t")).filter("t.attack_id is not null")
+    place = F.struct(rank, "_pos")
+    one = each.groupBy(by, "t.attack_id").agg(F.min(place).alias("at"), F.max_by("t.name", place).alias("name"))
+    listed = F.slice(F.array_sort(F.collect_list(F.struct("at", "attack_id", "name"))), 1, n)
+    return one.groupBy(by).agg(F.transform(listed, lambda x: F.struct(x["attack_id"].alias("attack_id"), x["name"].alias("name"))).alias("techniques"))
+
+
+def graph_context(techniques: Column, groups: Column, software: Column, n: int = 10) -> Column:
+    """The graph's lines of a prompt for one record: techniques (attack_id, name), the first n groups and the first n programs."""
+    named = F.transform(F.filter(techniques, lambda t: t["attack_id"].isNotNull()), lambda t: F.concat(t["attack_id"], F.lit(" ("), F.coalesce(t["name"], F.lit("")), F.lit(")")))
+    line = lambda head, items: F.when(F.size(items) > 0, F.concat(F.lit(head), F.array_join(items, ", ")))
+    return F.coalesce(F.nullif(F.concat_ws("\n", line("Techniques: ", named), line("Threat groups: ", F.slice(groups, 1, n)), line("Malware and tools: ", F.slice(software, 1, n))), F.lit("")), F.lit(NO_GRAPH))
+
+
+NO_RECORDS, NO_GRAPH = "No matching records.", "No graph context."
+PROMPT = "Question: {query}\n\nMatching records ({n}):\n{records}\n\nKnowledge graph:\n{graph}\n\nWrite a short narrative from this evidence only. Last line: CONFIDENCE: HIGH, MEDIUM or LOW, and why."
+
+
+def prompts(queries: DataFrame, results: DataFrame, details: DataFrame | None = None, by: str = "query_id") -> DataFrame:
+    """(by, query, n, records, graph, prompt) of every query (by, query).
+
+    results: by, rank, cve_id, severity, cvss_score, description, techniques (attack_id, name). The first five make the
+    records' lines. The graph's lines come from `details` (by, techniques, groups, software) where a query has them, else
+    from the techniques over its results.
+    """
+    line = record_line({c: F.col(c) for c in ("cve_id", "severity", "cvss_score", "description")} | {"techniques": F.filter(F.transform("techniques", lambda t: t["attack_id"]), lambda x: x.isNotNull())})
+    lines = context_lines(results, [by], ["rank"], line).withColumnRenamed("context", "records")
+    across = technique_union(results, by)
+    some = F.array_join(F.transform("techniques", lambda t: F.concat(t["attack_id"], F.lit(" ("), F.coalesce(t["name"], F.lit("")), F.lit(")"))), ", ")
+    across = across.select(by, F.concat(F.lit("Techniques across results: "), some).alias("_across"))
+    out = queries.select(by, "query").join(results.groupBy(by).agg(F.count("*").alias("n")), by, "left").join(lines, by, "left").join(across, by, "left")
+    own = F.lit(None).cast("string")
+    if details is not None:
+        out = out.join(details.select(by, graph_context(F.col("techniques"), F.col("groups"), F.col("software")).alias("_own")), by, "left")
+        own = F.col("_own")
+    out = out.select(by, "query", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("records", F.lit(NO_RECORDS)).alias("records"), F.coalesce(own, "_across", F.lit(NO_GRAPH)).alias("graph"))
+    parts = [x for piece in PROMPT.split("{") for x in piece.split("}")]  # text, name, text, name, ..., text
+    text = F.concat(*[F.lit(x) if i % 2 == 0 else F.coalesce(F.col(x).cast("string"), F.lit("")) for i, x in enumerate(parts)])
+    return out.withColumn("prompt", text)
+
+
+def model_entities(chunks: DataFrame, model: Callable[[list[str]], list[list[dict]]], text: str = "text", threshold: float = 0.35, least: int = 30, cut: int = 300) -> DataFrame:
+    """`chunks` with entities (text, label, confidence) that a batch model finds with `threshold` at least in the first `cut` characters
+    (the model's own input limit) of texts longer than `least`; others have none."""
+    kind = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.StringType()), T.StructField("confidence", T.DoubleType())]))
+
+    @F.pandas_udf(kind)
+    def run(column):
+        import pandas as pd
 
+        asked = [t for t in column if t is not None]
+        found = iter(model(asked) if asked else [])
+        keep = lambda es: [{"text": e["text"], "label": e["label"], "confidence": round(float(e["score"]), 4)} for e in es if e["score"] >= threshold]
+        return pd.Series([[] if t is None else keep(next(found)) for t in column], dtype=object)
 
-def context_lines(df: DataFrame, order: list, text: str, cut: int = 200, n: int = 5) -> DataFrame:
-    """The first n rows' texts, cut, as one string."""
-    kept = df.orderBy(*order).limit(n)
-    numbered = kept.withColumn("_n", F.monotonically_increasing_id())
-    lines = F.array_sort(F.collect_list(F.struct("_n", F.substring(text, 1, cut).alias("t"))))
-    return numbered.agg(F.array_join(F.transform(lines, lambda s: s["t"]), "\n").alias("context"))
+    body = F.trim(F.coalesce(text, F.lit("")))
+    return chunks.withColumn("entities", run(F.when(F.length(body) > least, F.substring(body, 1, cut))))
 
 
 def narrative(prompts: DataFrame, model: Callable[[str], str], prompt: str = "prompt") -> DataFrame:

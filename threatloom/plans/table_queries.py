@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threatloom.functions import text as X
-from threatloom.operators import graph, match, reports, vector
+from threatloom.operators import evalkit, graph, match, ranks, reports, search, vector
 from threatloom.plans.catalogue import query
 from threatloom.session import table
+from threatloom.sources import bundles, records
+from threatloom.streaming import sync
 
 COSINE = "list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)))"
 VECTORS = "select vec_id, label, embedding::double[] v from embeddings"
@@ -23,24 +25,27 @@ def _first_vector(spark, sf_dir):
 @query(f"""
 with v as ({VECTORS}), hits as (select a.vec_id, a.label, round({COSINE}, 6) score from v a, v b where b.vec_id = 0 and a.vec_id <> 0 and a.label >= 2
   order by score desc, vec_id limit 20),
-rich as (select h.vec_id, h.label, h.score, count(l.doc_id)::bigint linked from hits h left join labels l on l.doc_id = h.vec_id group by all)
+near as (select * from hits order by score desc, vec_id limit 10),
+rich as (select h.vec_id, h.label, h.score, count(distinct (l.quality, l.toxic)) filter (l.doc_id is not null)::integer linked from near h left join labels l on l.doc_id = h.vec_id group by all)
 select vec_id, label, score, linked, round(0.7 * score + 0.3 * case when linked > 0 then 1.0 else 0.5 end, 6) final_score from rich order by final_score desc, vec_id limit 10
 """)
+
 def q_hybrid_search(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").filter("vec_id <> 0 and label >= 2")
-    hits = vector.nearest(vectors, _first_vector(spark, sf_dir), 20, "vec_id", "embedding").select("vec_id", "label", "score")
-    links = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"))
-    rich = hits.join(links.withColumn("l", F.lit(1)), "vec_id", "left").groupBy("vec_id", "label", "score").agg(F.count("l").alias("linked"))
-    return rich.withColumn("final_score", F.round(X.hybrid_score(F.col("score"), F.col("linked") > 0), 6)).orderBy(F.desc("final_score"), "vec_id").limit(10)
+    vectors = table(spark, sf_dir, "embeddings").filter("vec_id <> 0")
+    links = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"), F.col("quality").cast("string").alias("attack_id"), F.col("toxic").cast("string").alias("name"))
+    found = search.similar(vectors, links, _first_vector(spark, sf_dir), 10, early=F.col("label") >= 2, key="vec_id", vector="embedding")
+    return found.select("vec_id", "label", "score", F.size("techniques").alias("linked"), "final_score")
 
 
 @query(f"""
-with v as ({VECTORS}), s as (select a.vec_id query, b.vec_id neighbour, round({COSINE}, 6) score from v a, v b where a.vec_id <> b.vec_id),
+with v as ({VECTORS}), s as (select a.vec_id query, b.vec_id neighbour, round({COSINE}, 6) score from v a, v b where a.vec_id <> b.vec_id and a.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query order by score desc, neighbour)::integer "rank" from s) select query, neighbour, score, "rank" from r where "rank" <= 10
 """)
+
 def q_knn_batch(spark, sf_dir):
+    """Queries are the rows whose id is divisible by 20, against all rows."""
     v = table(spark, sf_dir, "embeddings")
-    return vector.nearest_batch(v, v, 10, "vec_id", "embedding")
+    return vector.nearest_batch(v, v.filter("vec_id % 20 = 0"), 10, "vec_id", "embedding")
 
 
 @query(f"""
@@ -55,14 +60,13 @@ def q_vector_range_filter(spark, sf_dir):
 @query("""select p_partkey, s_name from (select p_partkey, s_name, row_number() over (partition by p_partkey order by s_name) n
 from (select distinct l_partkey p_partkey, s_name from lineitem join supplier on l_suppkey = s_suppkey)) where n <= 20""")
 def q_pivot_groups(spark, sf_dir):
-    uses = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    met = uses.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), uses.l_suppkey == F.col("s_suppkey")).select(F.col("l_partkey").alias("p_partkey"), "s_name").distinct()
-    return met.withColumn("n", F.row_number().over(Window.partitionBy("p_partkey").orderBy("s_name"))).filter("n <= 20").drop("n")
+    uses = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
+    return graph.top_names(graph.hop(uses, table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", "s_suppkey"), "p_partkey", "s_name", 20)
 
 
 @query("select l_partkey, count(distinct l_orderkey)::bigint orders from lineitem group by 1")
 def q_pivot_counts(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey").distinct().groupBy("l_partkey").agg(F.count("*").alias("orders"))
+    return graph.counted(table(spark, sf_dir, "lineitem"), "l_partkey", "l_orderkey", "orders")
 
 
 @query("""select p_partkey, coalesce(string_agg(n_name, ',' order by n_name), '') nations from part left join (select distinct l_partkey, n_name
@@ -83,11 +87,20 @@ def q_expand_2hop(spark, sf_dir):
     return far.groupBy("o_orderkey").agg(F.count("*").alias("suppliers"), F.min("s_suppkey").alias("first_supplier"))
 
 
-@query("select distinct o_orderkey, p_partkey, p_brand, p_type from orders join lineitem on o_orderkey = l_orderkey join part on l_partkey = p_partkey")
+@query("""with o as (select distinct o_orderkey, p_partkey, p_brand, p_type from orders join lineitem on o_orderkey = l_orderkey join part on l_partkey = p_partkey),
+far as (select o_orderkey, count(distinct s_name)::bigint suppliers from o join (select distinct l_partkey, l_suppkey from lineitem) on p_partkey = l_partkey join supplier on l_suppkey = s_suppkey group by 1)
+select o_orderkey, suppliers, p_partkey, p_brand, p_type from o join far using (o_orderkey)""")
+
 def q_expand_nested(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey")).distinct()
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    return l.join(orders, "o_orderkey", "left_semi").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), "p_partkey").select("o_orderkey", "p_partkey", "p_brand", "p_type")
+    """Per order: its parts with brand and type, nested, and the suppliers two hops away."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cve_id"), F.col("l_partkey").alias("attack_id"), F.col("l_suppkey").alias("s_suppkey"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cve_id"))
+    pattern_of = l.select("cve_id", "attack_id").distinct().join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("attack_id"), F.col("p_brand").alias("cwe_id")), "attack_id")
+    tactics = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("attack_id"), F.col("p_type").alias("tactic"))
+    supplied = l.select("attack_id", "s_suppkey").distinct().join(table(spark, sf_dir, "supplier"), "s_suppkey").select("attack_id", F.lit("group").alias("kind"), F.col("s_name").alias("actor"))
+    found = search.expand(orders, orders, pattern_of, tactics, supplied)
+    each = found.select(F.col("cve_id").alias("o_orderkey"), F.size("groups").cast("long").alias("suppliers"), F.explode("techniques").alias("t"))
+    return each.select("o_orderkey", "suppliers", F.col("t.attack_id").alias("p_partkey"), F.col("t.cwe_id").alias("p_brand"), F.col("t.tactic").alias("p_type"))
 
 
 STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -133,11 +146,9 @@ def q_coverage(spark, sf_dir):
 t as (select 'text' kind, doc_id id, round(least(1.0, n_chars / 20000.0), 4)::double score, 1 stream from documents order by score desc, id limit 10)
 select kind, id, score from (select * from a1 union all select * from t) order by score desc, stream, id limit 10""")
 def q_merge_streams(spark, sf_dir):
-    from threatloom.operators.search import merged, ranked
-
     a = vector.nearest(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), 10, "vec_id", "embedding", 4).select(F.lit("vector").alias("kind"), F.col("vec_id").alias("id"), "score")
     t = table(spark, sf_dir, "documents").select(F.lit("text").alias("kind"), F.col("doc_id").alias("id"), F.round(F.least(F.lit(1.0), F.col("n_chars") / 20000.0), 4).alias("score")).orderBy(F.desc("score"), "id").limit(10)
-    return merged([ranked(a, "score", "id"), ranked(t, "score", "id")], 10).select("kind", "id", "score")
+    return search.merged([search.ranked(a, "score", "id"), search.ranked(t, "score", "id")], 10).select("kind", "id", "score")
 
 
 PARAGRAPHS = """p as (select doc_id, generate_subscripts(string_split(text, E'\\n'), 1) - 1 pos, trim(unnest(string_split(text, E'\\n')), E' \\t\\r\\n') paragraph from documents)"""
@@ -149,10 +160,13 @@ def q_paragraphs(spark, sf_dir):
     return p.select("doc_id", F.col("pos").cast("long"), F.md5(F.col("paragraph").cast("binary")).alias("hash"), F.col("chunk_index").cast("long"))
 
 
-@query("""with c as (select doc_id, text, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) l, length(regexp_replace(text, '[^0-9]', '', 'g')) d from documents)
-select doc_id from c where regexp_matches(text, '\\.{4,}') or (length(text) <= 250 and l > 0 and d::double / (d + l) > 0.4)""")
+@query("""with c as (select event_id, event_type || case when event_id % 7 = 0 then ' .....' else ' ' end || user_id as t from events)
+select event_id from c where regexp_matches(t, '\\.{4,}') or (length(t) <= 250 and length(regexp_replace(t, '[^A-Za-z]', '', 'g')) > 0
+and length(regexp_replace(t, '[^0-9]', '', 'g'))::double / length(regexp_replace(t, '[^A-Za-z0-9]', '', 'g')) > 0.4)""")
 def q_noise_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(X.is_noise(F.col("text"))).select("doc_id")
+    """Lines of an event log that are noise: dot leaders, or short and mostly digits."""
+    line = F.concat("event_type", F.when(F.col("event_id") % 7 == 0, " .....").otherwise(" "), F.col("user_id").cast("string"))
+    return table(spark, sf_dir, "events").filter(X.is_noise(line)).select("event_id")
 
 
 @query("""with recursive p as (select doc_id, i, len(list_filter(string_split_regex(x, '\\s+'), lambda w: w <> ''))::integer t from (select doc_id, unnest(string_split(text, E'\\n')) x, generate_subscripts(string_split(text, E'\\n'), 1) i from documents)),
@@ -167,10 +181,11 @@ def q_token_pack(spark, sf_dir):
 @query("""select conv_id, turn, last_value(case when role = 'user' then md5(text) end ignore nulls) over w question, sum(case when role = 'user' then 1 else 0 end) over w::bigint section_no
 from conversations window w as (partition by conv_id order by turn rows unbounded preceding)""")
 def q_section_fill(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    asked = F.when(F.col("role") == "user", F.md5(F.col("text").cast("binary")))
-    c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", F.last(asked, ignorenulls=True).over(w).alias("question"), F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w).alias("section_no"))
+    """A conversation as a document: what users say are headings."""
+    heading = F.when(F.col("role") == "user", "section_header").otherwise("text")
+    items = table(spark, sf_dir, "conversations").select("conv_id", "turn", heading.alias("label"), F.concat("role", F.lit(" "), F.md5(F.col("text").cast("binary"))).alias("said"))
+    found = reports.sections(items, "conv_id", "turn", "label", "said")
+    return found.select("conv_id", "turn", F.element_at(F.split(F.get("section_path", F.lit(0)), " "), -1).alias("question"), F.col("section_no").cast("long").alias("section_no"))
 
 
 def _any(patterns):
@@ -217,20 +232,24 @@ def q_context_snippet(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(at > 0).select("doc_id", X.snippet(F.col("text"), at, F.lit(6)).alias("snippet"))
 
 
-@query("""with w as (select source, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))::integer size from documents)
-select source, count(*)::bigint n, min(size) least, floor(quantile_cont(size, 0.5))::integer median, list_sort(list(size))[greatest(1, floor(count(*) * 0.95::double)::integer)] p95, max(size) most,
+@query("""with w as (select source, lang, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))::integer size from documents)
+select source, count(*)::bigint n, min(size) least, floor(quantile_cont(size, 0.5))::integer median, list_sort(list(size))[greatest(1, floor(count(*) * 0.95::double)::integer)] p95, max(size) most, count(distinct (source, lang)) filter (lang is not null)::bigint pages,
 round(100.0::double * count(*) filter (false) / count(*), 1) pct_empty, count(*) filter (size >= 0 and size < 50)::bigint from_0, count(*) filter (size >= 50 and size < 100)::bigint from_50, count(*) filter (size >= 100 and size < 200)::bigint from_100,
 count(*) filter (size >= 200 and size < 350)::bigint from_200, count(*) filter (size >= 350 and size < 500)::bigint from_350, count(*) filter (size >= 500)::bigint from_500 from w group by grouping sets ((source), ())""")
 def q_chunk_stats(spark, sf_dir):
-    return reports.chunk_stats(table(spark, sf_dir, "documents"), "source", X.word_count(F.col("text")))
+    return reports.chunk_stats(table(spark, sf_dir, "documents"), "source", X.word_count(F.col("text")), page=F.col("lang"))
 
 
-@query("""with k as (select p_partkey, p_name, lower(p_name) alias, row_number() over (partition by lower(p_name) order by p_partkey) n from part where length(p_name) >= 4 and p_brand not in ('Brand#11'))
-select alias, p_partkey, p_name from k where n = 1""")
+@query("""with k as (select distinct p_brand attack_id, lower(p_name) alias, p_name from part where length(trim(p_name)) >= 4 and lower(p_name) not in (select lower(p_name) from part where p_size = 7)),
+f as (select attack_id, alias, min(p_name) name from k group by 1, 2)
+select attack_id, alias, not contains(name, ' ') and (regexp_matches(name, '^[A-Z][A-Z0-9\\-_.]+$') or regexp_matches(name, '^.+[A-Z]')) exact from f""")
+
 def q_alias_normalise(spark, sf_dir):
-    stop = spark.createDataFrame([("Brand#11",)], "p_brand string")
-    p = table(spark, sf_dir, "part").filter(F.length("p_name") >= 4).join(stop, "p_brand", "left_anti").withColumn("alias", F.lower("p_name"))
-    return graph.keep_first(p, ["alias"], ["p_partkey"]).select("alias", "p_partkey", "p_name")
+    """Part names as aliases of their brands, with brands and some names as stop words."""
+    part = table(spark, sf_dir, "part")
+    entities = part.groupBy(F.col("p_brand").alias("canonical")).agg(F.array_sort(F.collect_set("p_name")).alias("aliases")).withColumns({"attack_id": F.col("canonical"), "type": F.lit("group")})
+    stop = part.filter("p_size = 7").select(F.lower("p_name").alias("key")).union(part.select(F.lower("p_brand")))
+    return match.alias_dictionary(entities, stop).select("attack_id", F.lower("alias").alias("alias"), "exact")
 
 
 @query("""with h as (select doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('doc:' || doc_id::varchar)) h from documents)
@@ -240,12 +259,12 @@ def q_uuid5_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.uuid5(X.URL_NAMESPACE, F.concat(F.lit("doc:"), name)).alias("uuid"), X.short_id(name).alias("short_id"))
 
 
-@query("""select d.doc_id, case when t = '' then p when p = '' then t else p || ': ' || t end embed_text from (select d.doc_id, coalesce(substr(text, 1, 100), '') t, coalesce(case quality when 1 then 'HIGH' when 0 then 'LOW' end, '') p
+@query("""select d.doc_id, case when t = '' then p when p = '' then t else p || ': ' || t end embed_text from (select d.doc_id, coalesce(text, '') t, coalesce(case quality when 1 then 'HIGH' when 0 then 'LOW' end, '') p
 from documents d left join labels l on d.doc_id = l.doc_id where len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) >= 5) d""")
 def q_embed_text(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "HIGH").when(F.col("quality") == 0, "LOW").alias("level"))
     d = table(spark, sf_dir, "documents").filter(X.word_count(F.col("text")) >= 5).join(labels, "doc_id", "left")
-    return d.select("doc_id", X.embed_text(F.coalesce("level", F.lit("")), F.array().cast("array<string>"), F.substring("text", 1, 100)).alias("embed_text"))
+    return d.select("doc_id", X.embed_text(F.coalesce("level", F.lit("")), F.array().cast("array<string>"), F.col("text")).alias("embed_text"))
 
 
 @query("""select sev, count(*)::bigint n from (select case when s is null then null when s = 0 then 'NONE' when s < 4 then 'LOW' when s < 7 then 'MEDIUM' when s < 9 then 'HIGH' else 'CRITICAL' end sev
@@ -256,8 +275,7 @@ def q_severity_bucket(spark, sf_dir):
 
 @query("select l_orderkey, l_linenumber, l_extendedprice from (select *, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) n from lineitem) where n = 1")
 def q_best_score(spark, sf_dir):
-    best = F.max_by(F.struct("l_linenumber", "l_extendedprice"), F.struct("l_extendedprice", -F.col("l_linenumber")))
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(best.alias("b")).select("l_orderkey", "b.*")
+    return records.best_rows(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_extendedprice", "l_linenumber")
 
 
 @query("select event_type, count(*)::bigint n, sum(json_extract(props, '$.k')::bigint)::bigint total from events group by 1")
@@ -270,42 +288,38 @@ def q_json_props(spark, sf_dir):
 def q_upsert_latest(spark, sf_dir):
     """The older half of the events, upserted with the newer half, equals the latest of all."""
     e = table(spark, sf_dir, "events")
-    cut = e.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
-    last = lambda df: df.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value", "ts"), F.struct("ts", "event_id")).alias("b")).select("user_id", "b.*")
-    both = last(e.filter(F.col("event_id") <= cut)).unionByName(last(e.filter(F.col("event_id") > cut)))
-    return last(both).drop("ts")
+    cut = e.agg(F.expr("percentile_approx(struct(ts, event_id).ts, 0.5)")).first()[0]
+    old, new = (sync.latest(e.filter(x), "user_id", ["ts", "event_id"]) for x in (F.col("ts") <= cut, F.col("ts") > cut))
+    return sync.upserted(old, new, "user_id").select("user_id", "event_id", "event_type", "value")
 
 
 @query("select event_id, user_id from events e where not exists (select 1 from orders o where o.o_orderkey = e.event_id and o.o_orderdate < timestamp '1996-01-01')")
 def q_incremental_anti(spark, sf_dir):
     done = table(spark, sf_dir, "orders").filter("o_orderdate < timestamp '1996-01-01'").select(F.col("o_orderkey").alias("event_id"))
-    return table(spark, sf_dir, "events").select("event_id", "user_id").join(done, "event_id", "left_anti")
+    return sync.undone(table(spark, sf_dir, "events").select("event_id", "user_id"), done, "event_id")
 
 
-@query("""with q as (select d.lang, l.toxic expected, contains(text, '!!') hit, n_chars from labels l join documents d on l.doc_id = d.doc_id)
-select lang, count(*)::bigint n, round(avg(case when expected = 0 then 1.0 when hit then 1.0 else 0.0 end), 4) recall, round(100.0::double * count(*) filter (expected = 0 or hit) / count(*), 1) hit_rate,
-round(avg(n_chars), 2) mean_chars from q group by grouping sets ((lang), ())""")
-def q_eval_metrics(spark, sf_dir):
-    from threatloom.operators.evalkit import summary
+@query("""with q as (select d.lang, l.toxic expected, contains(text, '!!') hit, n_chars, l.doc_id % 11 <> 0 ok from labels l join documents d on l.doc_id = d.doc_id)
+select lang, count(*)::bigint n, count(*) filter (ok)::bigint n_ok, count(*) filter (not ok)::bigint n_errors, round(avg(case when expected = 0 then 1.0 when hit then 1.0 else 0.0 end) filter (ok), 4) recall,
+round(100.0::double * count(*) filter (ok and (expected = 0 or hit)) / nullif(count(*) filter (ok), 0), 1) hit_rate, round(avg(n_chars) filter (ok), 2) mean_chars,
+list_sort(list(n_chars) filter (ok))[greatest(1, floor(count(*) filter (ok) * 0.95::double)::integer)] p95 from q group by grouping sets ((lang), ())""")
 
+def q_eval_metrics(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
-    rows = rows.select("lang", F.when(F.col("toxic") == 1, F.array(F.lit("!!"))).otherwise(F.array().cast("array<string>")).alias("expected"), F.col("text").alias("blob"), "n_chars")
-    return summary(rows, "lang", "n_chars").withColumnRenamed("mean", "mean_chars")
+    error = F.when(F.col("doc_id") % 11 == 0, "no answer")
+    rows = rows.select("lang", F.when(F.col("toxic") == 1, F.array(F.lit("!!"))).otherwise(F.array().cast("array<string>")).alias("expected"), F.col("text").alias("blob"), "n_chars", error.alias("error"))
+    return evalkit.summary(rows, "lang", "n_chars").withColumnRenamed("mean", "mean_chars")
 
 
 @query("select event_type, list_sort(list(value))[greatest(1, floor(count(*) * 0.95::double)::integer)] p95 from events where value is not null group by 1")
 def q_p95(spark, sf_dir):
-    from threatloom.operators.evalkit import p95
-
-    return table(spark, sf_dir, "events").filter("value is not null").groupBy("event_type").agg(p95("value").alias("p95"))
+    return ranks.ranked_value(table(spark, sf_dir, "events"), ["event_type"], "value")
 
 
 @query("""select conv_id, string_agg(role || ': ' || substr(text, 1, 200), E'\\n' order by turn) filter (n <= 5) context from (select *, row_number() over (partition by conv_id order by turn) n from conversations) group by 1""")
 def q_narrative_context(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(w)).filter("n <= 5")
-    lines = F.array_sort(F.collect_list(F.struct("n", F.concat("role", F.lit(": "), F.substring("text", 1, 200)).alias("t"))))
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda s: s["t"]), "\n").alias("context"))
+    line = F.concat("role", F.lit(": "), F.substring("text", 1, 200))
+    return search.context_lines(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], line)
 
 
 @query("""with c as (select conv_id, turn, case when turn % 4 = 1 then text || E'\\nCONFIDENCE: ' || case when length(text) > 500 then 'HIGH' else 'LOW' end else text end t from conversations),
@@ -330,10 +344,18 @@ def q_html_doc_chunks(spark, sf_dir):
     return reports.paragraphs(plain, "page_id", "t", "\n").groupBy("page_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("paragraph")).cast("long").alias("chars"))
 
 
-@query("""select regexp_extract(url, '://([^/?#]*)', 1) stem, max(case when contains(url, '.html') then page_id end) html_page, max(case when not contains(url, '.html') then page_id end) other_page, count(*)::bigint n from pages group by 1""")
+@query("""with f as (select 'in/' || lpad(page_id::varchar, 9, '0') || '/' p, replace(regexp_extract(url, '://([^/?#]*)', 1), '.', '-') stem, case when page_id % 2 = 0 then 'json' else 'md' end kind
+from pages where page_id % 5 <> 0 and page_id % 7 <> 0)
+select stem, max(case when kind = 'json' then p || stem || '.json' end) json_path, max(case when kind = 'md' then p || stem || '.md' end) md_path from f group by 1""")
+
 def q_dedup_files(spark, sf_dir):
-    html = F.contains("url", F.lit(".html"))
-    return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("stem")).agg(F.max(F.when(html, F.col("page_id"))).alias("html_page"), F.max(F.when(~html, F.col("page_id"))).alias("other_page"), F.count("*").alias("n"))
+    """Pages as parsed files of their host (.json where the path has an even number), paired by stem."""
+    n = F.col("page_id").cast("string")
+    host = F.regexp_replace(F.regexp_extract("url", "://([^/?#]*)", 1), r"\.", "-")
+    suffix = F.when(F.col("page_id") % 5 == 0, ".txt").when(F.col("page_id") % 2 == 0, ".json").otherwise(".md")
+    name = F.concat(F.when(F.col("page_id") % 7 == 0, "_").otherwise(""), host, suffix)
+    files = table(spark, sf_dir, "pages").select(F.concat(F.lit("in/"), F.lpad(n, 9, "0"), F.lit("/"), name).alias("path"))
+    return bundles.document_files(files)
 
 
 @query("""select s_suppkey, s_name, n, row_number() over (order by n desc, s_suppkey)::integer "rank" from (select s_suppkey, s_name, count(*)::bigint n from lineitem join supplier on l_suppkey = s_suppkey group by 1, 2) order by n desc, s_suppkey limit 50""")
@@ -341,3 +363,157 @@ def q_actor_rank(spark, sf_dir):
     n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"))
     top = n.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey").orderBy(F.desc("n"), "s_suppkey").limit(50)
     return top.select("s_suppkey", "s_name", "n", F.row_number().over(Window.orderBy(F.desc("n"), "s_suppkey")).alias("rank"))
+
+
+ENTITIES = [("Apache License", "S0001", "software", ["Apache", "apache license", "the"]), ("MIT License", "S0002", "software", ["MIT", "Released under"]), ("General Public License", "G0003", "group", ["GNU", "GNU General", "version 3"]), ("Reserved", "G0004", "group", ["All rights reserved"])]
+FOUND = " union all ".join(
+    f"""select doc_id, '{i}' attack_id, len(regexp_extract_all(text, '\\b(?:{'|'.join(cs)})\\b')) a, len(regexp_extract_all(text, '(?i)\\b(?:{'|'.join(ci)})\\b')) b from documents"""
+    for i, cs, ci in (("S0001", ["$^"], ["apache license", "apache"]), ("S0002", ["$^"], ["released under", "mit license"]), ("G0003", ["$^"], ["general public license", "gnu general", "version 3"]), ("G0004", ["$^"], ["all rights reserved", "reserved"]))
+)
+
+
+def _mentions(spark, docs):
+    aliases = match.alias_dictionary(spark.createDataFrame(ENTITIES, match.ENTITY), spark.createDataFrame([("the",)], "key string"))
+    return match.entity_mentions(docs.select("doc_id", "source", "text"), aliases, ["doc_id", "source"])
+
+
+@query(f"with m as ({FOUND}) select doc_id, attack_id, (a + b)::integer n, case when a > 0 then 'case-sensitive' else 'case-insensitive' end strategy from m where a + b > 0")
+def q_entity_mentions(spark, sf_dir):
+    return _mentions(spark, table(spark, sf_dir, "documents")).select("doc_id", "attack_id", F.col("n").cast("int").alias("n"), "strategy")
+
+
+@query(f"with m as ({FOUND}) select attack_id, sum(a + b)::bigint count, count(*)::bigint chunks, min_by(source, doc_id) source from m join documents using (doc_id) where a + b > 0 group by 1")
+def q_entity_totals(spark, sf_dir):
+    found = _mentions(spark, table(spark, sf_dir, "documents"))
+    totals = match.entity_totals(found, ["doc_id"], "source", "source")
+    return totals.select("attack_id", "count", "chunks", "source")
+
+
+@query("""select l_partkey src, l_suppkey dst, l_orderkey, l_linenumber, l_quantity from (select *, row_number() over (partition by l_partkey, l_suppkey order by l_orderkey desc, l_linenumber desc, l_quantity desc) n
+from lineitem join part on l_partkey = p_partkey where p_size > 10) where n = 1""")
+def q_edge_last_wins(spark, sf_dir):
+    """Edges part to supplier; of several lines of a pair the last wins, whatever order they are in."""
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), "l_orderkey", "l_linenumber", "l_quantity")
+    nodes, ends = table(spark, sf_dir, "part").filter("p_size > 10").select("p_partkey"), table(spark, sf_dir, "supplier").select("s_suppkey")
+    old = edges.filter("l_orderkey % 3 = 0")
+    old = graph.merge_edges(old.limit(0), old, ["src", "dst"], nodes, ends, ["l_orderkey", "l_linenumber"])
+    again = old.withColumn("_old", F.lit(True)).drop("_old").unionByName(edges)
+    return graph.merge_edges(old, again, ["src", "dst"], nodes, ends, ["l_orderkey", "l_linenumber"])
+
+
+@query("""select src, dst, source_doc, description, confidence from (select l_partkey src, l_suppkey dst, 'doc' || (l_orderkey % 5) source_doc, l_returnflag description, l_discount confidence,
+row_number() over (partition by l_partkey, l_suppkey, l_orderkey % 5 order by l_orderkey desc, l_linenumber desc, l_returnflag desc, l_discount desc) n from lineitem) where n = 1""")
+def q_document_edges(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    edges = l.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.concat(F.lit("doc"), (F.col("l_orderkey") % 5).cast("string")).alias("source_doc"), F.col("l_returnflag").alias("description"), F.col("l_discount").alias("confidence"), "l_orderkey", "l_linenumber")
+    old = edges.withColumn("type", F.lit("USES")).drop("l_orderkey", "l_linenumber").limit(0)
+    ends = [table(spark, sf_dir, t).select(c) for t, c in (("part", "p_partkey"), ("supplier", "s_suppkey"))]
+    return graph.merge_document_edges(old, edges, "USES", *ends, order=["l_orderkey", "l_linenumber"]).drop("type")
+
+
+@query(f"""with v as ({VECTORS}), s as (select a.vec_id, b.vec_id other, round({COSINE}, 6) score from v a, v b where a.vec_id <> b.vec_id and a.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by vec_id order by score desc, other) n from s)
+select vec_id cve_id, string_agg(other::varchar || ' ' || printf('%.6f', score), ',' order by n) "similar" from r where n <= 10 group by 1""")
+def q_expand_similar(spark, sf_dir):
+    """The ten nearest other records of each asked one; the embedder reads the vector back from the description."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cve_id"), F.col("embedding").alias("vector"))
+    ids = v.filter("cve_id % 20 = 0").select("cve_id")
+    told = v.join(ids, "cve_id", "left_semi").select("cve_id", F.array_join(F.transform("vector", lambda x: x.cast("double").cast("string")), " ").alias("description"))
+    none = spark.createDataFrame([], "cve_id long, attack_id string, cwe_id string, tactic string, kind string, actor string")
+    found = search.expand(ids, told, none.select("cve_id", "attack_id", "cwe_id"), none.select("attack_id", "tactic"), none.select("attack_id", "kind", "actor"), v, lambda t: [float(x) for x in t.split()])
+    shown = F.transform("similar", lambda x: F.concat(x["cve_id"].cast("string"), F.lit(" "), F.format_string("%.6f", x["score"])))
+    return found.select("cve_id", F.array_join(shown, ",").alias("similar"))
+
+
+RESULTS = """r as (select o_custkey q, o_orderkey, o_totalprice, o_orderpriority, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) rnk from orders),
+t as (select distinct l_orderkey, l_partkey from lineitem)"""
+
+
+def _results(spark, sf_dir):
+    """Orders as search results of their customers, in order of date, with parts as techniques."""
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    parts = l.select("l_orderkey", "l_partkey").distinct().groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("l_partkey")), lambda p: F.struct(F.concat(F.lit("T"), p.cast("string")).alias("attack_id"), F.concat(F.lit("part "), p.cast("string"), F.lit(" of "), F.col("l_orderkey").cast("string")).alias("name"))).alias("techniques"))
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    met = o.withColumn("rank", rank).join(parts, o.o_orderkey == parts.l_orderkey, "left")
+    return met.select(F.col("o_custkey").alias("query_id"), "rank", F.col("o_orderkey").cast("string").alias("cve_id"), F.col("o_orderpriority").alias("severity"), F.round(F.col("o_totalprice") / 50000, 0).alias("cvss_score"), F.col("o_orderstatus").alias("description"), "techniques")
+
+
+@query(f"""with {RESULTS}, e as (select q, rnk, l_partkey p, o_orderkey o, row_number() over (partition by q order by rnk, l_partkey) place from r join t on l_orderkey = o_orderkey where rnk <= 5),
+f as (select q, p, min(place) first_place, max_by(o, place) last_order from e group by 1, 2), n as (select *, row_number() over (partition by q order by first_place) n from f)
+select q query_id, string_agg('T' || p || ' part ' || p || ' of ' || last_order, ',' order by n) techniques from n where n <= 8 group by 1""")
+def q_technique_union(spark, sf_dir):
+    found = search.technique_union(_results(spark, sf_dir), "query_id")
+    return found.select("query_id", F.array_join(F.transform("techniques", lambda x: F.concat_ws(" ", x["attack_id"], x["name"])), ",").alias("techniques"))
+
+
+@query(f"""with {RESULTS}, p as (select l_orderkey, string_agg('T' || l_partkey, ', ' order by l_partkey) ids from t group by 1),
+l as (select q, rnk, '- ' || o.o_orderkey || ' [' || r.o_orderpriority || ', ' || case when round(r.o_totalprice / 50000, 0) = 0 then 'CVSS N/A' else printf('CVSS %.1f', round(r.o_totalprice / 50000, 0)) end || ']: ' || o_orderstatus || E'...\n  ATT&CK: ' || coalesce(ids, 'none mapped') line
+from r join orders o on o.o_orderkey = r.o_orderkey left join p on l_orderkey = r.o_orderkey)
+select q query_id, count(*)::bigint n, string_agg(line, E'\n' order by rnk) filter (rnk <= 5) records from l group by 1""")
+def q_prompt_records(spark, sf_dir):
+    queries = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id")).distinct().withColumn("query", F.lit("?"))
+    return search.prompts(queries, _results(spark, sf_dir)).select("query_id", "n", "records")
+
+
+NODES = """n as (select case when p_size % 2 = 0 then 'Group' else 'Software' end label, p_brand || '-' || p_size name, 'X' || p_partkey attack_id, string_split(p_name || ' ' || p_name || ' ' || upper(p_type), ' ') aliases from part)"""
+
+
+def _nodes(spark, sf_dir):
+    label = F.when(F.col("p_size") % 2 == 0, "Group").otherwise("Software")
+    return table(spark, sf_dir, "part").select(label.alias("label"), F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")).alias("name"), F.concat(F.lit("X"), F.col("p_partkey").cast("string")).alias("attack_id"), F.split(F.concat_ws(" ", "p_name", "p_name", F.upper("p_type")), " ").alias("aliases"))
+
+
+@query(f"""with {NODES}, e as (select attack_id, unnest(aliases) a, generate_subscripts(aliases, 1) pos from n),
+f as (select attack_id, lower(a) k, min(pos) pos, min_by(a, pos) a from e where length(a) >= 4 and lower(a) not in ('steel', 'part') group by 1, 2)
+select n.attack_id, lower(label) as type, coalesce(string_agg(a, ',' order by pos), '') aliases from n left join f on f.attack_id = n.attack_id group by 1, 2""")
+def q_alias_entities(spark, sf_dir):
+    stop = spark.createDataFrame([("STEEL",), ("part",)], "key string")
+    return match.entities_of(_nodes(spark, sf_dir), stop).select("attack_id", "type", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query(f"""with {NODES}, e as (select unnest(aliases) alias, name entity, lower(label) as type from n)
+select 'short' problem, alias, length(alias)::integer length, entity, type from e where length(alias) between 4 and 5
+union all select 'common', alias, length(alias)::integer, entity, type from e where length(alias) >= 4 and regexp_full_match(alias, '[A-Za-z]+') and lower(alias) in ('steel', 'small', 'brass')""")
+def q_alias_audit(spark, sf_dir):
+    return match.alias_audit(_nodes(spark, sf_dir), spark.createDataFrame([("steel",), ("Small",), ("brass",)], "word string"))
+
+
+@query(f"""with {NODES} select count(*) filter (label = 'Group')::bigint n_groups, count(*) filter (label = 'Software')::bigint n_software,
+(select count(*) from (select distinct attack_id, lower(a) from (select attack_id, unnest(aliases) a from n) where length(a) >= 4))::bigint n_aliases_total from n""")
+def q_alias_stats(spark, sf_dir):
+    return match.alias_stats(match.entities_of(_nodes(spark, sf_dir), spark.createDataFrame([], "key string")))
+
+
+@query("""with h as (select p_partkey, sha1(unhex('4f6e8b2a1c3d5e7f9a0b2c4d6e8f1a3b') || encode('CVE-' || p_partkey)) h from part)
+select 'vulnerability--' || h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || (['8','9','a','b'])[((strpos('0123456789abcdef', h[17:17]) - 1) % 4 + 1)::integer] || h[18:20] || '-' || h[21:32] id,
+'CVE-' || part.p_partkey as name, p_retailprice x_cvss_score, 'cve=CVE-' || part.p_partkey || '=https://nvd.nist.gov/vuln/detail/CVE-' || part.p_partkey || ',cwe=CWE-' || p_size || '=https://cwe.mitre.org/data/definitions/' || p_size || '.html' refs from part join h using (p_partkey)""")
+def q_vulnerabilities(spark, sf_dir):
+    n = F.col("p_partkey").cast("string")
+    made = table(spark, sf_dir, "part").select(F.concat(F.lit("CVE-"), n).alias("cve_id"), F.col("p_name").alias("description"), F.col("p_retailprice").alias("cvss_score"), F.lit("LOW").alias("severity"), F.array(F.concat(F.lit("CWE-"), F.col("p_size").cast("string"))).alias("cwe_ids"), F.lit("2024-01-02").alias("published_date"))
+    refs = F.array_join(F.transform("external_references", lambda r: F.concat_ws("=", r["source_name"], r["external_id"], r["url"])), ",")
+    return graph.vulnerabilities(made).select("id", "name", "x_cvss_score", refs.alias("refs"))
+
+
+@query("""select d.source, count(*)::bigint chunk_count, min_by(n_chars, doc_id) as year, count(distinct quality * 2 + toxic)::bigint n_entities from documents d left join labels using (doc_id) group by 1""")
+def q_report_nodes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("n_chars").alias("year"), F.col("doc_id").alias("chunk_index"))
+    mentions = docs.join(table(spark, sf_dir, "labels"), "doc_id").select("source", (F.col("quality") * 2 + F.col("toxic")).alias("attack_id"))
+    return reports.report_nodes(docs, mentions)
+
+
+@query("""select coalesce(a.k, b.k) path, case when b.k is null then 'new' when a.k is null then 'deleted' else 'changed' end change from (select o_orderkey k, md5(o_orderstatus || (o_orderkey % 3)) h from orders where o_orderkey % 10 <> 1) a
+full join (select o_orderkey k, md5(o_orderstatus || (o_orderkey % 6)) h from orders where o_orderkey % 10 <> 2) b on a.k = b.k where a.h is distinct from b.h""")
+def q_changed_paths(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    at = lambda n: F.md5(F.concat("o_orderstatus", (F.col("o_orderkey") % n).cast("string")).cast("binary")).alias("hash")
+    return sync.changes(o.filter("o_orderkey % 10 <> 1").select(F.col("o_orderkey").alias("path"), at(3)), o.filter("o_orderkey % 10 <> 2").select(F.col("o_orderkey").alias("path"), at(6)))
+
+
+@query("select p_partkey, p_name from part where contains(p_name, 'd w')")
+def q_named_nodes(spark, sf_dir):
+    return graph.named(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "d w", "p_name")
+
+
+@query("select o_custkey, string_agg(o_orderstatus, '' order by o_orderstatus) statuses from orders group by 1")
+def q_collected(spark, sf_dir):
+    return graph.collected(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", "statuses").withColumn("statuses", F.array_join("statuses", ""))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from threatloom.functions.text import external_id, strip_citations
+from threatloom.session import stored
 
 OBJECT = (
     "type string, id string, name string, description string, created string, modified string, revoked boolean, x_mitre_deprecated boolean, x_mitre_version string, "
@@ -72,23 +77,44 @@ def tactic_edges(all_nodes: DataFrame) -> DataFrame:
     return phases.join(tactics, "shortname").select(F.lit("ENABLES_TACTIC").alias("type"), "src", "dst").distinct()
 
 
-def tree_items(trees: DataFrame, key: str = "doc_id", depth: int = 6) -> DataFrame:
+def tree_items(trees: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, pos, label, level, text, page of a document tree in reading order.
 
-    body.children references (`#/texts/3`, `#/groups/0`) are resolved by joins; groups nest up to
-    `depth` levels, one join each; other and dangling references are skipped.
+    body.children references (`#/texts/3`, `#/groups/0`) are resolved by joins, one a level of nesting, until no group is
+    left; each level is stored. Other and dangling references are skipped, and a group inside itself is an error.
     """
     number = lambda ref: F.regexp_extract(ref, r"(\d+)$", 1).cast("int")
     texts = trees.select(key, F.posexplode("texts").alias("n", "x")).select(key, "n", "x.*")
     groups = trees.select(key, F.posexplode("groups").alias("n", "g")).select(key, "n", F.col("g.children").alias("children"))
-    front = trees.select(key, F.posexplode("body.children").alias("i", "c")).select(key, F.array(F.col("i")).alias("path"), F.col("c.$ref").alias("ref"))
-    leaves = front.filter(F.col("ref").startswith("#/texts/"))
-    for _ in range(depth):
-        inner = front.filter(F.col("ref").startswith("#/groups/")).withColumn("n", number(F.col("ref"))).join(groups, [key, "n"])
-        front = inner.select(key, "path", F.posexplode("children").alias("i", "c")).select(key, F.concat("path", F.array("i")).alias("path"), F.col("c.$ref").alias("ref"))
-        leaves = leaves.unionByName(front.filter(F.col("ref").startswith("#/texts/")))
+    front = trees.select(key, F.posexplode("body.children").alias("i", "c")).select(key, F.array("i").alias("path"), F.array().cast("array<int>").alias("inside"), F.col("c.$ref").alias("ref"))
+    fronts = [front]
+    while True:
+        inner = fronts[-1].filter(F.col("ref").startswith("#/groups/")).withColumn("n", number(F.col("ref")))
+        if inner.isEmpty():
+            break
+        inner = inner.withColumn("n", F.when(F.array_contains("inside", F.col("n")), F.raise_error(F.lit("a group is inside itself")).cast("int")).otherwise(F.col("n"))).join(groups, [key, "n"])
+        inner = inner.select(key, "path", F.concat("inside", F.array("n")).alias("inside"), F.posexplode("children").alias("i", "c"))
+        fronts.append(stored(inner.select(key, F.concat("path", F.array("i")).alias("path"), "inside", F.col("c.$ref").alias("ref")), "tree-front"))
+    leaves = reduce(DataFrame.unionByName, fronts).filter(F.col("ref").startswith("#/texts/"))
     met = leaves.withColumn("n", number(F.col("ref"))).join(texts, [key, "n"])
-    from pyspark.sql.window import Window
-
     page = F.get(F.filter(F.transform("prov", lambda p: p["page_no"]), lambda p: p.isNotNull()), F.lit(0))
     return met.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("path")) - 1).alias("pos"), "label", "level", "text", page.alias("page"))
+
+
+def first_available(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The objects of the first path that can be read (a given file, then a cache, ...). Downloads are out of scope."""
+    for path in paths:
+        try:
+            return objects(spark, path)
+        except AnalysisException:  # no such path
+            continue
+    raise FileNotFoundError(", ".join(paths))
+
+
+def document_files(files: DataFrame, path: str = "path") -> DataFrame:
+    """(stem, json_path, md_path): parsed and Markdown files paired by stem; names that begin with `_` and run summaries are skipped."""
+    name = F.element_at(F.split(path, "/"), -1)
+    stem, suffix = F.regexp_replace(name, r"\.[^.]*$", ""), F.element_at(F.split(name, r"\."), -1)
+    some = files.filter(suffix.isin("json", "md") & ~name.startswith("_") & ~F.contains(name, F.lit("parse_summary")))
+    of = lambda kind: F.max(F.when(suffix == kind, F.col(path)))
+    return some.groupBy(stem.alias("stem")).agg(of("json").alias("json_path"), of("md").alias("md_path"))

@@ -66,10 +66,28 @@ def normalised(raw: DataFrame, root: str = "", include_rejected: bool = False) -
 
 
 def counters(raw: DataFrame, records: DataFrame) -> DataFrame:
-    """total, written, skipped, no_desc, no_cvss, no_cwe: one row."""
-    a = raw.agg(F.count("*").alias("total"))
+    """total, written, skipped (rejected), errors (files that are no records), no_desc, no_cvss, no_cwe: one row."""
+    a = raw.agg(F.count("*").alias("total"), F.count_if(F.col("cveMetadata.cveId").isNull()).alias("errors"))
     b = records.agg(F.count("*").alias("written"), F.count_if(F.col("description").isNull()).alias("no_desc"), F.count_if(F.col("cvss_v3").isNull()).alias("no_cvss"), F.count_if(F.size("cwe_ids") == 0).alias("no_cwe"))
-    return a.join(b).withColumn("skipped", F.col("total") - F.col("written"))  # one row by one row
+    return a.join(b).withColumn("skipped", F.col("total") - F.col("written") - F.col("errors"))  # one row by one row
+
+
+def best_rows(df: DataFrame, by: str, score: str, order: str) -> DataFrame:
+    """(by, order, score): the row of the highest score of each key; the first by `order` of equals; null scores don't count."""
+    best = F.max_by(F.struct(order, score), F.struct(score, (-F.col(order)).alias("_back")))
+    return df.filter(F.col(score).isNotNull()).groupBy(by).agg(best.alias("_b")).select(by, "_b.*")
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """Replace the JSON lines at `path`."""
+    df.write.mode("overwrite").json(path)
+
+
+def cached(new: DataFrame, path: str, key: str, parse) -> DataFrame:
+    """Rows parsed once: those of the table at `path`, after `parse` has added the rows of `new` that it lacks."""
+    from threatloom.operators.vector import append_vectors
+
+    return append_vectors(new, path, key, parse)
 
 
 def point_ids(records: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 The checkpoint is the offset: it advances only after a batch is written, so a failed batch is done
 again, and the keyed upsert makes that harmless. A fresh checkpoint is an initial load; nothing new
-is a no-op. A table is a folder of versions; the newest complete one counts.
+is a no-op. A table is dealt to buckets by a hash of its key; a batch rewrites the buckets that it
+touches, as a new version, and the newest complete version of each bucket counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,47 +25,91 @@ def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 class VersionedTable:
-    """A Parquet table with whole versions `v=N`; a version counts once Spark has committed it."""
+    """A Parquet table in BUCKETS buckets of a key's hash: `v=N/b=K` holds bucket K as version N wrote it, and `m=N`, written
+    last, lists the buckets of version N. A version without its list's `_SUCCESS` doesn't count."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    BUCKETS = 64
 
-    def version(self) -> int:
+    def __init__(self, spark: SparkSession, path: str, key: str):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+
+    def versions(self) -> list[int]:
         jvm = self.spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(root):
-            return 0
-        done = [s.getPath() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return max([int(p.getName().removeprefix("v=")) for p in done], default=0)
-
-    def read(self) -> DataFrame | None:
-        n = self.version()
-        return self.spark.read.parquet(f"{self.path}/v={n}") if n else None
-
-    def write(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={self.version() + 1}")
+            return []
+        found = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("m=")]
+        return sorted(int(p.getName()[2:]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def _paths(self, buckets: set[int] | None = None) -> list[str]:
+        """Folders of the newest version of each bucket that has rows."""
+        versions = self.versions()
+        if not versions:
+            return []
+        lists = self.spark.read.schema("bucket int, n long, version int").json([f"{self.path}/m={v}" for v in versions])
+        newest = lists.groupBy("bucket").agg(F.max_by("n", "version").alias("n"), F.max("version").alias("version")).collect()  # BUCKETS rows at most
+        return [f"{self.path}/v={r.version}/b={r.bucket}" for r in newest if r.n and (buckets is None or r.bucket in buckets)]
+
+    def read(self, buckets: set[int] | None = None) -> DataFrame | None:
+        """The rows of some buckets (all by default); None for a table without any."""
+        paths = self._paths(buckets)
+        return self.spark.read.option("mergeSchema", True).parquet(*paths) if paths else None
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.BUCKETS)).cast("int")
+
+    def upsert(self, rows: DataFrame, gone: DataFrame | None = None) -> None:
+        """Put `rows` in the place of those with their keys, and remove the keys of `gone`."""
+        touched = rows.select(self._bucket().alias("b")).union(gone.select(self._bucket().alias("b")) if gone is not None else rows.select(self._bucket()).limit(0)).distinct()
+        buckets = {r.b for r in touched.collect()}  # BUCKETS rows at most
+        if not buckets:
+            return
+        version = max(self.versions(), default=0) + 1
+        old = self.read(buckets)
+        new = rows if old is None else upserted(old, rows, self.key)
+        if gone is not None:
+            new = new.join(gone.select(self.key).distinct(), self.key, "left_anti")
+        new.withColumn("b", self._bucket()).repartition("b").write.mode("overwrite").partitionBy("b").parquet(f"{self.path}/v={version}")
+        some = self.spark.createDataFrame([(b,) for b in sorted(buckets)], "b int")
+        try:
+            held = self.spark.read.parquet(f"{self.path}/v={version}").groupBy("b").agg(F.count("*").alias("n"))
+        except AnalysisException:  # every touched bucket is empty now
+            held = self.spark.createDataFrame([], "b int, n long")
+        listed = some.join(held, "b", "left").select(F.col("b").alias("bucket"), F.coalesce("n", F.lit(0)).alias("n"), F.lit(version).alias("version"))
+        listed.coalesce(1).write.mode("overwrite").json(f"{self.path}/m={version}")
 
 
 def sync(spark: SparkSession, landing: str, schema: str, table: str, checkpoint: str, key: str, order: list[str], transform=None, files_per_batch: int | None = None, reader: str = "json", options: dict | None = None) -> None:
     """Process all files that arrived since the last call, then stop."""
-    target = VersionedTable(spark, table)
+    target = VersionedTable(spark, table, key)
     source = spark.readStream.schema(schema).options(**(options or {}))
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
 
     def apply(batch: DataFrame, _: int) -> None:
-        rows = latest(transform(batch) if transform else batch, key, order)
-        old = target.read()
-        target.write(rows if old is None else upserted(old, rows, key))
+        target.upsert(latest(transform(batch) if transform else batch, key, order))
 
     query = source.format(reader).load(landing).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def changes(landing: DataFrame, done: DataFrame, key: str = "path", version: str = "hash") -> DataFrame:
+    """(key, change): `new`, `changed` (another version) or `deleted` of what a landing folder holds against what was done."""
+    now, was = (df.select(key, F.col(version).alias(x)).distinct() for df, x in ((landing, "_now"), (done, "_was")))
+    both = now.join(was, key, "full_outer")
+    change = F.when(F.col("_was").isNull(), "new").when(F.col("_now").isNull(), "deleted").when(F.col("_now") != F.col("_was"), "changed")
+    return both.select(key, change.alias("change")).filter("change is not null")
+
+
 def pending(spark: SparkSession, landing: DataFrame, done: DataFrame, key: str = "path") -> DataFrame:
     """Dry run: what a sync would process, newest first, 20 at most."""
-    return landing.join(done.select(key).distinct(), key, "left_anti").orderBy(F.desc(key)).limit(20)
+    return undone(landing, done, key).orderBy(F.desc(key)).limit(20)
+
+
+def undone(landing: DataFrame, done: DataFrame, key: str = "path") -> DataFrame:
+    """The rows whose key isn't done yet."""
+    return landing.join(done.select(key).distinct(), key, "left_anti")
 
 
 def health(counts: dict[str, int | None]) -> str:
