@@ -60,7 +60,7 @@ def similar(vectors: DataFrame, links: DataFrame, query: list[float], top_k: int
     hits = filtered_nearest(vectors.filter(early) if early is not None else vectors, query, top_k, key, vector, late)
     mine = links.join(hits.select(key), key, "left_semi").groupBy(key).agg(F.array_sort(F.collect_set(F.struct("attack_id", "name"))).alias("techniques"))
     rich = hits.join(mine, key, "left").withColumn("techniques", F.coalesce("techniques", F.array().cast(mine.schema["techniques"].dataType)))
-    final = F.round(hybrid_score(F.col("score"), F.size("techniques") > 0, alpha), 6)
+    final = F.round(hybrid_score(F.col("score"), F.size("techniques") > 0, alpha), 7)  # a digit more than the score: no ties to round
     return rich.withColumn("final_score", final).orderBy(F.desc("final_score"), key).limit(top_k)
 
 

@@ -27,7 +27,7 @@ with v as ({VECTORS}), hits as (select a.vec_id, a.label, round({COSINE}, 6) sco
   order by score desc, vec_id limit 20),
 near as (select * from hits order by score desc, vec_id limit 10),
 rich as (select h.vec_id, h.label, h.score, count(distinct (l.quality, l.toxic)) filter (l.doc_id is not null)::integer linked from near h left join labels l on l.doc_id = h.vec_id group by all)
-select vec_id, label, score, linked, round(0.7 * score + 0.3 * case when linked > 0 then 1.0 else 0.5 end, 6) final_score from rich order by final_score desc, vec_id limit 10
+select vec_id, label, score, linked, round(0.7 * score + 0.3 * case when linked > 0 then 1.0 else 0.5 end, 7) final_score from rich order by final_score desc, vec_id limit 10
 """)
 
 def q_hybrid_search(spark, sf_dir):
