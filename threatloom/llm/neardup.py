@@ -36,6 +36,8 @@ WORDS, SIMILARITY, SKETCHES, MINIMA = 5, 0.8, 24, 3
 BLOCK = 256
 #: Buckets of more members, and k-mers of more documents among theirs, are large and frequent.
 FEW, RARE = 8, 16
+#: About so many pairs of one document are aligned in a task.
+PAIRS = 1024
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.random.default_rng(20).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -243,11 +245,15 @@ def _exploded(docs: DataFrame) -> DataFrame:
 
 def linked(pairs: DataFrame, df: DataFrame, key: str, text: str, least: float) -> DataFrame:
     """The pairs whose texts align. Texts of documents without candidates are not joined; what has
-    candidates grows with the corpus and is never broadcast."""
+    candidates grows with the corpus and is never broadcast. The pairs of a hub are dealt to tasks by PAIRS or so."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")).filter("t is not null")
     docs = stored(docs.join(ends.hint("merge"), "doc", "left_semi").groupBy("doc").agg(F.min("t").alias("t")), "neardup-texts")
     a, b = (docs.select(F.col("doc").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
+    deals = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("deals"))
+    hubs = deals.filter("deals > 1")
+    dealt = pairs.join(hubs.hint("merge"), "a", "left").withColumn("deal", F.pmod(F.xxhash64("b"), F.coalesce("deals", F.lit(1))).cast("int")).drop("deals")
+    a = a.join(hubs.hint("merge"), "a", "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("deals")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -259,7 +265,7 @@ def linked(pairs: DataFrame, df: DataFrame, key: str, text: str, least: float) -
                 keep.append(similarity(recent[s], kmers(t), least) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
-    return bounded_batches(pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")).mapInArrow(run, "a long, b long")
+    return bounded_batches(dealt.join(b, "b").join(a, ["a", "deal"]).select("a", "b", "ta", "tb")).mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 MAGIC, HEAD = b"TLB1", struct.Struct("<4sIIIIIII")
 PRECISION = 24
 SCALE, LEAST0, TOTAL0 = 1 << PRECISION, 1 << 20, 1 << 20
-BLOCK_IDS, MAX_LANES, LANE_IDS = 1 << 19, 4096, 64
+BLOCK_IDS, MAX_LANES, LANE_IDS, SHARD_ROWS = 1 << 19, 4096, 64, 1 << 16
 CACHE_WORDS = 600_000
 U32 = np.uint64(32)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -380,8 +380,8 @@ def write_blocks(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, key:
     its shard. Null keys come first.
     """
     spark = df.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     small = df.select(F.col(key).cast("long").alias("k"))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-small.count() // SHARD_ROWS))
     cuts = small.agg(F.percentile_approx("k", [i / shards for i in range(1, shards)] or [0.5], 10_000)).first()[0] if shards > 1 else []
     cuts = sorted(set(cuts or []))
 
