@@ -22,8 +22,11 @@ def neighbours(edges: DataFrame, by: str, value: str, into: str) -> DataFrame:
 
 
 def two_hops(first: DataFrame, second: DataFrame, start: str, middle: str, end: str) -> DataFrame:
-    """Distinct (start, end) over first (start, middle) and second (middle, end). Both sides are made distinct before they meet."""
-    return first.select(start, middle).distinct().join(second.select(middle, end).distinct(), middle).select(start, end).distinct()
+    """Distinct (start, end) over first (start, middle) and second (middle, end). Both sides are made distinct before they meet.
+
+    What meets is dealt by `start`, so that it becomes distinct there and can be grouped by `start` without another shuffle.
+    """
+    return first.select(start, middle).distinct().join(second.select(middle, end).distinct(), middle).select(start, end).repartition(start).distinct()
 
 
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
