@@ -351,6 +351,9 @@ def test_files_changes_and_reports(spark, tmp_path):
     chunks = spark.createDataFrame([("d1", "s", 2024, 1, "x", 3), ("d1", "s", 2023, 0, " ", 1), ("d2", "t", 2020, 0, "", None)], "doc_id string, source string, year int, chunk_index int, text string, token_count int")
     mentions = spark.createDataFrame([("s", "A"), ("s", "A"), ("s", "B")], "source string, attack_id string")
     assert {r.source: (r.chunk_count, r.year, r.n_entities) for r in reports.report_nodes(chunks, mentions).collect()} == {"s": (2, 2023, 2), "t": (1, 2020, 0)}
+    per = match.first_contexts(spark.createDataFrame([("s", "A", "group", 2, "x"), ("s", "A", "group", 1, "y"), ("s", "B", "software", 1, "z"), ("u", "A", "group", 1, "w")], "source string, attack_id string, type string, id int, context string"), ["source", "attack_id", "type"], ["id"], "context")
+    nodes = spark.createDataFrame([("Group", "A", "g-a"), ("Group", "B", "g-b")], "label string, attack_id string, stix_id string")
+    assert [tuple(r) for r in graph.mention_edges(per, nodes, chunks.select("source")).collect()] == [("MENTIONS", "s", "g-a", 2, ["y", "x"])]
     summary = {r.doc_id: (r.chunks, r.tokens, r.status) for r in reports.write_by_document(chunks, str(tmp_path / "out")).collect()}
     assert summary == {"d1": (2, 4, "ok"), "d2": (1, 0, "empty")} and (tmp_path / "out" / "doc_id=d1").is_dir()
     (tmp_path / "b.json").write_text(json.dumps({"objects": [{"type": "tool", "id": "t", "name": "n"}]}))

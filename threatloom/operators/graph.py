@@ -82,6 +82,14 @@ def merge_document_edges(old: DataFrame, new: DataFrame, kind: str, sources: Dat
     return merge_edges(old, filled.withColumn("type", F.lit(kind)), ["type", "src", "dst", "source_doc"], sources, targets, order)
 
 
+def mention_edges(mentions: DataFrame, nodes: DataFrame, reports: DataFrame) -> DataFrame:
+    """MENTIONS edges (type, src, dst, chunk_count, contexts) of per-report mentions (source, attack_id, type, chunk_count,
+    contexts) to the node (label, attack_id, stix_id) with that id and the type's label; without both ends there is no edge."""
+    ends = nodes.select("attack_id", F.lower("label").alias("type"), F.col("stix_id").alias("dst"))
+    known = reports.select(F.col("source").alias("src")).distinct()
+    return mentions.withColumnRenamed("source", "src").join(known, "src", "left_semi").join(ends, ["attack_id", "type"]).select(F.lit("MENTIONS").alias("type"), "src", "dst", "chunk_count", "contexts")
+
+
 def named(nodes: DataFrame, part: str, name: str = "name") -> DataFrame:
     """Nodes whose name holds `part` (case counts)."""
     return nodes.filter(F.contains(name, F.lit(part)))

@@ -517,3 +517,13 @@ def q_named_nodes(spark, sf_dir):
 @query("select o_custkey, string_agg(o_orderstatus, '' order by o_orderstatus) statuses from orders group by 1")
 def q_collected(spark, sf_dir):
     return graph.collected(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", "statuses").withColumn("statuses", F.array_join("statuses", ""))
+
+
+@query("""select 'MENTIONS' as type, l_orderkey % 50 src, 'S' || l_suppkey dst, count(*)::bigint chunk_count, min(l_partkey)::bigint first_part from lineitem join supplier on s_suppkey = l_suppkey where l_suppkey % 2 = 0 and l_orderkey % 50 < 40 group by 2, 3""")
+def q_mention_edges(spark, sf_dir):
+    """Lines as mentions of suppliers in reports (50 of them, 40 known); even suppliers are nodes."""
+    l = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("source"), F.col("l_suppkey").cast("string").alias("attack_id"), F.lit("group").alias("type"), "l_partkey", "l_orderkey", "l_linenumber")
+    per = match.first_contexts(l, ["source", "attack_id", "type"], ["l_partkey", "l_orderkey", "l_linenumber"], "l_partkey")
+    nodes = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.lit("Group").alias("label"), F.col("s_suppkey").cast("string").alias("attack_id"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("stix_id"))
+    known = l.filter("source < 40").select("source").distinct()
+    return graph.mention_edges(per, nodes, known).select("type", "src", "dst", "chunk_count", F.get("contexts", F.lit(0)).alias("first_part"))
