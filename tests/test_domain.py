@@ -400,3 +400,15 @@ def test_packing_long_documents(spark):
         used += n
     out = reports.pack_paragraphs(df, "d", "t", budget=50).orderBy("group").collect()
     assert [(r["group"], r.paragraphs, r.tokens) for r in out] == [(i, len(g), sum(g)) for i, g in enumerate(groups)]
+
+
+def test_stored_tables_can_be_cleaned(spark):
+    from pathlib import Path
+
+    from threatloom import session
+
+    session.cleaned(spark)
+    out = session.stored(spark.range(3).toDF("n"), "case")
+    folder = Path(session.shared_dir(spark).removeprefix("file://"))
+    assert out.count() == 3 and len(list(folder.glob("case-*"))) == 1
+    assert session.cleaned(spark) == 1 and not list(folder.glob("case-*"))

@@ -44,13 +44,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts lineage, and survives lost executors."""
+    """Write `df` to the shared folder and read it back: cuts lineage, and survives lost executors. `cleaned` removes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _held(spark).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _held(spark: SparkSession) -> list[str]:
+    context = spark.sparkContext
+    if not hasattr(context, "_threatloom_held"):
+        context._threatloom_held = []
+    return context._threatloom_held
+
+
+def cleaned(spark: SparkSession) -> int:
+    """Delete what `stored` has written in this session, and how many folders that were. Results that read them must be written
+    or collected before."""
+    held, jvm = _held(spark), spark.sparkContext._jvm
+    for path in held:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    n = len(held)
+    held.clear()
+    return n
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a session, so that Python tasks can import it anywhere."""
     context = spark.sparkContext
