@@ -4,7 +4,8 @@ import hashlib
 import math
 import random
 import re
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -14,6 +15,33 @@ from threatloom.llm.common import table
 SF = "/root/testdata/sf0.001"
 
 
+def brute_kmers(text):
+    words = text.lower().split()
+    return [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+
+
+def brute_similar(x, y):
+    """Whether two lists of k-mers (as strings) align to 0.8: the longest common subsequence, as an increasing chain of places
+    where no k-mer repeats, by the plain table else."""
+    if not x or not y:
+        return not x and not y
+    needed = 0.8 / 1.8 * (len(x) + len(y)) - 1e-9
+    if min(len(x), len(y)) < needed or sum((Counter(x) & Counter(y)).values()) < needed:
+        return False
+    if len(set(x)) == len(x) and len(set(y)) == len(y):
+        place, tails = {k: i for i, k in enumerate(x)}, []
+        for i in (place[k] for k in y if k in place):
+            at = bisect_left(tails, i)
+            tails[at : at + 1] = [i]
+        return len(tails) >= needed
+    row = [0] * (len(y) + 1)
+    for a in x:
+        last, row = row, [0]
+        for j, b in enumerate(y):
+            row.append(last[j] + 1 if a == b else max(last[j + 1], row[j]))
+    return row[-1] >= needed
+
+
 def brute_classes(docs):
     """Union-find over all pairs of different texts."""
     root = {d: d for d, _ in docs}
@@ -23,10 +51,10 @@ def brute_classes(docs):
             x = root[x]
         return x
 
-    known = [(d, t, neardup.kmers(t)) for d, t in docs if t is not None]
+    known = [(d, t, brute_kmers(t)) for d, t in docs if t is not None]
     for i, (a, s, x) in enumerate(known):
         for b, t, y in known[:i]:
-            if s == t or (len(x) and len(y) and neardup.similarity(x, y) >= neardup.SIMILARITY):
+            if s == t or brute_similar(x, y):
                 lo, hi = sorted((find(a), find(b)))
                 root[hi] = lo
     return {d: find(d) for d in root}
@@ -278,9 +306,6 @@ def test_url_long_labels_and_clashing_columns(spark):
 
 
 def brute_bayes(pages):
-    import math
-    from collections import Counter
-
     words = Counter(w for _, _, h in pages for w in re.split("[^a-z]+", (h or "").translate(str.maketrans(urlfilter.UPPER, urlfilter.LOWER))) if 1 <= len(w) <= 20)
     total = sum(words.values())
     parsed, seen, n = [], {"block": Counter(), "allow": Counter()}, Counter()

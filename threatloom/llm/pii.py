@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,7 @@ from .common import bounded_batches, fresh, slices, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 THRESHOLD, SUPPORT, CONTEXT = 0.5, 2, 100
+SIEVE_BITS = 1 << 25
 #: The base patterns, with possessive runs where these can't change a match.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -120,11 +122,24 @@ def with_base(df: DataFrame, text: str, base: str, near: str) -> DataFrame:
     return bounded_batches(df).mapInArrow(run, schema)
 
 
-def text_counts(df: DataFrame, text: str, copy: str) -> DataFrame:
-    """(term, n): in how many distinct texts each term stands. Counted per task first, in bounded tables."""
+def sieve(terms: DataFrame) -> np.ndarray:
+    """SIEVE_BITS bits with that of every term set, so of bounded size: a term whose bit is not set isn't in `terms`."""
+    bit = terms.select(F.pmod(F.xxhash64("term"), F.lit(SIEVE_BITS)).alias("bit"))
+    words = bit.groupBy(F.floor(F.col("bit") / 32).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("bits")).collect()
+    out = np.zeros(SIEVE_BITS // 32, "<u4")
+    out[[r["at"] for r in words]] = [r.bits for r in words]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def text_counts(df: DataFrame, text: str, copy: str, terms: DataFrame) -> DataFrame:
+    """(term, n): in how many distinct texts each of `terms` stands (and some others, which a sieve lets through). Counted per
+    task first, in bounded tables."""
+    shared = df.sparkSession.sparkContext.broadcast(np.packbits(sieve(terms)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = np.unpackbits(shared.value).astype(bool)
         counts: dict[str, int] = {}
+        others: set[str] = set()
 
         def flush():
             out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
@@ -133,10 +148,17 @@ def text_counts(df: DataFrame, text: str, copy: str) -> DataFrame:
 
         for batch in slices(batches):
             for t in batch.column(0).to_pylist():
-                for w in set(TERM.findall(t.lower())):
-                    counts[w] = counts.get(w, 0) + 1
+                for w in set(TERM.findall(t.lower())) - others:
+                    if w in counts:
+                        counts[w] += 1
+                    elif passes[xxhash.xxh64_intdigest(w.encode(), 42) % SIEVE_BITS]:
+                        counts[w] = 1
+                    else:
+                        others.add(w)
                 if len(counts) > 300_000:
                     yield flush()
+                if len(others) > 300_000:
+                    others.clear()
         if counts:
             yield flush()
 
@@ -144,10 +166,13 @@ def text_counts(df: DataFrame, text: str, copy: str) -> DataFrame:
     return bounded_batches(once.select(text)).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosures(near: DataFrame, counts: DataFrame, texts: int, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosure) above the threshold. `near`: (copy, entity, term), copy is a text's hash; `counts`:
-    (term, n); `texts`: distinct texts."""
-    pairs = near.select("copy", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_tc")).filter(F.col("n_tc") >= support)
+def paired(near: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(entity, term, n_tc) of the pairs in `support` texts at least; `near`: (copy, entity, term), copy is a text's hash."""
+    return near.select("copy", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_tc")).filter(F.col("n_tc") >= support)
+
+
+def disclosures(near: DataFrame, pairs: DataFrame, counts: DataFrame, texts: int, threshold: float = THRESHOLD) -> DataFrame:
+    """(entity, term, disclosure) above the threshold. `pairs`: paired(near); `counts`: (term, n); `texts`: distinct texts."""
     entities = near.select("copy", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
     kind = F.col("entity").endswith(":")  # the kinds are few but meet most terms; values are many
     kinds, values = F.broadcast(entities.filter(kind)), entities.filter(~kind).hint("merge")
@@ -175,7 +200,8 @@ def find(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, suppor
     by = by.withColumn("entity", F.explode(F.array("entity", F.concat(F.substring_index("entity", "=", 1), F.lit(":")))))
     once = own.filter(F.col(text).isNotNull()).select(digest.alias("copy"), F.col(text).alias("text"))
     texts = once.select("copy").distinct().count()
-    reveal = stored(disclosures(by, text_counts(once, "text", "copy"), texts, threshold, support), "pii-terms")
+    pairs = stored(paired(by, support), "pii-pairs")
+    reveal = stored(disclosures(by, pairs, text_counts(once, "text", "copy", pairs), texts, threshold), "pii-terms")
     hits = by.join(reveal, ["entity", "term"]).select(F.col("copy").alias(copy), F.struct("start", F.lit(4).alias("kind"), "end").alias("s"))
     hits = hits.groupBy(copy).agg(F.collect_set("s").alias(extra))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
