@@ -201,7 +201,7 @@ def find(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, suppor
     once = own.filter(F.col(text).isNotNull()).select(digest.alias("copy"), F.col(text).alias("text"))
     texts = once.select("copy").distinct().count()
     pairs = stored(paired(by, support), "pii-pairs")
-    reveal = stored(disclosures(by, pairs, text_counts(once, "text", "copy", pairs), texts, threshold), "pii-terms")
+    reveal = stored(disclosures(by, pairs, text_counts(once, "text", "copy", by), texts, threshold), "pii-terms")
     hits = by.join(reveal, ["entity", "term"]).select(F.col("copy").alias(copy), F.struct("start", F.lit(4).alias("kind"), "end").alias("s"))
     hits = hits.groupBy(copy).agg(F.collect_set("s").alias(extra))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
