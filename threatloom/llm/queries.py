@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import bpe, chat, decontam, langid, linededup, neardup, pii, token_blocks, topk, urlfilter
+from . import balltree, bpe, chat, decontam, importance, langid, linededup, neardup, pii, token_blocks, topk, urlfilter
 from .common import shared_dir, stored, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -134,6 +134,53 @@ from c group by conv_id
 """
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.cluster(balltree.integer_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def _op12_sql(rounds: int = balltree.ROUNDS) -> str:
+    """Rounds of assignment and means, one after the other."""
+    near = lambda t: f"(select vec_id, v, row_number() over (partition by vec_id, v order by d, n) first, n, d from (select vec_id, v, n, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint d from v, {t}))"
+    parts = [
+        "v as materialized (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) v from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64)",
+        "c0 as materialized (select row_number() over (order by sha256('3:' || vec_id)) - 1 n, v c from v order by sha256('3:' || vec_id) limit 8)",
+    ]
+    for i in range(rounds):
+        parts.append(f"a{i} as materialized (select n, v from {near(f'c{i}')} where first = 1)")
+        parts.append(f"m{i} as materialized (select n, list(x order by i) c from (select n, i, floor(sum(x) / count(*))::bigint x from (select n, generate_subscripts(v, 1) i, unnest(v) x from a{i}) group by n, i) group by n)")
+        parts.append(f"c{i + 1} as materialized (select n, coalesce(m{i}.c, c{i}.c) c from c{i} left join m{i} using (n))")
+    parts.append(f"z as materialized (select * from {near(f'c{rounds}')} where first = 1)")
+    last = f"select vec_id, n::integer \"cluster\", d distance, sum(d) over (partition by n)::bigint cluster_inertia, sum(d) over ()::bigint inertia, sha256(array_to_string(c, ',')) centroid_sha256 from z join c{rounds} using (n)"
+    return f"with {', '.join(parts)} {last}"
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP13_SQL = r"""
+with recursive bits(b, k, c) as (select b, 0, b::bigint from range(256) r(b) union all select b, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8),
+tab as materialized (select list(c order by b) t from bits where k = 8),
+texts as (select row_number() over () r, doc_id, text from documents union all select -row_number() over (), null, text from benchmark),
+words as materialized (select r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from texts),
+grams as materialized (select r, g, count(*) m from (select r, array_to_string(w[i : i + n - 1], ' ') g from (select r, w, n, unnest(range(1, len(w) - n + 2)) i from words, range(1, 4) o(n))) group by r, g),
+hashed as materialized (select g, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(regexp_replace(hex(encode(g)), '(..)', '\1 ', 'g')[:-2], ' '), lambda x: ('0x' || x)::bigint)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 10000 bucket
+                        from (select distinct g from grams), tab),
+held as materialized (select r, bucket, sum(m) m from grams join hashed using (g) group by r, bucket),
+counts as (select bucket, coalesce(sum(m) filter (r > 0), 0)::double s, coalesce(sum(m) filter (r < 0), 0)::double t from held group by bucket),
+gains as (select bucket, floor(1000 * ln((t + 1) * ((select sum(s) from counts) + 10000) / ((s + 1) * ((select sum(t) from counts) + 10000)))) gain from counts),
+weights as (select r, sum(m)::bigint n_features, sum(m * gain)::bigint weight from held join gains using (bucket) group by r),
+scored as (select r, doc_id, len(w) n, coalesce(n_features, 0) n_features, coalesce(weight, 0) weight,
+                  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[:8])::bigint + 0.5::double) / 4294967296)))::bigint score from words left join weights using (r) where r > 0),
+ranked as (select *, row_number() over (partition by n >= 20 order by score desc, doc_id) place, count(*) over (partition by n >= 20) able from scored)
+select doc_id, n_features, weight, score, case when n >= 20 and place <= 5 * able // 100 then place end "rank" from ranked
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -141,9 +188,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_token_blocks, op2_language_id, op3_top_k, op4_byte_bpe, op5_decontamination, op6_near_duplicates, op7_line_dedup, op8_url_filter, op9_pii, op10_chat_format, pipeline)
+    named = (op1_token_blocks, op2_language_id, op3_top_k, op4_byte_bpe, op5_decontamination, op6_near_duplicates, op7_line_dedup, op8_url_filter, op9_pii, op10_chat_format, op12_centroid_clusters, op13_importance_resampling, pipeline)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": OP3_SQL, "op5_decontamination": OP5_SQL, "op10_chat_format": OP10_SQL}
+    return {"op3_top_k": OP3_SQL, "op5_decontamination": OP5_SQL, "op10_chat_format": OP10_SQL, "op12_centroid_clusters": OP12_SQL, "op13_importance_resampling": OP13_SQL}
