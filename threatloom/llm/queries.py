@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import balltree, bpe, chat, decontam, importance, langid, linededup, neardup, pii, token_blocks, topk, urlfilter
+from . import balltree, bpe, chat, decontam, importance, langid, linededup, neardup, ngram_lm, pii, token_blocks, topk, urlfilter
 from .common import shared_dir, stored, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -134,6 +134,10 @@ from c group by conv_id
 """
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"), ngram_lm.held_out())
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.cluster(balltree.integer_vectors(table(spark, sf_dir, "embeddings")))
 
@@ -188,7 +192,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_token_blocks, op2_language_id, op3_top_k, op4_byte_bpe, op5_decontamination, op6_near_duplicates, op7_line_dedup, op8_url_filter, op9_pii, op10_chat_format, op12_centroid_clusters, op13_importance_resampling, pipeline)
+    named = (op1_token_blocks, op2_language_id, op3_top_k, op4_byte_bpe, op5_decontamination, op6_near_duplicates, op7_line_dedup, op8_url_filter, op9_pii, op10_chat_format, op11_lm_scores, op12_centroid_clusters, op13_importance_resampling, pipeline)
     return {f.__name__: f for f in named}
 
 
