@@ -7,8 +7,8 @@ Level 1: blocks send their words, with how often training documents hold them, t
 falling count, and answers each block with numbers and counts. Level k: blocks send their distinct k-grams of known words
 whose parts level k - 1 holds (no other can be in the corpus), with training counts and the context's backoff weight, to shards; a shard adds
 up, builds its part of level k as a trie (ngram_trie: Elias-Fano pointers, quantised probabilities), maps it, and answers every
-block by searching the trie. The tries are the model: they grow with the corpus, are written to the shared folder, and no
-task holds more than a part of about SHARD keys. Contexts whose words all stand more than SHARD times in training are dealt to several
+block by searching the trie. The tries are the model: they grow with the corpus, are written to the shared folder where the model is kept, and no
+task holds more than a part of about SHARD keys. Blocks are bucketed by number, so only the answers travel to them. Contexts whose words all stand more than SHARD times in training are dealt to several
 shards by the last word, however many rows they have.
 
 Smoothing is interpolated Witten-Bell with the number of words seen after a context h by Heaps' law, t(h) = c(h) ** GROWTH:
@@ -22,6 +22,7 @@ token has probability 1 (N = V = 0); repeated rows count and are scored each; wo
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,13 +30,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, stored
-from .ngram_trie import BACK_MOST, PROB_MOST, Trie, mapped, pack, quantised, unpack, value_of
+from .common import bounded_batches, shared_dir, slices, stored
+from .ngram_trie import BACK_MOST, PROB_MOST, Trie, grouped, mapped, pack, quantised, unpack, value_of
 
 ORDER, BLOCK, SHARD, GROWTH = 3, 8 << 20, 1 << 20, 0.75
 END = b"\n"  # no word holds white space
@@ -68,40 +70,55 @@ def mixed(*parts: np.ndarray) -> np.ndarray:
     return h
 
 
+class Places(dict):
+    """Words, numbered as they first come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def blocks(df: DataFrame, held: Column, key: str, text: str, size: int = BLOCK) -> DataFrame:
-    """block, doc, held, sizes (tokens, ends included), tokens (places in words), words, n_words, n_tokens, n_train (tokens)."""
+    """block, doc, held, sizes (tokens, ends included), tokens (places in words), words, end_place, n_words, n_tokens, n_train (tokens)."""
     kind = df.schema[key].dataType.simpleString()
     c = lambda data: zstandard.ZstdCompressor(level=1).compress(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, docs, helds, tokens, held_bytes = {}, [], [], [], 0
+        places, docs, helds, tokens, held_bytes = Places(), [], [], [], 0
         number = TaskContext.get().partitionId() << 32
 
         def done() -> pa.RecordBatch:
-            sizes = np.array([len(t) for t in tokens])
+            sizes, flat, words = np.array([len(t) for t in tokens]), np.concatenate(tokens), list(places)
+            order = np.argsort(-np.bincount(flat), kind="stable")  # frequent words get short places
+            turned = np.empty(len(order), np.int64)
+            turned[order] = np.arange(len(order))
             train = int(sizes[~np.array(helds, bool)].sum())
-            row = ([number], [docs], [helds], [pack(sizes)], [pack(np.concatenate(tokens))], [c(b" ".join(places))], [len(places)], [int(sizes.sum())], [train])
+            row = ([number], [docs], [helds], [pack(sizes)], [pack(turned[flat])], [c(b" ".join([words[i] for i in order]))], [int(turned[places[END]])], [len(places)], [int(sizes.sum())], [train])
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], names)
 
         types = None
-        names = ["block", "doc", "held", "sizes", "tokens", "words", "n_words", "n_tokens", "n_train"]
+        names = ["block", "doc", "held", "sizes", "tokens", "words", "end_place", "n_words", "n_tokens", "n_train"]
         for batch in slices(batches, 64):
-            types = types or [pa.int64(), pa.list_(batch.schema.field(0).type), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            types = types or [pa.int64(), pa.list_(batch.schema.field(0).type), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             for doc, is_held, said in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                place = places.setdefault
-                tokens.append(np.array([place(w, len(places)) for w in (said or b"").lower().split()] + [place(END, len(places))], np.uint32))
+                tokens.append(np.array([*map(places.__getitem__, (said or b"").lower().split()), places[END]], np.uint32))
                 docs.append(doc)
                 helds.append(is_held)
                 held_bytes += len(said or b"") + 64
                 if held_bytes >= size:
                     yield done()
-                    places, docs, helds, tokens, held_bytes, number = {}, [], [], [], 0, number + 1
+                    places, docs, helds, tokens, held_bytes, number = Places(), [], [], [], 0, number + 1
         if docs:
             yield done()
 
     rows = df.select(F.col(key).alias("doc"), held.alias("held"), F.col(text).cast("binary").alias("said"))
-    schema = f"block long, doc array<{kind}>, held array<boolean>, sizes binary, tokens binary, words binary, n_words long, n_tokens long, n_train long"
-    return stored(bounded_batches(rows).mapInArrow(run, schema), "lm-blocks")
+    schema = f"block long, doc array<{kind}>, held array<boolean>, sizes binary, tokens binary, words binary, end_place long, n_words long, n_tokens long, n_train long"
+    made, spark = bounded_batches(rows).mapInArrow(run, schema), df.sparkSession
+    name, parts = f"lm_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made.write.bucketBy(parts, "block").sortBy("block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay; what was read from them knows its buckets
+    return table
 
 
 @dataclass
@@ -120,43 +137,39 @@ class Block:
 
     @classmethod
     def of(cls, row: pd.Series, answers: pd.DataFrame) -> Block:
-        words = zstandard.ZstdDecompressor().decompress(row["words"]).split(b" ")
-        at = np.array([zlib.crc32(w) for w in words])
-        number, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        shards = int(answers["n_keys"].iloc[0])  # of level 1: the number of shards
-        for shard, answer in zip(answers["shard"], answers["answer"]):
-            own = np.flatnonzero(at % shards == shard)
-            number[own], count[own] = unpack(answer).reshape(2, -1)
+        number, count = np.zeros(row["n_words"], np.int64), np.zeros(row["n_words"], np.int64)
+        for answer in answers["answer"]:
+            step, own_number, own_count = unpack(answer).reshape(3, -1)
+            own = np.cumsum(step)
+            number[own], count[own] = own_number, own_count
         sizes, flat = unpack(row["sizes"]), unpack(row["tokens"])
         begin = np.cumsum(sizes) - sizes
-        tokens = np.insert(flat, begin, words.index(END))
+        tokens = np.insert(flat, begin, row["end_place"])
         docs = np.repeat(np.arange(len(sizes)), sizes + 1)
         since = np.arange(len(tokens)) - (begin + np.arange(len(sizes)))[docs]
         known = np.unique(number[number > 0]) - 1
         rank = np.where(number > 0, np.searchsorted(known, number - 1) + 1, 0)
         return cls(np.array(row["held"], bool), sizes, tokens, docs, since, number, count, rank[tokens], known)
 
-    def asked(self, k: int, within: np.ndarray, backs: np.ndarray, shards: int, size: int) -> dict:
+    def asked(self, k: int, within: np.ndarray, before: np.ndarray, backs: np.ndarray, shards: int, size: int) -> dict:
         """The distinct k-grams that end at the tokens `within`: keys (ids), n, back (of their contexts), shard; and of each of those
-        tokens the place of its k-gram."""
+        tokens the place of its k-gram. `before` is the sorted place of the context that ends before a token."""
         ends = np.flatnonzero(within)
-        bits, code = max(1, len(self.known).bit_length()), self.rank[ends - k + 1]
-        for j in range(k - 2, -1, -1):
-            if int(code.max(initial=0)).bit_length() + bits > 62:
-                code = np.unique(code, return_inverse=True)[1]
-            code = (code << bits) | self.rank[ends - j]
-        _, first, place = np.unique(code, return_index=True, return_inverse=True)
-        n = np.bincount(place, weights=~self.held[self.docs[ends]], minlength=len(first)).astype(np.int64)
+        code = (before[ends] << max(1, len(self.known).bit_length())) | self.rank[ends]
+        first, place = grouped(code)
+        n = np.bincount(place[~self.held[self.docs[ends]]], minlength=len(first))
         tails = ends[first]
         words = [self.tokens[tails - j] for j in range(k - 1, -1, -1)]
-        keys = np.stack([self.number[w] - 1 for w in words], axis=1) if len(first) else np.zeros((0, k), np.int64)
-        least = np.min([self.count[w] for w in words[:-1]], axis=0) if len(first) else np.zeros(0, np.int64)
-        part = mixed(keys[:, -1]) % (1 + least // size).astype(np.uint64)
-        shard = (mixed(*keys[:, :-1].T, part) % np.uint64(shards)).astype(np.int64)
+        keys = np.stack([self.number[w] - 1 for w in words], axis=1)
+        least = np.minimum.reduce([self.count[w] for w in words[:-1]])
+        part = mixed(keys[:, -1]) % (1 + least // size).astype(np.uint64) if (least >= size).any() else np.zeros(1, np.uint64)
+        shard = (mixed(*keys[:, :-1].T, part) % np.uint64(shards)).astype(np.uint16 if shards < 1 << 16 else np.int64)
         order = np.argsort(shard, kind="stable")
         turned = np.empty(len(order), np.int64)
         turned[order] = np.arange(len(order))
-        return {"keys": keys[order], "n": n[order], "back": backs[tails][order], "shard": shard[order], "ends": ends, "place": turned[place]}
+        spot = np.zeros(len(self.tokens), np.int64)
+        spot[ends] = place
+        return {"keys": keys[order], "n": n[order], "back": backs[tails][order], "shard": shard[order], "ends": ends, "place": turned[place], "spot": spot}
 
 
 def coded(keys: np.ndarray, n: np.ndarray, back: np.ndarray) -> bytes:
@@ -200,39 +213,45 @@ def _word_keys(shards: int):
                 for shard in np.unique(at):
                     own = np.flatnonzero(at == shard)
                     sent = zstandard.ZstdCompressor(level=1).compress(b" ".join([words[i] for i in own]))
-                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([sent], pa.binary()), pa.array([pack(n[own])], pa.binary())], ["shard", "block", "keys", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([sent], pa.binary()), pa.array([pack(np.concatenate([np.diff(own, prepend=0), n[own]]))], pa.binary())], ["shard", "block", "keys", "n"])
 
     return run
 
 
 def _word_shard(shards: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        shard, total, sent = int(rows["shard"].iloc[0]), {}, []
+        shard, words, steps, counts = int(rows["shard"].iloc[0]), [], [], []
         for keys, n in zip(rows["keys"], rows["n"]):
-            words, counts = zstandard.ZstdDecompressor().decompress(keys).split(b" "), unpack(n).tolist()
-            sent.append(words)
-            for w, c in zip(words, counts):
-                if c:
-                    total[w] = total.get(w, 0) + c
-        number = {w: i * shards + shard + 1 for i, w in enumerate(sorted(total, key=lambda w: (-total[w], w)))}
-        answers = [pack(np.array([[number.get(w, 0) for w in words], [total.get(w, 0) for w in words]]).ravel()) for words in sent]
-        level = zstandard.ZstdCompressor().compress(b" ".join(number))
-        own = pd.DataFrame({"shard": shard, "block": rows["block"], "answer": answers, "level": None, "n_keys": shards})
-        return pd.concat([own, pd.DataFrame({"shard": [shard], "block": [None], "answer": [pack(np.array(list(total[w] for w in number)))], "level": [level], "n_keys": [len(total)]})])
+            words.append(pa.array(zstandard.ZstdDecompressor().decompress(keys).split(b" "), pa.large_binary()))
+            step, count = unpack(n).reshape(2, -1)
+            steps.append(step)
+            counts.append(count)
+        every = pa.chunked_array(words).combine_chunks().dictionary_encode()
+        index, ends = every.indices.to_numpy(), np.cumsum([len(w) for w in words])[:-1]
+        total = np.bincount(index, weights=np.concatenate(counts)).astype(np.int64)
+        by_word = pc.array_sort_indices(every.dictionary).to_numpy()
+        order = by_word[np.argsort(-total[by_word], kind="stable")]
+        order = order[total[order] > 0]
+        number = np.zeros(len(total), np.int64)
+        number[order] = np.arange(len(order)) * shards + shard + 1
+        answers = [pack(np.concatenate(x)) for x in zip(steps, np.split(number[index], ends), np.split(total[index], ends))]
+        level = zstandard.ZstdCompressor().compress(b" ".join(every.dictionary.take(pa.array(order)).to_pylist()))
+        own = pd.DataFrame({"shard": shard, "block": rows["block"], "answer": answers, "level": None, "n_keys": None})
+        return pd.concat([own, pd.DataFrame({"shard": [shard], "block": [None], "answer": [pack(total[order])], "level": [level], "n_keys": [len(order)]})])
 
     return run
 
 
-def _gram_shard(k: int, last: bool):
+def _gram_shard(k: int, last: bool, keep: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         parts = [decoded(x, k) for x in rows["keys"]]
         keys, n, back = (np.concatenate(x) for x in zip(*parts))
         bits, code = max(1, int(keys.max(initial=0)).bit_length()), keys[:, 0]
         for j in range(1, k):
             if int(code.max(initial=0)).bit_length() + bits > 62:
-                code = np.unique(code, return_inverse=True)[1]
+                code = grouped(code)[1]
             code = (code << bits) | keys[:, j]
-        _, first, place = np.unique(code, return_index=True, return_inverse=True)
+        first, place = grouped(code)
         keys, back, total = keys[first], back[first], np.bincount(place, weights=n).astype(np.int64)
         held = total > 0
         context = context_count(back[held])
@@ -242,7 +261,7 @@ def _gram_shard(k: int, last: bool):
         ends = np.cumsum([len(p[1]) for p in parts])[:-1]
         answers = [pack(x) if last else pack(np.concatenate([x, y])) for x, y in zip(np.split(prob[place], ends), np.split(weight[place], ends))]
         own = pd.DataFrame({"shard": rows["shard"], "block": rows["block"], "answer": answers, "level": None, "n_keys": None})
-        return pd.concat([own, pd.DataFrame({"shard": rows["shard"].iloc[:1], "block": [None], "answer": [None], "level": [level], "n_keys": [int(held.sum())]})])
+        return pd.concat([own, pd.DataFrame({"shard": rows["shard"].iloc[:1], "block": [None], "answer": [None], "level": [level if keep else None], "n_keys": [int(held.sum())]})])
 
     return run
 
@@ -255,17 +274,18 @@ class Levels:
     probability: np.ndarray
     prob: np.ndarray
     back: np.ndarray
+    spot: np.ndarray  # place among the block's distinct k-grams
 
     @classmethod
     def first(cls, row: pd.Series, answers: pd.DataFrame, tokens: int, words: int) -> Levels:
         block = Block.of(row, answers)
         count = block.count[block.tokens]
-        return cls(block, (count + 0.5) / (tokens + 0.5 * (words + 1)) if tokens else np.ones(len(count)), (count > 0).astype(np.int64), backoff(block.count)[block.tokens])
+        return cls(block, (count + 0.5) / (tokens + 0.5 * (words + 1)) if tokens else np.ones(len(count)), (count > 0).astype(np.int64), backoff(block.count)[block.tokens], block.rank)
 
     def asked(self, k: int, shards: int, size: int) -> dict:
         before = lambda x: np.concatenate(([0], x[:-1]))
         within = (self.block.since >= k - 1) & (self.prob > 0) & (before(self.prob) > 0)
-        return self.block.asked(k, within, before(self.back), shards, size)
+        return self.block.asked(k, within, before(self.spot), before(self.back), shards, size)
 
     def answered(self, k: int, keys: dict, answers: pd.DataFrame, last: bool) -> Levels:
         """Weights of known contexts apply wherever the context was counted."""
@@ -278,7 +298,7 @@ class Levels:
             back[keys["ends"]] = 0 if last else both[1]
         context = np.where(self.block.since >= k - 1, np.concatenate(([0], self.back[:-1])), 0)
         lower = np.where(context > 0, value_of(context, BACK_MOST), 1.0) * self.probability
-        return Levels(self.block, lower + value_of(prob, PROB_MOST), prob, back)
+        return Levels(self.block, lower + value_of(prob, PROB_MOST), prob, back, keys["spot"])
 
 
 def _block_levels(row: pd.Series, answers: pd.DataFrame, facts: dict, until: int) -> Levels:
@@ -314,12 +334,12 @@ def _scores(facts: dict):
             done = _block_levels(row, answers, facts, facts["order"])
             b, said = done.block, done.block.since > 0
             begin = np.cumsum(b.sizes) - b.sizes
-            summed = lambda x: np.add.reduceat(x[said], begin)
+            summed = lambda x: np.add.reduceat(x[said].astype(np.longdouble), begin)  # noqa: B023, E731
             count = b.count[b.tokens]
-            base = np.log10((count.astype(np.longdouble) + 0.5) / (facts["tokens"] + 0.5 * (facts["words"] + 1)))
+            base = np.log10((count + 0.5) / (facts["tokens"] + 0.5 * (facts["words"] + 1)))
             out.append(pd.DataFrame({
-                "doc": pd.Series(list(row["doc"]), dtype=object), "held": b.held, "n_tokens": b.sizes, "n_known": summed((count > 0).astype(np.int64)),
-                "base_score": summed(base).astype(np.float64), "score": summed(np.log10(done.probability.astype(np.longdouble))).astype(np.float64),
+                "doc": pd.Series(list(row["doc"]), dtype=object), "held": b.held, "n_tokens": b.sizes, "n_known": summed(count > 0).astype(np.int64),
+                "base_score": summed(base).astype(np.float64), "score": summed(np.log10(done.probability)).astype(np.float64),
             }))
         return pd.concat(out)
 
@@ -328,13 +348,14 @@ def _scores(facts: dict):
 
 def score(df: DataFrame, held: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """`key`, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learned from the rows that `held` leaves."""
-    return Model(df, held, key, text, order, block, shard).scores()
+    return Model(df, held, key, text, order, block, shard, keep=False).scores()
 
 
 class Model:
-    """The levels of a corpus: `levels[k]` has the shards' tries (k >= 2) or words (k = 1) as rows with `level`, and the blocks' answers."""
+    """The levels of a corpus: `levels[k]` has a row without a block for each shard, with its number of keys and, to `keep`, its trie
+    as bytes (words and counts at level 1); its other rows are the answers to blocks."""
 
-    def __init__(self, df: DataFrame, held: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, block: int = BLOCK, shard: int = SHARD):
+    def __init__(self, df: DataFrame, held: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, block: int = BLOCK, shard: int = SHARD, keep: bool = True):
         self.key, self.order = key, order
         self.kind = df.schema[key].dataType.simpleString()
         self.blocks = blocks(df, held, key, text, block)
@@ -345,8 +366,8 @@ class Model:
         self.levels = {1: stored(keys.groupBy("shard").applyInPandas(_word_shard(words), ANSWERS), "lm-level-1")}
         self.facts["words"] = self.levels[1].filter("block is null").agg(F.sum("n_keys")).first()[0] or 0
         for k in range(2, order + 1):
-            keys = self._with_answers(self.blocks.drop("doc"), k - 1).applyInPandas(_gram_keys(k, self.facts), KEYS)
-            self.levels[k] = stored(keys.groupBy("shard").applyInPandas(_gram_shard(k, k == order), ANSWERS), f"lm-level-{k}")
+            keys = self._with_answers(self.blocks.drop("doc", "words"), k - 1).applyInPandas(_gram_keys(k, self.facts), KEYS)
+            self.levels[k] = stored(keys.groupBy("shard").applyInPandas(_gram_shard(k, k == order, keep), ANSWERS), f"lm-level-{k}")
 
     def _with_answers(self, rows: DataFrame, until: int):
         """Blocks met with the answers of the levels up to `until`."""
@@ -357,5 +378,5 @@ class Model:
         return rows.groupBy("block").cogroup(every.groupBy("block"))
 
     def scores(self) -> DataFrame:
-        scored = self._with_answers(self.blocks, self.order).applyInPandas(_scores(self.facts), f"doc {self.kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
+        scored = self._with_answers(self.blocks.drop("words"), self.order).applyInPandas(_scores(self.facts), f"doc {self.kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
         return scored.select(F.col("doc").alias(self.key), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(self.facts["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")

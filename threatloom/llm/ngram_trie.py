@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import mmap
 import struct
+from functools import cache
 
 import numpy as np
 import zstandard
@@ -29,37 +30,47 @@ def quantised(value: np.ndarray, most: int) -> np.ndarray:
     return (np.rint(step) + most).astype(np.int64)
 
 
+@cache
+def _values(most: int) -> np.ndarray:
+    return np.concatenate(([0.0], 10.0 ** ((np.arange(1, most + 1) - most) / (most - 1) * RANGE)))
+
+
 def value_of(code: np.ndarray, most: int) -> np.ndarray:
     """The value of a code; code 0 is 0."""
-    return np.where(code > 0, 10.0 ** ((np.asarray(code, np.float64) - most) / (most - 1) * RANGE), 0.0)
+    return _values(most)[code]
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Non-negative integers as varints, compressed."""
+    """Non-negative integers, a plane of bytes after the other from the lowest on, compressed."""
     v = np.ascontiguousarray(values, np.uint64)
-    width = np.ones(len(v), np.int64)
-    for k in range(1, 10):
-        more = v >= (ONE << np.uint64(7 * k))
-        if not more.any():
-            break
-        width += more
-    begin = np.cumsum(width) - width
-    out = np.empty(int(width.sum()), np.uint8)
-    for k in range(int(width.max(initial=1))):
-        at = np.flatnonzero(width > k)
-        out[begin[at] + k] = ((v[at] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | np.where(width[at] > k + 1, 128, 0).astype(np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(out.tobytes())
+    width = (int(v.max(initial=0)).bit_length() + 7) // 8 or 1
+    planes = b"".join((v >> np.uint64(8 * k)).astype(np.uint8).tobytes() for k in range(width))
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    last = np.flatnonzero(raw < 128)
-    begin = np.concatenate(([0], last[:-1] + 1)) if len(last) else last
-    out, width = np.zeros(len(last), np.uint64), last - begin + 1
-    for k in range(int(width.max(initial=0))):
-        at = np.flatnonzero(width > k)
-        out[at] |= (raw[begin[at] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
-    return out.astype(np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = planes[0].astype(np.int64)
+    for k in range(1, data[0]):
+        if planes[k].any():
+            out |= planes[k].astype(np.int64) << (8 * k)
+    return out
+
+
+def grouped(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an index of each distinct code, ascending; each code's place among them)."""
+    bits = len(code).bit_length()
+    if int(code.max(initial=0)).bit_length() + bits <= 63:  # one sort of codes and indexes together
+        both = np.sort((code << bits) | np.arange(len(code)))
+        order, ordered = both & ((1 << bits) - 1), both >> bits
+    else:
+        order = np.argsort(code)
+        ordered = code[order]
+    new = np.ones(len(code), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(len(code), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], place
 
 
 class EliasFano:
