@@ -184,7 +184,7 @@ def test_recurring_passage_with_an_early_one_left_out(spark):
 
 
 def brute_runs(docs, least):
-    """From each line, the longest run that stands earlier without overlap is cut if it has enough words."""
+    """From each line, the longest run that stands earlier without overlap is cut if it has enough lines."""
     seen, places, out = [], defaultdict(list), {}
     for d, t in sorted(docs, key=lambda x: x[0]):
         own = [x.strip() for x in (t or "").split("\n") if x.strip()]
@@ -196,7 +196,7 @@ def brute_runs(docs, least):
                 while a + n < len(own) and b + n < len(other) and own[a + n] == other[b + n] and (k < len(seen) or b + n < a):
                     n += 1
                 longest = max(longest, n)
-            if sum(len(y.split()) for y in own[a : a + longest]) >= least:
+            if longest >= least:
                 gone.update(range(a, a + longest))
             places[x].append((len(seen), a))
         seen.append(own)
@@ -210,35 +210,56 @@ def brute_runs(docs, least):
     return out
 
 
-@pytest.mark.parametrize("least", [1, 4, 20, 50])
+def brute_longest(docs):
+    """Lines of the longest run of each text that stands at another place too."""
+    own = {d: [x.strip() for x in (t or "").split("\n") if x.strip()] for d, t in docs}
+    places = defaultdict(list)
+    for d, x in own.items():
+        for a, line in enumerate(x):
+            places[line].append((d, a))
+    out = dict.fromkeys(own, 0)
+    for d, x in own.items():
+        for a, line in enumerate(x):
+            for e, b in places[line]:
+                n = 0
+                while (d, a) != (e, b) and a + n < len(x) and b + n < len(own[e]) and x[a + n] == own[e][b + n]:
+                    n += 1
+                out[d] = max(out[d], n)
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 2, 3, 7])
 def test_line_runs_equal_brute_force(spark, least):
     r = random.Random(least)
-    pool = [" ".join(r.choice("abc") + str(k) for _ in range(r.randrange(1, 4 if least < 5 else 30))) for k in range(12)]
+    pool = [" ".join(r.choice("abc") + str(k) for _ in range(r.randrange(1, 4))) for k in range(12)]
     docs = []
     for d in range(60):
         text = [r.choice(pool) for _ in range(r.randrange(0, 12))]
         if r.random() < 0.4:
             text += ["", *pool[2:8]]
         docs.append((d, "\n".join(text)))
-    docs += [(100, None), (101, ""), (102, "\n \n"), (103, "\n".join([pool[0]] * 40)), (104, docs[3][1])]
+    docs += [(100, None), (101, ""), (102, "\n \n"), (103, "\n".join([pool[0]] * 40)), (104, docs[3][1]), (105, "\n".join(pool[k % 5] for k in range(300))), (106, "own\n" + "\n".join(pool[k % 5] for k in range(1, 290)) + "\nend")]
     df = spark.createDataFrame([(d, t, "x", 3, 4) for d, t in docs], "doc_id long, text string, runs string, _th int, n_removed int")
-    out = linededup.dedup_lines(df, min_words=least).collect()
+    out = linededup.dedup_lines(df, min_lines=least).collect()
     assert {x.doc_id: x.text for x in out} == brute_runs(docs, least) and len(out) == len(docs)
-    assert out[0].asDict().keys() == {"doc_id", "text", "runs", "_th", "n_removed"} and all(x.runs == "x" and x["_th"] == 3 for x in out)
+    assert {x.doc_id: x.longest_run for x in out} == brute_longest(docs)
+    assert out[0].asDict().keys() == {"doc_id", "text", "runs", "_th", "n_removed", "longest_run"} and all(x.runs == "x" and x["_th"] == 3 for x in out)
 
 
 def test_line_runs_repeated_rows_and_empty(spark):
     long = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, long), (1, long), (2, "own\n" + long), (None, long)], "doc_id long, text string")
     out = sorted((x.doc_id is not None, x.doc_id or 0, x.text) for x in linededup.dedup_lines(df).collect())
-    assert [t for k, d, t in out if d == 1] in ([long, long], ["", ""]) and (True, 2, "own") in out
+    assert out == [(False, 0, long), (True, 1, ""), (True, 1, ""), (True, 2, "own")]  # the null id comes first
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
 def test_line_runs_on_tables(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
-    out = {r.doc_id: r.text for r in queries.op7_line_dedup(spark, "/root/testdata/sf0.01").collect()}
-    assert out == brute_runs(docs, linededup.MIN_WORDS)
+    rows = queries.op7_line_dedup(spark, "/root/testdata/sf0.01").collect()
+    assert {r.doc_id: r.text for r in rows} == brute_runs(docs, 1) and {r.doc_id: r.longest_run for r in rows} == brute_longest(docs)
+    lines = [x.strip() for r in rows for x in r.text.split("\n") if x.strip()]
+    assert len(lines) == len(set(lines))  # no later copy of a line is left
 
 
 def test_top_k_cases(spark):
@@ -506,7 +527,7 @@ def test_pipeline(spark):
     rows = {r.doc_id: r for r in docs.collect()}
     model = langid.train(docs.filter(~langid.held_out()))
     texts = {d: r.text for d, r in rows.items() if model.predict(r.text)[0] != "und"}
-    cut = brute_runs(list(texts.items()), linededup.MIN_WORDS)
+    cut = brute_runs(list(texts.items()), linededup.MIN_LINES)
     texts = {d: t for d, t in cut.items() if t == texts[d] or t.strip()}
     found = brute_classes(list(texts.items()))
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]

@@ -2,138 +2,188 @@
 
 The corpus is one sequence of line ids (128-bit, blank lines left out), ordered by doc_id, text hash
 and line. Lines that occur once end every repeat, so only islands of repeated lines go on; each of
-their lines has a place in the corpus, and a rank.
+their lines has a place in the corpus, and begins a suffix that runs to the end of its island.
 
-Prefix doubling: round k holds, for every suffix whose first 2**k lines occur twice at least, the
-rank of those lines among all such prefixes. The rank of twice as many lines is the place of the
-pair (own rank, rank 2**k lines on) in a range-partitioned sort of the distinct pairs. Rounds go on
-until no prefix repeats, however long the longest run is; the ranks of all rounds, compared in
-turn, order the suffix array.
+Prefix doubling: a suffix's rank is the number of suffixes that are smaller by their first 2**k lines. A round
+sorts the distinct pairs (own rank, rank 2**k lines on) of suffixes that still share a rank, range-partitioned, and adds to the
+rank the suffixes of smaller pairs. A suffix is done once no other shares its pair, or once its island ends there (suffixes that are
+equal to the end stand in order of place). When all are done, (rank, place) is the order of the suffix array.
 
-Suffixes with one rank of d lines are an interval of the suffix array whose longest common prefix is
-d lines at least. Intervals of the doubled lengths come with every round; between two of them, the
-only lengths looked at are those where a block comes to MIN_WORDS words (counted from either of its
-ends, two a line on average), named by the ranks of their first and last 2**k lines. The first
-occurrence of an interval stays; all others that don't overlap it are later copies, and what they
-cover together are the maximal repeated runs of MIN_WORDS words at least, which are cut.
+Longest common prefixes: with the suffix before it in the array, a suffix shares one line less than the suffix one place
+earlier does with its own, wherever both pairs stand side by side; elsewhere (at the so-called irreducible places) lines are counted by
+descending doubling: from the last round to the first, equal ranks at the lines reached mean 2**k more lines. Where
+neighbours share `min_lines`, they are in one interval. The first occurrence of an interval stays; all others that don't overlap
+it are later copies. What they cover together are the maximal repeated runs of min_lines at least, and is cut.
 
-Ranks are met by a join on distinct prefixes. A prefix with more than 1/SHARE of the rows is hot: of
-those there are at most SHARE, which are broadcast, and their rows are dealt to SALTS tasks each.
+A pair with more than 1/SHARE of the rows is hot: of those there are at most SHARE, which are broadcast, and their rows are dealt
+to SALTS tasks each. Running totals are taken in each range partition, and one row a partition goes through the driver.
 
 Defined results: null text stays null; texts without repeats stay byte for byte; blank lines go
 only between two lines that go; rows that repeat a document (same doc_id and text) are treated alike, as
 one document; of texts under one doc_id the order is that of their hashes; columns pass through,
-`text` is replaced and so is a column n_removed; removing every line leaves the empty text.
+`text` is replaced and so are columns n_removed and longest_run; removing every line leaves the empty text.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import fresh, stored
 
-#: A repeated run of fewer words stays: a licence or heading line is no copied passage.
-MIN_WORDS, BLANKS = 20, " \t\r\f\v\u00a0"
+#: Runs of fewer lines stay. With 1 no later copy of any line is left.
+MIN_LINES, BLANKS = 1, " \t\r\f\v\u00a0"
 SHARE, SALTS = 1000, 64
 
 
 def line_ids(df: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, th (hash of the text), seq (place among non-blank lines), line (place among all), id, words."""
+    """doc, th (hash of the text), seq (place among non-blank lines), line (place among all), id."""
     lines = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.alias("line"), F.btrim(x, F.lit(BLANKS)).alias("x")))
     kept = F.filter(lines, lambda s: s["x"] != "")
     rows = df.select(F.col(key).alias("doc"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("th"), F.posexplode(kept).alias("seq", "s"))
-    return rows.select("doc", "th", "seq", F.col("s.line").alias("line"), F.unhex(F.md5(F.col("s.x").cast("binary"))).alias("id"), F.size(F.split("s.x", r"\s+")).cast("long").alias("words"))
+    return rows.select("doc", "th", "seq", F.col("s.line").alias("line"), F.unhex(F.md5(F.col("s.x").cast("binary"))).alias("id"))
 
 
-def ranked(rows: DataFrame, by: list[str], place: str | None, total: int) -> DataFrame:
-    """`rows` whose `by` occurs twice at least, with its rank in sort order (`rank`) and, of a `place`, the first."""
-    first = [F.min(place).alias("first")] if place else []
-    groups = rows.groupBy(*by).agg(F.count("*").alias("n"), *first).filter("n > 1")
+def met(rows: DataFrame, groups: DataFrame, by: list[str], total: int) -> DataFrame:
+    """`rows` with the other columns of `groups`, which has a row for each `by`, and n, how many rows have it."""
     hot = F.col("n") > max(2.0, total / SHARE)
     salts = F.broadcast(groups.filter(hot).select(*by, F.lit(SALTS).alias("salts")))  # SHARE rows at most
-    order = groups.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id())
-    order = order.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("n")
+    each = groups.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     spread = F.xxhash64(*[c for c in rows.columns if c not in by])
     dealt = rows.join(salts, by, "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(spread, F.lit(SALTS))).cast("int")).drop("salts")
-    return dealt.join(order.hint("merge"), [*by, "salt"]).drop("salt")
+    return dealt.join(each.hint("merge"), [*by, "salt"]).drop("salt")
+
+
+def in_order(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """`rows` sorted over ranges of `by`, stored, with part (range) and at (place, ascending over all)."""
+    rows = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id())
+    return stored(rows, name).withColumn("part", F.shiftright("at", 33))
+
+
+def carried(rows: DataFrame, last: Column, over, start: int) -> DataFrame:
+    """A row for each part: `carry`, what `over` (a Python function of two values) makes of `last` over all parts before it."""
+    now, out = start, []
+    for part, value in sorted(rows.groupBy("part").agg(last).collect()):
+        out.append((part, now))
+        now = over(now, value)
+    return F.broadcast(rows.sparkSession.createDataFrame(out, "part long, carry long"))
+
+
+def in_part():
+    return Window.partitionBy("part").orderBy("at")
+
+
+def totalled(groups: DataFrame, by: list[str]) -> DataFrame:
+    """`groups` with `before`: the sum of n over those that are smaller in `by`."""
+    rows = in_order(groups, by, "line-groups")
+    carry = carried(rows, F.sum("n"), lambda a, b: a + b, 0)
+    inner = F.coalesce(F.sum("n").over(in_part().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("inner", inner).join(carry, "part").select(*groups.columns, (F.col("carry") + F.col("inner")).alias("before"))
 
 
-def islands(lines: DataFrame, min_words: int) -> DataFrame:
-    """The repeated lines: pos (place in the corpus, consecutive inside an island), isl (pos of the island's first line), r
-    (rank of the line), w (words), m (lines from here that come to min_words; null if too few follow) and hi (lines from here of which
-    all but the first don't, m at least), doc, th, line."""
-    rows = ranked(lines, ["id"], None, lines.count()).select("doc", "th", "seq", "line", "words", F.col("rank").alias("r"))
+def islands(lines: DataFrame) -> DataFrame:
+    """The repeated lines: pos (place in the corpus, consecutive inside an island), isl and end (pos of the island's first and
+    last line), rank (lines that are smaller), doc, th, line."""
+    total = lines.count()
+    groups = totalled(lines.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"), ["id"])
+    rows = met(lines, groups, ["id"], total).select("doc", "th", "seq", "line", F.col("before").alias("rank"))
     rows = rows.repartitionByRange("doc", "th")  # documents in order; the windows need no other shuffle
     doc = Window.partitionBy("doc", "th").orderBy("seq")
     rows = rows.withColumn("before", F.lag("seq").over(doc)).filter(F.col("before").isNull() | (F.col("before") < F.col("seq")))
     rows = rows.withColumn("pos", F.monotonically_increasing_id())
     head = F.col("before").isNull() | (F.col("before") < F.col("seq") - 1)
     rows = rows.withColumn("isl", F.max(F.when(head, F.col("pos"))).over(doc.rowsBetween(Window.unboundedPreceding, 0)))
-    w = Window.partitionBy("doc", "th", "isl").orderBy("pos")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumns({"cum": F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("words").over(whole), "end": F.max("pos").over(whole)})
-    before = F.col("cum") - F.col("words")
-    short = [F.when(F.lead("cum", n).over(w) - before < min_words, 1).otherwise(0) for n in range(min_words - 1)]
-    rows = rows.withColumn("m", F.when(F.col("all") - before >= min_words, reduce(lambda a, b: a + b, short, F.lit(1))))
-    rows = rows.withColumn("hi", F.greatest("m", F.coalesce(F.lead("m").over(w), F.col("end") - F.col("pos") + 1)))
-    return rows.select("pos", "isl", "r", F.col("words").alias("w"), "m", "hi", "doc", "th", "line")
-
-
-def doubled(suffixes: DataFrame, k: int, min_words: int, total: int) -> DataFrame:
-    """Round k: pos, isl, d (lines), r (rank of the d lines from pos), first (the first place of those lines), w, m, hi,
-    of all intervals of 2**(k + 1) lines and of those between that come to min_words."""
-    size = 1 << k
-    w = Window.partitionBy("isl").orderBy("pos")
-    on = lambda c, n: F.max(c).over(w.rangeBetween(n, n))
-    test = lambda d, q, words: F.struct(F.lit(d).alias("d"), q.alias("q"), words.cast("long").alias("w"))
-    between = range(1, min(size, min_words + 1 - size))
-    rows = suffixes.withColumns({"q": on("r", size), "wq": on("w", size), **{f"q{n}": on("r", n) for n in between}})
-    tests = [F.when(F.col("q").isNotNull(), test(2 * size, F.col("q"), F.col("w") + F.col("wq")))]
-    tests += [F.when(F.col(f"q{n}").isNotNull() & F.lit(size + n).between(F.col("m"), F.col("hi")), test(size + n, F.col(f"q{n}"), F.lit(min_words))) for n in between]
-    if k == 0:
-        tests.append(F.when(F.col("m") == 1, test(1, F.col("r"), F.col("w"))))
-    each = rows.select("pos", "isl", "r", "m", "hi", F.explode(F.array_compact(F.array(*tests))).alias("t")).select("pos", "isl", "m", "hi", "r", "t.*")
-    return ranked(each, ["d", "r", "q"], "pos", total).select("pos", "isl", "d", F.col("rank").alias("r"), "first", "w", "m", "hi")
-
-
-def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The maximal runs to delete: doc, th, runs (sorted array of line, last_line)."""
-    base = stored(islands(lines, min_words), "line-islands")
-    total, suffixes, rounds = base.count(), base, []
-    while not rounds or not suffixes.isEmpty():
-        rounds.append(stored(doubled(suffixes, len(rounds), min_words, total), "line-ranks"))
-        suffixes = rounds[-1].filter(F.col("d") == 1 << len(rounds))
-    copies = [x.filter((F.col("pos") >= F.col("first") + F.col("d")) & (F.col("w") >= min_words)).select("isl", "pos", "d") for x in rounds]
-    copies = reduce(DataFrame.union, copies)
-    both = base.select("isl", "pos", F.lit(0).alias("d"), "doc", "th", "line").unionByName(copies, allowMissingColumns=True)
-    w = Window.partitionBy("isl").orderBy("pos")
-    reach = F.max(F.col("pos") + F.col("d")).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    covered = both.withColumn("reach", reach).filter("line is not null and reach > pos")
-    runs = covered.withColumn("run", F.col("pos") - F.row_number().over(w)).groupBy("doc", "th", "isl", "run").agg(F.min("line").alias("line"), F.max("line").alias("last_line"))
-    return runs.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("line", "last_line"))).alias("runs"))
-
-
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """`df` with later copies of repeated line runs cut from `text`, and n_removed (lines).
+    return rows.withColumn("end", F.max("pos").over(Window.partitionBy("doc", "th", "isl"))).select("pos", "isl", "end", "rank", "doc", "th", "line")
+
+
+def doubled(suffixes: DataFrame, k: int, total: int) -> DataFrame:
+    """Round k: pos, isl, rank by 2**(k + 1) lines, open (whether others share it and go on)."""
+    ahead = Window.partitionBy("isl").orderBy("pos").rangeBetween(1 << k, 1 << k)
+    rows = suffixes.withColumn("next", F.coalesce(F.max("rank").over(ahead), F.lit(-1)))
+    shared = rows.filter("open").select("pos", "isl", "rank", "next")
+    pairs = totalled(shared.groupBy("rank", "next").agg(F.count("*").alias("n")), ["rank", "next"])
+    first = pairs.groupBy("rank").agg(F.min("before").alias("first"))
+    pairs = pairs.join(first, "rank").withColumn("new", F.col("rank") + F.col("before") - F.col("first")).select("rank", "next", "n", "new")
+    split = met(shared, pairs, ["rank", "next"], total)
+    split = split.select("pos", "isl", F.col("new").alias("rank"), ((F.col("n") > 1) & (F.col("next") >= 0)).alias("open"))
+    return rows.filter("not open").select("pos", "isl", "rank", "open").unionByName(split)
+
+
+def common_prefixes(base: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """The suffix array: part and at (its order), pos, isl, and lcp, the lines shared with the suffix before (0 at the start), which begins in
+    the island `beside`."""
+    here = rounds[-1].select("pos", "rank").join(base.select("pos", "isl", "end", F.col("rank").alias("line")).hint("merge"), "pos")
+    array = in_order(here, ["rank", "pos"], "line-suffixes")
+    other = F.struct("pos", "isl", "line", "end")
+    edge = {r.part: r.x for r in array.groupBy("part").agg(F.max_by(other, "at").alias("x")).collect()}  # one row a part
+    parts = sorted(edge)
+    ends = array.sparkSession.createDataFrame([(p, tuple(edge[q])) for q, p in zip(parts, parts[1:])], "part long, edge struct<pos:bigint,isl:bigint,line:bigint,end:bigint>")
+    rows = array.join(F.broadcast(ends), "part", "left").withColumn("o", F.coalesce(F.lag(other).over(in_part()), "edge")).drop("edge")
+    by_place = Window.partitionBy("isl").orderBy("pos")
+    before = F.lag(F.struct("pos", "line", "o")).over(by_place)
+    follows = (F.col("o.pos") == before["o"]["pos"] + 1) & (F.col("o.isl") == before["o"]["isl"]) & (before["line"] == before["o"]["line"])
+    rows = stored(rows.withColumn("direct", ~F.coalesce(follows, F.lit(False))), "line-neighbours")
+    # irreducible places: lines are counted round by round, the longest first
+    counted = rows.filter("direct and o is not null").select("pos", F.col("pos").alias("a"), F.col("o.pos").alias("b"), (F.col("end") + 1).alias("stop"), (F.col("o.end") + 1).alias("halt"))
+    for k in range(len(rounds) - 1, -1, -1):
+        at = lambda side: rounds[k].select(F.col("pos").alias(side), F.col("rank").alias(f"r{side}")).hint("merge")  # noqa: B023, E731
+        counted = counted.join(at("a"), "a", "left").join(at("b"), "b", "left")
+        inside = (F.col("a") < F.col("stop")) & (F.col("b") < F.col("halt"))
+        step = F.when(inside & (F.col("ra") == F.col("rb")), F.least(F.lit(1 << k), F.col("stop") - F.col("a"))).otherwise(0)
+        counted = stored(counted.select("pos", "stop", "halt", (F.col("a") + step).alias("a"), (F.col("b") + step).alias("b")), "line-counts")
+    known = rows.join(counted.select("pos", (F.col("a") - F.col("pos")).alias("n")).hint("merge"), "pos", "left")
+    known = known.withColumn("n", F.when(F.col("direct"), F.coalesce("n", F.lit(0))))
+    lcp = F.last(F.col("n") + F.col("pos"), ignorenulls=True).over(by_place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("pos")
+    return known.select("part", "at", "pos", "isl", F.col("o.isl").alias("beside"), F.greatest(lcp, F.lit(0)).alias("lcp"))
+
+
+def later_copies(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """A row for each text with repeated lines: doc, th, longest_run (lines of its longest run that stands twice), runs (to delete: sorted array of line, last_line)."""
+    base = stored(islands(lines), "line-islands")
+    total, rounds = base.count(), [base.select("pos", "isl", "rank", F.lit(True).alias("open"))]
+    while total and not rounds[-1].filter("open").isEmpty():
+        rounds.append(stored(doubled(rounds[-1], len(rounds) - 1, total), "line-ranks"))
+    array = stored(common_prefixes(base, rounds), "line-prefixes") if total else base.select(F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("at"), "pos", "isl", F.col("isl").alias("beside"), F.lit(0).cast("long").alias("lcp"))
+    # an interval begins where neighbours share less
+    begins = F.when(F.col("lcp") < min_lines, F.col("at"))
+    carry = carried(array, F.max(begins), lambda a, b: a if b is None else b, 0)
+    named = array.withColumn("in", F.max(begins).over(in_part().rowsBetween(Window.unboundedPreceding, 0))).join(carry, "part")
+    named = stored(named.select("pos", "isl", "beside", "lcp", F.coalesce("in", "carry").alias("interval")), "line-intervals")
+    first = named.groupBy("interval").agg(F.count("*").alias("n"), F.min("pos").alias("first")).filter("n > 1")
+    copies = met(named.select("pos", "isl", "interval"), first, ["interval"], total).filter(F.col("pos") >= F.col("first") + min_lines)
+    covering = copies.select("isl", "pos", (F.col("pos") + min_lines).alias("reach"))
+    both = base.select("isl", "pos", "doc", "th", "line").unionByName(covering, allowMissingColumns=True)
+    w = Window.partitionBy("isl").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
+    covered = both.withColumn("reach", F.max("reach").over(w)).filter("line is not null and reach > pos")
+    run = F.col("pos") - F.row_number().over(Window.partitionBy("isl").orderBy("pos"))
+    runs = covered.withColumn("run", run).groupBy("doc", "th", "isl", "run").agg(F.min("line").alias("line"), F.max("line").alias("last_line"))
+    both = named.select("isl", "lcp").union(named.select("beside", "lcp"))  # what neighbours share stands in both
+    longest = both.groupBy("isl").agg(F.max("lcp").alias("longest"))
+    texts = base.select("doc", "th", "isl").distinct().join(longest, "isl").select("doc", "th", "longest")
+    each = runs.select("doc", "th", F.struct("line", "last_line").alias("r")).unionByName(texts, allowMissingColumns=True)
+    return each.groupBy("doc", "th").agg(F.max("longest").alias("longest_run"), F.array_sort(F.collect_list("r")).alias("runs"))
+
+
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+    """`df` with later copies of repeated line runs cut from `text`, n_removed (lines), and longest_run: the lines of the longest run in the
+    text that stands elsewhere too (0 if none).
 
     The last join sorts both sides at any size: the runs grow with the corpus and are never broadcast.
     """
-    runs = stored(later_copies(stored(line_ids(df, key, text), "line-ids"), min_words), "line-runs")
-    th, cuts, doc, lines, n = (fresh(df, x) for x in ("th", "runs", "doc", "lines", "removed"))
-    runs = runs.select(F.col("doc").alias(doc), F.col("th").alias(f"{th}_"), F.col("runs").alias(cuts))
+    runs = stored(later_copies(stored(line_ids(df, key, text), "line-ids"), min_lines), "line-runs")
+    th, cuts, doc, lines, n, longest = (fresh(df, x) for x in ("th", "runs", "doc", "lines", "removed", "longest"))
+    runs = runs.select(F.col("doc").alias(doc), F.col("th").alias(f"{th}_"), F.col("runs").alias(cuts), F.col("longest_run").alias(longest))
     docs = df.withColumn(th, F.unhex(F.md5(F.col(text).cast("binary"))))
     cut = docs.join(runs.hint("merge"), F.col(key).eqNullSafe(F.col(doc)) & (F.col(th) == F.col(f"{th}_")), "left")
-    cut = cut.withColumn(lines, F.when(F.col(cuts).isNotNull(), F.split(F.col(text), "\n")))
+    some = F.size(cuts) > 0
+    cut = cut.withColumn(lines, F.when(some, F.split(F.col(text), "\n")))
     # what stays stands between two runs: from behind one to before the next
     gaps = F.zip_with(
         F.concat(F.array(F.lit(0)), F.transform(cuts, lambda r: r["last_line"] + 1)), F.concat(F.transform(cuts, lambda r: r["line"]), F.array(F.size(lines))),
         lambda a, b: F.slice(lines, a + 1, b - a),
     )
-    new = F.when(F.col(cuts).isNull(), F.col(text)).otherwise(F.array_join(F.flatten(gaps), "\n"))
+    new = F.when(some, F.array_join(F.flatten(gaps), "\n")).otherwise(F.col(text))
     removed = F.coalesce(F.aggregate(cuts, F.lit(0).cast("long"), lambda a, r: a + r["last_line"] - r["line"] + 1), F.lit(0).cast("long"))
-    cut = cut.withColumn(n, removed)
-    return cut.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns if c != "n_removed"], F.col(n).alias("n_removed"))
+    cut = cut.withColumn(n, removed).withColumn(longest, F.coalesce(F.col(longest), F.lit(0)).cast("long"))
+    return cut.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns if c not in ("n_removed", "longest_run")], F.col(n).alias("n_removed"), F.col(longest).alias("longest_run"))
