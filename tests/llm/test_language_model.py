@@ -150,7 +150,9 @@ def test_trie_finds_what_it_holds():
         trie = ngram_trie.Trie.open(ngram_trie.mapped(ngram_trie.Trie.of(keys, probs, backs).to_bytes()))
         asked = np.concatenate([keys, np.minimum(rng.zipf(1.3, (3000, k)), 6000).astype(np.int64)])
         place = {tuple(r): i for i, r in enumerate(keys.tolist())}
-        assert trie.find(asked).tolist() == [place.get(tuple(r), -1) for r in asked.tolist()]
+        expected = [place.get(tuple(r), -1) for r in asked.tolist()]
+        assert trie.find(asked).tolist() == expected  # many at once, then few
+        assert [int(trie.find(asked[i : i + 1])[0]) for i in range(0, len(asked), 97)] == expected[::97]
         assert (trie.codes(keys)[0] == probs).all() and (trie.codes(keys)[1] == backs).all()
     empty = ngram_trie.Trie.open(ngram_trie.Trie.of(np.zeros((0, 2), np.int64), np.zeros(0), np.zeros(0)).to_bytes())
     assert empty.find(np.ones((2, 2), np.int64)).tolist() == [-1, -1]
@@ -167,6 +169,8 @@ def test_monotone_sequences_and_key_coding():
         x = np.concatenate([rng.integers(0, 2 * most + 2, 500), v, v + 1])
         at, equal = e.successor(x)
         assert (at == np.searchsorted(v, x)).all() and (equal == np.isin(x, v)).all()
+        few = ngram_trie.EliasFano.of(v)
+        assert all(few.successor(x[i : i + 1])[0][0] == at[i] and few[np.array([i % n])][0] == v[i % n] for i in range(0, len(x), 31))
     for k in (2, 3):
         keys = np.unique(np.minimum(rng.zipf(1.3, (2000, k)), 5000), axis=0).astype(np.int64)
         n, back = rng.integers(0, 9, len(keys)), mixed_back(keys)

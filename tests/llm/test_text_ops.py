@@ -1,7 +1,10 @@
 """Token blocks, BPE, language ID, decontamination: against libraries and brute force."""
 
+import math
 import random
+import string
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -204,7 +207,7 @@ def brute_language(model, text):
             if i + 2 < len(points):
                 three = (two + points[i + 2] * 374761393) * 2654435761 % m
                 ngrams.append((three ^ three >> 13) >> 16)
-    logits = np.mean([model.table[b, :-1].astype(np.float64) for b in ngrams], axis=0) + model.bias
+    logits = np.mean([model.table[b].astype(np.float64) for b in ngrams], axis=0) + model.bias
     p = np.exp(logits / model.temperature)
     return model.languages[int(p.argmax())], p.max() / p.sum()
 
@@ -225,6 +228,43 @@ def test_language_query_equals_brute_force(spark):
         assert (r.lang_pred, r.held_out) == (lang, zlib.crc32(str(d.doc_id).encode()) % 4 == 2) and r.score == pytest.approx(score, abs=1e-5)
 
 
+def test_language_rejects_by_the_model_of_the_tables(spark):
+    """Learned prose, mixed texts and texts with numbers stay; random letters, code and languages that weren't learned go."""
+    from threatloom.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.train(docs.filter(~langid.held_out()))
+    r = random.Random(5)
+    own = {x.lang: x.text for x in docs.filter("length(text) between 200 and 2000").collect()}
+    drawn = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    letters = string.ascii_lowercase + " "
+    ascii_ = "".join(map(chr, range(33, 127))) + " "
+    strange = {
+        "letters": [drawn(letters, n) for n in (40, 80, 300) for _ in range(60)], "ascii": [drawn(ascii_, n) for n in (80, 200, 500) for _ in range(60)],
+        "polish": ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw."], "finnish": ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan."],
+        "russian": ["Все люди рождаются свободными и равными в своем достоинстве и правах."],
+        "code": ['#include <stdio.h>\nint main(void) { for (int i = 0; i < 10; i++) { printf("%d", i * i); } return 0; }', "def f(x):\n    return [y for y in x if y is not None and len(y) > 3]\n\nclass A(object):\n    def __init__(self):\n        self.x = {}"],
+    }
+    mixed = [a + " " + b for a in own.values() for b in own.values()] + [own["en"] + " 8316107434564120 a9f3c2e1 +1 (984) 555-5227"]
+    rows = [(k, x) for k, xs in strange.items() for x in xs] + [("mixed", x) for x in mixed]
+    kept = Counter(x.kind for x in langid.accepted(spark.createDataFrame(rows, "kind string, text string"), model).collect())
+    assert kept["mixed"] == len(mixed) and kept["letters"] + kept["ascii"] <= 3 and set(kept) <= {"mixed", "letters", "ascii"}
+    held = docs.filter(langid.held_out())
+    assert langid.accepted(held, model).count() == held.filter("text rlike '\\\\p{L}'").count()
+
+
+def test_temperature_is_a_least_value():
+    r = np.random.default_rng(3)
+    for scale, noise in ((1.0, 0.0), (1e-3, 0.0), (50.0, 0.0), (1.0, 1.0)):  # told apart without a fault, and not
+        y = r.integers(0, 3, 300)
+        scored = [(scale * (np.eye(3)[k] + noise * r.normal(size=3)), int(k)) for k in y]
+        t = langid.temperature(scored)
+        assert all(langid.log_loss(scored, t) <= langid.log_loss(scored, t * f) for f in (0.5, 0.9, 1.1, 2.0))
+        if not noise:
+            assert t == pytest.approx(scale / math.log(2 * (1 - 1 / 302) * 302), rel=0.01)  # odds of the smoothed targets
+    assert langid.temperature([]) == langid.temperature([(np.zeros(3), 1)]) == langid.temperature([(np.ones(1), 0)]) == 1.0
+
+
 def test_language_letters_and_rejects(spark):
     """Digits and numerals are no letters; texts in no learned language are unfamiliar, mixed ones aren't."""
     r = random.Random(1)

@@ -18,8 +18,8 @@ output row a message: `piece` (formatted), and `loss` span (offsets in the piece
 
 Defined results: null text is empty; null kind is delta; null or empty role is `user`; a null turn is turn 0; edits and
 regenerations of an unknown turn open it, deletions don't; repeated events apply twice (a repeated message
-is two); rows with a null conversation are one conversation, null; ties in seq are ordered by role
-and text; other columns of a log are left out.
+is two); rows with a null conversation are one conversation, null; ties in seq are ordered by kind (message, delta or
+unknown, edit, regenerate, delete), then by role and text; other columns of a log are left out.
 """
 
 from __future__ import annotations
@@ -151,8 +151,9 @@ def render(events: DataFrame) -> DataFrame:
         if rows:
             yield flush()
 
-    ordered = events.select(F.col("conv").cast("long").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), F.col("seq").cast("long").alias("seq"), "kind", "role", "text")
-    return bounded_batches(ordered.repartition("conv", "turn").sortWithinPartitions("conv", "turn", "seq", "role", "text")).mapInArrow(run, PIECES)
+    kind = F.when(F.col("kind") == "message", 0).when(F.col("kind") == "edit", 2).when(F.col("kind") == "regenerate", 3).when(F.col("kind") == "delete", 4).otherwise(1)
+    ordered = events.select(F.col("conv").cast("long").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), F.col("seq").cast("long").alias("seq"), "kind", kind.alias("kind_order"), "role", "text")
+    return bounded_batches(ordered.repartition("conv", "turn").sortWithinPartitions("conv", "turn", "seq", "kind_order", "role", "text")).mapInArrow(run, PIECES)
 
 
 def read_back(pieces: DataFrame) -> DataFrame:

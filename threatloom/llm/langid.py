@@ -4,11 +4,15 @@ Features: 1-, 2- and 3-grams of the lower-cased code points, hashed to BUCKETS;
 relative (count / n-grams of the text), inverse document frequency counts every document that may
 be learned from. Weights come from follow-the-regularised-leader with elastic-net penalties over a
 bounded sample (about SAMPLE labelled rows a language, chosen by a hash of doc_id, whole texts);
-the softmax temperature is then fitted on a fifth of that sample that training did not see.
+the softmax temperature is then fitted on a fifth of that sample that training did not see, against smoothed targets (a
+share of 1 in N + 2 for the other languages), so that it has an optimum where the sample is told apart without a fault.
 
 Probabilities say which of the learned languages a text is, not whether it is one of them. That is
-told by its familiarity, the mean share of learned texts that hold an n-gram of it: a text with less than
-UNFAMILIAR times the lowest familiarity of the calibration sample is in no learned language.
+told by its familiarity: the mean over its letter trigrams (runs of other characters, and words with digits, are one space) of the log
+ratio between their share in all learned texts and what its letters alone would give (a letter counts
+as one in RARE at least, so rare letters are no evidence), each within CLIP, plus LENIENT / sqrt(n) for few trigrams. A text
+that lies SPREAD standard deviations below the mean of the calibration sample is in no learned language: whatever the
+distribution, that holds for less than one learned text in 1 + SPREAD ** 2 (Cantelli), for bell-shaped ones far fewer.
 
 Defined results: a text that is null or holds no letter (Unicode L*) is `und` with score 0; with no labelled
 row at all every text is `und`; ties go to the alphabetically first language; repeated rows are
@@ -17,8 +21,10 @@ judged alike; columns pass through (clashing names are replaced).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +37,7 @@ from .common import bounded_batches, fresh, slices
 
 BUCKETS, SAMPLE, EPOCHS, CHUNK = 1 << 16, 800, 4, 1 << 20
 ALPHA, BETA, L1, L2, GAIN = 0.5, 1.0, 1e-4, 1e-3, 10.0
-UNFAMILIAR = 0.5
+TRIGRAMS, CLIP, RARE, LENIENT, SPREAD = 1 << 17, 6.0, 64, 4.0, 7.0
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
 
@@ -58,32 +64,81 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, n[at] / max(1, n.sum())
 
 
+@cache
+def _classes() -> np.ndarray:
+    """1 for letters, 2 for digits, else 0, by code point."""
+    return np.array([1 if c.isalpha() else 2 if c.isdigit() else 0 for c in map(chr, range(0x110000))], np.uint8)
+
+
+def trigrams(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets of the letter trigrams, code points) of a text, a bounded piece at a time. Ends of pieces are word ends."""
+    points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
+    for at in range(0, len(points), CHUNK):
+        c = np.concatenate(([32], points[at : at + CHUNK], [32])).astype(np.uint32)
+        kind = _classes()[c]
+        word = np.cumsum(np.diff((kind > 0).astype(np.int8), prepend=0) == 1)
+        numbered = np.bincount(word, weights=kind == 2) > 0
+        letter = (kind == 1) & ~numbered[word]
+        kept = letter.copy()
+        kept[1:] |= letter[:-1]
+        kept[0] = True  # one space before, and one after each run
+        c = np.where(letter, c, np.uint32(32))[kept]
+        if len(c) > 2:
+            two = (c[:-1] * np.uint32(3266489917) + c[1:]) * np.uint32(668265263)
+            three = (two[:-1] + c[2:] * np.uint32(374761393)) * np.uint32(2654435761)
+            yield (three ^ (three >> np.uint32(13))) >> np.uint32(15), c
+
+
+def _letter(points: np.ndarray) -> np.ndarray:
+    return (points * np.uint32(2654435761)) >> np.uint32(16)
+
+
+@dataclass
+class Familiar:
+    """Log shares of trigrams, and of letters by bucket."""
+
+    three: np.ndarray
+    one: np.ndarray
+
+    @classmethod
+    def of(cls, three: np.ndarray, one: np.ndarray) -> Familiar:
+        shares = lambda n: np.log((n + 0.5) / (n.sum() + 0.5 * len(n))).astype(np.float32)
+        return cls(shares(three), np.maximum(shares(one), -np.log(RARE)).astype(np.float32))
+
+    def of_text(self, text: str) -> float:
+        total, n = 0.0, 0
+        for b, c in trigrams(text):
+            o = self.one[_letter(c)]
+            total += float(np.clip(self.three[b] - o[:-2] - o[1:-1] - o[2:], -CLIP, CLIP).sum(dtype=np.float64))
+            n += len(b)
+        return total / n + LENIENT / n**0.5 if n else LENIENT
+
+
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # BUCKETS x (languages + 1): weight x idf x gain; the share of texts that hold the bucket
+    table: np.ndarray  # BUCKETS x languages: weight x idf x gain
     bias: np.ndarray
     temperature: float = 1.0
-    least: float = 0.0  # familiarity
+    familiar: Familiar | None = None
+    least: float = -math.inf  # familiarity
 
-    def evidence(self, text: str) -> tuple[np.ndarray, float]:
-        """(logits, familiarity)"""
-        total, n = np.zeros(len(self.languages) + 1), 0
+    def evidence(self, text: str) -> np.ndarray:
+        """The logits."""
+        total, n = np.zeros(len(self.languages)), 0
         for b in buckets(text):
             if len(b):
                 total += np.bincount(b, minlength=BUCKETS) @ self.table if len(b) > BUCKETS else self.table[b].sum(axis=0, dtype=np.float64)
                 n += len(b)
-        total /= max(1, n)
-        return total[:-1] + self.bias, float(total[-1])
+        return total / max(1, n) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, calibrated probability, familiarity)"""
         if not text or not self.languages or not LETTER.search(text):
             return UNDETERMINED, 0.0, 0.0
-        logits, familiarity = self.evidence(text)
-        p = _softmax(logits / self.temperature)
+        p = _softmax(self.evidence(text) / self.temperature)
         k = int(p.argmax())
-        return self.languages[k], float(p[k]), familiarity
+        return self.languages[k], float(p[k]), self.familiar.of_text(text) if self.familiar else LENIENT
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -95,11 +150,13 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
 
 
-def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """How many texts hold each bucket, and how many texts there are. What leaves a task is one row a bucket at most."""
+def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """How many texts hold each bucket, how many texts there are, and counts of letter trigrams and of letters. What leaves a task is one row
+    a bucket at most."""
+    sizes = (BUCKETS, TRIGRAMS, 1 << 16, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, texts = np.zeros(BUCKETS, np.int64), 0
+        n, three, one, texts = (np.zeros(k, np.int64) for k in sizes)
         has = np.zeros(BUCKETS, bool)
         for batch in slices(batches):
             for t in batch.column(0).to_pylist():
@@ -108,22 +165,22 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
                     has[b] = True
                 n += has
                 texts += 1
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array([*at.tolist(), -1], pa.int32()), "n": pa.array([*n[at].tolist(), texts], pa.int64())})
-
-    rows = bounded_batches(df.select(F.col(text))).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros(BUCKETS, np.int64)
-    texts = 0
-    for r in rows:
-        if r.bucket < 0:
-            texts = r.n
-        else:
-            n[r.bucket] = r.n
-    return n, texts
-
-
-def _sampled(df: DataFrame, sample: int, key: str, text: str, lang: str) -> list:
-    """Features of the bounded training sample: rows (lang, calibrate, at, value)."""
+                for b, c in trigrams(t):
+                    np.add.at(three, b, 1)
+                    np.add.at(one, _letter(c), 1)
+        every = np.concatenate((n, three, one, texts))
+        at = np.flatnonzero(every)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "n": pa.array(every[at], pa.int64())})
+
+    rows = bounded_batches(df.select(F.col(text))).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    every = np.zeros(sum(sizes), np.int64)
+    every[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    n, three, one, texts = np.split(every, np.cumsum(sizes)[:-1])
+    return n, int(texts[0]), three, one
+
+
+def _sampled(df: DataFrame, sample: int, key: str, text: str, lang: str, familiar: Familiar) -> list:
+    """Features of the bounded training sample: rows (lang, calibrate, familiarity of what is to calibrate, at, value)."""
     sizes = {r[0]: r[1] for r in df.groupBy(lang).count().collect()}  # one row a language
     if not sizes:
         return []
@@ -136,30 +193,30 @@ def _sampled(df: DataFrame, sample: int, key: str, text: str, lang: str) -> list
             for t, language, u in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 at, value = features(t)
                 yield pa.RecordBatch.from_pydict({
-                    "lang": pa.array([language]), "calibrate": pa.array([u >= 0.8]), "order": pa.array([u], pa.float64()),
+                    "lang": pa.array([language]), "calibrate": pa.array([u >= 0.8]), "order": pa.array([u], pa.float64()), "familiarity": pa.array([familiar.of_text(t) if u >= 0.8 else None], pa.float64()),
                     "at": pa.array([at.astype("<u2").tobytes()], pa.binary()), "value": pa.array([value.astype("<f4").tobytes()], pa.binary()),
                 })
 
-    return bounded_batches(few.select(text, lang, "_u")).mapInArrow(run, "lang string, calibrate boolean, order double, at binary, value binary").collect()
+    return bounded_batches(few.select(text, lang, "_u")).mapInArrow(run, "lang string, calibrate boolean, order double, familiarity double, at binary, value binary").collect()
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Learn from the rows of `df` whose text and lang are not null."""
     rows = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(key, text, lang)
-    n, texts = document_frequencies(rows, text)
-    idf = np.log((1 + texts) / (1 + n)) + 1
-    examples = sorted(_sampled(rows, sample, key, text, lang), key=lambda r: (r.order, r.lang))
+    n, texts, three, one = document_frequencies(rows, text)
+    idf, familiar = np.log((1 + texts) / (1 + n)) + 1, Familiar.of(three, one)
+    examples = sorted(_sampled(rows, sample, key, text, lang, familiar), key=lambda r: (r.order, r.lang))
     languages = sorted({r.lang for r in examples})
     if not languages:
-        return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(0))
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     index = {x: i for i, x in enumerate(languages)}
     data = [(np.frombuffer(r.at, "<u2").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(np.float64), index[r.lang], r.calibrate) for r in examples]
     weights, bias = ftrl([(at, v * idf[at] * GAIN, y) for at, v, y, c in data if not c], len(languages))
-    share = (n / max(1, texts))[:, None]
-    model = Model(languages, np.hstack((weights * idf[:, None] * GAIN, share)).astype(np.float32), bias)
-    held = [(v @ model.table[at], y) for at, v, y, c in data if c]
-    model.temperature = temperature([(x[:-1] + bias, y) for x, y in held])
-    model.least = UNFAMILIAR * min((x[-1] for x, _ in held), default=0.0)
+    model = Model(languages, (weights * idf[:, None] * GAIN).astype(np.float32), bias, familiar=familiar)
+    model.temperature = temperature([(v @ model.table[at] + bias, y) for at, v, y, c in data if c])
+    seen = [r.familiarity for r in examples if r.calibrate]
+    if len(seen) > 1:
+        model.least = float(np.mean(seen) - SPREAD * np.std(seen))
     return model
 
 
@@ -187,18 +244,27 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epoch
     return w[:-1], w[-1]
 
 
-def temperature(scored: list[tuple[np.ndarray, int]]) -> float:
-    """The temperature of least log loss, by golden-section search on its logarithm."""
-    if not scored:
-        return 1.0
-    x, y = np.array([s for s, _ in scored]), np.array([k for _, k in scored])
+def log_loss(scored: list[tuple[np.ndarray, int]], t: float) -> float:
+    """Mean log loss of logits at a temperature, against targets that leave 1 in N + 2 to the other languages."""
+    x, y = np.array([s for s, _ in scored]) / t, np.array([k for _, k in scored])
+    x = x - x.max(axis=1, keepdims=True)
+    minus = np.log(np.exp(x).sum(axis=1, keepdims=True)) - x
+    true, others = minus[np.arange(len(y)), y], max(1, x.shape[1] - 1)
+    rest = 1 / (len(y) + 2)
+    return float(((1 - rest) * true + rest * (minus.sum(axis=1) - true) / others).mean())
 
-    def loss(log_t: float) -> float:
-        s = x / np.exp(log_t)
-        s = s - s.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
 
-    a, b, ratio = -3.0, 3.0, (5**0.5 - 1) / 2
+def temperature(scored: list[tuple[np.ndarray, int]]) -> float:
+    """The temperature of least log loss: a bracket that grows until the least value is inside, then golden-section search on the
+    logarithm. Without anything to tell apart it is 1."""
+    if not scored or len(scored[0][0]) < 2 or not np.ptp([s for s, _ in scored], axis=1).any():
+        return 1.0
+    loss = lambda log_t: log_loss(scored, float(np.exp(log_t)))
+    a, middle, b, ratio = -1.0, 0.0, 1.0, (5**0.5 - 1) / 2
+    while loss(a) < loss(middle) and a > -40:
+        a, middle, b = a - 2 * (b - a), a, middle
+    while loss(b) < loss(middle) and b < 40:
+        a, middle, b = middle, b, b + 2 * (b - a)
     while b - a > 1e-3:
         c, d = b - ratio * (b - a), a + ratio * (b - a)
         a, b = (a, d) if loss(c) < loss(d) else (c, b)

@@ -81,6 +81,7 @@ class EliasFano:
         ones = np.bitwise_count(high).astype(np.int64)
         self.ones = np.cumsum(ones)
         self.zeros = np.cumsum(64 - ones)
+        self.places: list[np.ndarray | None] = [None, None]
         self.top = (int(self.zeros[-1]) if len(high) else 0) - 1  # zeros there are
 
     @classmethod
@@ -104,9 +105,14 @@ class EliasFano:
         both = (self.low[word] >> off) | ((self.low[word + 1] << ONE) << (np.uint64(63) - off))
         return (both & ((ONE << np.uint64(self.width)) - ONE)).astype(np.int64)
 
-    @staticmethod
-    def _select(words: np.ndarray, total: np.ndarray, i: np.ndarray, flip: bool) -> np.ndarray:
-        """The place of the i-th bit that is set (or not, if `flip`)."""
+    def _select(self, i: np.ndarray, flip: bool) -> np.ndarray:
+        """The place of the i-th bit that is set (or not, if `flip`). Few are searched for, many are looked up among all."""
+        if i.size * 8 > self.n:
+            if self.places[flip] is None:
+                bits = np.unpackbits(self.high.view(np.uint8), bitorder="little")
+                self.places[flip] = np.flatnonzero(bits == 0 if flip else bits)
+            return self.places[flip][i]
+        words, total = self.high, self.zeros if flip else self.ones
         word = np.searchsorted(total, i, side="right")
         rest = i - np.where(word > 0, total[word - 1], 0)
         bits = ~words[word] if flip else words[word].copy()
@@ -120,7 +126,7 @@ class EliasFano:
         return place
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        upper = self._select(self.high, self.ones, i, False) - i
+        upper = self._select(i, False) - i
         return (upper << self.width) | self._low(i)
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +134,8 @@ class EliasFano:
         h = x >> self.width
         inside = h <= self.top
         upper = np.minimum(h, max(0, self.top))
-        begin = np.where(upper > 0, self._select(self.high, self.zeros, np.maximum(upper - 1, 0), True) - (upper - 1), 0)
-        end = np.minimum(self._select(self.high, self.zeros, upper, True) - upper, self.n)
+        begin = np.where(upper > 0, self._select(np.maximum(upper - 1, 0), True) - (upper - 1), 0)
+        end = np.minimum(self._select(upper, True) - upper, self.n)
         begin, wanted, last = np.minimum(begin, end), x & ((1 << self.width) - 1), end.copy()
         while (open_ := np.flatnonzero(begin < end)).size:
             middle = (begin[open_] + end[open_]) >> 1

@@ -1,7 +1,7 @@
 """Personal data: pattern spans, and terms that give a protected entity away.
 
 Base spans (email, ip, card, phone) come from linear scans. Protected entities c are every distinct
-base value, and every kind as a whole. The terms t within CONTEXT characters of a value, on its line,
+base value, its class (domain, first half of an address, first six digits of a card, first four of a phone number), and every kind as a whole. The terms t within CONTEXT characters of a value, on its line,
 are what may give it or its kind away; over the whole corpus,
 
     disclosure(t, c) = PMI(t; c) / IC(c) = log(N n_tc / (n_t n_c)) / log(N / n_c)
@@ -10,7 +10,9 @@ where N and every n count distinct texts, so copies of a document are one observ
 of those that hold t, n_tc of those where t stands by c, n_c of those where any term does. 1 means that
 the term says as much as the entity itself. A term with disclosure >= THRESHOLD (half of the entity's
 information), seen by c in SUPPORT texts at least (in one text alone every rare word would do), reveals
-c; where it stands by c, it becomes a span of kind `term`, to be generalised like the base spans.
+c, unless chance would do: if terms and entities were spread over the texts independently, e = n_t n_c / N texts were expected to hold both, and
+n_tc or more with a probability below exp(n_tc - e - n_tc log(n_tc / e)) (Chernoff), which must be CHANCE / (pairs tested) at
+most, so that in all the corpus a chance finding is expected CHANCE times. Where a revealing term stands by c, it becomes a span of kind `term`, to be generalised like the base spans.
 
 Defined results: null and empty texts have no spans; offsets are code points, end exclusive; spans of
 one kind never overlap, spans of different kinds may (sanitised text merges them); repeated rows are
@@ -19,6 +21,7 @@ judged alike and each returned; columns pass through, those named base or spans
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -26,14 +29,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, fresh, slices, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
-THRESHOLD, SUPPORT, CONTEXT = 0.5, 2, 100
+THRESHOLD, SUPPORT, CONTEXT, CHANCE = 0.5, 2, 100, 0.05
 SIEVE_BITS = 1 << 25
 #: The base patterns, with possessive runs where these can't change a match.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -166,21 +169,32 @@ def text_counts(df: DataFrame, text: str, copy: str, terms: DataFrame) -> DataFr
     return bounded_batches(once.select(text)).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def entities(value: Column) -> Column:
+    """The entities that a value (kind=text) stands for: itself, its class and its kind."""
+    kind, text = F.substring_index(value, "=", 1), F.regexp_replace(value, "^[a-z]+=", "")
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    own = F.when(kind == "email", F.substring_index(text, "@", -1)).when(kind == "ip", F.substring_index(text, ".", 2)).when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+    return F.array(value, F.concat(kind, F.lit("~"), own), F.concat(kind, F.lit(":")))
+
+
 def paired(near: DataFrame, support: int = SUPPORT) -> DataFrame:
     """(entity, term, n_tc) of the pairs in `support` texts at least; `near`: (copy, entity, term), copy is a text's hash."""
     return near.select("copy", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_tc")).filter(F.col("n_tc") >= support)
 
 
-def disclosures(near: DataFrame, pairs: DataFrame, counts: DataFrame, texts: int, threshold: float = THRESHOLD) -> DataFrame:
-    """(entity, term, disclosure) above the threshold. `pairs`: paired(near); `counts`: (term, n); `texts`: distinct texts."""
+def disclosures(near: DataFrame, pairs: DataFrame, counts: DataFrame, texts: int, threshold: float = THRESHOLD, chance: float = CHANCE) -> DataFrame:
+    """(entity, term, disclosure) above the threshold and above chance. `pairs`: paired(near); `counts`: (term, n); `texts`: distinct texts."""
     entities = near.select("copy", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
     kind = F.col("entity").endswith(":")  # the kinds are few but meet most terms; values are many
     kinds, values = F.broadcast(entities.filter(kind)), entities.filter(~kind).hint("merge")
     met = pairs.filter(kind).join(kinds, "entity").unionByName(pairs.filter(~kind).join(values, "entity"))
     known = met.join(counts.hint("merge"), "term")
     n = F.lit(float(max(2, texts)))
-    value = F.log(n * F.least("n_tc", "n") / (F.col("n") * F.col("n_c"))) / F.log(n / F.least("n_c", n - 1))
-    return known.select("entity", "term", value.alias("disclosure")).filter(F.col("disclosure") >= threshold - 1e-9)
+    lift = F.log(n * F.least("n_tc", "n") / (F.col("n") * F.col("n_c")))
+    value = lift / F.log(n / F.least("n_c", n - 1))
+    beyond = F.col("n_tc") * lift - F.col("n_tc") + F.col("n") * F.col("n_c") / n  # minus the log of the bound
+    tested = math.log(max(1, pairs.count()) / chance)
+    return known.filter(beyond >= tested - 1e-9).select("entity", "term", value.alias("disclosure")).filter(F.col("disclosure") >= threshold - 1e-9)
 
 
 def find(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
@@ -197,7 +211,7 @@ def find(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, suppor
     held = with_base(own.filter(some).select(digest.alias(copy), text), text, base, near).filter(F.size(near) > 0)
     held = stored(held.select(F.col(copy).alias("copy"), F.col(near).alias("near")).dropDuplicates(["copy"]), "pii-near")
     by = held.select("copy", F.explode("near").alias("x")).select("copy", "x.*")
-    by = by.withColumn("entity", F.explode(F.array("entity", F.concat(F.substring_index("entity", "=", 1), F.lit(":")))))
+    by = by.withColumn("entity", F.explode(entities(F.col("entity"))))
     once = own.filter(F.col(text).isNotNull()).select(digest.alias("copy"), F.col(text).alias("text"))
     texts = once.select("copy").distinct().count()
     pairs = stored(paired(by, support), "pii-pairs")
