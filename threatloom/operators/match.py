@@ -6,55 +6,57 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threatloom.functions.text import is_codename, snippet, stripped
+from threatloom.functions.text import is_codename, stripped
+from threatloom.operators import automaton
 
-#: Short phrases meet texts by so many characters at most.
-GRAM = 4
 
+def _any_of(low: Column, patterns: list[str]) -> Column:
+    """Whether lower-cased text holds one of the patterns, as a balanced disjunction."""
+    if len(patterns) == 1:
+        return F.contains(low, F.lit(patterns[0]))
+    return _any_of(low, patterns[: len(patterns) // 2]) | _any_of(low, patterns[len(patterns) // 2 :])
 
-def categories(text: Column, keywords: dict[str, list[str]]) -> Column:
-    """Names of the categories with a pattern that is part of the lower-cased text, in map order.
+
+def categories(low: Column, keywords: dict[str, list[str]]) -> Column:
+    """Names of the categories with a pattern that is part of the lower-cased text `low`, in map order.
 
     A keyword map has a few hundred literal patterns: they are an expression, not a join.
     """
-    low = F.lower(text)
-    hit = lambda patterns: F.exists(F.array(*[F.lit(p.lower()) for p in dict.fromkeys(patterns)]), lambda p: F.contains(low, p))
-    return F.array_compact(F.array(*[F.when(hit(patterns), F.lit(name)) for name, patterns in keywords.items()]))
+    lists = {name: list(dict.fromkeys(p.lower() for p in patterns)) for name, patterns in keywords.items()}
+    return F.array_compact(F.array(*[F.when(_any_of(low, patterns), F.lit(name)) for name, patterns in lists.items() if patterns]))
 
 
 def classified(df: DataFrame, text: str, keywords: dict[str, list[str]], exclude: list[str]) -> DataFrame:
-    """`df` with categories and excluded: blank text is excluded; an exclude pattern counts only where no category matches."""
-    low = F.lower(F.col(text))
-    out = df.withColumn("categories", F.coalesce(categories(F.col(text), keywords), F.array().cast("array<string>")))
-    barred = F.exists(F.array(*[F.lit(p.lower()) for p in exclude]), lambda p: F.contains(low, p)) if exclude else F.lit(False)
-    return out.withColumn("excluded", (F.size("categories") == 0) & F.coalesce(barred | (F.trim(low) == ""), F.lit(True)))
-
-
-def words(c: Column) -> Column:
-    """Distinct words (runs of letters and digits)."""
-    return F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-
+    """`df` with categories and excluded: blank text is excluded; an exclude pattern counts only where no category matches.
 
-def phrase_mentions(docs: DataFrame, phrases: DataFrame, key: str, text: str, item: str, phrase: str) -> DataFrame:
-    """(key, item, at): first place of every phrase in every text that holds it. Keys are unique in `docs`.
-
-    Candidate and verify: keys and words, not texts, meet the longest inner word of the phrases in an equi-join; texts join
-    what is left, and `instr` decides. The outer words of a phrase may be part of longer words in a text, so phrases of
-    fewer than three words meet by their first characters (as many as the shortest has, GRAM at most) instead.
+    The text is lower-cased once, below both expressions.
     """
-    inner = F.filter(F.split(F.col(phrase), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    inner = F.when(F.size(inner) > 2, F.slice(inner, 2, F.size(inner) - 2)).otherwise(F.array().cast("array<string>"))
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), F.lit(-1))["w"]
-    asked = phrases.filter(F.length(phrase) > 0).select(item, phrase, F.when(F.size(inner) > 0, longest).alias("_word"))
-    found = docs.select(key, F.explode(words(F.col(text))).alias("_word")).join(asked.filter("_word is not null").select(item, "_word"), "_word").select(key, item)
-    short = asked.filter("_word is null").select(item, phrase)
-    least = short.agg(F.min(F.length(phrase))).first()[0]
-    if least:
-        n = min(GRAM, least)
-        grams = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-        found = found.unionByName(docs.select(key, F.explode(grams).alias("_word")).join(short.withColumn("_word", F.substring(phrase, 1, n)), "_word").select(key, item))
-    met = docs.select(key, text).join(found.distinct(), key).join(phrases.select(item, phrase), item)
-    return met.select(key, item, F.instr(F.col(text), F.col(phrase)).alias("at")).filter("at > 0").distinct()
+    out = df.withColumn("_low", F.lower(F.col(text)))
+    low = F.col("_low")
+    out = out.withColumn("categories", F.coalesce(categories(low, keywords), F.array().cast("array<string>")))
+    barred = _any_of(low, [p.lower() for p in exclude]) if exclude else F.lit(False)
+    return out.withColumn("excluded", (F.size("categories") == 0) & F.coalesce(barred | (F.trim(low) == ""), F.lit(True))).drop("_low")
+
+
+def phrase_mentions(docs: DataFrame, phrases: DataFrame, key: str | list[str], text: str, item: str, phrase: str, shard: int = automaton.SHARD) -> DataFrame:
+    """(key, item, at): first place (from 1) of every phrase in every text that holds it. Empty phrases stand nowhere."""
+    keys = [key] if isinstance(key, str) else key
+    asked = phrases.filter(F.length(phrase) > 0).select(item, phrase)
+    built = []
+    for part in automaton.shards(asked, [item], phrase, shard):
+        held: dict[str, tuple[int, set]] = {}
+        for i, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            held.setdefault(p, (len(p), set()))[1].add(i)
+        built.append(automaton.automaton(held))
+
+    def first(t: str, found) -> list[tuple]:
+        at: dict[object, int] = {}
+        for end, (size, items) in found.iter(t):
+            for i in items:
+                at[i] = min(at.get(i, end), end - size + 1)
+        return [(i, k + 1) for i, k in at.items()]
+
+    return automaton.scanned(docs, keys, text, asked.limit(0).select(item, F.lit(0).alias("at")), built, first)
 
 
 def first_contexts(mentions: DataFrame, by: list[str], order: list[str], context: str, n: int = 10) -> DataFrame:
@@ -84,32 +86,43 @@ def alias_dictionary(entities: DataFrame, stoplist: DataFrame, least: int = 4) -
     return each.select("canonical", "attack_id", "type", "alias", exact.alias("exact"), F.when(exact, word).otherwise(F.concat(F.lit("(?iu)"), word)).alias("pattern")).orderBy("attack_id", F.desc(F.length("alias")), "alias")
 
 
-def entity_patterns(aliases: DataFrame) -> DataFrame:
-    """(attack_id, type, canonical, exact, any_case): one alternation, longest alias first, of each entity's code names and of
-    its other aliases; null where there are none."""
-    each = aliases.select("attack_id", "type", "canonical", "exact", F.struct((-F.length(F.trim("alias"))).alias("n"), F.trim("alias").alias("a")).alias("x"))
-    joined = lambda exact, flags: F.transform(
-        F.array(F.array_sort(F.collect_set(F.when(F.col("exact") == exact, F.col("x"))))),
-        lambda xs: F.when(F.size(xs) > 0, F.concat(F.lit(flags + r"(?<![\p{L}\p{N}_])(?:"), F.array_join(F.transform(xs, lambda x: F.concat(F.lit(r"\Q"), x["a"], F.lit(r"\E"))), "|"), F.lit(r")(?![\p{L}\p{N}_])"))),
-    )[0]
-    return each.groupBy("attack_id", "type", "canonical").agg(joined(True, "").alias("exact"), joined(False, "(?iu)").alias("any_case"))
-
-
-def entity_mentions(chunks: DataFrame, aliases: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """key columns, attack_id, type, canonical, n, strategy and context of every entity in every text. Keys are unique in `chunks`.
+def entity_mentions(chunks: DataFrame, aliases: DataFrame, key: list[str], text: str = "text", shard: int = automaton.SHARD) -> DataFrame:
+    """key columns, attack_id, type, canonical, n, strategy and context of every entity in every text.
 
-    n adds the non-overlapping matches of code names (exact) and of other aliases (any case); strategy and context are
-    those of the first exact match if there is one. Like phrases, aliases meet keys by their first word, without texts.
+    n adds the matches of code names (exact) and of other aliases (any case) that stand as words; each search goes from left to
+    right and takes the longest alias at a place. strategy and context are those of the first exact match if there is one.
     """
-    head = F.lower(F.regexp_extract("alias", r"[\p{L}\p{N}]+", 0))
-    asked = aliases.select(head.alias("_word"), "attack_id", "type", "canonical").distinct()
-    met = chunks.select(*key, F.explode(words(F.lower(F.col(text)))).alias("_word")).join(asked, "_word").drop("_word").distinct()
-    met = chunks.select(*key, text).join(met, key).join(entity_patterns(aliases), ["attack_id", "type", "canonical"])
-    count = lambda pattern: F.when(F.col(pattern).isNull(), 0).otherwise(F.regexp_count(F.col(text), F.col(pattern)))
-    hits = met.withColumns({"_a": count("exact"), "_b": count("any_case")}).withColumn("n", F.col("_a") + F.col("_b")).filter("n > 0")
-    first = F.when(F.col("_a") > 0, F.col("exact")).otherwise(F.col("any_case"))
-    context = snippet(F.col(text), F.regexp_instr(F.col(text), first), F.length(F.regexp_substr(F.col(text), first)))
-    return hits.select(*key, "attack_id", "type", "canonical", "n", F.when(F.col("_a") > 0, "case-sensitive").otherwise("case-insensitive").alias("strategy"), context.alias("context"))
+    asked = aliases.select("attack_id", "type", "canonical", "exact", F.trim("alias").alias("alias")).filter("alias <> ''")
+    built = []
+    for part in automaton.shards(asked, ["attack_id", "type", "canonical"], "alias", shard):
+        held: tuple[dict, dict] = ({}, {})
+        for row in part.to_pylist():
+            alias = row["alias"] if row["exact"] else automaton.folded(row["alias"])
+            held[0 if row["exact"] else 1].setdefault(alias, (len(alias), set()))[1].add((row["attack_id"], row["type"], row["canonical"]))
+        built.append((automaton.automaton(held[0]), automaton.automaton(held[1])))
+
+    def found(t: str, both) -> list[tuple]:
+        spans: dict[tuple, tuple[list, list]] = {}
+        for k, (search, seen) in enumerate(zip(both, (t, automaton.folded(t)))):
+            for end, (size, entities) in search.iter(seen) if search else ():
+                start, end = end - size + 1, end + 1
+                if automaton.is_word(t, start, end):
+                    for e in entities:
+                        spans.setdefault(e, ([], []))[k].append((start, end))
+        rows = []
+        for e, lists in spans.items():
+            exact, other = map(automaton.disjoint, lists)
+            rows.append((*e, len(exact) + len(other), "case-sensitive" if exact else "case-insensitive", _around(t, *(exact or other)[0])))
+        return rows
+
+    kind = aliases.limit(0).select("attack_id", "type", "canonical", F.lit(0).alias("n"), F.lit("").alias("strategy"), F.lit("").alias("context"))
+    return automaton.scanned(chunks, key, text, kind, built, found)
+
+
+def _around(text: str, start: int, end: int, window: int = 100) -> str:
+    """As functions.text.snippet."""
+    a, b = max(0, start - window), min(len(text), end + window)
+    return "..." * (a > 0) + text[a:b].replace("\n", " ").strip(" ") + "..." * (b < len(text))
 
 
 def entity_totals(mentions: DataFrame, order: list[str], source: str, section: str) -> DataFrame:

@@ -213,9 +213,9 @@ def q_category_stats(spark, sf_dir):
 @query("""with m as (select d.doc_id, d.source, b.item_id, strpos(d.text, b.text) pos, row_number() over (partition by source, item_id order by doc_id) n from documents d join benchmark b on contains(d.text, b.text) where b.text <> '')
 select source, item_id, count(*)::bigint chunk_count, string_agg(doc_id::varchar || '@' || pos::varchar, ',' order by doc_id) filter (n <= 10) contexts from m group by 1, 2""")
 def q_phrase_mentions(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    found = match.phrase_mentions(docs, table(spark, sf_dir, "benchmark").withColumnRenamed("text", "phrase"), "doc_id", "text", "item_id", "phrase")
-    placed = found.join(docs.select("doc_id", "source"), "doc_id").withColumn("context", F.concat(F.col("doc_id").cast("string"), F.lit("@"), F.col("at").cast("string")))
+    phrases = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "phrase")
+    found = match.phrase_mentions(table(spark, sf_dir, "documents"), phrases, ["doc_id", "source"], "text", "item_id", "phrase")
+    placed = found.withColumn("context", F.concat(F.col("doc_id").cast("string"), F.lit("@"), F.col("at").cast("string")))
     return match.first_contexts(placed, ["source", "item_id"], ["doc_id"], "context").withColumn("contexts", F.array_join("contexts", ","))
 
 
