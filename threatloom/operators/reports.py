@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from threatloom.functions.text import is_noise, stripped, word_count
 from threatloom.operators.evalkit import levels
 from threatloom.operators.ranks import value_at
 
-LEAST_CHARS, BUDGET, LEVELS = 80, 500, 12
+LEAST_CHARS, BUDGET = 80, 500
+#: Positions of a document that are folded in one task; no level is beyond DEEPEST, no mark of a place beyond LAST.
+PART, DEEPEST, LAST = 4096, (1 << 31) - 1, (1 << 31) - 1
 
 
 def paragraphs(df: DataFrame, key: str, text: str, separator: str = "\n\n", least: int = LEAST_CHARS) -> DataFrame:
@@ -20,22 +25,50 @@ def paragraphs(df: DataFrame, key: str, text: str, separator: str = "\n\n", leas
     return kept.withColumn("chunk_index", F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1)
 
 
-def sections(items: DataFrame, key: str, pos: str, label: str, text: str, level: str | None = None) -> DataFrame:
+def sections(items: DataFrame, key: str, pos: str, label: str, text: str, level: str | None = None, part: int = PART) -> DataFrame:
     """`items` with section_no (headings so far, empty ones too) and section_path.
 
-    An empty heading starts a section but keeps the path; a heading of level n closes those of level n and deeper. Levels
-    from 1 to LEVELS (deeper ones count as LEVELS): the path holds the last heading of each level that nothing closed since.
+    An empty heading starts a section but keeps the path; a heading of level n closes those of level n and deeper (levels below
+    1 and null count as 1; there is no deepest). What a run of headings does to a path is the lowest level it closes and the
+    headings that it leaves open, and two runs compose: a document is cut into parts by ranges of `part` positions, which are folded
+    apart, then their effects in order, so a document is as many tasks as it has parts. Positions are integers; null ones come first.
     """
-    w = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    each = items.withColumn("_part", F.coalesce(F.floor(F.col(pos) / part), F.lit(-1)).cast("long"))
     heading = F.coalesce(F.col(label) == "section_header", F.lit(False))
-    name = stripped(F.coalesce(F.col(text), F.lit("")))
-    depth = F.least(F.greatest(F.coalesce(F.col(level), F.lit(1)), F.lit(1)), F.lit(LEVELS)) if level else F.lit(1)
-    numbered = items.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(pos)))
-    out = numbered.withColumn("section_no", F.sum(F.when(heading, 1).otherwise(0)).over(w))
-    last = [F.last(F.when(heading & (name != "") & (depth == k), F.struct(F.col("_n").alias("n"), name.alias("name"))), ignorenulls=True).over(w) for k in range(1, LEVELS + 1 if level else 2)]
-    out = out.withColumn("_last", F.array(*last))
-    behind = lambda x, i: F.coalesce(F.array_max(F.transform(F.slice("_last", 1, i), lambda y: y["n"])), F.lit(0)) < x["n"]
-    return out.withColumn("section_path", F.transform(F.filter("_last", lambda x, i: x.isNotNull() & behind(x, i)), lambda x: x["name"])).drop("_n", "_last")
+    name = F.nullif(stripped(F.coalesce(F.col(text), F.lit(""))), F.lit(""))
+    depth = (F.greatest(F.coalesce(F.col(level), F.lit(1)), F.lit(1)) if level else F.lit(1)).cast("int")
+    head = F.struct(F.col(pos).cast("long").alias("at"), depth.alias("level"), name.alias("name"))
+    runs = each.filter(heading).groupBy(key, "_part").agg(F.array_sort(F.collect_list(head)).alias("heads"))
+    none = F.struct(F.lit(DEEPEST).alias("closes"), F.array().cast("array<struct<level:int,name:string>>").alias("open"))
+
+    def then(state: Column, closes: Column, opens: Column) -> Column:
+        kept = F.filter(state["open"], lambda x: x["level"] < closes)
+        return F.struct(F.least(state["closes"], closes).alias("closes"), F.concat(kept, opens).alias("open"))
+
+    def add(state: Column, x: Column) -> Column:
+        return F.when(x["name"].isNull(), state).otherwise(then(state, x["level"], F.array(F.struct(x["level"].alias("level"), x["name"].alias("name")))))
+
+    # what parts with headings leave, in order; each part begins with what the last such part before it left
+    parts = runs.withColumn("_run", F.aggregate("heads", none, add))
+    effects = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_part", F.size("heads").cast("long").alias("n"), F.col("_run").alias("run")))).alias("_parts"))
+    begin = F.struct(none["open"].alias("open"), F.lit(0).cast("long").alias("n"))
+    later = lambda s, x: F.struct(F.concat(F.filter(s["open"], lambda y: y["level"] < x["run"]["closes"]), x["run"]["open"]).alias("open"), (s["n"] + x["n"]).alias("n"))
+    scanned = F.aggregate("_parts", F.array(begin), lambda states, x: F.concat(states, F.array(later(F.element_at(states, -1), x))))
+    after = effects.select(key, F.explode(F.arrays_zip(F.transform("_parts", lambda x: x["_part"]).alias("_part"), F.slice(scanned, 2, F.size("_parts")).alias("_after"))).alias("_x"))
+    own_parts = each.select(key, "_part").distinct().join(after.select(F.col(key).alias("_key"), "_x.*").withColumnRenamed("_part", "_p"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")), "left")
+    so_far = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = own_parts.select(key, "_part", F.coalesce(F.last("_after", ignorenulls=True).over(so_far), begin).alias("_s"))
+    # inside a part: the run up to each heading, after what the part begins with
+    walked = F.aggregate("heads", F.array(F.struct(F.lit(None).cast("long").alias("at"), none.alias("run"))), lambda states, x: F.concat(states, F.array(F.struct(x["at"].alias("at"), add(F.element_at(states, -1)["run"], x).alias("run")))))
+    marks = starts.join(parts.select(F.col(key).alias("_key"), F.col("_part").alias("_p"), "heads"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")), "left")
+    marks = marks.select(key, "_part", "_s", F.posexplode(F.when(F.col("heads").isNull(), F.array(F.struct(F.lit(None).cast("long").alias("at"), none.alias("run")))).otherwise(walked)).alias("_in", "_m"))
+    path = F.concat(F.filter(F.col("_s.open"), lambda y: y["level"] < F.col("_m.run.closes")), F.col("_m.run.open"))
+    marks = marks.select(key, "_part", F.col("_m.at").alias("_at"), "_in", F.transform(path, lambda y: y["name"]).alias("section_path"), (F.col("_s.n") + F.col("_in")).alias("section_no"))
+    own = each.withColumn("_at", F.col(pos).cast("long")).withColumn("_in", F.lit(LAST).cast("int")).withColumn("_item", F.lit(True))
+    w = Window.partitionBy(key, "_part").orderBy(F.asc_nulls_first("_at"), "_in").rowsBetween(Window.unboundedPreceding, 0)
+    both = own.unionByName(marks, allowMissingColumns=True)
+    filled = both.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in ("section_no", "section_path")}).filter("_item")
+    return filled.select(*items.columns, "section_no", "section_path")
 
 
 def packed(items: Column, tokens=lambda x: x["tokens"], budget: int = BUDGET) -> Column:
@@ -59,6 +92,54 @@ def packed(items: Column, tokens=lambda x: x["tokens"], budget: int = BUDGET) ->
     return F.aggregate(items, start, add, cut)
 
 
+def pack_rows(items: DataFrame, by: list[str], pos: str, tokens: str, budget: int = BUDGET, part: int = PART) -> DataFrame:
+    """`items` with `group`, the number of the greedy group (see `packed`) that an item of a sequence `by` falls in; null tokens are 0.
+
+    Sequences are cut into parts by ranges of `part` positions. All that a part needs to know of those before it is how full the open group
+    is, from 0 to budget (an item over the budget counts as full); so its effect is a table of budget + 1 states: how full it leaves the
+    group, and how many groups it begins. The tables of a sequence are composed in order, then each part numbers its items.
+    """
+    spot = items.withColumn("_part", F.coalesce(F.floor(F.col(pos) / part), F.lit(-1)).cast("long"))
+    keys = [*by, "_part"]
+    types = {f.name: f.dataType for f in spot.schema.fields}
+    fields = [T.StructField(c, types[c]) for c in keys]
+
+    def effect(rows: pd.DataFrame) -> pd.DataFrame:
+        n = np.minimum(rows.sort_values(pos, kind="stable")[tokens].fillna(0).to_numpy(np.int64), budget + 1)
+        fill, new = group_states(n, budget)
+        return pd.DataFrame({**{c: rows[c].iloc[:1] for c in keys}, "fill": [fill], "new": [new]})
+
+    table = spot.select(*keys, pos, tokens).groupBy(*keys).applyInPandas(effect, T.StructType([*fields, T.StructField("fill", T.ArrayType(T.IntegerType())), T.StructField("new", T.ArrayType(T.LongType()))]))
+    ordered = table.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_part", "fill", "new"))).alias("parts"))
+    begin = F.struct(F.lit(0).alias("full"), F.lit(0).cast("long").alias("groups"))
+    step = lambda s, x: F.struct(F.get(x["fill"], s["full"]).alias("full"), (s["groups"] + F.get(x["new"], s["full"])).alias("groups"))
+    states = F.aggregate("parts", F.array(begin), lambda out, x: F.concat(out, F.array(step(F.element_at(out, -1), x))))
+    starts = ordered.select(*by, F.explode(F.arrays_zip(F.transform("parts", lambda x: x["_part"]).alias("_part"), F.slice(states, 1, F.size("parts")).alias("_s"))).alias("_x")).select(*by, "_x._part", "_x._s.full", "_x._s.groups")
+
+    def number(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(pos, kind="stable")
+        full, group, out = int(start["full"].iloc[0]) if len(start) else 0, int(start["groups"].iloc[0]) if len(start) else 0, []
+        for x in np.minimum(rows[tokens].fillna(0).to_numpy(np.int64), budget + 1).tolist():
+            if full > 0 and full + x > budget:
+                full, group = 0, group + 1
+            full = min(budget, full + x)
+            out.append(group)
+        return rows.assign(group=np.array(out, np.int64))
+
+    numbered = spot.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInPandas(number, T.StructType([*spot.schema.fields, T.StructField("group", T.LongType())]))
+    return numbered.drop("_part")
+
+
+def group_states(n: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every fill from 0 to budget before the items: the fill after them, and how many groups they begin."""
+    fill, new = np.arange(budget + 1, dtype=np.int32), np.zeros(budget + 1, np.int64)
+    for x in n.tolist():
+        closed = (fill > 0) & (fill + x > budget)
+        new += closed
+        fill = np.minimum(np.where(closed, 0, fill) + x, budget).astype(np.int32)
+    return fill, new
+
+
 def pack_paragraphs(df: DataFrame, key: str, text: str, separator: str = "\n", budget: int = BUDGET, tokens=word_count) -> DataFrame:
     """key, group, paragraphs, tokens: paragraphs packed in order."""
     parts = F.filter(F.transform(F.split(text, separator), lambda x: tokens(x).cast("int")), lambda n: n > 0)
@@ -73,8 +154,17 @@ def chunks(items: DataFrame, key: str, budget: int = BUDGET, least: int = LEAST_
     """
     placed = sections(items, key, "pos", "label", "text", "level" if "level" in items.columns else None)
     body = placed.filter(F.col("label").isin("text", "list_item", "caption") & (stripped(F.coalesce("text", F.lit(""))) != ""))
-    rows = body.groupBy(key, "section_no").agg(F.array_sort(F.collect_list(F.struct("pos", tokens(F.col("text")).cast("int").alias("tokens"), stripped(F.col("text")).alias("text"), "page", "section_path"))).alias("items"))
-    made = rows.select(key, "section_no", F.posexplode(packed(F.col("items"), budget=budget)).alias("part", "g"))
+    sized = body.select(key, "section_no", "pos", tokens(F.col("text")).cast("int").alias("tokens"), stripped(F.col("text")).alias("text"), "page", "section_path")
+    by = [key, "section_no"]
+    long = sized.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > PART).select(*by)
+    some = not long.isEmpty()
+    item = F.struct("pos", "tokens", "text", "page", "section_path")
+    # short sections are folded as one array; long ones are packed part by part, and a group is gathered only then
+    short = (sized.join(long, by, "left_anti") if some else sized).groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    made = short.select(*by, F.posexplode(packed(F.col("items"), budget=budget)).alias("part", "g"))
+    if some:
+        grouped = pack_rows(sized.join(long, by, "left_semi"), by, "pos", "tokens", budget)
+        made = made.unionByName(grouped.groupBy(*by, F.col("group").cast("int").alias("part")).agg(F.array_sort(F.collect_list(item)).alias("g")))
     pages = F.filter(F.transform("g", lambda x: x["page"]), lambda p: p.isNotNull())
     made = made.select(
         key, "section_no", "part", F.transform("g", lambda x: x["text"]).alias("texts"), F.get("g", F.lit(0))["section_path"].alias("section_path"), F.get(pages, F.lit(0)).alias("page"),

@@ -59,7 +59,7 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str, vect
         if rows.empty or asked.empty:
             return pd.DataFrame({"query": rows[key][:0], "neighbour": rows[key][:0], "score": np.zeros(0)})
         own, who = rows[key].to_numpy(), asked["_query"].to_numpy()
-        score = np.floor(_unit(asked["_asked"]) @ _unit(rows[vector]).T * scale + 0.5) / scale
+        score = np.floor(unit(asked["_asked"]) @ unit(rows[vector]).T * scale + 0.5) / scale
         picked = []
         for i, query in enumerate(who):
             other = np.flatnonzero(own != query)
@@ -74,7 +74,7 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str, vect
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _unit(column: pd.Series) -> np.ndarray:
+def unit(column: pd.Series) -> np.ndarray:
     v = np.stack([np.asarray(x, np.float64) for x in column])
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threatloom.functions import text as X
-from threatloom.operators import evalkit, graph, match, ranks, reports, search, vector
+from threatloom.operators import evalkit, graph, ivf, match, ranks, reports, search, vector
 from threatloom.plans.catalogue import query
-from threatloom.session import table
+from threatloom.session import shared_dir, table
 from threatloom.sources import bundles, records
 from threatloom.streaming import sync
 
@@ -48,6 +50,25 @@ def q_knn_batch(spark, sf_dir):
     return vector.nearest_batch(v, v.filter("vec_id % 20 = 0"), 10, "vec_id", "embedding")
 
 
+def _index(spark, sf_dir):
+    return ivf.build(table(spark, sf_dir, "embeddings"), f"{shared_dir(spark)}/ivf-{uuid.uuid4().hex}", "vec_id", "embedding")
+
+
+@query()
+def q_ann_neighbours(spark, sf_dir):
+    """Neighbours by the index, of the rows whose id is divisible by 20."""
+    return _index(spark, sf_dir).search_batch(table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0"), 10)
+
+
+@query("""select count(*)::bigint n_indexed, count(*) filter (vec_id % 20 = 0)::bigint * least(10, count(*) - 1) pairs, true enough from embeddings""")
+def q_ann_recall(spark, sf_dir):
+    """The index holds every row, and its recall against exact search is 0.9 at least."""
+    v, index = table(spark, sf_dir, "embeddings"), _index(spark, sf_dir)
+    asked = v.filter("vec_id % 20 = 0")
+    held = ivf.recall(index.search_batch(asked, 10), vector.nearest_batch(v, asked, 10, "vec_id", "embedding"))
+    return held.select(F.lit(index.rows().count()).cast("long").alias("n_indexed"), "pairs", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query(f"""
 with v as ({VECTORS}), hits as (select a.vec_id, a.label, round({COSINE}, 6) score from v a, v b where b.vec_id = 0 and a.label >= 1 order by score desc, vec_id limit 40)
 select vec_id, label, score from hits where score >= 0.1 and vec_id >= 100 order by score desc, vec_id limit 20
@@ -188,6 +209,55 @@ def q_section_fill(spark, sf_dir):
     return found.select("conv_id", "turn", F.element_at(F.split(F.get("section_path", F.lit(0)), " "), -1).alias("question"), F.col("section_no").cast("long").alias("section_no"))
 
 
+LEVELLED = """i as (select conv_id, turn, role = 'user' heading, 1 + length(text) % 40 lvl, 't' || turn as name from conversations)"""
+
+
+@query(f"""with {LEVELLED}, o as (select i.conv_id, i.turn, h.turn ht, h.name from i join i h on h.conv_id = i.conv_id and h.heading and h.turn <= i.turn
+  where not exists (select 1 from i g where g.conv_id = i.conv_id and g.heading and g.turn > h.turn and g.turn <= i.turn and g.lvl <= h.lvl))
+select i.conv_id, i.turn, coalesce(string_agg(o.name, '>' order by ht), '') as path, (select count(*) from i g where g.conv_id = i.conv_id and g.heading and g.turn <= i.turn)::bigint section_no
+from i left join o using (conv_id, turn) group by 1, 2""")
+def q_section_paths(spark, sf_dir):
+    """A conversation as a document: what users say are headings of 40 levels; the path is all that nothing has closed."""
+    items = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", "section_header").otherwise("text").alias("label"), (1 + F.length("text") % 40).alias("level"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("name"))
+    found = reports.sections(items, "conv_id", "turn", "label", "name", "level")
+    return found.select("conv_id", "turn", F.array_join("section_path", ">").alias("path"), "section_no")
+
+
+@query("""with recursive k as (select source, doc_id, n_chars // 5 t, row_number() over (partition by source order by doc_id) n from documents),
+r as (select source, doc_id, n, 0 g, t used from k where n = 1 union all
+  select k.source, k.doc_id, k.n, case when r.used > 0 and r.used + k.t > 2000 then r.g + 1 else r.g end, case when r.used > 0 and r.used + k.t > 2000 then k.t else r.used + k.t end from r join k on k.source = r.source and k.n = r.n + 1)
+select source, doc_id, g::bigint "group" from r""")
+def q_pack_rows(spark, sf_dir):
+    """The documents of a source as one sequence, packed to a budget across tasks."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.floor(F.col("n_chars") / 5).alias("tokens"))
+    return reports.pack_rows(docs, ["source"], "doc_id", "tokens", 2000).select("source", "doc_id", "group")
+
+
+CHUNKED = """i as (select source, doc_id pos, doc_id % 7 = 0 heading, 1 + doc_id % 3 lvl, 'h' || doc_id as name, text, n_chars from documents),
+s as (select *, (select count(*) from i h where h.source = i.source and h.heading and h.pos <= i.pos) section_no from i),
+b as (select source, section_no, pos, md5(text) h, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))::integer t from s where not heading and trim(text, E' \t\n\r') <> ''),
+k as (select *, row_number() over (partition by source, section_no order by pos) n from b)"""
+
+
+@query(f"""with recursive {CHUNKED}, r as (select source, section_no, pos, h, n, 0 g, t used, t from k where n = 1 union all
+  select k.source, k.section_no, k.pos, k.h, k.n, case when r.used > 0 and r.used + k.t > 500 then r.g + 1 else r.g end, case when r.used > 0 and r.used + k.t > 500 then k.t else r.used + k.t end, k.t
+  from r join k on k.source = r.source and k.section_no = r.section_no and k.n = r.n + 1),
+o as (select s.source, s.section_no, s.pos, h.pos hp, h.name from s join i h on h.source = s.source and h.heading and h.pos <= s.pos where not exists (select 1 from i g where g.source = s.source and g.heading and g.pos > h.pos and g.pos <= s.pos and g.lvl <= h.lvl)),
+p as (select source, section_no, pos, string_agg(name, '>' order by hp) as path from o group by all),
+c as (select source, section_no, g, sum(t)::bigint token_count, string_agg(h, ',' order by pos) texts, min(pos) page from r group by 1, 2, 3)
+select source, (row_number() over (partition by source order by section_no, g) - 1)::integer chunk_index, texts, token_count, page, coalesce(path, '') as path from c left join p using (source, section_no) where page = p.pos or p.pos is null""")
+def q_report_chunks(spark, sf_dir):
+    """Sources as reports: every seventh document is a heading of three levels, the others are text, chunked by section and budget. Texts
+    stand for themselves by a hash, with letters enough to be no noise."""
+    docs = table(spark, sf_dir, "documents")
+    heading = F.col("doc_id") % 7 == 0
+    said = F.when(heading, F.concat(F.lit("h"), F.col("doc_id").cast("string"))).otherwise(F.when(X.stripped(F.col("text")) != "", F.concat_ws(" ", F.md5(F.col("text").cast("binary")), X.word_count(F.col("text")).cast("string"), F.lit("the text of a document in letters, long enough to be kept as a chunk of a report"))))
+    items = docs.select("source", F.col("doc_id").alias("pos"), F.when(heading, "section_header").otherwise("text").alias("label"), (1 + F.col("doc_id") % 3).alias("level"), said.alias("text"), F.col("doc_id").alias("page"))
+    found = reports.chunks(items, "source", tokens=lambda t: F.get(F.split(t, " "), F.lit(1)).cast("int"))
+    texts = F.array_join(F.transform(F.split("text", "\n\n"), lambda t: F.substring(t, 1, 32)), ",")
+    return found.select("source", "chunk_index", texts.alias("texts"), "token_count", "page", F.array_join("section_path", ">").alias("path"))
+
+
 def _any(patterns):
     return "(" + " or ".join(f"contains(lower(text), '{p}')" for p in patterns) + ")"
 
