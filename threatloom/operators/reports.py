@@ -96,7 +96,7 @@ def pack_rows(items: DataFrame, by: list[str], pos: str, tokens: str, budget: in
     """`items` with `group`, the number of the greedy group (see `packed`) that an item of a sequence `by` falls in; null tokens are 0.
 
     Sequences are cut into parts by ranges of `part` positions. All that a part needs to know of those before it is how full the open group
-    is, from 0 to budget (an item over the budget counts as full); so its effect is a table of budget + 1 states: how full it leaves the
+    is, from 0 to budget, or over it; so its effect is a table of budget + 2 states: how full it leaves the
     group, and how many groups it begins. The tables of a sequence are composed in order, then each part numbers its items.
     """
     spot = items.withColumn("_part", F.coalesce(F.floor(F.col(pos) / part), F.lit(-1)).cast("long"))
@@ -122,7 +122,7 @@ def pack_rows(items: DataFrame, by: list[str], pos: str, tokens: str, budget: in
         for x in np.minimum(rows[tokens].fillna(0).to_numpy(np.int64), budget + 1).tolist():
             if full > 0 and full + x > budget:
                 full, group = 0, group + 1
-            full = min(budget, full + x)
+            full = min(budget + 1, full + x)
             out.append(group)
         return rows.assign(group=np.array(out, np.int64))
 
@@ -131,12 +131,12 @@ def pack_rows(items: DataFrame, by: list[str], pos: str, tokens: str, budget: in
 
 
 def group_states(n: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every fill from 0 to budget before the items: the fill after them, and how many groups they begin."""
-    fill, new = np.arange(budget + 1, dtype=np.int32), np.zeros(budget + 1, np.int64)
+    """For every fill from 0 to budget + 1 (over it) before the items: the fill after them, and how many groups they begin."""
+    fill, new = np.arange(budget + 2, dtype=np.int32), np.zeros(budget + 2, np.int64)
     for x in n.tolist():
         closed = (fill > 0) & (fill + x > budget)
         new += closed
-        fill = np.minimum(np.where(closed, 0, fill) + x, budget).astype(np.int32)
+        fill = np.minimum(np.where(closed, 0, fill) + x, budget + 1).astype(np.int32)
     return fill, new
 
 
