@@ -153,7 +153,7 @@ def test_search(spark):
     reports_ = spark.createDataFrame([("p1", [1.0, 0.0], "a", "pdf"), ("p2", [1.0, 0.1], "b", "pdf"), ("p3", [1.0, 0.0], "a", "web")], "id string, vector array<float>, source string, source_type string")
     assert [r.id for r in search.hybrid(vectors, links, reports_, [1.0, 0.0], "pdf").collect()] == ["p1", "p2"]
     assert [r.id for r in search.hybrid(vectors, links, reports_, [1.0, 0.0], "pdf", report="b").collect()] == ["p2"]
-    told = search.narrative(spark.createDataFrame([("q",)], "prompt string"), lambda p: "Body\nmore\nConfidence: high (sure)").first()
+    told = search.narrative(spark.createDataFrame([("q",)], "prompt string"), lambda ps: ["Body\nmore\nConfidence: high (sure)" for _ in ps]).first()
     assert (told.narrative, told.confidence) == ("Body\nmore", "HIGH")
 
 

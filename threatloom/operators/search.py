@@ -11,15 +11,17 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from threatloom.functions.text import confidence, hybrid_score, record_line
+from threatloom.operators.graph import counted, neighbours, top_names
 from threatloom.operators.vector import filtered_nearest, nearest, nearest_batch
 
-Embedder = Callable[[str], list[float]]
+#: Texts in, vectors out: models work by batches.
+Embedder = Callable[[list[str]], list[list[float]]]
 
 
 def hashing_embedder(size: int = 64) -> Embedder:
     """Deterministic stand-in for an embedding model: hashed word counts, unit length."""
 
-    def embed(text: str) -> list[float]:
+    def one(text: str) -> list[float]:
         v = [0.0] * size
         for w in (text or "").lower().split():
             h = hashlib.sha1(w.encode()).digest()
@@ -27,15 +29,17 @@ def hashing_embedder(size: int = 64) -> Embedder:
         n = sum(x * x for x in v) ** 0.5
         return [x / n for x in v] if n else v
 
-    return embed
+    return lambda texts: [one(t) for t in texts]
 
 
 def embedded(df: DataFrame, text: str, embed: Embedder, into: str = "vector") -> DataFrame:
-    """`df` with a vector per text, in Arrow batches."""
+    """`df` with a vector per text; `embed` gets the texts of an Arrow batch in one call."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(column):
-        return column.map(lambda t: [float(x) for x in embed(t or "")])
+        import pandas as pd
+
+        return pd.Series([[float(x) for x in v] for v in embed([t or "" for t in column])], dtype=object)
 
     return df.withColumn(into, run(F.col(text)))
 
@@ -64,21 +68,26 @@ def similar(vectors: DataFrame, links: DataFrame, query: list[float], top_k: int
     return rich.withColumn("final_score", final).orderBy(F.desc("final_score"), key).limit(top_k)
 
 
+def pivots(techniques: DataFrame, tactics: DataFrame, actors: DataFrame, records: DataFrame, n: int = 20) -> DataFrame:
+    """attack_id, name, tactics, the first n groups and the first n programs by name, and record_count of every technique (attack_id, name).
+
+    Names are cut to n in each partition before they are gathered, so no technique's actors stand in one row.
+    """
+    first = lambda kind: neighbours(top_names(actors.filter(F.col("kind") == kind).select("attack_id", "actor"), "attack_id", "actor", n), "attack_id", "actor", f"_{kind}")
+    out = techniques.select("attack_id", "name").join(neighbours(tactics.select("attack_id", "tactic"), "attack_id", "tactic", "tactics"), "attack_id", "left")
+    out = out.join(first("group"), "attack_id", "left").join(first("software"), "attack_id", "left").join(counted(records, "attack_id", "cve_id", "record_count"), "attack_id", "left")
+    array = lambda c, into: F.coalesce(c, F.array().cast("array<string>")).alias(into)
+    return out.select("attack_id", "name", array("tactics", "tactics"), array("_group", "groups"), array("_software", "software"), F.coalesce("record_count", F.lit(0)).alias("record_count"))
+
+
 def pivot(technique: str, techniques: DataFrame, tactics: DataFrame, actors: DataFrame, records: DataFrame, vectors: DataFrame | None = None, embed: Embedder | None = None, k: int = 10) -> DataFrame:
-    """One row for a technique (none if unknown): tactics, first 20 groups and software by name, record count, similar records."""
-    core = techniques.filter(F.col("attack_id") == technique).select("attack_id", "name")
-    by = lambda df, kind, n: F.slice(F.array_sort(F.collect_set(F.when(df["kind"] == kind, df["actor"]))), 1, n)
-    a = actors.filter(F.col("attack_id") == technique)
-    who = a.groupBy("attack_id").agg(by(a, "group", 20).alias("groups"), by(a, "software", 20).alias("software"))
-    where = tactics.filter(F.col("attack_id") == technique).groupBy("attack_id").agg(F.array_sort(F.collect_set("tactic")).alias("tactics"))
-    n = records.filter(F.col("attack_id") == technique).groupBy("attack_id").agg(F.countDistinct("cve_id").alias("record_count"))
-    out = core.join(where, "attack_id", "left").join(who, "attack_id", "left").join(n, "attack_id", "left")
-    none = F.array().cast("array<string>")
-    out = out.select("attack_id", "name", *[F.coalesce(c, none).alias(c) for c in ("tactics", "groups", "software")], F.coalesce("record_count", F.lit(0)).alias("record_count"))
+    """pivots of one technique (no row if unknown), with `vectors` also similar records. The filter reaches every scan."""
+    only = [df.filter(F.col("attack_id") == technique) for df in (techniques, tactics, actors, records)]
+    out = pivots(*only)
     if vectors is None:
         return out
-    name = core.first()
-    near = nearest(vectors, (embed or hashing_embedder())(f"{technique} {name.name if name else ''}"), k, "cve_id", "vector")
+    name = only[0].first()
+    near = nearest(vectors, (embed or hashing_embedder())([f"{technique} {name.name if name else ''}"])[0], k, "cve_id", "vector")
     return out.crossJoin(near.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "cve_id"))), lambda s: s["cve_id"]).alias("similar")))  # one row by one row
 
 
@@ -215,12 +224,14 @@ def model_entities(chunks: DataFrame, model: Callable[[list[str]], list[list[dic
     return chunks.withColumn("entities", run(F.when(F.length(body) > least, F.substring(body, 1, cut))))
 
 
-def narrative(prompts: DataFrame, model: Callable[[str], str], prompt: str = "prompt") -> DataFrame:
-    """`prompts` with narrative and confidence; `model` is any callable from prompt to text."""
+def narrative(prompts: DataFrame, model: Callable[[list[str]], list[str]], prompt: str = "prompt") -> DataFrame:
+    """`prompts` with narrative and confidence; `model` gets the prompts of an Arrow batch in one call and returns a text for each."""
 
     @F.pandas_udf(T.StringType())
     def run(column):
-        return column.map(lambda p: model(p or ""))
+        import pandas as pd
+
+        return pd.Series(model([p or "" for p in column]), dtype=object)
 
     raw = prompts.withColumn("_raw", run(F.col(prompt)))
     body = F.regexp_replace(F.regexp_replace("_raw", r"(?is)\n?[ \t]*CONFIDENCE:[^\n]*\s*$", ""), r"\s+$", "")

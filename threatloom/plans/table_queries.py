@@ -490,7 +490,7 @@ def q_expand_similar(spark, sf_dir):
     ids = v.filter("cve_id % 20 = 0").select("cve_id")
     told = v.join(ids, "cve_id", "left_semi").select("cve_id", F.array_join(F.transform("vector", lambda x: x.cast("double").cast("string")), " ").alias("description"))
     none = spark.createDataFrame([], "cve_id long, attack_id string, cwe_id string, tactic string, kind string, actor string")
-    found = search.expand(ids, told, none.select("cve_id", "attack_id", "cwe_id"), none.select("attack_id", "tactic"), none.select("attack_id", "kind", "actor"), v, lambda t: [float(x) for x in t.split()])
+    found = search.expand(ids, told, none.select("cve_id", "attack_id", "cwe_id"), none.select("attack_id", "tactic"), none.select("attack_id", "kind", "actor"), v, lambda ts: [[float(x) for x in t.split()] for t in ts])
     shown = F.transform("similar", lambda x: F.concat(x["cve_id"].cast("string"), F.lit(" "), F.format_string("%.6f", x["score"])))
     return found.select("cve_id", F.array_join(shown, ",").alias("similar"))
 
@@ -597,3 +597,111 @@ def q_mention_edges(spark, sf_dir):
     nodes = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.lit("Group").alias("label"), F.col("s_suppkey").cast("string").alias("attack_id"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("stix_id"))
     known = l.filter("source < 40").select("source").distinct()
     return graph.mention_edges(per, nodes, known).select("type", "src", "dst", "chunk_count", F.get("contexts", F.lit(0)).alias("first_part"))
+
+
+@query("""with u as (select distinct l_partkey p, s_suppkey, s_name, s_nationkey from lineitem join supplier on l_suppkey = s_suppkey),
+t as (select p, string_agg(distinct n_name, ',' order by n_name) tactics from u join nation on s_nationkey = n_nationkey group by 1),
+a as (select p, k, s_name, row_number() over (partition by p, k order by s_name) n from (select distinct p, s_suppkey % 2 k, s_name from u)),
+g as (select p, string_agg(s_name, ',' order by n) filter (k = 0) groups, string_agg(s_name, ',' order by n) filter (k = 1) software from a where n <= 20 group by 1),
+r as (select l_partkey p, count(distinct l_orderkey)::bigint n from lineitem group by 1)
+select 'T' || p_partkey attack_id, p_name as name, coalesce(tactics, '') tactics, coalesce(groups, '') groups, coalesce(software, '') software, coalesce(n, 0)::bigint record_count
+from part left join t on t.p = p_partkey left join g on g.p = p_partkey left join r on r.p = p_partkey""")
+def q_pivot(spark, sf_dir):
+    """Every part as a technique: nations as tactics, suppliers as groups and programs, orders as records."""
+    name = F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("attack_id")
+    l = table(spark, sf_dir, "lineitem").select(name, "l_orderkey", "l_suppkey")
+    suppliers = l.select("attack_id", "l_suppkey").distinct().join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    techniques = table(spark, sf_dir, "part").select(F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("attack_id"), F.col("p_name").alias("name"))
+    tactics = suppliers.join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("attack_id", F.col("n_name").alias("tactic"))
+    actors = suppliers.select("attack_id", F.when(F.col("s_suppkey") % 2 == 0, "group").otherwise("software").alias("kind"), F.col("s_name").alias("actor"))
+    found = search.pivots(techniques, tactics, actors, l.select("attack_id", F.col("l_orderkey").alias("cve_id")))
+    return found.select("attack_id", "name", *[F.array_join(c, ",").alias(c) for c in ("tactics", "groups", "software")], "record_count")
+
+
+@query(f"""with v as ({VECTORS}), s as (select a.vec_id id, a.label, round({COSINE}, 6) score from v a, v b where b.vec_id = 0),
+h as (select * from (select * from s where label >= 2 order by score desc, id limit 20) where label >= 4 order by score desc, id limit 10),
+f as (select 'cve' result_type, id::varchar id, id n, round(0.7 * score + 0.3 * case when l.doc_id is not null then 1.0 else 0.5 end, 7) score from h left join (select distinct doc_id from labels) l on l.doc_id = id),
+c as (select 'pdf' result_type, 'p' || id id, score from s where id % 6 = 0 and label % 2 = 1 order by score desc, 'p' || id limit 10),
+m as (select result_type, id, round(score, 4) score, 0 stream, row_number() over (order by score desc, n) place from f union all select result_type, id, round(score, 4), 1, row_number() over (order by score desc, id) from c)
+select result_type, id, score from m order by score desc, stream, place limit 10""")
+def q_hybrid_all(spark, sf_dir):
+    """Records and report chunks merged: labels are scores (2 at least) and months (April on), documents with labels are linked, every sixth vector is a
+    chunk of a report, of odd label ones a report is named."""
+    v = table(spark, sf_dir, "embeddings")
+    records_ = v.select(F.col("vec_id").alias("cve_id"), F.col("embedding").alias("vector"), F.col("label").cast("double").alias("cvss_score"), F.lit("HIGH").alias("severity"), F.concat(F.lit("2024-0"), F.col("label").cast("string")).alias("published"))
+    links = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("cve_id"), F.col("quality").cast("string").alias("attack_id"), F.col("toxic").cast("string").alias("name"))
+    chunks = v.filter("vec_id % 3 = 0").select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("vector"), F.when(F.col("label") % 2 == 1, "named").otherwise("other").alias("source"), F.when(F.col("vec_id") % 6 == 0, "pdf").otherwise("web").alias("source_type"))
+    found = search.hybrid(records_, links, chunks, _first_vector(spark, sf_dir), "all", 10, report="named", min_cvss=2, severity="high", after_date="2024-04")
+    return found.select("result_type", F.coalesce(F.col("cve_id").cast("string"), "id").alias("id"), "score")
+
+
+@query("""with e as (select l_orderkey o, 'C' || (l_partkey % 40) cwe, l_partkey % 40 c, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) pos from lineitem),
+w as (select o, cwe, pos, 0 place, 'T' || (c % 7) technique from e union all select o, cwe, pos, 1, 'T' || (c % 5) from e)
+select o cve_id, technique, cwe cwe_id from (select *, row_number() over (partition by o, technique order by pos, place) n from w where technique <> 'T6') where n = 1""")
+def q_derived_edges(spark, sf_dir):
+    """Orders as records, their parts as weaknesses in order, each mapped to two techniques, of which one isn't known."""
+    cwe = F.concat(F.lit("C"), (F.col("l_partkey") % 40).cast("string"))
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", cwe.alias("cwe"))))
+    orders = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("cve_id")).agg(F.transform(lines, lambda x: x["cwe"]).alias("cwe_ids"))
+    mapping = spark.createDataFrame([(f"C{i}", [f"T{i % 7}", f"T{i % 5}"]) for i in range(40)], "cwe string, techniques array<string>")
+    known = spark.createDataFrame([(f"T{i}",) for i in range(6)], "attack_id string")
+    return graph.derive_edges(orders, mapping, known)
+
+
+@query("""with i as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax) n from lineitem),
+m as (select l_orderkey o, n, 0 v, l_discount * 100 score, case when l_linenumber % 2 = 0 then 'high' end sev from i
+union all select l_orderkey, n, 1, l_tax * 100, null from i where l_quantity > 10), r as (select *, row_number() over (partition by o order by score desc, n, v) place from m)
+select o, score, upper(coalesce(sev, case when score = 0 then 'NONE' when score < 4 then 'LOW' when score < 7 then 'MEDIUM' when score < 9 then 'HIGH' else 'CRITICAL' end)) severity, case when v = 0 then '3.1' else '3.0' end "version" from r where place = 1""")
+def q_best_metric(spark, sf_dir):
+    """Lines of an order as metrics of a record, with a score of each version."""
+    score = lambda c: F.struct((F.col(c) * 100).cast("string").alias("baseScore"), (F.when(F.col("l_linenumber") % 2 == 0, "high") if c == "l_discount" else F.lit(None).cast("string")).alias("baseSeverity"), F.lit(None).cast("string").alias("vectorString"))
+    metric = F.struct(score("l_discount").alias("cvssV3_1"), F.when(F.col("l_quantity") > 10, score("l_tax")).alias("cvssV3_0"))
+    per = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", metric.alias("m")))), lambda x: x["m"]).alias("metrics"))
+    best = per.select("o", records.best_score(F.col("metrics")).alias("b"))
+    return best.select("o", "b.score", "b.severity", "b.version")
+
+
+def _prompt_sql() -> str:
+    parts = [x for piece in search.PROMPT.split("{") for x in piece.split("}")]
+    quoted = lambda x: "E'" + x.replace("'", "''").replace("\n", "\\n") + "'"
+    return " || ".join(quoted(x) if i % 2 == 0 else f"{x}::varchar" for i, x in enumerate(parts))
+
+
+@query(f"""with {RESULTS}, p as (select l_orderkey, string_agg('T' || l_partkey, ', ' order by l_partkey) ids from t group by 1),
+l as (select q, rnk, '- ' || o.o_orderkey || ' [' || r.o_orderpriority || ', ' || case when round(r.o_totalprice / 50000, 0) = 0 then 'CVSS N/A' else printf('CVSS %.1f', round(r.o_totalprice / 50000, 0)) end || ']: ' || o_orderstatus || E'...\n  ATT&CK: ' || coalesce(ids, 'none mapped') line
+from r join orders o on o.o_orderkey = r.o_orderkey left join p on l_orderkey = r.o_orderkey),
+k as (select q, count(*)::bigint n, string_agg(line, E'\n' order by rnk) filter (rnk <= 5) records from l group by 1),
+e as (select q, rnk, l_partkey p, o_orderkey o, row_number() over (partition by q order by rnk, l_partkey) place from r join t on l_orderkey = o_orderkey where rnk <= 5),
+f as (select q, p, min(place) first_place, max_by(o, place) last_order from e group by 1, 2), u as (select *, row_number() over (partition by q order by first_place) n from f),
+g as (select q, 'Techniques across results: ' || string_agg('T' || p || ' (part ' || p || ' of ' || last_order || ')', ', ' order by n) graph from u where n <= 8 group by 1),
+x as (select k.q query_id, 'what of ' || k.q query, n, records, coalesce(graph, 'No graph context.') graph from k left join g on g.q = k.q)
+select query_id, n, md5(graph) graph, md5({_prompt_sql()}) prompt from x""")
+def q_prompts(spark, sf_dir):
+    """Whole prompts, by their hashes."""
+    queries = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id")).distinct().withColumn("query", F.concat(F.lit("what of "), F.col("query_id").cast("string")))
+    found = search.prompts(queries, _results(spark, sf_dir))
+    return found.select("query_id", "n", F.md5(F.col("graph").cast("binary")).alias("graph"), F.md5(F.col("prompt").cast("binary")).alias("prompt"))
+
+
+def _answer(endpoint: str, said: str):
+    """A service that answers by the number in a query, and fails for each eleventh."""
+    n = int(said.split()[1])
+    if n % 11 == 0:
+        raise ValueError("down")
+    if endpoint == "search":
+        return [{"result_type": "pdf_chunk" if n % 2 else "cve", "text": said}, {"groups": [f"g{n % 5}"]}]
+    return {"id": said, "groups": [f"g{n % 5}"]}
+
+
+@query("""with q as (select doc_id id, doc_id % 11 <> 0 ok, doc_id % 2 = 0 is_search from labels)
+select id, (case when ok and is_search then 2 else 0 end)::integer n_results, ok and is_search and id % 2 = 1 pdf_hit, case when ok then 0.5 else 0.0 end technique_recall, ok technique_hit,
+case when ok and id % 5 = id % 7 then 1.0 else 0.0 end actor_recall, ok and id % 5 = id % 7 actor_hit, ok cve_hit, case when not ok then 'down' end error from q""")
+def q_eval_runner(spark, sf_dir):
+    """The runner over a service of our own: every label is a query, half of its expected techniques are never answered."""
+    n = F.col("doc_id").cast("string")
+    asked = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("Doc "), n).alias("query"), F.when(F.col("doc_id") % 2 == 0, "search").otherwise("cve").alias("hit_endpoint"),
+        F.array(F.concat(F.lit("DOC "), n), F.lit("never")).alias("expected_techniques"), F.array(F.concat(F.lit("G"), (F.col("doc_id") % 7).cast("string"))).alias("expected_groups"), F.array().cast("array<string>").alias("expected_cves"),
+    )
+    found = evalkit.scored(asked, evalkit.answered(asked, _answer))
+    return found.select("id", "n_results", "pdf_hit", "technique_recall", "technique_hit", "actor_recall", "actor_hit", "cve_hit", "error")
