@@ -45,6 +45,8 @@ def test_normalise(spark, landing):
     assert (c.description, c.severity, c.source_file) == ("Oui", "CRITICAL", "b/CVE-2024-4.json")
     n = records.counters(raw, records.normalised(raw)).first()
     assert (n.total, n.written, n.skipped, n.errors, n.no_cvss, n.no_cwe) == (5, 3, 1, 1, 0, 1)
+    counted = records.write_normalised(raw, str(landing.parent / "out"), str(landing))  # one job
+    assert counted == n.asDict() and spark.read.json(str(landing.parent / "out")).count() == 3
     assert records.normalised(raw, include_rejected=True).count() == 4 and records.scan(spark, str(landing), 2).count() == 2
     assert {r.cve_id: r.id for r in records.point_ids(records.normalised(raw)).collect()}["CVE-2024-1"] == str(uuid.uuid5(uuid.NAMESPACE_URL, "CVE-2024-1"))
 

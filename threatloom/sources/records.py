@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom.functions.text import blank_to_null, english, iso_date, severity, stripped, uuid5, weaknesses
@@ -72,6 +72,18 @@ def counters(raw: DataFrame, records: DataFrame) -> DataFrame:
     return a.join(b).withColumn("skipped", F.col("total") - F.col("written") - F.col("errors"))  # one row by one row
 
 
+def write_normalised(raw: DataFrame, path: str, root: str = "", include_rejected: bool = False) -> dict[str, int]:
+    """Write the normalised records as JSON lines and return their `counters`, observed on the way: one job, no second pass."""
+    seen, made = Observation(), Observation()
+    n = F.count(F.lit(1))
+    every = raw.observe(seen, n.alias("total"), F.count_if(F.col("cveMetadata.cveId").isNull()).alias("errors"))
+    out = normalised(every, root, include_rejected)
+    out = out.observe(made, n.alias("written"), F.count_if(F.col("description").isNull()).alias("no_desc"), F.count_if(F.col("cvss_v3").isNull()).alias("no_cvss"), F.count_if(F.size("cwe_ids") == 0).alias("no_cwe"))
+    out.write.mode("overwrite").json(path)
+    counts = seen.get | made.get
+    return counts | {"skipped": counts["total"] - counts["written"] - counts["errors"]}
+
+
 def best_rows(df: DataFrame, by: str, score: str, order: str) -> DataFrame:
     """(by, order, score): the row of the highest score of each key; the first by `order` of equals; null scores don't count."""
     best = F.max_by(F.struct(order, score), F.struct(score, (-F.col(order)).alias("_back")))

@@ -8,10 +8,15 @@ touches, as a new version, and the newest complete version of each bucket counts
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threatloom.session import stored
+
 
 def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row a key: the last by `order`."""
@@ -102,6 +107,48 @@ def changes(landing: DataFrame, done: DataFrame, key: str = "path", version: str
     return both.select(key, change.alias("change")).filter("change is not null")
 
 
+LOG, CHANGE = "path string, hash string, at long", "path string, hash string, change string"
+
+
+def change_log(landing: DataFrame, done: DataFrame, at: int) -> DataFrame:
+    """Log rows (path, hash, at) of what a full listing (path, hash) changes against what was done; a null hash is a deletion."""
+    found = changes(landing, done).join(landing.select("path", F.col("hash").alias("_hash")).distinct(), "path", "left")
+    return found.select("path", F.when(F.col("change") != "deleted", F.col("_hash")).alias("hash"), F.lit(at).cast("long").alias("at"))
+
+
+def stateful_changes(log: DataFrame) -> DataFrame:
+    """(path, hash, change) of a stream of log rows: `new`, `changed` or `deleted` against the last hash of each path, which is the
+    state. Rows of one batch count by their last (in order of `at`, then deletions first); a path that returns is new, and what changes nothing is left out."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames))
+        gone = rows["hash"].isna()
+        last = rows.assign(_here=~gone, _hash=rows["hash"].fillna("")).sort_values(["at", "_here", "_hash"], kind="stable").iloc[-1]
+        before, now = state.get[0] if state.exists else None, last["_hash"] if last["_here"] else None
+        if now is None and before is not None:
+            state.remove()
+        elif now is not None:
+            state.update((now,))
+        change = None if now == before else "deleted" if now is None else "new" if before is None else "changed"
+        yield pd.DataFrame({"path": [key[0]], "hash": [now], "change": [change]}).iloc[: 1 if change else 0]
+
+    return log.groupBy("path").applyInPandasWithState(run, CHANGE, "hash string", "update", "NoTimeout")
+
+
+def sync_changes(spark: SparkSession, log: str, table: str, checkpoint: str, read: Callable[[DataFrame], DataFrame]) -> None:
+    """Process all log files (JSON lines of path, hash, at) that arrived since the last call: `read` turns new and changed paths (path, hash)
+    into rows of the table, whose key is `path`; deleted paths leave it. A batch that fails is done again whole, from its state before."""
+    target = VersionedTable(spark, table, "path")
+
+    def apply(batch: DataFrame, _: int) -> None:
+        rows = stored(batch, "sync-changes")  # once: the state's output isn't computed again for each use
+        target.upsert(read(rows.filter("change <> 'deleted'").select("path", "hash")), rows.filter("change = 'deleted'").select("path"))
+
+    source = spark.readStream.schema(LOG).json(log)
+    query = stateful_changes(source).writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def pending(spark: SparkSession, landing: DataFrame, done: DataFrame, key: str = "path") -> DataFrame:
     """Dry run: what a sync would process, newest first, 20 at most."""
     return undone(landing, done, key).orderBy(F.desc(key)).limit(20)
