@@ -382,6 +382,11 @@ def test_deep_groups_and_cycles(spark):
     assert [r.text for r in bundles.tree_items(spark.createDataFrame(tree(9, "#/texts/0"), schema)).collect()] == ["deep"]
     with pytest.raises(Exception, match="inside itself"):
         bundles.tree_items(spark.createDataFrame(tree(3, "#/groups/0"), schema)).collect()
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("deep", "a tree of 30 levels")
+    assert [r.text for r in bundles.tree_items(spark.createDataFrame(tree(30, "#/texts/0"), schema)).collect()] == ["deep"]
+    assert len(jobs.getJobIdsForGroup("deep")) <= 40  # rounds grow with the logarithm of the depth
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_short_phrases_meet_by_characters(spark):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,23 +78,25 @@ def tactic_edges(all_nodes: DataFrame) -> DataFrame:
 def tree_items(trees: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, pos, label, level, text, page of a document tree in reading order.
 
-    body.children references (`#/texts/3`, `#/groups/0`) are resolved by joins, one a level of nesting, until no group is
-    left; each level is stored. Other and dangling references are skipped, and a group inside itself is an error.
+    body.children references (`#/texts/3`, `#/groups/0`) are resolved by path doubling: each round puts what a group holds in the place of
+    every group inside another, so groups of any depth d are open after log2(d) rounds, each one join and one stored table. Other and
+    dangling references are skipped, and a group inside itself is an error.
     """
-    number = lambda ref: F.regexp_extract(ref, r"(\d+)$", 1).cast("int")
+    number = lambda ref: F.when(F.col(ref).startswith("#/groups/"), F.regexp_extract(ref, r"(\d+)$", 1).cast("int"))
     texts = trees.select(key, F.posexplode("texts").alias("n", "x")).select(key, "n", "x.*")
-    groups = trees.select(key, F.posexplode("groups").alias("n", "g")).select(key, "n", F.col("g.children").alias("children"))
-    front = trees.select(key, F.posexplode("body.children").alias("i", "c")).select(key, F.array("i").alias("path"), F.array().cast("array<int>").alias("inside"), F.col("c.$ref").alias("ref"))
-    fronts = [front]
-    while True:
-        inner = fronts[-1].filter(F.col("ref").startswith("#/groups/")).withColumn("n", number(F.col("ref")))
-        if inner.isEmpty():
-            break
-        inner = inner.withColumn("n", F.when(F.array_contains("inside", F.col("n")), F.raise_error(F.lit("a group is inside itself")).cast("int")).otherwise(F.col("n"))).join(groups, [key, "n"])
-        inner = inner.select(key, "path", F.concat("inside", F.array("n")).alias("inside"), F.posexplode("children").alias("i", "c"))
-        fronts.append(stored(inner.select(key, F.concat("path", F.array("i")).alias("path"), "inside", F.col("c.$ref").alias("ref")), "tree-front"))
-    leaves = reduce(DataFrame.unionByName, fronts).filter(F.col("ref").startswith("#/texts/"))
-    met = leaves.withColumn("n", number(F.col("ref"))).join(texts, [key, "n"])
+    held = trees.select(key, F.posexplode("groups").alias("group", "g")).select(key, "group", F.posexplode("g.children").alias("i", "c"))
+    held = stored(held.select(key, "group", F.array("i").alias("path"), F.array("group").alias("inside"), F.col("c.$ref").alias("ref")).withColumn("next", number("ref")), "tree-groups")
+    while not (nested := held.filter("next is not null")).isEmpty():
+        deeper = held.select(F.col(key).alias("_key"), F.col("group").alias("_group"), F.col("path").alias("_path"), F.col("inside").alias("_inside"), F.col("ref").alias("_ref"), F.col("next").alias("_next"))
+        met = nested.join(deeper, (F.col(key) == F.col("_key")) & (F.col("next") == F.col("_group")))
+        path = F.when(F.arrays_overlap("inside", "_inside"), F.raise_error(F.lit("a group is inside itself")).cast("array<int>")).otherwise(F.concat("path", "_path"))
+        met = met.select(key, "group", path.alias("path"), F.concat("inside", "_inside").alias("inside"), F.col("_ref").alias("ref"), F.col("_next").alias("next"))
+        held = stored(held.filter("next is null").unionByName(met), "tree-groups")
+    body = trees.select(key, F.posexplode("body.children").alias("i", "c")).select(key, F.array("i").alias("path"), F.col("c.$ref").alias("ref")).withColumn("next", number("ref"))
+    below = held.select(F.col(key).alias("_key"), "group", F.col("path").alias("_path"), F.col("ref").alias("_ref"))
+    inner = body.join(below, (F.col(key) == F.col("_key")) & (F.col("next") == F.col("group"))).select(key, F.concat("path", "_path").alias("path"), F.col("_ref").alias("ref"))
+    leaves = body.select(key, "path", "ref").unionByName(inner).filter(F.col("ref").startswith("#/texts/"))
+    met = leaves.withColumn("n", F.regexp_extract("ref", r"(\d+)$", 1).cast("int")).join(texts, [key, "n"])
     page = F.get(F.filter(F.transform("prov", lambda p: p["page_no"]), lambda p: p.isNotNull()), F.lit(0))
     return met.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("path")) - 1).alias("pos"), "label", "level", "text", page.alias("page"))
 

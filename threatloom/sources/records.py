@@ -133,12 +133,12 @@ def documents_without_json(parsed: DataFrame, markdown: DataFrame, key: str = "s
 
 
 def legacy_chunks(raw: DataFrame, body: str = "json", key: str = "stem", least: int = 80) -> DataFrame:
-    """(key, pos, text, page) of parsed chunk files in any of their older shapes; texts of `least` characters at least."""
-    item = "struct<text:string,content:string,body:string,page_no:int,meta:struct<page_no:int,page:int>,metadata:struct<page_no:int,page:int>>"
-    listed = lambda path: F.get_json_object(body, path)
-    items = F.coalesce(listed("$.chunks"), listed("$.body"), listed("$.content"), F.when(F.trim(F.col(body)).startswith("["), F.col(body)))
-    each = raw.select(key, F.posexplode(F.from_json(items, "array<string>")).alias("pos", "x"))
-    s = F.from_json("x", item)
-    text = F.coalesce(blank_to_null(s["text"]), blank_to_null(s["content"]), blank_to_null(s["body"]), F.when(~F.col("x").startswith("{"), blank_to_null(F.col("x"))))
-    page = F.coalesce(s["meta"]["page_no"], s["meta"]["page"], s["metadata"]["page_no"], s["metadata"]["page"], s["page_no"])
+    """(key, pos, text, page) of parsed chunk files in any of their older shapes; texts of `least` characters at least. A file is parsed
+    once, as a variant, and the shapes are looked up in it; what is no JSON has no chunks."""
+    parsed = raw.select(key, F.try_parse_json(body).alias("_v"))
+    listed = lambda path: F.try_variant_get("_v", path, "array<variant>")
+    each = parsed.select(key, F.posexplode(F.coalesce(listed("$.chunks"), listed("$.body"), listed("$.content"), listed("$"))).alias("pos", "x"))
+    got = lambda path, kind: F.try_variant_get("x", path, kind)
+    text = F.coalesce(*[blank_to_null(got(p, "string")) for p in ("$.text", "$.content", "$.body")], F.when(F.schema_of_variant("x") == "STRING", blank_to_null(got("$", "string"))))
+    page = F.coalesce(*[got(p, "int") for p in ("$.meta.page_no", "$.meta.page", "$.metadata.page_no", "$.metadata.page", "$.page_no")])
     return each.select(key, "pos", text.alias("text"), page.alias("page")).filter(F.length("text") >= least)
