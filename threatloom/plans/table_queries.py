@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threatloom.functions import text as X
 from threatloom.operators import evalkit, graph, ivf, match, ranks, reports, search, vector
 from threatloom.plans.catalogue import query
-from threatloom.session import shared_dir, table
+from threatloom.session import held_path, table
 from threatloom.sources import bundles, records
 from threatloom.streaming import sync
 
@@ -51,7 +49,7 @@ def q_knn_batch(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    return ivf.build(table(spark, sf_dir, "embeddings"), f"{shared_dir(spark)}/ivf-{uuid.uuid4().hex}", "vec_id", "embedding")
+    return ivf.build(table(spark, sf_dir, "embeddings"), held_path(spark, "ivf"), "vec_id", "embedding")
 
 
 @query()

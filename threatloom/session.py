@@ -43,11 +43,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts lineage, and survives lost executors. `cleaned` removes it."""
-    spark = df.sparkSession
+def held_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that `cleaned` knows."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _held(spark).append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to the shared folder and read it back: cuts lineage, and survives lost executors. `cleaned` removes it."""
+    spark, path = df.sparkSession, held_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,7 +65,7 @@ def _held(spark: SparkSession) -> list[str]:
 
 
 def cleaned(spark: SparkSession) -> int:
-    """Delete what `stored` has written in this session, and how many folders that were. Results that read them must be written
+    """Delete what was written to `held_path`s (and so by `stored`) in this session, and how many folders that were. Results that read them must be written
     or collected before."""
     held, jvm = _held(spark), spark.sparkContext._jvm
     for path in held:
