@@ -233,7 +233,7 @@ def q_pack_rows(spark, sf_dir):
 
 CHUNKED = """i as (select source, doc_id pos, doc_id % 7 = 0 heading, 1 + doc_id % 3 lvl, 'h' || doc_id as name, text, n_chars from documents),
 s as (select *, (select count(*) from i h where h.source = i.source and h.heading and h.pos <= i.pos) section_no from i),
-b as (select source, section_no, pos, md5(text) h, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))::integer t from s where not heading and trim(text, E' \t\n\r') <> ''),
+b as (select source, section_no, pos, md5(text) h, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::integer t from s where not heading and trim(text, E' \t\n\r') <> ''),
 k as (select *, row_number() over (partition by source, section_no order by pos) n from b)"""
 
 
