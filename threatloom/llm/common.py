@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.session import shared_dir, stored, table
+from threatloom.session import held_path, shared_dir, stored, table
 
-__all__ = ["bounded_batches", "fresh", "numbered", "shared_dir", "slices", "stored", "table"]
+__all__ = ["bounded_batches", "fresh", "held_path", "numbered", "shared_dir", "slices", "stored", "table"]
 
 BATCH_BYTES = "8m"
 

@@ -22,7 +22,6 @@ token has probability 1 (N = V = 0); repeated rows count and are scored each; wo
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, slices, stored
-from .ngram_trie import BACK_MOST, PROB_MOST, Trie, grouped, mapped, pack, quantised, unpack, value_of
+from .common import bounded_batches, held_path, slices, stored
+from .ngram_trie import BACK_MOST, PROB_MOST, Trie, grouped, mapped, pack, pack_columns, quantised, unpack, unpack_columns, value_of
 
 ORDER, BLOCK, SHARD, GROWTH = 3, 8 << 20, 1 << 20, 0.75
 END = b"\n"  # no word holds white space
@@ -114,8 +113,9 @@ def blocks(df: DataFrame, held: Column, key: str, text: str, size: int = BLOCK)
     rows = df.select(F.col(key).alias("doc"), held.alias("held"), F.col(text).cast("binary").alias("said"))
     schema = f"block long, doc array<{kind}>, held array<boolean>, sizes binary, tokens binary, words binary, end_place long, n_words long, n_tokens long, n_train long"
     made, spark = bounded_batches(rows).mapInArrow(run, schema), df.sparkSession
-    name, parts = f"lm_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made.write.bucketBy(parts, "block").sortBy("block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    path, parts = held_path(spark, "lm_blocks"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    made.write.bucketBy(parts, "block").sortBy("block").option("path", path).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay; what was read from them knows its buckets
     return table
@@ -183,12 +183,13 @@ def coded(keys: np.ndarray, n: np.ndarray, back: np.ndarray) -> bytes:
         step[1:] -= np.where(same[1:], keys[:-1, j], 0)
         columns.append(step)
         same[1:] &= keys[1:, j] == keys[:-1, j]
-    return pack(np.concatenate([*columns, n]))
+    return pack_columns([*columns, n])
 
 
 def decoded(data: bytes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    fields = unpack(data).reshape(k + 2, -1)
-    n, new, columns, back = fields[-1], np.zeros(fields.shape[1], bool), [], None
+    fields = unpack_columns(data)
+    n, columns, back = fields[-1], [], None
+    new = np.zeros(len(n), bool)
     new[0] = True
     for j, step in enumerate([*fields[: k - 1], fields[k]]):
         begin = np.flatnonzero(new)

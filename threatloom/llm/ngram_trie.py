@@ -40,16 +40,41 @@ def value_of(code: np.ndarray, most: int) -> np.ndarray:
     return _values(most)[code]
 
 
+@cache
+def _compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+@cache
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
+def pack_columns(columns: list[np.ndarray]) -> bytes:
+    """Each column packed by itself, after its length in bytes."""
+    packed = [pack(c) for c in columns]
+    return b"".join(struct.pack("<I", len(p)) + p for p in packed)
+
+
+def unpack_columns(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        (n,) = struct.unpack_from("<I", data, at)
+        out.append(unpack(data[at + 4 : at + 4 + n]))
+        at += 4 + n
+    return out
+
+
 def pack(values: np.ndarray) -> bytes:
     """Non-negative integers, a plane of bytes after the other from the lowest on, compressed."""
     v = np.ascontiguousarray(values, np.uint64)
     width = (int(v.max(initial=0)).bit_length() + 7) // 8 or 1
     planes = b"".join((v >> np.uint64(8 * k)).astype(np.uint8).tobytes() for k in range(width))
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes)
+    return bytes([width]) + _compressor().compress(planes)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    planes = np.frombuffer(_decompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
     out = planes[0].astype(np.int64)
     for k in range(1, data[0]):
         if planes[k].any():

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import balltree, bpe, chat, decontam, importance, langid, linededup, neardup, ngram_lm, pii, token_blocks, topk, urlfilter
-from .common import shared_dir, stored, table
+from .common import held_path, stored, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -18,7 +16,7 @@ EVENT = "struct<seq:bigint,kind:string,turn:bigint,role:string,text:string>"
 
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/token-blocks-{uuid.uuid4().hex}"
+    path = held_path(spark, "token-blocks")
     token_blocks.write_blocks(table(spark, sf_dir, "documents").select("doc_id", "text"), path, WORD_BPE, end_id=1)
     back = token_blocks.read_blocks(spark, path)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").cast("long").alias("ids_crc32"))
