@@ -48,6 +48,8 @@ def line_ids(df: DataFrame, key: str, text: str) -> DataFrame:
 def met(rows: DataFrame, groups: DataFrame, by: list[str], total: int) -> DataFrame:
     """`rows` with the other columns of `groups`, which has a row for each `by`, and n, how many rows have it."""
     hot = F.col("n") > max(2.0, total / SHARE)
+    if groups.filter(hot).isEmpty():
+        return rows.join(groups.hint("merge"), by)
     salts = F.broadcast(groups.filter(hot).select(*by, F.lit(SALTS).alias("salts")))  # SHARE rows at most
     each = groups.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     spread = F.xxhash64(*[c for c in rows.columns if c not in by])
@@ -61,13 +63,15 @@ def in_order(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     return stored(rows, name).withColumn("part", F.shiftright("at", 33))
 
 
-def carried(rows: DataFrame, last: Column, over, start: int) -> DataFrame:
-    """A row for each part: `carry`, what `over` (a Python function of two values) makes of `last` over all parts before it."""
-    now, out = start, []
-    for part, value in sorted(rows.groupBy("part").agg(last).collect()):
-        out.append((part, now))
-        now = over(now, value)
-    return F.broadcast(rows.sparkSession.createDataFrame(out, "part long, carry long"))
+def carried(rows: DataFrame, last: Column, over, start: int) -> Column:
+    """For each part, what `over` (a Python function of two values) makes of `last` over all parts before it: one value a part, as a
+    constant array."""
+    found, now, out = dict(rows.groupBy("part").agg(last).collect()), start, []
+    for part in range(max(found, default=0) + 1):
+        out.append(now)
+        if part in found:
+            now = over(now, found[part])
+    return F.element_at(F.split(F.lit(",".join(map(str, out))), ",").cast("array<bigint>"), (F.col("part") + 1).cast("int"))
 
 
 def in_part():
@@ -79,7 +83,7 @@ def totalled(groups: DataFrame, by: list[str]) -> DataFrame:
     rows = in_order(groups, by, "line-groups")
     carry = carried(rows, F.sum("n"), lambda a, b: a + b, 0)
     inner = F.coalesce(F.sum("n").over(in_part().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("inner", inner).join(carry, "part").select(*groups.columns, (F.col("carry") + F.col("inner")).alias("before"))
+    return rows.withColumn("inner", inner).select(*groups.columns, (carry + F.col("inner")).alias("before"))
 
 
 def islands(lines: DataFrame) -> DataFrame:
@@ -148,8 +152,8 @@ def later_copies(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     # an interval begins where neighbours share less
     begins = F.when(F.col("lcp") < min_lines, F.col("at"))
     carry = carried(array, F.max(begins), lambda a, b: a if b is None else b, 0)
-    named = array.withColumn("in", F.max(begins).over(in_part().rowsBetween(Window.unboundedPreceding, 0))).join(carry, "part")
-    named = stored(named.select("pos", "isl", "beside", "lcp", F.coalesce("in", "carry").alias("interval")), "line-intervals")
+    named = array.withColumn("in", F.max(begins).over(in_part().rowsBetween(Window.unboundedPreceding, 0)))
+    named = stored(named.select("pos", "isl", "beside", "lcp", F.coalesce(F.col("in"), carry).alias("interval")), "line-intervals")
     first = named.groupBy("interval").agg(F.count("*").alias("n"), F.min("pos").alias("first")).filter("n > 1")
     copies = met(named.select("pos", "isl", "interval"), first, ["interval"], total).filter(F.col("pos") >= F.col("first") + min_lines)
     covering = copies.select("isl", "pos", (F.col("pos") + min_lines).alias("reach"))
