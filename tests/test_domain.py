@@ -59,6 +59,13 @@ def test_derived_edges_and_coverage(spark):
     assert tuple(graph.coverage(r, m).first()) == (3, 2, 66.7, ["CWE-9"])
 
 
+def test_label_scan_and_map_file(spark, tmp_path):
+    nodes = spark.createDataFrame([("Group", "G2", "b"), ("Group", "G1", "z"), ("Tactic", "G0", "t"), ("Group", None, "n"), ("Group", "G2", "a")], "label string, attack_id string, name string")
+    assert [tuple(r) for r in graph.label_scan(nodes, "Group", "attack_id", "name").collect()] == [(None, "n"), ("G1", "z"), ("G2", "a"), ("G2", "b")]
+    (tmp_path / "m.json").write_text('{"cwe-1": ["T2", "T1"],\n "CWE-2": ["T9"], "CWE-2": ["T1", "T3", "TX"]}')
+    assert {r.cwe: r.techniques for r in graph.technique_map(spark, str(tmp_path / "m.json")).collect()} == {"CWE-1": ["T2", "T1"], "CWE-2": ["T1", "T3", "TX"]}
+
+
 def test_merge_is_idempotent(spark):
     old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id int, name string, extra string")
     new = spark.createDataFrame([(2, None, 5), (3, "c", 6)], "id int, name string, rank int")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -90,6 +90,17 @@ def mention_edges(mentions: DataFrame, nodes: DataFrame, reports: DataFrame) ->
     return mentions.withColumnRenamed("source", "src").join(known, "src", "left_semi").join(ends, ["attack_id", "type"]).select(F.lit("MENTIONS").alias("type"), "src", "dst", "chunk_count", "contexts")
 
 
+def label_scan(nodes: DataFrame, label: str, *columns: str, order: str = "attack_id") -> DataFrame:
+    """The nodes of one label in order; the filter and the columns (all by default) reach the scan. Ids that tie, and null ones first, go by name."""
+    return nodes.filter(F.col("label") == label).orderBy(F.asc_nulls_first(order), "name").select(*(columns or nodes.columns))
+
+
+def technique_map(spark: SparkSession, path: str) -> DataFrame:
+    """(cwe, techniques in order of priority) of a JSON object {cwe: [technique, ...]}; of a repeated key the last counts."""
+    each = spark.read.text(path, wholetext=True).select(F.posexplode(F.map_entries(F.from_json("value", "map<string,array<string>>"))).alias("pos", "e"))
+    return each.groupBy(F.upper(F.col("e.key")).alias("cwe")).agg(F.max_by("e.value", "pos").alias("techniques"))
+
+
 def named(nodes: DataFrame, part: str, name: str = "name") -> DataFrame:
     """Nodes whose name holds `part` (case counts)."""
     return nodes.filter(F.contains(name, F.lit(part)))

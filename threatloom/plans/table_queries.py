@@ -703,3 +703,8 @@ def q_eval_runner(spark, sf_dir):
     )
     found = evalkit.scored(asked, evalkit.answered(asked, _answer))
     return found.select("id", "n_results", "pdf_hit", "technique_recall", "technique_hit", "actor_recall", "actor_hit", "cve_hit", "error")
+
+
+@query(f"""with {NODES} select attack_id, name, len(aliases)::integer n_aliases from n where label = 'Group' order by attack_id""")
+def q_label_scan(spark, sf_dir):
+    return graph.label_scan(_nodes(spark, sf_dir), "Group").select("attack_id", "name", F.size("aliases").alias("n_aliases"))
