@@ -151,25 +151,28 @@ class Block:
         rank = np.where(number > 0, np.searchsorted(known, number - 1) + 1, 0)
         return cls(np.array(row["held"], bool), sizes, tokens, docs, since, number, count, rank[tokens], known)
 
-    def asked(self, k: int, within: np.ndarray, before: np.ndarray, backs: np.ndarray, shards: int, size: int) -> dict:
-        """The distinct k-grams that end at the tokens `within`: keys (ids), n, back (of their contexts), shard; and of each of those
-        tokens the place of its k-gram. `before` is the sorted place of the context that ends before a token."""
+    def asked(self, k: int, within: np.ndarray, before: np.ndarray, backs: np.ndarray, shards: int, size: int, send: bool) -> dict:
+        """The distinct k-grams that end at the tokens `within`, to `send`: keys (ids), n, back (of their contexts), shard; and of each of
+        those tokens the place of its k-gram. `before` is the sorted place of the context that ends before a token."""
         ends = np.flatnonzero(within)
         code = (before[ends] << max(1, len(self.known).bit_length())) | self.rank[ends]
         first, place = grouped(code)
-        n = np.bincount(place[~self.held[self.docs[ends]]], minlength=len(first))
         tails = ends[first]
         words = [self.tokens[tails - j] for j in range(k - 1, -1, -1)]
-        keys = np.stack([self.number[w] - 1 for w in words], axis=1)
+        columns = [self.number[w] - 1 for w in words]
         least = np.minimum.reduce([self.count[w] for w in words[:-1]])
-        part = mixed(keys[:, -1]) % (1 + least // size).astype(np.uint64) if (least >= size).any() else np.zeros(1, np.uint64)
-        shard = (mixed(*keys[:, :-1].T, part) % np.uint64(shards)).astype(np.uint16 if shards < 1 << 16 else np.int64)
+        part = mixed(columns[-1]) % (1 + least // size).astype(np.uint64) if (least >= size).any() else np.zeros(1, np.uint64)
+        shard = (mixed(*columns[:-1], part) % np.uint64(shards)).astype(np.uint16 if shards < 1 << 16 else np.int64)
         order = np.argsort(shard, kind="stable")
         turned = np.empty(len(order), np.int64)
         turned[order] = np.arange(len(order))
         spot = np.zeros(len(self.tokens), np.int64)
         spot[ends] = place
-        return {"keys": keys[order], "n": n[order], "back": backs[tails][order], "shard": shard[order], "ends": ends, "place": turned[place], "spot": spot}
+        out = {"ends": ends, "place": turned[place], "spot": spot}
+        if send:
+            n = np.bincount(place[~self.held[self.docs[ends]]], minlength=len(first))
+            out |= {"keys": np.stack([c[order] for c in columns], axis=1), "n": n[order], "back": backs[tails[order]], "shard": shard[order]}
+        return out
 
 
 def coded(keys: np.ndarray, n: np.ndarray, back: np.ndarray) -> bytes:
@@ -280,18 +283,18 @@ class Levels:
     @classmethod
     def first(cls, row: pd.Series, answers: pd.DataFrame, tokens: int, words: int) -> Levels:
         block = Block.of(row, answers)
-        count = block.count[block.tokens]
-        return cls(block, (count + 0.5) / (tokens + 0.5 * (words + 1)) if tokens else np.ones(len(count)), (count > 0).astype(np.int64), backoff(block.count)[block.tokens], block.rank)
+        share = (block.count + 0.5) / (tokens + 0.5 * (words + 1)) if tokens else np.ones(len(block.count))
+        return cls(block, share[block.tokens], (block.count > 0).astype(np.int64)[block.tokens], backoff(block.count)[block.tokens], block.rank)
 
-    def asked(self, k: int, shards: int, size: int) -> dict:
+    def asked(self, k: int, shards: int, size: int, send: bool = False) -> dict:
         before = lambda x: np.concatenate(([0], x[:-1]))
         within = (self.block.since >= k - 1) & (self.prob > 0) & (before(self.prob) > 0)
-        return self.block.asked(k, within, before(self.spot), before(self.back), shards, size)
+        return self.block.asked(k, within, before(self.spot), before(self.back), shards, size, send)
 
     def answered(self, k: int, keys: dict, answers: pd.DataFrame, last: bool) -> Levels:
         """Weights of known contexts apply wherever the context was counted."""
         prob, back = np.zeros(len(self.prob), np.int64), np.zeros(len(self.prob), np.int64)
-        if len(keys["keys"]):
+        if len(keys["ends"]):
             ordered = answers.sort_values("shard")
             got = [unpack(x).reshape(1 if last else 2, -1) for x in ordered["answer"]]
             both = np.concatenate(got, axis=1)[:, keys["place"]]
@@ -315,7 +318,7 @@ def _gram_keys(k: int, facts: dict):
     def run(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = {"shard": [], "block": [], "keys": [], "n": []}
         for _, row in block.iterrows():
-            asked = _block_levels(row, answers, facts, k - 1).asked(k, facts["shards"], facts["size"])
+            asked = _block_levels(row, answers, facts, k - 1).asked(k, facts["shards"], facts["size"], True)
             cut = np.flatnonzero(np.diff(asked["shard"])) + 1
             for keys, n, back, shard in zip(*(np.split(asked[c], cut) for c in ("keys", "n", "back", "shard"))):
                 if len(n):
@@ -336,10 +339,9 @@ def _scores(facts: dict):
             b, said = done.block, done.block.since > 0
             begin = np.cumsum(b.sizes) - b.sizes
             summed = lambda x: np.add.reduceat(x[said].astype(np.longdouble), begin)  # noqa: B023, E731
-            count = b.count[b.tokens]
-            base = np.log10((count + 0.5) / (facts["tokens"] + 0.5 * (facts["words"] + 1)))
+            base = np.log10((b.count + 0.5) / (facts["tokens"] + 0.5 * (facts["words"] + 1)))[b.tokens]
             out.append(pd.DataFrame({
-                "doc": pd.Series(list(row["doc"]), dtype=object), "held": b.held, "n_tokens": b.sizes, "n_known": summed(count > 0).astype(np.int64),
+                "doc": pd.Series(list(row["doc"]), dtype=object), "held": b.held, "n_tokens": b.sizes, "n_known": np.add.reduceat((b.count > 0).astype(np.int64)[b.tokens][said], begin),
                 "base_score": summed(base).astype(np.float64), "score": summed(np.log10(done.probability)).astype(np.float64),
             }))
         return pd.concat(out)
