@@ -8,6 +8,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from threatloom.llm import chat, linededup, neardup, pii, queries, topk, urlfilter
 from threatloom.llm.common import table
@@ -254,6 +255,30 @@ def test_line_runs_repeated_rows_and_empty(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_texts_are_hashed_once(spark):
+    """The hash of a whole text is taken below the explode: above it, it was taken once a line."""
+    df = spark.createDataFrame([(1, "a\nb"), (2, " \n"), (3, None)], "doc_id long, text string")
+    plan = linededup.line_ids(df, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    at = [line for line in plan.split("\n")]
+    explode = next(k for k, line in enumerate(at) if "Generate" in line)
+    assert not any("md5(cast(text" in line for line in at[:explode]) and any("md5(cast(text" in line for line in at[explode:])
+    assert sorted((r.doc, r.seq, r.line) for r in linededup.line_ids(df, "doc_id", "text").collect()) == [(1, 0, 0), (1, 1, 1)]
+
+
+def test_line_rounds_leave_finished_islands(spark):
+    """Rounds read and write only islands that go on: a long pair of copies doesn't bring every short one along."""
+    docs = [(k, f"short {k // 2}") for k in range(40)] + [(50 + k, "\n".join(f"long {i}" for i in range(20))) for k in range(2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    base = linededup.islands(linededup.line_ids(df, "doc_id", "text")).cache()
+    rows, more, sizes = base.select("pos", "isl", "rank", "next", F.lit(True).alias("open"), F.lit(True).alias("goes_on")), True, []
+    while more:
+        rows, more = linededup.doubled(rows, len(sizes), 80)
+        sizes.append(rows.count())
+    assert sizes == [80, 40, 40, 40, 40, 40]
+    out = {r.doc_id: r for r in linededup.dedup_lines(df).collect()}
+    assert {d: r.longest_run for d, r in out.items()} == brute_longest(docs) and {d: r.text for d, r in out.items()} == brute_runs(docs, 1)
+
+
 def test_line_runs_on_tables(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
     rows = queries.op7_line_dedup(spark, "/root/testdata/sf0.01").collect()

@@ -26,6 +26,8 @@ one document; of texts under one doc_id the order is that of their hashes; colum
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,14 +43,15 @@ def line_ids(df: DataFrame, key: str, text: str) -> DataFrame:
     """doc, th (hash of the text), seq (place among non-blank lines), line (place among all), id."""
     lines = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.alias("line"), F.btrim(x, F.lit(BLANKS)).alias("x")))
     kept = F.filter(lines, lambda s: s["x"] != "")
-    rows = df.select(F.col(key).alias("doc"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("th"), F.posexplode(kept).alias("seq", "s"))
+    docs = df.select(F.col(key).alias("doc"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("th"), kept.alias("kept"))  # below the explode: a text is hashed once, not once a line
+    rows = docs.select("doc", "th", F.posexplode_outer("kept").alias("seq", "s")).filter("seq is not null")
     return rows.select("doc", "th", "seq", F.col("s.line").alias("line"), F.unhex(F.md5(F.col("s.x").cast("binary"))).alias("id"))
 
 
-def met(rows: DataFrame, groups: DataFrame, by: list[str], total: int) -> DataFrame:
-    """`rows` with the other columns of `groups`, which has a row for each `by`, and n, how many rows have it."""
+def met(rows: DataFrame, groups: DataFrame, by: list[str], total: int, most: int) -> DataFrame:
+    """`rows` with the other columns of `groups`, which has a row for each `by`, and n, how many rows have it (`most`, the largest n)."""
     hot = F.col("n") > max(2.0, total / SHARE)
-    if groups.filter(hot).isEmpty():
+    if most <= max(2.0, total / SHARE):
         return rows.join(groups.hint("merge"), by)
     salts = F.broadcast(groups.filter(hot).select(*by, F.lit(SALTS).alias("salts")))  # SHARE rows at most
     each = groups.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
@@ -66,7 +69,11 @@ def in_order(rows: DataFrame, by: list[str], name: str) -> DataFrame:
 def carried(rows: DataFrame, last: Column, over, start: int) -> Column:
     """For each part, what `over` (a Python function of two values) makes of `last` over all parts before it: one value a part, as a
     constant array."""
-    found, now, out = dict(rows.groupBy("part").agg(last).collect()), start, []
+    return before_parts(dict(rows.groupBy("part").agg(last).collect()), over, start)
+
+
+def before_parts(found: dict[int, int], over, start: int) -> Column:
+    now, out = start, []
     for part in range(max(found, default=0) + 1):
         out.append(now)
         if part in found:
@@ -78,46 +85,58 @@ def in_part():
     return Window.partitionBy("part").orderBy("at")
 
 
-def totalled(groups: DataFrame, by: list[str]) -> DataFrame:
-    """`groups` with `before`: the sum of n over those that are smaller in `by`."""
+def totalled(groups: DataFrame, by: list[str], goes_on: Column) -> tuple[DataFrame, int, bool]:
+    """`groups` with `before`: the sum of n over those that are smaller in `by`; the largest n; and whether `goes_on` holds anywhere."""
     rows = in_order(groups, by, "line-groups")
-    carry = carried(rows, F.sum("n"), lambda a, b: a + b, 0)
+    found = rows.groupBy("part").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max(goes_on).alias("on")).collect()
+    carry = before_parts({r.part: r.n for r in found}, lambda a, b: a + b, 0)
     inner = F.coalesce(F.sum("n").over(in_part().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("inner", inner).select(*groups.columns, (carry + F.col("inner")).alias("before"))
+    rows = rows.withColumn("inner", inner).select(*groups.columns, (carry + F.col("inner")).alias("before"))
+    return rows, max((r.most for r in found), default=0), any(r.on for r in found)
 
 
 def islands(lines: DataFrame) -> DataFrame:
     """The repeated lines: pos (place in the corpus, consecutive inside an island), isl and end (pos of the island's first and
-    last line), rank (lines that are smaller), doc, th, line."""
+    last line), rank (lines that are smaller), next (the rank of the next line in the island, else -1), doc, th, line."""
     total = lines.count()
-    groups = totalled(lines.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"), ["id"])
-    rows = met(lines, groups, ["id"], total).select("doc", "th", "seq", "line", F.col("before").alias("rank"))
+    groups, most, _ = totalled(lines.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"), ["id"], F.lit(True))
+    rows = met(lines, groups, ["id"], total, most).select("doc", "th", "seq", "line", F.col("before").alias("rank"))
     rows = rows.repartitionByRange("doc", "th")  # documents in order; the windows need no other shuffle
     doc = Window.partitionBy("doc", "th").orderBy("seq")
     rows = rows.withColumn("before", F.lag("seq").over(doc)).filter(F.col("before").isNull() | (F.col("before") < F.col("seq")))
     rows = rows.withColumn("pos", F.monotonically_increasing_id())
     head = F.col("before").isNull() | (F.col("before") < F.col("seq") - 1)
     rows = rows.withColumn("isl", F.max(F.when(head, F.col("pos"))).over(doc.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("end", F.max("pos").over(Window.partitionBy("doc", "th", "isl"))).select("pos", "isl", "end", "rank", "doc", "th", "line")
-
-
-def doubled(suffixes: DataFrame, k: int, total: int) -> DataFrame:
-    """Round k: pos, isl, rank by 2**(k + 1) lines, open (whether others share it and go on)."""
-    ahead = Window.partitionBy("isl").orderBy("pos").rangeBetween(1 << k, 1 << k)
-    rows = suffixes.withColumn("next", F.coalesce(F.max("rank").over(ahead), F.lit(-1)))
-    shared = rows.filter("open").select("pos", "isl", "rank", "next")
-    pairs = totalled(shared.groupBy("rank", "next").agg(F.count("*").alias("n")), ["rank", "next"])
+    island = Window.partitionBy("doc", "th", "isl").orderBy("pos")
+    rows = rows.withColumn("end", F.max("pos").over(island.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return rows.withColumn("next", F.coalesce(F.lead("rank").over(island), F.lit(-1))).select("pos", "isl", "end", "rank", "next", "doc", "th", "line")
+
+
+def doubled(suffixes: DataFrame, k: int, total: int) -> tuple[DataFrame, bool]:
+    """Round k: the suffixes of islands that go on, with rank by 2**(k + 1) lines, open (whether others share it and go on), next (the rank 2**(k + 1) lines
+    on, else -1) and goes_on (whether the island has an open suffix); and whether any goes on."""
+    live = suffixes.filter("goes_on")
+    shared = live.filter("open").select("pos", "isl", "rank", "next")
+    still = (F.col("n") > 1) & (F.col("next") >= 0)
+    pairs, most, more = totalled(shared.groupBy("rank", "next").agg(F.count("*").alias("n")), ["rank", "next"], still)
     first = pairs.groupBy("rank").agg(F.min("before").alias("first"))
     pairs = pairs.join(first, "rank").withColumn("new", F.col("rank") + F.col("before") - F.col("first")).select("rank", "next", "n", "new")
-    split = met(shared, pairs, ["rank", "next"], total)
-    split = split.select("pos", "isl", F.col("new").alias("rank"), ((F.col("n") > 1) & (F.col("next") >= 0)).alias("open"))
-    return rows.filter("not open").select("pos", "isl", "rank", "open").unionByName(split)
+    split = met(shared, pairs, ["rank", "next"], total, most).select("pos", "isl", F.col("new").alias("rank"), still.alias("open"))
+    rows = live.filter("not open").select("pos", "isl", "rank", "open").unionByName(split)
+    island = Window.partitionBy("isl").orderBy("pos")
+    rows = rows.withColumn("next", F.coalesce(F.max("rank").over(island.rangeBetween(2 << k, 2 << k)), F.lit(-1)))
+    rows = rows.withColumn("goes_on", F.max("open").over(island.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return stored(rows, "line-ranks"), more
 
 
 def common_prefixes(base: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     """The suffix array: part and at (its order), pos, isl, and lcp, the lines shared with the suffix before (0 at the start), which begins in
-    the island `beside`."""
-    here = rounds[-1].select("pos", "rank").join(base.select("pos", "isl", "end", F.col("rank").alias("line")).hint("merge"), "pos")
+    the island `beside`. A round holds the islands that went on; the last ranks of the others stand in the round before.
+
+    Where one place is in no later round, nothing is missed: what it shares then is below 2**k lines, or runs to the end of its island, as round k says.
+    """
+    last = reduce(DataFrame.unionByName, [r.filter("not goes_on").select("pos", "rank") for r in rounds])
+    here = last.join(base.select("pos", "isl", "end", F.col("rank").alias("line")).hint("merge"), "pos")
     array = in_order(here, ["rank", "pos"], "line-suffixes")
     other = F.struct("pos", "isl", "line", "end")
     edge = {r.part: r.x for r in array.groupBy("part").agg(F.max_by(other, "at").alias("x")).collect()}  # one row a part
@@ -131,10 +150,11 @@ def common_prefixes(base: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     # irreducible places: lines are counted round by round, the longest first
     counted = rows.filter("direct and o is not null").select("pos", F.col("pos").alias("a"), F.col("o.pos").alias("b"), (F.col("end") + 1).alias("stop"), (F.col("o.end") + 1).alias("halt"))
     for k in range(len(rounds) - 1, -1, -1):
-        at = lambda side: rounds[k].select(F.col("pos").alias(side), F.col("rank").alias(f"r{side}")).hint("merge")  # noqa: B023, E731
-        counted = counted.join(at("a"), "a", "left").join(at("b"), "b", "left")
-        inside = (F.col("a") < F.col("stop")) & (F.col("b") < F.col("halt"))
-        step = F.when(inside & (F.col("ra") == F.col("rb")), F.least(F.lit(1 << k), F.col("stop") - F.col("a"))).otherwise(0)
+        ends = counted.filter("a < stop and b < halt").select("pos", F.explode(F.array("a", "b")).alias("at"))
+        ranks = ends.join(rounds[k].select(F.col("pos").alias("at"), "rank").hint("merge"), "at")
+        equal = ranks.groupBy("pos").agg(F.count("*").alias("n"), F.min("rank").alias("low"), F.max("rank").alias("high")).filter("n = 2 and low = high")
+        counted = counted.join(equal.select("pos", F.lit(True).alias("same")).hint("merge"), "pos", "left")
+        step = F.when(F.col("same"), F.least(F.lit(1 << k), F.col("stop") - F.col("a"))).otherwise(0)
         counted = stored(counted.select("pos", "stop", "halt", (F.col("a") + step).alias("a"), (F.col("b") + step).alias("b")), "line-counts")
     known = rows.join(counted.select("pos", (F.col("a") - F.col("pos")).alias("n")).hint("merge"), "pos", "left")
     known = known.withColumn("n", F.when(F.col("direct"), F.coalesce("n", F.lit(0))))
@@ -145,17 +165,20 @@ def common_prefixes(base: DataFrame, rounds: list[DataFrame]) -> DataFrame:
 def later_copies(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """A row for each text with repeated lines: doc, th, longest_run (lines of its longest run that stands twice), runs (to delete: sorted array of line, last_line)."""
     base = stored(islands(lines), "line-islands")
-    total, rounds = base.count(), [base.select("pos", "isl", "rank", F.lit(True).alias("open"))]
-    while total and not rounds[-1].filter("open").isEmpty():
-        rounds.append(stored(doubled(rounds[-1], len(rounds) - 1, total), "line-ranks"))
+    total, rounds = base.count(), [base.select("pos", "isl", "rank", "next", F.lit(True).alias("open"), F.lit(True).alias("goes_on"))]
+    more = total > 0
+    while more:
+        ranks, more = doubled(rounds[-1], len(rounds) - 1, total)
+        rounds.append(ranks)
     array = stored(common_prefixes(base, rounds), "line-prefixes") if total else base.select(F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("at"), "pos", "isl", F.col("isl").alias("beside"), F.lit(0).cast("long").alias("lcp"))
     # an interval begins where neighbours share less
     begins = F.when(F.col("lcp") < min_lines, F.col("at"))
     carry = carried(array, F.max(begins), lambda a, b: a if b is None else b, 0)
     named = array.withColumn("in", F.max(begins).over(in_part().rowsBetween(Window.unboundedPreceding, 0)))
     named = stored(named.select("pos", "isl", "beside", "lcp", F.coalesce(F.col("in"), carry).alias("interval")), "line-intervals")
-    first = named.groupBy("interval").agg(F.count("*").alias("n"), F.min("pos").alias("first")).filter("n > 1")
-    copies = met(named.select("pos", "isl", "interval"), first, ["interval"], total).filter(F.col("pos") >= F.col("first") + min_lines)
+    first = stored(named.groupBy("interval").agg(F.count("*").alias("n"), F.min("pos").alias("first")).filter("n > 1"), "line-firsts")
+    most = first.agg(F.max("n")).first()[0] or 0
+    copies = met(named.select("pos", "isl", "interval"), first, ["interval"], total, most).filter(F.col("pos") >= F.col("first") + min_lines)
     covering = copies.select("isl", "pos", (F.col("pos") + min_lines).alias("reach"))
     both = base.select("isl", "pos", "doc", "th", "line").unionByName(covering, allowMissingColumns=True)
     w = Window.partitionBy("isl").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
