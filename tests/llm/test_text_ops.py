@@ -253,6 +253,17 @@ def test_language_rejects_by_the_model_of_the_tables(spark):
     assert langid.accepted(held, model).count() == held.filter("text rlike '\\\\p{L}'").count()
 
 
+def test_language_model_learns_from_every_row(spark):
+    """Weights, and the cut of what is familiar, come from all labelled rows, however many: each row has a character of its own."""
+    r, words = random.Random(2), {"en": "the and of to with that".split(), "de": "der die und das nicht mit".split()}
+    rows = [(i, " ".join(r.choice(words[k]) for _ in range(12)) + " " + chr(0x4E00 + i), k) for i in range(2400) for k in (["en", "de"][i % 2],)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2))
+    own = [next(langid.buckets(chr(0x4E00 + i)))[0] for i in range(2400)]
+    assert sum(bool(model.table[b].any()) for b in own) > 0.75 * 2400  # all but the fifth that fits the temperature
+    known = [model.familiar.of_text(t) for _, t, _ in rows]
+    assert model.least == pytest.approx(np.mean(known) - langid.SPREAD * np.std(known), rel=1e-6)
+
+
 def test_temperature_is_a_least_value():
     r = np.random.default_rng(3)
     for scale, noise in ((1.0, 0.0), (1e-3, 0.0), (50.0, 0.0), (1.0, 1.0)):  # told apart without a fault, and not
