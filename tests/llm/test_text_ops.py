@@ -3,6 +3,7 @@
 import math
 import random
 import string
+import time
 import zlib
 from collections import Counter
 
@@ -264,6 +265,41 @@ def test_language_model_learns_from_every_row(spark):
     assert model.least == pytest.approx(np.mean(known) - langid.SPREAD * np.std(known), rel=1e-6)
 
 
+def test_language_query_learns_what_it_returns():
+    """Evidence takes little more than a text's features, and no familiarity is learned or told where no column reads it."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdefghij  éß中1") for _ in range(3000)) for _ in range(100)]
+    model = langid.Model(list("abcd"), np.random.default_rng(3).normal(size=(langid.BUCKETS, 4)).astype(np.float32), np.ones(4))
+
+    def seconds(work):
+        took = []
+        for _ in range(7):
+            began = time.process_time()
+            for t in texts:
+                work(t)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(model.evidence) < 1.9 * seconds(langid.features)
+    for t in texts[:5]:
+        every = np.concatenate(list(langid.buckets(t)))
+        assert model.evidence(t) == pytest.approx(model.table[every].mean(axis=0, dtype=np.float64) + 1, abs=1e-12)
+    assert model.predict(texts[0])[2] is None
+
+
+def test_language_model_without_familiarity(spark):
+    """Weights and temperature are those of the whole model; accepted refuses a model that can't tell."""
+    r, words = random.Random(4), {"en": "the and of to with that".split(), "de": "der die und das nicht mit".split()}
+    rows = [(i, " ".join(r.choice(words[k]) for _ in range(12)), k) for i in range(300) for k in (["en", "de"][i % 2],)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    whole, part = langid.train(df), langid.train(df, familiar=False)
+    assert part.languages == whole.languages and np.array_equal(part.table, whole.table) and np.array_equal(part.bias, whole.bias)
+    assert part.temperature == pytest.approx(whole.temperature, rel=1e-9) and part.familiar is None and whole.familiar is not None
+    assert langid.predict(df, part).filter("familiarity is not null").count() == 0
+    with pytest.raises(ValueError):
+        langid.accepted(df, part)
+
+
 def test_temperature_is_a_least_value():
     r = np.random.default_rng(3)
     for scale, noise in ((1.0, 0.0), (1e-3, 0.0), (50.0, 0.0), (1.0, 1.0)):  # told apart without a fault, and not

@@ -45,16 +45,27 @@ LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
 
 
+def _hashed(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the 2-grams and of the 3-grams of some code points."""
+    two = c[:-1] * np.uint32(3266489917)
+    two += c[1:]
+    two *= np.uint32(668265263)
+    three = c[2:] * np.uint32(374761393)
+    three += two[:-1]
+    three *= np.uint32(2654435761)
+    two ^= two >> np.uint32(15)
+    three ^= three >> np.uint32(13)
+    return two, three
+
+
 def buckets(text: str) -> Iterator[np.ndarray]:
     """Buckets of all n-grams of a text, a bounded piece at a time."""
     points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
     for at in range(0, len(points), CHUNK):
         c = points[at : at + CHUNK + 2]  # n-grams that begin in this piece
         one = (c * np.uint32(2654435761) + np.uint32(12345)) * np.uint32(2246822519)
-        two = (c[:-1] * np.uint32(3266489917) + c[1:]) * np.uint32(668265263) if len(c) > 1 else c[:0]
-        three = (two[:-1] + c[2:] * np.uint32(374761393)) * np.uint32(2654435761) if len(c) > 2 else c[:0]
         last = at + CHUNK >= len(points)
-        for h in (one, two ^ (two >> np.uint32(15)), three ^ (three >> np.uint32(13))):
+        for h in (one, *_hashed(c)):
             yield (h if last else h[:CHUNK]) >> np.uint32(16)
 
 
@@ -62,9 +73,12 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, relative frequencies) of a text."""
     found = buckets(text)
     if len(text) < BUCKETS // 4:  # a sort of 16-bit numbers takes less than counts of all buckets
-        b = np.sort(np.concatenate([*found, np.empty(0, np.uint32)]).astype(np.uint16), kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.empty(0, np.int64)
-        return b[first].astype(np.int64), np.diff(first, append=len(b)) / max(1, len(b))
+        b = np.concatenate([*found, np.empty(0, np.uint32)], dtype=np.uint16, casting="unsafe")
+        b.sort(kind="stable")
+        new = np.ones(len(b) + 1, bool)
+        np.not_equal(b[1:], b[:-1], out=new[1:-1])
+        first = np.flatnonzero(new)  # and the end
+        return b[first[:-1]].astype(np.int64), np.diff(first) / max(1, len(b))
     n = np.zeros(BUCKETS, np.int64)
     for b in found:
         n += np.bincount(b, minlength=BUCKETS)
@@ -82,19 +96,21 @@ def trigrams(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(buckets of the letter trigrams, code points) of a text, a bounded piece at a time. Ends of pieces are word ends."""
     points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
     for at in range(0, len(points), CHUNK):
-        c = np.concatenate(([32], points[at : at + CHUNK], [32])).astype(np.uint32)
-        kind = _classes()[c]
-        word = np.cumsum(np.diff((kind > 0).astype(np.int8), prepend=0) == 1)
-        numbered = np.bincount(word, weights=kind == 2) > 0
-        letter = (kind == 1) & ~numbered[word]
+        c = np.full(min(CHUNK, len(points) - at) + 2, 32, np.uint32)
+        c[1:-1] = points[at : at + CHUNK]
+        kind = _classes().take(c)
+        letter, digits = kind == 1, np.flatnonzero(kind == 2)
+        if len(digits):  # no letters are left to the words before the gaps that follow digits
+            gaps = np.flatnonzero(kind == 0)
+            numbered = np.zeros(len(gaps), bool)
+            numbered[gaps.searchsorted(digits)] = True
+            letter &= ~np.repeat(numbered, np.diff(gaps, prepend=-1))
         kept = letter.copy()
         kept[1:] |= letter[:-1]
         kept[0] = True  # one space before, and one after each run
         c = np.where(letter, c, np.uint32(32))[kept]
         if len(c) > 2:
-            two = (c[:-1] * np.uint32(3266489917) + c[1:]) * np.uint32(668265263)
-            three = (two[:-1] + c[2:] * np.uint32(374761393)) * np.uint32(2654435761)
-            yield (three ^ (three >> np.uint32(13))) >> np.uint32(15), c
+            yield _hashed(c)[1] >> np.uint32(15), c
 
 
 def _letter(points: np.ndarray) -> np.ndarray:
@@ -116,8 +132,11 @@ class Familiar:
     def of_text(self, text: str) -> float:
         total, n = 0.0, 0
         for b, c in trigrams(text):
-            o = self.one[_letter(c)]
-            total += float(np.clip(self.three[b] - o[:-2] - o[1:-1] - o[2:], -CLIP, CLIP).sum(dtype=np.float64))
+            o, ratio = self.one.take(_letter(c)), self.three.take(b)
+            for part in (o[:-2], o[1:-1], o[2:]):
+                ratio -= part
+            np.clip(ratio, -CLIP, CLIP, out=ratio)
+            total += float(ratio.sum(dtype=np.float64))
             n += len(b)
         return total / n + LENIENT / n**0.5 if n else LENIENT
 
@@ -132,21 +151,17 @@ class Model:
     least: float = -math.inf  # familiarity
 
     def evidence(self, text: str) -> np.ndarray:
-        """The logits."""
-        total, n = np.zeros(len(self.languages)), 0
-        for b in buckets(text):
-            if len(b):
-                total += np.bincount(b, minlength=BUCKETS) @ self.table if len(b) > BUCKETS else self.table[b].sum(axis=0, dtype=np.float64)
-                n += len(b)
-        return total / max(1, n) + self.bias
-
-    def predict(self, text: str | None) -> tuple[str, float, float]:
-        """(language, calibrated probability, familiarity)"""
+        """The logits: a text's buckets are looked up once each."""
+        at, v = features(text)
+        return v @ self.table.take(at, axis=0) + self.bias
+
+    def predict(self, text: str | None) -> tuple[str, float, float | None]:
+        """(language, calibrated probability, familiarity if that was learned)"""
         if not text or not self.languages or not LETTER.search(text):
             return UNDETERMINED, 0.0, 0.0
         p = _softmax(self.evidence(text) / self.temperature)
         k = int(p.argmax())
-        return self.languages[k], float(p[k]), self.familiar.of_text(text) if self.familiar else LENIENT
+        return self.languages[k], float(p[k]), self.familiar.of_text(text) if self.familiar else None
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -158,22 +173,18 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
 
 
-def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
-    """How many texts hold each bucket, how many texts there are, and counts of letter trigrams and of letters. What leaves a task is one row
-    a bucket at most."""
+def document_frequencies(df: DataFrame, text: str, familiar: bool = True) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """How many texts hold each bucket, how many texts there are, and (if `familiar`) counts of letter trigrams and of letters. What leaves a
+    task is one row a bucket at most."""
     sizes = (BUCKETS, TRIGRAMS, 1 << 16, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, three, one, texts = (np.zeros(k, np.int64) for k in sizes)
-        has = np.zeros(BUCKETS, bool)
         for batch in slices(batches):
             for t in batch.column(0).to_pylist():
-                has[:] = False
-                for b in buckets(t):
-                    has[b] = True
-                n += has
+                n[features(t)[0]] += 1
                 texts += 1
-                for b, c in trigrams(t):
+                for b, c in trigrams(t) if familiar else ():
                     np.add.at(three, b, 1)
                     np.add.at(one, _letter(c), 1)
         every = np.concatenate((n, three, one, texts))
@@ -192,17 +203,30 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return w / ((BETA + np.sqrt(n)) / ALPHA + L2)
 
 
-def ftrl(at: np.ndarray, x: np.ndarray, y: int, z: np.ndarray, n: np.ndarray) -> None:
-    """Follow the regularised leader by one example (features at, values x, class y): z and n change in place."""
-    own, old = z[at], n[at]
-    root = np.sqrt(old)
-    w = np.copysign(np.maximum(np.abs(own) - L1, 0), -own) / ((BETA + root) / ALPHA + L2)
-    p = _softmax(x @ w)
+def ftrl(at: np.ndarray, x: np.ndarray, y: int, state: np.ndarray) -> None:
+    """Follow the regularised leader by one example (features at, values x, class y): `state`, a row z then n a bucket, changes in place."""
+    own = state.take(at, axis=0).T.copy()  # a row a class: long rows make short work
+    z, n = np.split(own, 2)
+    root = np.sqrt(n)
+    rate = root + BETA
+    rate /= ALPHA
+    rate += L2
+    minus = np.abs(z)  # the weights, but for their sign
+    minus -= L1
+    np.maximum(minus, 0, out=minus)
+    minus /= rate
+    np.copysign(minus, z, out=minus)
+    p = _softmax(-(minus @ x))
     p[y] -= 1
-    g = x[:, None] * p
-    old += g * g
-    own += g - (np.sqrt(old) - root) * (w / ALPHA)
-    z[at], n[at] = own, old
+    g = p[:, None] * x
+    z += g
+    g *= g
+    n += g
+    grown = np.sqrt(n)
+    grown -= root
+    grown /= ALPHA
+    z += minus * grown
+    state[at] = own.T
 
 
 def _marked(df: DataFrame, key: str, text: str, lang: str, languages: list[str]) -> DataFrame:
@@ -212,48 +236,50 @@ def _marked(df: DataFrame, key: str, text: str, lang: str, languages: list[str])
     return df.select(F.col(text).alias("text"), place.cast("int").alias("y"), (u >= CALIBRATE).alias("calibrate"))
 
 
-def _epoch(rows: DataFrame, idf: np.ndarray, z: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One pass over all rows: every partition follows the regularised leader from (z, n), and what they reach is averaged, for each
+def _epoch(rows: DataFrame, idf: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """One pass over all rows: every partition follows the regularised leader from `state`, and what they reach is averaged, for each
     bucket by how often a partition met it. A task sends one row a bucket at most; sums are of integers, so that their order doesn't matter."""
-    shared, width = rows.sparkSession.sparkContext.broadcast((idf, z, n)), 2 * z.shape[1]
-    names = [f"s{k}" for k in range(width)]
+    shared = rows.sparkSession.sparkContext.broadcast((idf, state))
+    names = [f"s{k}" for k in range(state.shape[1])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, z, n = shared.value
-        z, n, met, random = z.astype(np.float32), n.astype(np.float32), np.zeros(BUCKETS + 1, np.int64), np.random.default_rng(7)
+        idf, state = shared.value
+        state, met, random = state.astype(np.float32), np.zeros(BUCKETS + 1, np.int64), np.random.default_rng(7)
         for batch in slices(batches):
             texts, ys = (batch.column(k).to_pylist() for k in range(2))
             for k in random.permutation(len(texts)):
                 at, v = features(texts[k])
                 met[at] += 1
                 met[BUCKETS] += 1
-                ftrl(np.append(at, BUCKETS), np.append(v * idf[at] * GAIN, 1.0).astype(np.float32), ys[k], z, n)
+                ftrl(np.append(at, BUCKETS), np.append(v * idf[at] * GAIN, 1.0).astype(np.float32), ys[k], state)
         at = np.flatnonzero(met)
-        sums = np.rint(np.hstack((z[at], n[at])).astype(np.float64) * met[at, None] * FIXED).astype(np.int64)
+        sums = np.rint(state[at].astype(np.float64) * met[at, None] * FIXED).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "met": pa.array(met[at], pa.int64()), **{c: pa.array(sums[:, k], pa.int64()) for k, c in enumerate(names)}})
 
     schema = ", ".join(f"{c} long" for c in ["met", *names])
     each = bounded_batches(rows.filter("not calibrate").select("text", "y")).mapInArrow(run, f"bucket int, {schema}")
     found = each.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ["met", *names]]).toArrow()
     shared.unpersist()
-    z, n, at, met = z.copy(), n.copy(), found.column("bucket").to_numpy(), found.column("met").to_numpy()
+    state, at, met = state.copy(), found.column("bucket").to_numpy(), found.column("met").to_numpy()
     for k, c in enumerate(names):
-        to = z if k < z.shape[1] else n
-        to[at, k % z.shape[1]] = found.column(c).to_numpy() / FIXED / met
-    return z, n
+        state[at, k] = found.column(c).to_numpy() / FIXED / met
+    return state
 
 
 def _judged(rows: DataFrame, model: Model) -> DataFrame:
-    """For each row: y, its familiarity (null without a letter) and, if it is to calibrate, its logits. Kept in the shared folder."""
+    """For each row: y, its familiarity (null without a letter) and, if it is to calibrate, its logits. Kept in the shared folder. A model
+    without familiarity judges the rows that calibrate alone."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts, calibrate = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            known = [shared.value.familiar.of_text(t) if LETTER.search(t) else None for t in texts]
+            familiar = shared.value.familiar
+            known = [familiar.of_text(t) if familiar and LETTER.search(t) else None for t in texts]
             logits = [shared.value.evidence(t).tolist() if c else None for t, c in zip(texts, calibrate)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(known, pa.float64()), pa.array(logits, pa.list_(pa.float64()))], ["y", "familiarity", "logits"])
 
+    rows = rows if model.familiar else rows.filter("calibrate")
     return stored(bounded_batches(rows).mapInArrow(run, "y int, familiarity double, logits array<double>"), "langid-judged")
 
 
@@ -275,19 +301,20 @@ def _losses(judged: DataFrame) -> tuple[int, Callable[[list[float]], list[float]
     return total, losses
 
 
-def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Learn from all rows of `df` whose text and lang are not null."""
+def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", familiar: bool = True) -> Model:
+    """Learn from all rows of `df` whose text and lang are not null. Without `familiar`, what only `accepted` reads isn't learned; predictions
+    are the same."""
     rows = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(key, text, lang)
     languages = sorted(r[0] for r in rows.select(lang).distinct().collect())  # one row a language
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    n, texts, three, one = document_frequencies(rows, text)
+    n, texts, three, one = document_frequencies(rows, text, familiar)
     idf, marked = np.log((1 + texts) / (1 + n)) + 1, _marked(rows, key, text, lang, languages)
-    z, squares = np.zeros((BUCKETS + 1, len(languages))), np.zeros((BUCKETS + 1, len(languages)))
+    state = np.zeros((BUCKETS + 1, 2 * len(languages)))
     for _ in range(EPOCHS):
-        z, squares = _epoch(marked, idf, z, squares)
-    weights = _weights(z, squares)
-    model = Model(languages, (weights[:-1] * idf[:, None] * GAIN).astype(np.float32), weights[-1], familiar=Familiar.of(three, one))
+        state = _epoch(marked, idf, state)
+    weights = _weights(*np.split(state, 2, axis=1))
+    model = Model(languages, (weights[:-1] * idf[:, None] * GAIN).astype(np.float32), weights[-1], familiar=Familiar.of(three, one) if familiar else None)
     judged = _judged(marked, model)
     total, losses = _losses(judged)
     if total and len(languages) > 1:
@@ -334,7 +361,7 @@ def temperature(scored: list[tuple[np.ndarray, int]]) -> float:
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`df` with lang_pred, score and familiarity."""
+    """`df` with lang_pred, score and familiarity (null if the model hasn't learned it)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("familiarity", T.DoubleType())]
     kept = [f for f in df.schema.fields if f.name not in {a.name for a in added}]
@@ -354,8 +381,10 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def accepted(df: DataFrame, model: Model, least: float = 0.0, text: str = "text") -> DataFrame:
     """Documents in a learned language: determined, familiar, and with a calibrated probability of `least` at least.
 
-    A text that mixes learned languages has a low probability for each, but is familiar.
+    A text that mixes learned languages has a low probability for each, but is familiar. The model must have learned what is.
     """
+    if model.languages and model.familiar is None:
+        raise ValueError("train the model with familiar=True")
     names = {n: fresh(df, n) for n in ("lang_pred", "score", "familiarity")}
     own = [c for c in df.columns if c in names]
     found = predict(df.select("*", *[F.col(c).alias(fresh(df, "own") + c) for c in own]), model, text)
