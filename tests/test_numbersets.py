@@ -7,9 +7,10 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from threatloom.operators import graph, numbersets
+from threatloom.operators import graph, numbersets, search
 
 EXTREMES = [-(2**63), -(2**63) + 1, -300, -1, 0, 1, 127, 128, 2**20, 2**20 + 1, 2**31, 2**62, 2**63 - 1]
 
@@ -73,7 +74,27 @@ def test_only_nulls_at_the_end_of_two_hops(spark):
     assert graph.two_hop_counts(spark.createDataFrame([], "s long, m long"), spark.createDataFrame([], "m long, e long"), "s", "m", "e").count() == 0
 
 
-@pytest.mark.parametrize("name, metric, most", [("q_expand_2hop", "shuffleRecordsWritten", 6 * 4000)])
+def test_expand_by_numbers_equals_expand_by_names(spark, monkeypatch):
+    """Actors that are integers go as sets: the same rows as for names one by one, for some ids and for all."""
+    monkeypatch.setattr(numbersets, "PIECE", 2)
+    r = random.Random(3)
+    records = spark.createDataFrame([(c, "d") for c in range(13)], "cve_id long, description string")
+    pattern = spark.createDataFrame([(r.choice([None, *range(12), 13]), f"T{r.randrange(9)}", r.choice([None, "C1", "C2"])) for _ in range(60)] + [(12, "T5", None)], "cve_id long, attack_id string, cwe_id string")
+    tactics = spark.createDataFrame([(f"T{r.randrange(6)}", r.choice([None, "x", "y", "z"])) for _ in range(12)], "attack_id string, tactic string")
+    rows = [(f"T{r.randrange(3, 9)}", r.choice(["group", "group", "software", "other", None]), r.choice([None, *range(10, 40)])) for _ in range(60)]
+    rows = [x for x in rows if x[0] != "T5"] + [("T5", "group", None), ("T4", "other", 11)]
+    actors = spark.createDataFrame(rows, "attack_id string, kind string, actor int")
+    names = actors.withColumn("actor", F.col("actor").cast("string"))
+    plain = lambda df: {x.cve_id: (x.description, x.techniques, *(g if g is None else [str(v) for v in g] for g in (x.groups, x.software))) for x in df.collect()}
+    some = records.filter("cve_id % 2 = 0").select("cve_id")
+    for ids in (some, records, None):
+        found = search.expand(ids, records, pattern, tactics, actors)
+        assert found.columns == ["cve_id", "description", "techniques", "groups", "software"] and dict(found.dtypes)["groups"] == "array<int>"
+        assert plain(found) == plain(search.expand(records if ids is None else ids, records, pattern, tactics, names))
+    assert any(g is None for _, _, g, _ in plain(found).values()) and any(g == [] for _, _, g, _ in plain(found).values())
+
+
+@pytest.mark.parametrize("name, metric, most", [("q_expand_2hop", "shuffleRecordsWritten", 6 * 4000), ("q_expand_nested", "shuffleBytesWritten", 200 * 4000)])
 def test_two_hop_queries_send_no_pairs(spark, tmp_path, name, metric, most):
     """Parts with a hundred suppliers each: what is shuffled grows with the edges and not with the pairs. Names may repeat or be null, and suppliers lack."""
     r = random.Random(4)

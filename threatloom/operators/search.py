@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from threatloom.functions.text import confidence, hybrid_score, record_line
 from threatloom.operators.graph import counted, neighbours, top_names
+from threatloom.operators.numbersets import members, pieces, whole
 from threatloom.operators.vector import filtered_nearest, nearest, nearest_batch
 
 #: Texts in, vectors out: models work by batches.
@@ -91,20 +92,45 @@ def pivot(technique: str, techniques: DataFrame, tactics: DataFrame, actors: Dat
     return out.crossJoin(near.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "cve_id"))), lambda s: s["cve_id"]).alias("similar")))  # one row by one row
 
 
-def expand(ids: DataFrame, records: DataFrame, pattern_of: DataFrame, tactics: DataFrame, actors: DataFrame, vectors: DataFrame | None = None, embed: Embedder | None = None, k: int = 10) -> DataFrame:
-    """Per record id of `ids`: its columns, techniques (technique, cwe, tactic), actors two hops away and, with `vectors`
+def _graph_parts(pattern_of: DataFrame, tactics: DataFrame, actors: DataFrame) -> DataFrame:
+    """cve_id, techniques, pieces of groups and of software, and how many pieces were seen, of all records that have a technique; actors are integers.
+
+    Each technique's tactics and its actors, as sets of a few bytes each, stand side by side in numbered rows, so neither multiplies the other.
+    """
+    kind = F.when(F.col("kind") == "group", 0).when(F.col("kind") == "software", 1).cast("byte")
+    sets = pieces(actors.select("attack_id", kind.alias("kind"), F.when(kind.isNotNull(), F.col("actor")).alias("actor")), ["attack_id", "kind"], "actor", "ends")
+    tactic, piece = F.struct("tactic"), F.struct("kind", "ends")
+    sides = tactics.select("attack_id", tactic.alias("_t")).unionByName(sets.select("attack_id", piece.alias("_a")), allowMissingColumns=True)
+    about = sides.groupBy("attack_id").agg(F.arrays_zip(F.collect_set("_t").alias("t"), F.collect_list("_a").alias("a")).alias("_x"))
+    met = pattern_of.join(about.select("attack_id", F.posexplode_outer("_x").alias("_n", "_x")), "attack_id", "left")
+    own = (F.coalesce("_n", F.lit(0)) == 0) | F.col("_x.t").isNotNull()
+    rows = met.select("cve_id", "attack_id", "cwe_id", F.col("_x.t.tactic").alias("tactic"), own.alias("_own"), F.col("_x.a.kind").alias("_kind"), F.col("_x.a.ends").alias("_ends")).repartition("cve_id")
+    of = lambda kind: F.collect_list(F.when(F.col("_kind") == kind, F.col("_ends")))
+    told = F.array_sort(F.collect_set(F.when(F.col("_own"), F.struct("attack_id", "cwe_id", "tactic"))))
+    return rows.groupBy("cve_id").agg(told.alias("techniques"), of(0).alias("groups"), of(1).alias("software"), F.count("_ends").alias("_seen"))
+
+
+def expand(ids: DataFrame | None, records: DataFrame, pattern_of: DataFrame, tactics: DataFrame, actors: DataFrame, vectors: DataFrame | None = None, embed: Embedder | None = None, k: int = 10) -> DataFrame:
+    """Per record id of `ids` (None: of all records): its columns, techniques (technique, cwe, tactic), actors two hops away and, with `vectors`
     (cve_id, vector), similar: the k nearest other records (cve_id, score) of its description (its id, without one).
 
-    Each side is aggregated before it joins, so groups never multiply software. Unknown ids give no row.
+    Each side is aggregated before it joins, so groups never multiply software. Unknown ids give no row. Actors that are integers travel as
+    compact sets, others one by one: over all records, give ids and look names up after.
     """
-    ids = ids.select("cve_id").distinct()
-    asked = records.join(ids, "cve_id", "left_semi")
-    mine = pattern_of.join(ids, "cve_id", "left_semi")
-    nested = mine.join(tactics, "attack_id", "left").groupBy("cve_id").agg(F.array_sort(F.collect_set(F.struct("attack_id", "cwe_id", "tactic"))).alias("techniques"))
-    far = mine.select("cve_id", "attack_id").distinct().join(actors, "attack_id").groupBy("cve_id").agg(
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "group", F.col("actor")))).alias("groups"), F.array_sort(F.collect_set(F.when(F.col("kind") == "software", F.col("actor")))).alias("software")
-    )
-    out = asked.join(nested, "cve_id", "left").join(far, "cve_id", "left")
+    asked, mine = records, pattern_of
+    if ids is not None:
+        ids = ids.select("cve_id").distinct()
+        asked, mine = (df.join(ids, "cve_id", "left_semi") for df in (records, pattern_of))
+    if whole(actors.schema["actor"].dataType):
+        met = asked.join(_graph_parts(mine, tactics, actors), "cve_id", "left")  # before Python, which hides how rows are dealt
+        numbers = lambda c: F.when(F.col("_seen") > 0, members(F.col(c)).cast(T.ArrayType(actors.schema["actor"].dataType)))
+        out = met.withColumns({"groups": numbers("groups"), "software": numbers("software")}).drop("_seen")
+    else:
+        nested = mine.join(tactics, "attack_id", "left").groupBy("cve_id").agg(F.array_sort(F.collect_set(F.struct("attack_id", "cwe_id", "tactic"))).alias("techniques"))
+        far = mine.select("cve_id", "attack_id").distinct().join(actors, "attack_id").groupBy("cve_id").agg(
+            F.array_sort(F.collect_set(F.when(F.col("kind") == "group", F.col("actor")))).alias("groups"), F.array_sort(F.collect_set(F.when(F.col("kind") == "software", F.col("actor")))).alias("software")
+        )
+        out = asked.join(nested, "cve_id", "left").join(far, "cve_id", "left")
     if vectors is None:
         return out
     said = asked.select("cve_id", F.coalesce(F.nullif("description", F.lit("")), F.col("cve_id").cast("string")).alias("_said"))
