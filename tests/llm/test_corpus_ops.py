@@ -607,3 +607,24 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         empty = stage(spark, docs.limit(0), SF)
         assert empty.columns == docs.columns and empty.count() == 0, name
+
+
+def test_pipeline_learns_from_every_labelled_row(spark):
+    """A language of which op2's contract would hold out every row, and rows without an id, are learned; missing labels are filled, given ones stay."""
+    import zlib
+
+    import corpus_pipeline
+
+    r = random.Random(9)
+    words = ["".join(r.choice("бвгджзклмнпрст") + r.choice("аеиоуы") for _ in range(r.randrange(1, 4))) for _ in range(80)]
+    held = [k for k in range(10**6, 10**6 + 400) if zlib.crc32(str(k).encode()) % 4 == 2][:60]
+    docs = table(spark, SF, "documents").filter("lang in ('en', 'fr')")
+    own = [(k, " ".join(r.choices(words, k=80)), "xx", "s", 0) for k in held] + [(None, " ".join(r.choices(words, k=80)), "xx", "s", 0)]
+    told = docs.filter("lang = 'fr' and length(text) > 400").first().text
+    own += [(-1, told, None, "s", 0), (-2, told, "en", "s", 0), (-3, " ".join(r.choices(words, k=80)), None, "s", 0), (-4, "12 345", None, "s", 0)]
+    every = docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long"))
+    out = corpus_pipeline.language_id(spark, every, SF)
+    assert out.columns == every.columns
+    got = {x.doc_id: x.lang for x in out.collect()}
+    assert set(held) | {None} <= set(got) and {got[k] for k in held} == {"xx"}
+    assert (got[-1], got[-2], got[-3], -4 in got) == ("fr", "en", "xx", False)

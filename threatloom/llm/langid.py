@@ -378,8 +378,9 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return bounded_batches(df.select(*names, *([] if read == text else [F.col(text).alias(read)]))).mapInArrow(run, schema)
 
 
-def accepted(df: DataFrame, model: Model, least: float = 0.0, text: str = "text") -> DataFrame:
-    """Documents in a learned language: determined, familiar, and with a calibrated probability of `least` at least.
+def accepted(df: DataFrame, model: Model, least: float = 0.0, text: str = "text", into: str | None = None) -> DataFrame:
+    """Documents in a learned language: determined, familiar, and with a calibrated probability of `least` at least. Nulls of the column `into`
+    become the language found.
 
     A text that mixes learned languages has a low probability for each, but is familiar. The model must have learned what is.
     """
@@ -389,4 +390,5 @@ def accepted(df: DataFrame, model: Model, least: float = 0.0, text: str = "text"
     own = [c for c in df.columns if c in names]
     found = predict(df.select("*", *[F.col(c).alias(fresh(df, "own") + c) for c in own]), model, text)
     kept = found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least) & (F.col("familiarity") >= model.least))
-    return kept.select(*[F.col(fresh(df, "own") + c).alias(c) if c in own else F.col(f"`{c}`") for c in df.columns])
+    as_given = {c: F.col(fresh(df, "own") + c if c in own else f"`{c}`") for c in df.columns}
+    return kept.select(*[(F.coalesce(x, "lang_pred") if c == into else x).alias(c) for c, x in as_given.items()])
